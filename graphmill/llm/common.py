@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a batch of long texts must fit a Python worker.
 BATCH_ROWS = 1000
@@ -83,3 +84,38 @@ def slices(at: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
 def rows_text(col: pa.Array) -> list[str]:
     """The column as str, null as empty."""
     return [x or "" for x in col.to_pylist()]
+
+
+#: A Bloom filter has 16 bits for each id, up to 16 MB whatever the number of ids.
+BLOOM_MOST_BITS = 1 << 27
+
+
+def bloom_filter(ids: DataFrame):
+    """A function from a column of long ids to whether the frame's one column of ids may hold them.
+
+    Only the bit array, at most 16 MB, reaches the driver and the executors. It passes over rows that a
+    join needn't see; beyond some 10 million ids it passes more and more, and the join does the rest. Null
+    ids give false."""
+    spark = ids.sparkSession
+    ids = ids.toDF("id")
+    bits = 1 << 16
+    n = ids.count()
+    while bits < min(16 * n, BLOOM_MOST_BITS):
+        bits *= 2
+
+    def places(col: Column) -> list[Column]:
+        h = F.xxhash64(col)
+        return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
+
+    words = ids.where("id is not null").select(F.explode(F.array(*places(F.col("id")))).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def held(p: pa.Array, q: pa.Array) -> pa.Array:
+        t = sent.value
+        a, b = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (p, q))
+        return pa.array(((t[a >> 5] >> (a & 31).astype(np.uint32)) & (t[b >> 5] >> (b & 31).astype(np.uint32)) & 1).astype(bool))
+
+    return lambda col: col.isNotNull() & held(*places(col))

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.llm import bpe
+from graphmill.llm import bpe, minhash
 
 #: Folder of the public vocabulary files.
 VOCABULARIES = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -21,7 +21,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op7_minhash": op7_minhash,
 }
 ORACLE_SQL: dict[str, str] = {}
