@@ -263,6 +263,10 @@ class Bpe:
         ids = iter(self._plain([p for own in parts for p in own]))
         return [b"".join(next(ids) + m for _, m in zip(own, [*mark, b""])) for own, mark in zip(parts, marks)]
 
+    def encode_ordinary_batch(self, texts: list[str]) -> list[bytes]:
+        """The same, but strings of added tokens are ordinary text."""
+        return self._plain(texts)
+
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
