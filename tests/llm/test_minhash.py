@@ -72,7 +72,7 @@ def test_groups_chains_and_near_misses(spark):
 
 
 def test_small_blocks_meet(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
     monkeypatch.setattr(minhash, "LEADER_ROUNDS", 0)
     test_groups_chains_and_near_misses(spark)
 
