@@ -12,9 +12,12 @@ from graphmill.functions.columns import rename_paths
 from graphmill.operators import commits as C
 from graphmill.operators import edges as E
 from graphmill.operators import graph as G
+from graphmill.operators import health as H
 from graphmill.operators import lookups as L
+from graphmill.operators import resolve as R
 from graphmill.operators import retrieval as S
 from graphmill.operators import visibility as V
+from graphmill.streaming import changes as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,16 +100,16 @@ def commits_by_ref(spark, d):
 
 @query("SELECT sha, author, message FROM commits WHERE sha = '000000000042'")
 def commit_by_sha(spark, d):
-    return C.by_sha(A.commits(spark, d), "00000000004" + "2").select("sha", "author", "message")
+    return C.by_sha(A.commits(spark, d), "000000000042").select("sha", "author", "message")
 
 
-@query("""WITH_PARTS SELECT sha, (SELECT count(*) FROM commit_files WHERE commit_sha = sha) AS n_files, (SELECT count(*) FROM commit_refs WHERE commit_sha = sha) AS n_refs FROM commits""".replace("WITH_PARTS ", ""))
+@query("""SELECT sha, (SELECT count(*) FROM commit_files WHERE commit_sha = sha) AS n_files, (SELECT count(*) FROM commit_refs WHERE commit_sha = sha) AS n_refs FROM commits""")
 def commit_details(spark, d):
     return C.with_details(A.commits(spark, d), A.commit_files(spark, d), A.commit_refs(spark, d)).select("sha", F.size("files").cast("long").alias("n_files"), F.size("refs").cast("long").alias("n_refs"))
 
 
-@query("""SELECT commit_sha, CASE WHEN contains(file_path, '{') THEN unnest([regexp_replace(file_path, '\\{.*\\}', 'old'), regexp_replace(file_path, '\\{.*\\}', 'new')]) ELSE file_path END AS path FROM commit_files WHERE contains(file_path, '{')
-    UNION ALL SELECT commit_sha, file_path FROM commit_files WHERE NOT contains(file_path, '{')""".replace("CASE WHEN contains(file_path, '{') THEN unnest([regexp_replace(file_path, '\\{.*\\}', 'old'), regexp_replace(file_path, '\\{.*\\}', 'new')]) ELSE file_path END", "unnest([replace(file_path, '{old => new}', 'old'), replace(file_path, '{old => new}', 'new')])"))
+@query("""SELECT commit_sha, unnest([replace(file_path, '{old => new}', 'old'), replace(file_path, '{old => new}', 'new')]) AS path FROM commit_files WHERE contains(file_path, '{')
+    UNION ALL SELECT commit_sha, file_path FROM commit_files WHERE NOT contains(file_path, '{')""")
 def rename_variants(spark, d):
     return A.commit_files(spark, d).select("commit_sha", F.explode(rename_paths("file_path")).alias("path"))
 
@@ -116,7 +119,7 @@ def blame_ownership(spark, d):
     return C.ownership(A.commits(spark, d)).withColumns(r6("share"))
 
 
-@query("""WITH_X SELECT count(*) AS commits, count(DISTINCT author) AS authors, CAST(sum(c) AS BIGINT) AS churn, 'high' AS overall FROM (SELECT sha, author, (SELECT coalesce(sum(coalesce(insertions, 0) + coalesce(deletions, 0)), 0) FROM commit_files WHERE commit_sha = sha) AS c FROM commits)""".replace("WITH_X ", ""))
+@query("""SELECT count(*) AS commits, count(DISTINCT author) AS authors, CAST(sum(c) AS BIGINT) AS churn, 'high' AS overall FROM (SELECT sha, author, (SELECT coalesce(sum(coalesce(insertions, 0) + coalesce(deletions, 0)), 0) FROM commit_files WHERE commit_sha = sha) AS c FROM commits)""")
 def risk_signals(spark, d):
     return C.risk(A.commits(spark, d), A.commit_files(spark, d), 1_700_000_000).select("commits", "authors", "churn", "overall")
 
@@ -256,10 +259,10 @@ def dir_graph(spark, d):
     return E.directory_graph(A.imports(spark, d), A.files(spark, d), 3).select("from_dir", "to_dir", "count", F.array_join("sample_files", "|").alias("samples"))
 
 
-@query(_DIRS + """ SELECT a.from_dir, a.to_dir, a.count AS edge_count, coalesce(b.count, 0) AS reverse_edge_count FROM dir_graph a LEFT JOIN dir_graph b ON a.from_dir = b.to_dir AND a.to_dir = b.from_dir,
+@query(_DIRS.replace("least(3", "least(2") + """ SELECT a.from_dir, a.to_dir, a.count AS edge_count, coalesce(b.count, 0) AS reverse_edge_count FROM dir_graph a LEFT JOIN dir_graph b ON a.from_dir = b.to_dir AND a.to_dir = b.from_dir,
     (SELECT avg(count) AS m, stddev_pop(count) AS s FROM dir_graph) WHERE s > 0 AND a.count < greatest(1, m - s) ORDER BY 3, 1, 2 LIMIT 200""")
 def dir_outliers(spark, d):
-    return E.outliers(E.directory_graph(A.imports(spark, d), A.files(spark, d), 3), 200).select("from_dir", "to_dir", "edge_count", "reverse_edge_count")
+    return E.outliers(E.directory_graph(A.imports(spark, d), A.files(spark, d), 2), 200).select("from_dir", "to_dir", "edge_count", "reverse_edge_count")
 
 
 _COVER = """, cover AS (SELECT f.id AS file_id, path, language, coalesce(s.n, 0) AS symbols, coalesce(c.n, 0) AS calls_total, coalesce(c.r, 0) AS calls_resolved, coalesce(t.n, 0) AS types_total, coalesce(t.r, 0) AS types_resolved, coalesce(t.e, 0) AS types_external,
@@ -442,3 +445,75 @@ def rrf_fused(spark, d):
     return S.fused(text, near).withColumns(r6("score"))
 
 
+
+
+# --- definitions, spans and health
+
+
+def _defined(spark, d):
+    s = A.symbols(spark, d).select(F.col("id").alias("t"), F.col("name").alias("name"), F.col("file_id").alias("tf"), F.col("start_line").alias("l"))
+    f = A.files(spark, d).select(F.col("id").alias("tf"), F.col("path").alias("definition_path"))
+    none = F.lit(None)
+    e = A.relationships(spark, d).select("id", "file_id", F.col("target_symbol_id").alias("t")).join(s, "t").join(f, "tf")
+    return e.select("id", "file_id", none.cast("long").alias("target"), "name", F.lit("unresolved").alias("method"), F.when(F.col("id") % 11 == 0, "/outside.py").otherwise(F.col("definition_path")).alias("definition_path"), (F.col("l") + F.when(F.col("id") % 5 == 0, 40).otherwise(1)).cast("int").alias("definition_line"), none.cast("int").alias("definition_character"))
+
+
+@query("""SELECT e.id, CASE WHEN e.id % 11 = 0 THEN NULL WHEN m.n = 1 THEN m.t END AS target, CASE WHEN e.id % 11 = 0 THEN 'external_definition' WHEN m.n = 1 THEN 'lsp_definition' WHEN m.n > 1 THEN 'ambiguous_definition' ELSE 'unresolved' END AS method
+    FROM (SELECT r.id, s.name, s.file_id AS tf, s.start_line + CASE WHEN r.id % 5 = 0 THEN 40 ELSE 1 END AS l FROM relationships r JOIN symbols s ON s.id = r.target_symbol_id) e
+    LEFT JOIN (SELECT id, count(*) AS n, min(t) AS t FROM (SELECT e.id, s.id AS t, s.end_line - s.start_line AS w, min(s.end_line - s.start_line) OVER (PARTITION BY e.id) AS m
+      FROM (SELECT r.id, s.name, s.file_id AS tf, s.start_line + CASE WHEN r.id % 5 = 0 THEN 40 ELSE 1 END AS l FROM relationships r JOIN symbols s ON s.id = r.target_symbol_id) e
+      JOIN symbols s ON s.file_id = e.tf AND s.name = e.name AND e.l BETWEEN s.start_line AND s.end_line) WHERE w = m GROUP BY id) m ON m.id = e.id""")
+def containment_cascade(spark, d):
+    dirty = A.dirty_files(spark, d).limit(0)
+    return R.by_definition(_defined(spark, d), A.symbols(spark, d), A.files(spark, d), dirty).select("id", "target", "method")
+
+
+@query("SELECT id, 'line coordinate is outside the stored source snapshot' AS reason FROM symbols WHERE end_line >= file_id % 450 + 1")
+def invalid_spans(spark, d):
+    f = A.files(spark, d).select("id", F.expr("repeat('ab\n', cast(id % 450 as int))").alias("source"))
+    return H.invalid_spans(A.symbols(spark, d), f).select("id", "reason")
+
+
+@query("SELECT id, 'name' AS by FROM calls WHERE callee_id IS NULL AND lower(callee_name) IN (SELECT lower(name) FROM symbols)")
+def internal_unresolved(spark, d):
+    return H.internal_unresolved(A.calls(spark, d).withColumn("definition_path", F.lit(None).cast("string")), "callee_id", "callee_name", A.symbols(spark, d), A.files(spark, d)).select("id", "by")
+
+
+@query()
+def codebase_summary(spark, d):
+    s, f = A.symbols(spark, d), A.files(spark, d)
+    mods = f.select("language").distinct().select(F.abs(F.xxhash64("language")).alias("id"), F.col("language").alias("name"))
+    owners = f.select(F.col("id").alias("file_id"), F.abs(F.xxhash64("language")).alias("module_id"))
+    got = G.summary(s, f, _sparse(spark, d), owners, mods)
+    return spark.createDataFrame([(k, len(v) if isinstance(v, list) else v) for k, v in got.items()], "measure string, value long")
+
+
+# --- text extraction and streams
+
+
+@query("""SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS raw FROM pages""", raw=True)
+def include_extract(spark, d):
+    return A.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("raw")).distinct()
+
+
+@query("SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.k') AS value FROM events", raw=True)
+def config_flatten(spark, d):
+    return A.table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1", raw=True)
+def stream_latest_per_key(spark, d):
+    return X.latest(A.table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS changes FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM
+    (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOURS >= ts THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, run""", raw=True)
+def session_quiet_period(spark, d):
+    e = A.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return X.quiet_periods(e, ["user_id"], "ts", "6 hours").select("user_id", F.unix_seconds("start").alias("start"), "changes")
+
+
+@query("SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, count(*) AS events FROM events GROUP BY 1, 2", raw=True)
+def tumbling_counts(spark, d):
+    e = A.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return X.counts(e, ["event_type"], "ts", "1 hour").select("event_type", F.unix_seconds("start").alias("start"), "events")

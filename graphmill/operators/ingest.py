@@ -88,9 +88,12 @@ def symbol_parts(symbol: str | None) -> dict:
     return {"name": name, "parent": parent if has else None, "kind": kind, "depth": len(d), "method": name if suffix == "()." else None}
 
 
-@F.pandas_udf("name string, parent string, kind string, depth int, method string")
-def _parts(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([symbol_parts(x) for x in s], columns=["name", "parent", "kind", "depth", "method"])
+def _parts(symbol: str) -> Column:
+    @F.pandas_udf("name string, parent string, kind string, depth int, method string")
+    def parts(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([symbol_parts(x) for x in s], columns=["name", "parent", "kind", "depth", "method"])
+
+    return parts(symbol)
 
 
 def reference_kind(symbol: Column, syntax: Column) -> Column:

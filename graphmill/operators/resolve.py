@@ -150,7 +150,7 @@ def directory(path: Column) -> Column:
 
 def candidates(language: str, raw: Column, path: Column, root: str, go_module: str | None) -> Column:
     """Paths that an import of a language may mean, in order of preference."""
-    at = lambda base, rest: normal_path(F.concat(base, F.lit("/"), rest))
+    at = lambda base, rest: normal_path(F.when(base == "", rest).otherwise(F.concat(base, F.lit("/"), rest)))
     none = F.array().cast("array<string>")
     if language in ("typescript", "javascript"):
         base = at(directory(path), raw)
@@ -161,11 +161,11 @@ def candidates(language: str, raw: Column, path: Column, root: str, go_module: s
         dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
         rest = F.translate(F.regexp_replace(raw, r"^\.+", ""), ".", "/")
         up = F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0)))
-        base = F.when(dots > 0, normal_path(F.concat(directory(path), F.lit("/"), up, rest))).otherwise(at(F.lit(root), rest))
+        base = F.when(dots > 0, at(directory(path), F.concat(up, rest))).otherwise(at(F.lit(root), rest))
         return F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))
     if language == "java":
         rel = F.concat(F.translate(raw, ".", "/"), F.lit(".java"))
-        return F.array(*[at(F.lit(f"{root}{s}"), rel) for s in ("/src/main/java", "/src", "")])
+        return F.array(*[at(F.lit(f"{root}/{s}".strip("/") if not root else f"{root}/{s}".rstrip("/")), rel) for s in ("src/main/java", "src", "")])
     if language in ("c", "cpp"):
         quoted = ~raw.startswith("<")
         return F.when(quoted, F.array(at(directory(path), raw), at(F.lit(root), raw))).otherwise(none)

@@ -74,7 +74,7 @@ def follow(index: Index, stream: DataFrame, branch: str, checkpoint: str, clock:
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-CHANGE = T.StructType.fromDDL("path string, language string, source string, deleted boolean, seq long")
+CHANGE = T.StructType([T.StructField("path", T.StringType()), T.StructField("language", T.StringType()), T.StructField("source", T.StringType()), T.StructField("deleted", T.BooleanType()), T.StructField("seq", T.LongType())])
 
 
 def change_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
