@@ -108,23 +108,24 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a is not null and b is not null").distinct())
     alone = e.where("a = b").select("a")
     e = e.where("a <> b")
-    mark = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         e = stored(large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct())
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if now == mark:
-            break
-        mark = now
     star = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     hubs = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     loops = alone.select(F.col("a").alias("node"), F.col("a").alias("component"))
     return star.unionByName(hubs).unionByName(loops.join(star.unionByName(hubs), "node", "left_anti"))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of edges (a, b) has one edge up, or only edges from below."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("low")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("low")))).alias("x")).select("x.*")
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or (up > 0 and low > 0)").isEmpty()
+
+
 def tarjan(edges: list[tuple[int, int]]) -> dict[int, int]:
     """Node -> smallest node of its strongly connected component. Iterative."""
     out: dict[int, list[int]] = defaultdict(list)
