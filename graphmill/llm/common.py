@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.storage import checkpoint_root, stored  # noqa: F401
+
 #: Rows and bytes of one Arrow batch: a batch of long texts must fit a Python worker.
 BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
@@ -25,26 +27,7 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share."""
-    root = checkpoint_root(spark)
-    return f"{root.rstrip('/')}/graphmill-{uuid.uuid4().hex}"
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder in the warehouse where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{checkpoint_root(spark)}/graphmill-{uuid.uuid4().hex}"
 
 
 def drop_stored(df: DataFrame) -> None:

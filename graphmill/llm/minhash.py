@@ -8,12 +8,13 @@ bands; documents that agree in a band are candidates, and a link is confirmed on
 Stages, all distributed:
 1. One pass over the texts: set size, a 128-bit fingerprint of the set and the bands' keys.
 2. Documents with equal sets form a class, represented by its smallest id.
-3. Representatives that share a band: each is compared with one leader (the smallest id it meets); confirmed
-   links are contracted, and buckets that lie in one component drop out. A few such rounds join large groups
-   with about one comparison a document.
-4. Buckets that still touch several components are compared exactly: their members are dealt out in blocks
-   of at most BLOCK, every two blocks meet in one task, and only pairs of different components whose
-   signatures agree well enough are compared on the full sets. Nothing is capped.
+3. Representatives that share a band: each is compared with one leader, the one of its buckets' most central
+   members that it meets most centrally; confirmed links are contracted, and buckets that lie in one component
+   drop out. Two such rounds join large groups with about one comparison a document and round.
+4. Buckets that still touch several components are compared completely. Documents that such buckets connect
+   are dealt out in blocks bounded in rows and text, every two blocks that may hold a new link meet in one
+   task, and the pairs that share a bucket, but no component, are counted there on the full sets. A task gives
+   the links that it confirms, not its pairs; nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.common import SLICE_BYTES, bloom_filter, bounded_batches, slices, stored, text_buffer
+from graphmill.operators import graph
 
 SHINGLE = 5
 #: Percent of the union that two sets share at least.
@@ -33,11 +35,9 @@ ROWS = 4  # values in a band: a pair at 0.75 misses all 32 bands with a chance o
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Rounds of leader comparisons before the exact rest.
 LEADER_ROUNDS = 2
-BLOCK = 256
-#: Rows that meet in a task at a time, about.
-BUNDLE_ROWS = 5000
-#: Least share of equal signature values of a pair that is compared on full sets: 0.75 less seven deviations.
-AGREE = 0.75 - 7 * (0.75 * 0.25 / (2 * PERMUTATIONS)) ** 0.5
+#: Bounds of a block in the exact rest, where two blocks meet.
+BLOCK = 4096
+BLOCK_BYTES = 12 << 20
 
 U64 = np.uint64
 PRIME = U64(0x9E3779B97F4A7C15)
@@ -157,7 +157,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, fp_a, fp_b (fingerprint of the set), bands, sig (binary): one row per document."""
+    """id, n_shingles, fp_a, fp_b (fingerprint of the set), bands: one row per document."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(id_col, text_col)
 
@@ -180,38 +180,16 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         pa.array(fp[:, 0].view(np.int64)),
                         pa.array(fp[:, 1].view(np.int64)),
                         _lists(band_keys(sig).view(np.int64)),
-                        pa.array([x.tobytes() for x in sig], pa.binary()),
                     ],
-                    names=[id_col, "n_shingles", "fp_a", "fp_b", "bands", "sig"],
+                    names=[id_col, "n_shingles", "fp_a", "fp_b", "bands"],
                 )
 
-    return rows.mapInArrow(run, f"{id_col} long, n_shingles long, fp_a long, fp_b long, bands array<long>, sig binary")
+    return rows.mapInArrow(run, f"{id_col} long, n_shingles long, fp_a long, fp_b long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the smallest node reachable over edges (a, b). Only nodes with edges appear.
-
-    Large-star and small-star rounds: every node's neighbours are tied to the smallest one, until each
-    component is a star. Every round is two aggregations and joins over the edges; hubs are aggregated in
-    part before the shuffle, and the joins' hot keys are left to adaptive skew handling."""
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        new = (
-            large.join(small_least, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-            .select("x.a", "x.b")
-            .where("a <> b")
-            .distinct()
-        )
-        new = stored(new)
-        same = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first() == new.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        e = new
-        if same:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    """node, comp: the smallest node reachable over edges (a, b). Only nodes with edges appear."""
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("component", "comp")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -283,29 +261,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     may_share = bloom_filter(bands.select("id").distinct())
     texts = stored(docs.where(may_share(F.col(id_col))))
 
+    # how central a document is: the sizes of its buckets together
+    sizes = bands.groupBy("key").agg(F.count("*").alias("m"))
+    degree = bands.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("deg"))
+    bands = stored(bands.join(degree, "id").select("key", "id", "deg"))
+
     links: DataFrame | None = None
     comps: DataFrame | None = None
     tried: DataFrame | None = None
     for _ in range(LEADER_ROUNDS):
         labelled = _relabel(bands, comps)
-        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "comp")).alias("lead")).where("lo < hi")
-        if comps is not None:  # the leader is the smallest id outside the bucket's smallest component
-            other = labelled.join(open_keys.select("key", "lo"), "key").where("comp <> lo").groupBy("key").agg(F.min(F.struct("id", "comp")).alias("lead"))
-            open_keys = other
-        met = labelled.join(open_keys.select("key", F.col("lead.id").alias("a"), F.col("lead.comp").alias("a_comp")), "key").where("comp <> a_comp")
-        pairs = met.groupBy("id").agg(F.min("a").alias("a")).select(F.col("a"), F.col("id").alias("b"))
+        lead = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("deg", F.col("id"), "comp")).alias("lead")).where("lo < hi")
+        met = labelled.select("key", "id", "comp").join(lead.select("key", F.col("lead.id").alias("a"), F.col("lead.comp").alias("a_comp"), F.col("lead.deg").alias("deg")), "key").where("comp <> a_comp")
+        pairs = met.groupBy("a", F.col("id").alias("b")).agg(F.max("deg").alias("deg"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+        pairs = stored(pairs.groupBy("b").agg(F.max(F.struct("deg", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
         if pairs.isEmpty():
             break
         found = stored(confirmed(pairs, texts, id_col, text_col))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         comps = stored(components(links))
-    rest = _rest(prof, bands, comps, tried, id_col)
-    if rest is not None:
-        found = stored(confirmed(rest, texts, id_col, text_col))
+    found = _rest(bands, comps, texts, id_col, text_col)
+    if found is not None:
         links = found if links is None else links.unionByName(found)
     if twice:  # rows that share an id join all their classes
         links = ties if links is None else links.unionByName(ties)
@@ -323,49 +302,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _rest(prof: DataFrame, bands: DataFrame, comps: DataFrame | None, tried: DataFrame | None, id_col: str) -> DataFrame | None:
-    """Pairs of different components that still share a bucket and whose signatures agree: exact and complete.
-
-    A bucket of m members has ceil(m / BLOCK) blocks; a row goes to each pair of blocks that holds its own,
-    and a task compares two blocks' signatures at a time."""
+def _rest(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """All links between documents of different components that share a bucket, but for some that follow from
+    others of the same task."""
     labelled = _relabel(bands, comps)
-    stats = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    members = stored(labelled.join(stats.select("key", "m"), "key").select("key", "m", "id", "comp").distinct())
+    still = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo < hi")
+    members = stored(labelled.join(still.select("key", "first"), "key").select("key", "first", "id", "comp").distinct())
     if members.isEmpty():
         return None
-    sig = prof.select(F.col(id_col).alias("id"), "n_shingles", "sig").where("id is not null and n_shingles > 0")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    cluster = components(members.select(F.col("id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("id"), F.col("comp").alias("cluster"))
+    rows = members.groupBy("id", "comp").agg(F.collect_set("key").alias("keys")).join(cluster, "id")  # a document has BANDS keys at most
+    text = texts.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = stored(rows.join(text, "id").select("cluster", "id", "comp", "keys", "text"))
+    # of each cluster the largest component is dealt out by itself: its blocks needn't meet one another
+    per = rows.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    total = per.groupBy("cluster").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    deal = total.select("cluster", F.col("top.comp").alias("main"), blocks(F.col("top.n"), F.col("top.size")).alias("p"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("q"))
+    h = F.xxhash64("id")
+    others = F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)
     dealt = (
-        members.join(sig, "id")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp", "n_shingles", "sig")
+        rows.join(deal, "cluster")
+        .withColumn("own", F.when(F.col("comp") == F.col("main"), F.pmod(h, F.col("p"))).otherwise(F.col("p") + F.pmod(h, F.col("q"))).cast("int"))
+        .withColumn("other", F.explode(F.when(F.col("own") < F.col("p"), others).otherwise(F.concat(F.sequence(F.lit(0), F.col("p") - 1), others))))
+        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "keys", "text")
     )
-
-    bundles = max(1, members.count() // BUNDLE_ROWS)  # many small buckets share a task's table
+    # many small clusters share a task's table
+    bundles = max(1, rows.count() // BLOCK)
+    bundle = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(bundles))
 
     def meet(t: pa.Table) -> pa.Table:
-        key, i, j, ids, comp, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "id", "comp", "n_shingles"))
-        s = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-        order = np.lexsort((ids, j, i, key))
-        new = np.flatnonzero(np.any(np.diff(np.stack([key[order], i[order], j[order]])), axis=0)) + 1
-        out = []
-        for rows in np.split(order, new):
-            for k, x in enumerate(rows[:-1]):
-                o = rows[k + 1 :]
-                o = o[(comp[o] != comp[x]) & (4 * np.minimum(n[o], n[x]) >= 3 * np.maximum(n[o], n[x]))]
-                if len(o):
-                    o = o[(s[o] == s[x]).mean(axis=1) >= AGREE]
-                    out += [(min(ids[x], y), max(ids[x], y)) for y in ids[o]]
+        cluster, i, j = (t.column(c).to_numpy() for c in ("cluster", "i", "j"))
+        order = np.lexsort((j, i, cluster))
+        new = np.flatnonzero(np.any(np.diff(np.stack([cluster[order], i[order], j[order]])), axis=0)) + 1
+        out: list[tuple[int, int]] = []
+        for at in np.split(order, new):
+            out += new_links(t.take(pa.array(at)))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    bundle = F.pmod(F.xxhash64("key", "i", "j"), F.lit(bundles))
-    pairs = dealt.groupBy(bundle.alias("bundle")).applyInArrow(meet, "a long, b long").distinct()
-    if tried is not None:
-        both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.join(both, ["a", "b"], "left_anti")
-    return stored(pairs)
+    return stored(dealt.groupBy(bundle.alias("bundle")).applyInArrow(meet, "a long, b long").distinct())
+
+
+def new_links(t: pa.Table) -> list[tuple[int, int]]:
+    """Confirmed links between components of a table (own, i, j, id, comp, keys, text) of two blocks."""
+    ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    _, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+    root = np.arange(comp.max() + 1)
+    if len(root) < 2:
+        return []
+    keys = t.column("keys").combine_chunks()
+    flat, of = keys.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(keys.offsets.to_numpy()))
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    raw, at = text_buffer(t.column("text"))
+    parts, sizes = [], []
+    for x, y in slices(at):
+        sets, ends = shingle_sets(raw[at[x] : at[y]], at[x : y + 1] - at[x])
+        parts.append(sets)
+        sizes.append(np.diff(ends))
+    n = np.concatenate(sizes)
+    _, shingle = np.unique(np.concatenate(parts), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(int(shingle.max()) + 1, bool)
+    out = []
+    ask = np.flatnonzero(own == j)
+    mine = keys.offsets.to_numpy()
+    values = keys.flatten().to_numpy()
+    for x in ask:
+        k = values[mine[x] : mine[x + 1]]
+        lo, hi = np.searchsorted(flat, k, "left"), np.searchsorted(flat, k, "right")
+        near = np.unique(np.concatenate([of[a:b] for a, b in zip(lo, hi)]))
+        near = near[(own[near] == i) if i != j else near > x]
+        near = near[(root[comp[near]] != root[comp[x]]) & (100 * np.minimum(n[near], n[x]) >= SIMILAR * np.maximum(n[near], n[x]))]
+        if not len(near):
+            continue
+        held = shingle[begin[x] : begin[x + 1]]
+        mark[held] = True
+        for part in np.array_split(near, int(n[near].sum()) // 2_000_000 + 1):
+            place = np.repeat(begin[part], n[part]) + np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            common = np.add.reduceat(mark[shingle[place]].astype(np.int64), np.cumsum(n[part]) - n[part])
+            for y in part[100 * common >= SIMILAR * (n[part] + n[x] - common)]:
+                if root[comp[y]] != root[comp[x]]:
+                    out.append((int(ids[x]), int(ids[y])))
+                    root[root == root[comp[y]]] = root[comp[x]]
+        mark[held] = False
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
