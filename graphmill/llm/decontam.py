@@ -30,6 +30,8 @@ LEAST = 24
 #: Bytes of benchmark text in one index; larger benchmarks are worked in several passes over the documents.
 INDEX_BYTES = 4 << 20
 BITS = 22
+#: Postings that are counted at a time, about.
+POSTINGS = 2_000_000
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
 
@@ -125,17 +127,28 @@ class Index:
             return []
         cover = np.zeros(n + 1, np.int32)
         first = np.flatnonzero(dense)
-        np.add.at(cover, first, 1)
-        np.add.at(cover, np.minimum(first + span, n), -1)
+        cover[first] += 1
+        cover[first[first + span < n] + span] -= 1
         spots = np.flatnonzero(hit & (np.cumsum(cover)[:n] > 0))
         lo, hi = np.searchsorted(self.codes, codes[spots], "left"), np.searchsorted(self.codes, codes[spots], "right")
         count = hi - lo
         spots, lo, count = spots[count > 0], lo[count > 0], count[count > 0]
         out = []
-        for part in np.array_split(np.arange(len(spots)), max(1, int(count.sum()) // 2_000_000 + 1)) if len(spots) else []:
+        for part in np.split(np.arange(len(spots)), self._cuts(spots, count)):
             out += self._bands(text, at, spots[part], lo[part], count[part])
         return sorted(set(out))
 
+    def _cuts(self, spots: np.ndarray, count: np.ndarray) -> list[int]:
+        """Places between hits that no match reaches over, where over POSTINGS postings have come together."""
+        done = np.cumsum(count)
+        cuts, last = [], 0
+        if len(done) and done[-1] > POSTINGS:
+            for g in np.flatnonzero(np.diff(spots) > self.widest) + 1:
+                if done[g - 1] - last > POSTINGS:
+                    cuts.append(int(g))
+                    last = done[g - 1]
+        return cuts
+
     def _bands(self, text, at, spots, lo, count):
         if not len(spots):
             return []
@@ -148,20 +161,24 @@ class Index:
         found = []
         for shift in (0, 1):
             band = (diag + shift * half) // (2 * half)
-            order = np.lexsort((pos, band, win, doc))
-            d, w, b, p = doc[order], win[order], band[order], self.place[post][order]
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (b[1:] != b[:-1])])
-            group = np.cumsum(new) - 1
-            # a q-gram of the window counts once
-            uniq = np.unique(group * (WINDOW + 1) + p)
-            shared = np.bincount(uniq // (WINDOW + 1), minlength=group[-1] + 1)
-            head = np.flatnonzero(new)
-            good = shared >= self.bound[w[head]]
-            for g in np.flatnonzero(good):
-                i = head[g]
-                k = int(self.edits[w[i]])
-                low = int(b[i]) * 2 * (k + 1) - shift * (k + 1)
-                found.append((int(d[i]), int(w[i]), low))
+            low = int(band.min())
+            radix = (int(doc[-1]) + 1, len(self.text), int(band.max()) - low + 1, WINDOW)
+            if np.prod([float(x) for x in radix]) < 2**62:  # one number to sort by
+                key = np.sort(((doc * radix[1] + win) * radix[2] + band - low) * WINDOW + self.place[post])
+                key = key[np.concatenate([[True], key[1:] != key[:-1]])]  # a q-gram of the window counts once
+                group = key // WINDOW
+                head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                group = group[head]
+                d, w, b = group // (radix[1] * radix[2]), group // radix[2] % radix[1], group % radix[2] + low
+            else:
+                rows = np.unique(np.stack([doc, win, band, self.place[post]]), axis=1)
+                head = np.flatnonzero(np.concatenate([[True], np.any(rows[:3, 1:] != rows[:3, :-1], axis=0)]))
+                d, w, b = rows[:3, head]
+                key = rows[0]
+            shared = np.diff(np.append(head, len(key)))
+            for g in np.flatnonzero(shared >= self.bound[w]):
+                k = int(self.edits[w[g]])
+                found.append((int(d[g]), int(w[g]), int(b[g]) * 2 * (k + 1) - shift * (k + 1)))
         return self._verify(text, at, sorted(set(found)))
 
     def _verify(self, text, at, found):

@@ -59,6 +59,7 @@ def test_contaminated_like_brute_force(spark):
 
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "INDEX_BYTES", 10)
+    monkeypatch.setattr(decontam, "POSTINGS", 5)
     test_contaminated_like_brute_force(spark)
 
 
