@@ -400,10 +400,10 @@ def topo_levels(spark, d):
 
 @query()
 def clusters(spark, d):
-    s = A.symbols(spark, d).where("file_id < 40").select("id", "file_id", (F.col("end_line") - F.col("start_line") + 1).alias("lines"))
+    s = A.symbols(spark, d).select("id", "file_id", (F.col("end_line") - F.col("start_line") + 1).alias("lines"))
     e = E.symbol_edges(A.calls(spark, d), A.type_uses(spark, d), A.relationships(spark, d), s)
-    got = G.clusters(s, e)
-    return spark.createDataFrame([(c["id"], len(c["symbol_ids"]), len(c["file_ids"]), c["total_lines"], c["internal_edges"], c["external_edges"]) for c in got], "id int, symbols int, files int, total_lines long, internal_edges long, external_edges long")
+    got = G.cluster_sizes(*G.cluster_members(s, e))
+    return got.select(F.col("id").cast("int").alias("id"), F.col("symbols").cast("int").alias("symbols"), F.col("files").cast("int").alias("files"), "total_lines", F.col("internal_edges").cast("long").alias("internal_edges"), F.col("external_edges").cast("long").alias("external_edges"))
 
 
 @query()

@@ -1,14 +1,15 @@
 """Reachability, paths, cycles, components, orders and clusters over edges (src, dst).
 
 Frontiers are joins; whatever loops to a fixed point stores its state each round, so that plans stay short
-and a lost executor costs one round. Sequential algorithms (preorder traces, greedy clustering) run on the
-driver over subgraphs whose size is checked first.
+and a lost executor costs one round. Preorder traces are sequential and run on the driver over subgraphs whose
+size is checked first; greedy clustering runs in rounds of joins that can't depend on each other.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -253,71 +254,213 @@ class Union:
             x = self.up[x]
         return x
 
+    def join(self, a: int, b: int, lines: dict[int, int], most_lines: int) -> None:
+        """Join two groups under the smaller name if they have most_lines at most together."""
+        a, b = sorted((self.find(a), self.find(b)))
+        if a != b and lines[a] + lines[b] <= most_lines:
+            self.up[b] = a
+            lines[a] += lines.pop(b)
 
-def clusters(symbols: DataFrame, edges: DataFrame, most_lines: int = 500, least_lines: int = 30) -> list[dict]:
+
+def cluster_members(symbols: DataFrame, edges: DataFrame, most_lines: int = 500, least_lines: int = 30, driver_edges: int = DRIVER_EDGES) -> tuple[DataFrame, DataFrame]:
     """Symbols grouped by cycles, then files, then call weight, under a bound of lines, clusters that are too
-    small folded into their heaviest neighbour. Symbols are (id, file_id, lines). Greedy, so on the driver;
-    cycles are found in Spark. Ties go to the smaller numbers."""
-    rows = sorted((r["id"], r["file_id"], r["lines"]) for r in symbols.select("id", "file_id", "lines").limit(DRIVER_EDGES + 1).collect())
-    links = [(r[0], r[1]) for r in edges.select("src", "dst").where("src is not null and dst is not null").limit(DRIVER_EDGES + 1).collect()]
-    if max(len(rows), len(links)) > DRIVER_EDGES:
-        raise ValueError(f"clustering takes {DRIVER_EDGES} symbols and edges at most")
-    known = {i for i, _, _ in rows}
-    links = sorted(e for e in links if e[0] in known and e[1] in known)
-    cycle = tarjan(links) if links else {}
-    group = Union()
-    lines: Counter = Counter()
-    start = {i: cycle.get(i, i) for i, _, _ in rows}
-    for i, _, n in rows:
-        lines[start[i]] += n
-
-    def join(a: int, b: int) -> bool:
-        a, b = group.find(a), group.find(b)
-        if a == b or lines[a] + lines[b] > most_lines:
-            return False
-        a, b = min(a, b), max(a, b)
-        group.up[b] = a
-        lines[a] += lines.pop(b)
-        return True
-
-    by_file: dict[int, list[int]] = defaultdict(list)
-    for i, f, _ in rows:
-        by_file[f].append(start[i])
-    for f in sorted(by_file):
-        for other in dict.fromkeys(by_file[f]):
-            join(by_file[f][0], other)
-    weight: Counter = Counter()
-    for a, b in links:
-        a, b = group.find(start[a]), group.find(start[b])
-        if a != b:
-            weight[min(a, b), max(a, b)] += 1
-    for (a, b), _ in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
-        join(a, b)
-    for root in sorted({group.find(start[i]) for i, _, _ in rows}):
-        if group.find(root) != root or lines[root] >= least_lines:
-            continue
-        near: dict[int, int] = {}
-        for a, b in links:
-            a, b = group.find(start[a]), group.find(start[b])
-            for x, y in ((a, b), (b, a)):
-                if x == root and y != root and lines[x] + lines[y] <= most_lines:
-                    near[y] = weight.get((min(x, y), max(x, y)), 1)  # weights are those before folding
-        if near:
-            join(root, min(near, key=lambda y: (-near[y], y)))
-    members: dict[int, list] = defaultdict(list)
-    for i, f, n in rows:
-        members[group.find(start[i])].append((i, f, n))
-    of = {i: r for r, m in members.items() for i, _, _ in m}
-    inside: Counter = Counter()
-    across: Counter = Counter()
-    for a, b in links:
-        if of[a] == of[b]:
-            inside[of[a]] += 1
-        else:
-            across[of[a]] += 1
-            across[of[b]] += 1
-    out = [{"symbol_ids": [i for i, _, _ in m], "file_ids": sorted({f for _, f, _ in m}), "total_lines": sum(n for _, _, n in m), "internal_edges": inside[r], "external_edges": across[r]} for r, m in members.items()]
-    return [{"id": k, **c} for k, c in enumerate(sorted(out, key=lambda c: (-c["total_lines"], c["symbol_ids"][0])))]
+    small folded into their heaviest neighbour: (id, file_id, lines, cluster), a cluster being named by its
+    smallest group, and the edges (src, dst) between symbols. Symbols are (id, file_id, lines), lines not
+    negative. Ties go to the smaller numbers.
+
+    The result is that of the greedy order, one join after another; all symbols and edges stay in Spark. Joins
+    that no longer fit never fit again and are dropped; the driver takes what is left of them once that is
+    driver_edges or fewer."""
+    s = stored(symbols.select("id", "file_id", F.col("lines").cast("long").alias("lines")))
+    ids = s.select("id")
+    links = edges.select("src", "dst").where("src is not null and dst is not null")
+    links = stored(links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    cycle = strong_components(links, driver_edges).withColumnRenamed("node", "id")
+    own = stored(s.join(cycle, "id", "left").select("id", "file_id", "lines", F.coalesce("component", "id").alias("root")))
+    size = stored(own.groupBy(F.col("root").alias("node")).agg(F.sum("lines").alias("lines")))
+
+    moved = _joined_in_files(own, size, most_lines, driver_edges)
+    own, size = _moved(own, size, moved)
+    of = own.select("id", "root")
+    ends = links.join(of.withColumnsRenamed({"id": "src", "root": "x"}), "src").join(of.withColumnsRenamed({"id": "dst", "root": "y"}), "dst").where("x <> y")
+    pairs = stored(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("w")))
+
+    moved = _joined(size, pairs.select("a", "b", F.struct((-F.col("w")).alias("p"), F.col("a").alias("q"), F.col("b").alias("r")).alias("o")), most_lines, driver_edges)
+    own, size = _moved(own, size, moved)
+    to = moved.select(F.col("node"), F.col("root").alias("to"))
+    near = pairs.join(to.withColumnsRenamed({"node": "a", "to": "x"}), "a", "left").join(to.withColumnsRenamed({"node": "b", "to": "y"}), "b", "left")
+    # weights are those before joining, of groups that still go by the same name
+    near = near.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"), F.when(F.col("x").isNull() & F.col("y").isNull(), F.col("w")).otherwise(1).alias("w"))
+    own, size = _moved(own, size, _folded(size, near, most_lines, least_lines, driver_edges))
+    return own.withColumnRenamed("root", "cluster"), links
+
+
+def _moved(own: DataFrame, size: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols and groups' lines after groups have moved (node, root)."""
+    to = moved.select(F.col("node"), F.col("root").alias("to"))
+    own = stored(own.join(to.withColumnRenamed("node", "root"), "root", "left").select("id", "file_id", "lines", F.coalesce("to", "root").alias("root")))
+    size = stored(size.join(to, "node", "left").groupBy(F.coalesce("to", "node").alias("node")).agg(F.sum("lines").alias("lines")))
+    return own, size
+
+
+def _joined_in_files(own: DataFrame, size: DataFrame, most_lines: int, driver_edges: int) -> DataFrame:
+    """(node, root) of the groups that move when those of each file, by file, join the file's first one."""
+    part = own.groupBy("file_id", F.col("root").alias("node")).agg(F.min("id").alias("at")).join(size, "node")
+    first = part.groupBy("file_id").agg(F.min_by(F.struct("node", "lines"), "at").alias("f")).where(F.col("f.lines") <= most_lines)
+    part = stored(part.where(F.col("lines") <= most_lines).join(first, "file_id").select("file_id", "at", "node", "lines", F.col("f.node").alias("first")))
+    # files without a group of another file's are worked one by one in a stream
+    tied = stored(part.join(part.groupBy("node").count().where("count > 1"), "node", "left_semi").select("file_id").distinct())
+
+    def run(batches):
+        file, total, got = object(), 0, []
+        for b in batches:
+            node, root = [], []
+            for f, n, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if f != file:
+                    node += got
+                    root += [min(got)] * len(got) if got else []
+                    file, total, got = f, k, [n]
+                elif total + k <= most_lines:
+                    total += k
+                    got.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["node", "root"])
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array([min(got)] * len(got), pa.int64())], names=["node", "root"])
+
+    alone = part.join(tied, "file_id", "left_anti").repartition("file_id").sortWithinPartitions("file_id", "at").select("file_id", "node", "lines")
+    alone = stored(alone.mapInArrow(run, "node long, root long").where("node <> root"))
+    joins = part.join(tied, "file_id", "left_semi").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.struct(F.col("file_id").alias("p"), F.col("at").alias("q"), F.lit(0).alias("r")).alias("o"))
+    return alone.unionByName(_joined(size, joins, most_lines, driver_edges))
+
+
+def _relabelled(e: DataFrame, step: DataFrame) -> DataFrame:
+    """Edges (a, b, la, lb, ...) after the joins (node, root, lines); `same` tells whether both names stay."""
+    to = step.select("node", F.col("root").alias("to"), "lines").unionByName(step.select(F.col("root").alias("node"), F.col("root").alias("to"), "lines"))
+    for k in ("a", "b"):
+        e = e.join(to.withColumnsRenamed({"node": k, "to": f"to_{k}", "lines": f"lines_{k}"}), k, "left")
+    e = e.withColumns({"same": (F.coalesce("to_a", "a") == F.col("a")) & (F.coalesce("to_b", "b") == F.col("b")), "la": F.coalesce("lines_a", "la"), "lb": F.coalesce("lines_b", "lb"), "a": F.coalesce("to_a", "a"), "b": F.coalesce("to_b", "b")})
+    return e.drop("to_a", "to_b", "lines_a", "lines_b")
+
+
+def _fitting(e: DataFrame, most_lines: int, *measures) -> DataFrame:
+    """Edges (a, b, la, lb) whose ends are two groups that fit together, each pair once with a < b."""
+    e = e.where("a <> b").where(F.col("la") + F.col("lb") <= most_lines)
+    turned = F.col("a") > F.col("b")
+    e = e.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "la": F.when(turned, F.col("lb")).otherwise(F.col("la")), "lb": F.when(turned, F.col("la")).otherwise(F.col("lb"))})
+    return e.groupBy("a", "b").agg(F.first("la").alias("la"), F.first("lb").alias("lb"), *measures)
+
+
+def _sized(e: DataFrame, size: DataFrame) -> DataFrame:
+    return e.join(size.withColumnsRenamed({"node": "a", "lines": "la"}), "a").join(size.withColumnsRenamed({"node": "b", "lines": "lb"}), "b")
+
+
+def _followed(moved: DataFrame | None, step: DataFrame) -> DataFrame:
+    """Moves (node, root) and then those of a step."""
+    step = step.select("node", "root")
+    if moved is None:
+        return step
+    return stored(moved.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(step))
+
+
+def _on_driver(spark, group: Union) -> DataFrame:
+    return spark.createDataFrame([(x, group.find(x)) for x in group.up], "node long, root long")
+
+
+def _joined(size: DataFrame, joins: DataFrame, most_lines: int, driver_edges: int) -> DataFrame:
+    """(node, root) of the groups that move when joins (a, b, o) are tried by o, as long as the lines of both
+    are most_lines at most. A join that comes first at both of its groups doesn't depend on any other: each
+    round makes all of those."""
+    spark, moved = size.sparkSession, None
+    first = F.min("o").alias("o")
+    e = stored(_fitting(_sized(joins, size), most_lines, first))
+    while (n := e.count()) > driver_edges:
+        best = e.select(F.col("a").alias("g"), "o").unionByName(e.select(F.col("b").alias("g"), "o")).groupBy("g").agg(F.min("o").alias("m"))
+        now = e.join(best.withColumnsRenamed({"g": "a", "m": "ma"}), "a").where("o = ma").join(best.withColumnsRenamed({"g": "b", "m": "mb"}), "b").where("o = mb")
+        step = stored(now.select(F.col("b").alias("node"), F.col("a").alias("root"), (F.col("la") + F.col("lb")).alias("lines")))
+        moved = _followed(moved, step)
+        e = stored(_fitting(_relabelled(e, step), most_lines, first))
+    group, lines = Union(), {}
+    if n:
+        rows = e.orderBy("o").collect()
+        for r in rows:
+            lines[r["a"]], lines[r["b"]] = r["la"], r["lb"]
+        for r in rows:
+            group.join(r["a"], r["b"], lines, most_lines)
+    return _followed(moved, _on_driver(spark, group))
+
+
+def _folded(size: DataFrame, near: DataFrame, most_lines: int, least_lines: int, driver_edges: int) -> DataFrame:
+    """(node, root) of the groups that move when those under least_lines are folded, by their number, into the
+    neighbour (a, b, w) of the largest weight that they fit with. What a group meets depends only on smaller
+    ones at two edges' distance: each round folds all that have none of those left."""
+    spark, moved = size.sparkSession, None
+    heaviest = F.max("w").alias("w")
+    small = F.col("lines") < least_lines
+    left = stored(size.where(small).select("node"))
+
+    def of_left(e):  # edges with an end that is still to be folded
+        for k in ("a", "b"):
+            e = e.join(left.withColumn(f"left_{k}", F.lit(True)).withColumnRenamed("node", k), k, "left")
+        return e.where("left_a or left_b")
+
+    e = stored(of_left(_fitting(_sized(near, size), most_lines, heaviest)))
+    while (n := e.count()) > driver_edges:
+        both = e.select(F.col("a").alias("v"), F.col("b").alias("u"), F.col("left_a").alias("lv"), F.col("left_b").alias("lu"), "w", F.col("la").alias("nv"), F.col("lb").alias("nu"))
+        both = both.unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("u"), F.col("left_b").alias("lv"), F.col("left_a").alias("lu"), "w", F.col("lb").alias("nv"), F.col("la").alias("nu")))
+        one = both.groupBy("v").agg(F.least(F.min(F.when(F.col("lu"), F.col("u"))), F.min(F.when(F.col("lv"), F.col("v")))).alias("m"))
+        two = both.where("lv").join(one.withColumnsRenamed({"v": "u", "m": "mu"}), "u").groupBy("v").agg(F.min("mu").alias("m"), F.min_by(F.struct("u", "nv", "nu"), F.struct((-F.col("w")).alias("w"), F.col("u").alias("u"))).alias("x"))
+        now = stored(two.join(one.withColumnRenamed("m", "m1"), "v").where("m >= v and m1 >= v").select("v", "x.*"))
+        step = stored(now.select(F.greatest("v", "u").alias("node"), F.least("v", "u").alias("root"), (F.col("nv") + F.col("nu")).alias("lines")))
+        moved = _followed(moved, step)
+        gone = now.select(F.col("v").alias("node")).unionByName(step.select("node"))
+        left = stored(left.join(gone, "node", "left_anti"))
+        e = _relabelled(e.drop("left_a", "left_b"), step).withColumn("w", F.when(F.col("same"), F.col("w")).otherwise(1))
+        e = stored(of_left(_fitting(e, most_lines, heaviest)))
+    group, lines, others, weight = Union(), {}, defaultdict(set), {}
+    if n:
+        for r in e.collect():
+            a, b = r["a"], r["b"]
+            lines[a], lines[b], weight[a, b] = r["la"], r["lb"], r["w"]
+            if r["left_a"]:
+                others[a].add(b)
+            if r["left_b"]:
+                others[b].add(a)
+    for x in sorted(others):
+        if group.find(x) == x:
+            found = {group.find(y) for y in others[x]} - {x}
+            fit = [y for y in found if lines[x] + lines[y] <= most_lines]
+            if fit:
+                group.join(x, min(fit, key=lambda y: (-weight.get((min(x, y), max(x, y)), 1), y)), lines, most_lines)
+    return _followed(moved, _on_driver(spark, group))
+
+
+def cluster_sizes(own: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, cluster, symbols, files, total_lines, internal_edges, external_edges) of what cluster_members gives,
+    numbered from 0 by lines, most first, then the smallest symbol."""
+    per = own.groupBy("cluster").agg(F.count("*").alias("symbols"), F.sum("lines").alias("total_lines"), F.min("id").alias("first"))
+    files = own.select("cluster", "file_id").distinct().groupBy("cluster").agg(F.count("file_id").alias("files"))
+    of = own.select("id", "cluster")
+    ends = stored(links.join(of.withColumnsRenamed({"id": "src", "cluster": "x"}), "src").join(of.withColumnsRenamed({"id": "dst", "cluster": "y"}), "dst").groupBy("x", "y").agg(F.count("*").alias("n")))
+    inside = ends.where("x = y").select(F.col("x").alias("cluster"), F.col("n").alias("i"), F.lit(0).alias("o"))
+    across = ends.where("x <> y")
+    sums = inside.unionByName(across.select(F.col("x").alias("cluster"), F.lit(0).alias("i"), F.col("n").alias("o"))).unionByName(across.select(F.col("y").alias("cluster"), F.lit(0).alias("i"), F.col("n").alias("o"))).groupBy("cluster").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    out = per.join(files, "cluster").join(sums, "cluster", "left").orderBy(F.desc("total_lines"), "first")
+    out = stored(out.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    before, at = [], 0
+    for r in out.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("low")).orderBy("part").collect():  # a row per partition
+        before.append((r["part"], at - r["low"]))
+        at += r["n"]
+    before = out.sparkSession.createDataFrame(before, "part int, shift long")
+    return out.join(F.broadcast(before), "part").select((F.col("place") + F.col("shift")).alias("id"), "cluster", "symbols", "files", "total_lines", F.coalesce("i", F.lit(0)).alias("internal_edges"), F.coalesce("o", F.lit(0)).alias("external_edges"))
+
+
+def clusters(symbols: DataFrame, edges: DataFrame, most_lines: int = 500, least_lines: int = 30, driver_edges: int = DRIVER_EDGES) -> list[dict]:
+    """The clusters with their symbols and files as a list, which is as long as there are symbols; without
+    those, cluster_sizes."""
+    own, links = cluster_members(symbols, edges, most_lines, least_lines, driver_edges)
+    ids = own.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("symbol_ids"), F.array_sort(F.collect_set("file_id")).alias("file_ids"))
+    rows = cluster_sizes(own, links).join(ids, "cluster").orderBy("id").toLocalIterator()
+    return [{k: r[k] for k in ("id", "symbol_ids", "file_ids", "total_lines", "internal_edges", "external_edges")} for r in rows]
 
 
 def directory_cycles(graph: DataFrame, limit: int = 20) -> list[dict]:

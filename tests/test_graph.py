@@ -1,5 +1,5 @@
 import random
-from collections import deque
+from collections import Counter, defaultdict, deque
 
 import pytest
 
@@ -92,6 +92,85 @@ def test_clusters(spark):
     assert [(c["symbol_ids"], c["total_lines"]) for c in got] == [([3], 450), ([1, 2, 4], 210), ([5], 200)]
 
 
+def plain_clusters(rows, links, most_lines=500, least_lines=30):
+    """The greedy order, one join after another."""
+    rows = sorted(rows)
+    known = {i for i, _, _ in rows}
+    links = sorted(e for e in links if e[0] in known and e[1] in known)
+    cycle = G.tarjan(links) if links else {}
+    group = G.Union()
+    lines: Counter = Counter()
+    start = {i: cycle.get(i, i) for i, _, _ in rows}
+    for i, _, n in rows:
+        lines[start[i]] += n
+
+    def join(a: int, b: int) -> bool:
+        a, b = group.find(a), group.find(b)
+        if a == b or lines[a] + lines[b] > most_lines:
+            return False
+        a, b = min(a, b), max(a, b)
+        group.up[b] = a
+        lines[a] += lines.pop(b)
+        return True
+
+    by_file: dict[int, list[int]] = defaultdict(list)
+    for i, f, _ in rows:
+        by_file[f].append(start[i])
+    for f in sorted(by_file):
+        for other in dict.fromkeys(by_file[f]):
+            join(by_file[f][0], other)
+    weight: Counter = Counter()
+    for a, b in links:
+        a, b = group.find(start[a]), group.find(start[b])
+        if a != b:
+            weight[min(a, b), max(a, b)] += 1
+    for (a, b), _ in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
+        join(a, b)
+    for root in sorted({group.find(start[i]) for i, _, _ in rows}):
+        if group.find(root) != root or lines[root] >= least_lines:
+            continue
+        near: dict[int, int] = {}
+        for a, b in links:
+            a, b = group.find(start[a]), group.find(start[b])
+            for x, y in ((a, b), (b, a)):
+                if x == root and y != root and lines[x] + lines[y] <= most_lines:
+                    near[y] = weight.get((min(x, y), max(x, y)), 1)  # weights are those before folding
+        if near:
+            join(root, min(near, key=lambda y: (-near[y], y)))
+    members: dict[int, list] = defaultdict(list)
+    for i, f, n in rows:
+        members[group.find(start[i])].append((i, f, n))
+    of = {i: r for r, m in members.items() for i, _, _ in m}
+    inside: Counter = Counter()
+    across: Counter = Counter()
+    for a, b in links:
+        if of[a] == of[b]:
+            inside[of[a]] += 1
+        else:
+            across[of[a]] += 1
+            across[of[b]] += 1
+    out = [{"symbol_ids": [i for i, _, _ in m], "file_ids": sorted({f for _, f, _ in m}), "total_lines": sum(n for _, _, n in m), "internal_edges": inside[r], "external_edges": across[r]} for r, m in members.items()]
+    return [{"id": k, **c} for k, c in enumerate(sorted(out, key=lambda c: (-c["total_lines"], c["symbol_ids"][0])))]
+
+
+@pytest.mark.parametrize("seed,driver_edges", [(1, 0), (2, 0), (5, 5), (6, 10_000)])
+def test_clusters_in_rounds_like_the_greedy_order(spark, seed, driver_edges):
+    r = random.Random(seed)
+    n = 120
+    rows = [(i, r.randrange(n // 3), r.choice([2, 8, 20, 40, 90])) for i in range(n)]
+    links = [(r.randrange(n + 5), r.randrange(n + 5)) for _ in range(150)] + [(1, 2)] * 3
+    s = spark.createDataFrame(rows, "id long, file_id long, lines int")
+    assert G.clusters(s, edges(spark, links), 200, 30, driver_edges) == plain_clusters(rows, links, 200, 30)
+
+
+def test_all_symbols_are_clustered(spark):
+    from graphmill import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["clusters"](spark, d)
+    assert got.agg({"symbols": "sum"}).first()[0] == catalog.A.symbols(spark, d).count()
+
+
 def test_directory_cycles_and_layers(spark):
     g = spark.createDataFrame([("a", "b", 3, ["x"]), ("b", "a", 1, ["y"]), ("b", "c", 2, ["z"])], "from_dir string, to_dir string, count long, sample_files array<string>")
     assert G.directory_cycles(g) == [{"directories": ["a", "b"], "edge_count": 4}]
