@@ -1,10 +1,9 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Words are ASCII alphanumeric runs, lower-cased. A template of n bigrams is compared with every stretch of n
-bigrams of a text that could reach the wanted Dice: stretches are only looked at where the text holds
-template bigrams at all, and a template is skipped where the bigrams at hand are too few for it (a stretch
-with c common bigrams of n has 2 c / (n + n), so c >= DICE * n). Whole texts whose size lies within the
-bounds of a template are compared as they are, too.
+Words are ASCII alphanumeric runs, lower-cased. A template of n bigrams is compared with the stretches of a
+text, of every size, that begin and end with a common bigram. A stretch of m bigrams, c of them common, has
+2 c / (m + n), and c <= m, so that c >= least / (2 - least) * n and m <= (2 - least) / least * n where it
+reaches the wanted Dice; common bigrams are counted as often as the template has them.
 """
 
 from __future__ import annotations
@@ -97,6 +96,25 @@ def dice(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * both / (len(a) + len(b)) if len(a) + len(b) else 0.0
 
 
+def stretches(common: np.ndarray, place: np.ndarray, template: np.ndarray, least: float) -> list[tuple[float, int, int]]:
+    """(dice, first, end) of all stretches from one of a text's common bigrams to another that reach least."""
+    n = len(template)
+    fewest, widest = least / (2 - least) * n * 0.999, (2 - least) / least * n * 1.001
+    last = np.searchsorted(place, place + widest, "right")  # behind the last that may end a stretch
+    out = []
+    for a in np.flatnonzero(last - np.arange(len(place)) >= fewest):
+        left = Counter(template.tolist())
+        both, i = 0, int(place[a])
+        for x, p in zip(common[a : last[a]].tolist(), place[a : last[a]].tolist()):
+            if left[x] > 0:
+                left[x] -= 1
+                both += 1
+            s = 2 * both / (p + 1 - i + n)
+            if s >= least:
+                out.append((s, i, p + 1))
+    return out
+
+
 class Templates:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         self.name, self.grams = [], []
@@ -134,28 +152,16 @@ class Templates:
             found = []
             for k, g in enumerate(self.grams):
                 n = len(g)
-                if len(own) < least * n * 0.999:
+                if len(own) < least / (2 - least) * n * 0.999:
                     continue  # too few common bigrams for this size
                 mine = own[np.isin(grams[own], self.sets[k])]
-                if len(mine) < least * n * 0.999:
-                    continue
-                spans = set()
-                if least / (2 - least) * n <= high - low <= (2 - least) / least * n:
-                    spans.add((low, high))
-                # stretches of n bigrams that begin or end with a common one
-                for i in np.unique(np.concatenate([mine, mine - n + 1])):
-                    i = int(min(max(i, low), max(low, high - n)))
-                    c = np.searchsorted(mine, i + n) - np.searchsorted(mine, i)
-                    if c >= least * n * 0.999:
-                        spans.add((i, min(i + n, high)))
-                for i, j in spans:
-                    s = dice(grams[i:j], g)
-                    if s >= least:
-                        found.append((self.name[k], s, i, j))
+                found += [(self.name[k], c, i, j) for c, i, j in stretches(grams[mine], mine, g, least)]
             found.sort(key=lambda f: (-f[1], -(f[3] - f[2]), f[2], f[0]))
             kept: list[tuple] = []
+            taken = np.zeros(high - low, bool)
             for f in found:  # a stretch counts once, for its best licence
-                if not any(f[2] < x[3] and x[2] < f[3] for x in kept):
+                if not taken[f[2] - low : f[3] - low].any():
+                    taken[f[2] - low : f[3] - low] = True
                     kept.append(f)
             out += [(int(d), name, s, int(start[i]), int(end[j])) for name, s, i, j in sorted(kept, key=lambda f: f[2])]
         return out

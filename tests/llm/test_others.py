@@ -265,6 +265,35 @@ def test_licence_stretches_like_brute_force():
             assert max(s for _, _, s, _, _ in got) >= best - 1e-9
 
 
+def test_licence_stretches_of_all_sizes_like_brute_force():
+    r = random.Random(11)
+    t = licences.Templates({"L": ("one two three four five six seven eight nine ten",), "M": ("red green blue red green blue",)})
+    notes = [x.split() for x in ("one two three four five six seven eight nine ten", "red green blue red green blue")]
+    for _ in range(150):
+        words = []
+        for _ in range(r.choice([1, 3])):
+            own = list(r.choice(notes))
+            i = r.choice([0, 0, 2, 3])
+            own = own[i:] if r.random() < 0.5 else own[: len(own) - i]
+            for _ in range(r.choice([0, 1, 2])):
+                own.insert(r.randrange(len(own) + 1), r.choice("xyz"))
+            words += [r.choice("uvw") for _ in range(r.choice([0, 2, 6]))] + own
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        got = t.matches(raw, np.array([0, len(raw)]), 0.8)
+        grams = licences.bigrams(licences.words(raw, np.array([0, len(raw)]))[0])
+        best = max(licences.dice(grams[i:j], g) for g in t.grams for i in range(len(grams)) for j in range(i + 1, len(grams) + 1))
+        assert bool(got) == (best >= 0.8)
+        assert not got or abs(max(s for _, _, s, _, _ in got) - best) < 1e-12
+
+
+def test_shortened_licences(spark):
+    notice = licences.TEMPLATES["MIT"][2]
+    first = notice.split(":")[0]
+    rows = [(1, first), (2, "a b c. " + first + ". d e f"), (3, notice.replace("to deal in", "x y z to deal u v in")), (4, notice[:200])]
+    got = {x.doc_id: (x.licence, round(x.dice, 2)) for x in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == ("MIT", 0.87) and got[3][0] == "MIT" and 4 not in got
+
+
 # --- top-k
 
 
