@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
 Texts are normalised at byte level (A-Z and Latin-1 capitals lower-cased, runs of ASCII characters that are
-neither letters nor digits to one space). Benchmark items are cut into windows of WINDOW bytes, half
-overlapping; an item of fewer bytes is one window. By the q-gram lemma a text's region within k edits of a
+neither letters nor digits to one space). Benchmark items are cut into windows of WINDOW bytes and of PASSAGE
+bytes, one at every Q bytes and one at the end, so that each quote of PASSAGE + Q - 1 bytes holds a whole one;
+an item of fewer bytes than WINDOW is a window itself. By the q-gram lemma a text's region within k edits of a
 window of m bytes shares m - q + 1 - k * q of its q-grams, all on diagonals at most k apart.
 
 1. A bitmap over hashed q-grams marks where a document holds any benchmark q-gram, and a sliding count drops
@@ -23,12 +24,14 @@ from graphmill.llm.common import bounded_batches, slices, text_buffer
 
 Q = 8
 WINDOW = 96
+#: Shorter windows for quotes of a part of an item; they have their own, smaller number of edits.
+PASSAGE = 64
 #: Edits allowed in a window, as a share of its bytes.
 EDITS = 0.09
 #: Shortest item that is looked for, in normalised bytes.
 LEAST = 24
 #: Bytes of benchmark text in one index; larger benchmarks are worked in several passes over the documents.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 19
 BITS = 22
 #: Postings that are counted at a time, about.
 POSTINGS = 2_000_000
@@ -88,14 +91,11 @@ class Index:
                 own = own[:-1]
             if len(own) < LEAST:
                 continue
-            if len(own) <= WINDOW:
-                places = [0]
-            else:
-                places = sorted({*range(0, len(own) - WINDOW, WINDOW // 2), len(own) - WINDOW})
-            for p in places:
-                self.item.append(item)
-                self.start.append(p)
-                self.text.append(own[p : p + WINDOW])
+            for size in sorted({min(len(own), WINDOW), min(len(own), PASSAGE)}):
+                for p in sorted({*range(0, len(own) - size, Q), len(own) - size}):
+                    self.item.append(item)
+                    self.start.append(p)
+                    self.text.append(own[p : p + size])
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.floor(self.size * EDITS).astype(np.int64)
         self.bound = np.maximum(1, self.size - Q + 1 - self.edits * Q)

@@ -63,6 +63,28 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     test_contaminated_like_brute_force(spark)
 
 
+def test_partial_quotes_at_all_offsets(spark):
+    r = random.Random(12)
+    item = sentence(r, 40)
+    least = decontam.PASSAGE + decontam.Q - 1
+    docs, quotes = [], {}
+    for n in (least, 80, 96, 120, 143):
+        for p in range(len(item) - n + 1):
+            quotes[len(docs)] = item[p : p + n]
+            docs.append((len(docs), f"{'x' * 30} {item[p : p + n].upper()} {'y' * 30}"))
+    edited = len(docs)
+    for p in range(len(item) - 80 + 1):  # a letter changed, one left out and one put in
+        q = item[p : p + 80]
+        docs.append((len(docs), f"{'x' * 30} {q[:20] + '0' + q[21:40] + q[41:60] + '1' + q[60:]} {'y' * 30}"))
+    none = len(docs)
+    docs += [(none + i, f"{'x' * 30} {sentence(r, 14)} {'y' * 30}") for i in range(50)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {g.doc_id: g for g in decontam.contaminated(df, bench).collect()}
+    assert set(got) >= set(range(none)) and not set(got) & set(range(none, len(docs)))
+    assert all(got[d].edits == 0 for d in range(edited))
+    assert {x.doc_id for x in decontam.clean(df, bench).collect()} == set(range(none, len(docs)))
+
+
 def test_spans_are_code_points(spark):
     item = "the quick brown fox jumps over the lazy dog again and again"
     text = "ééé 😀 " + item.title() + " ñ"
