@@ -385,6 +385,15 @@ def test_network_learns_and_base_spans_stay(spark):
     assert secrets.MASK in masked[0] and masked[3] == rows[3][1] and "password" not in masked[0]
 
 
+def test_threshold_keeps_the_recall_of_findings_hard_to_tell_apart():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, secrets.CLASSES, (800, secrets.WIDTH)).astype(np.uint8)
+    y = (rng.random(800) < 0.1).astype(np.int64)  # labels without any pattern
+    net = secrets.Network.train(x, y)
+    held = np.arange(800) % 4 == 0
+    assert (net.scores(x[held & (y > 0)]) >= net.threshold).mean() >= secrets.RECALL
+
+
 def test_runs_like_brute_force():
     import pyarrow as pa
 
