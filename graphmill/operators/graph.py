@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.storage import stored
+from graphmill.storage import drop_stored, stored
 
 #: Edges that the driver takes for algorithms that are sequential by nature.
 DRIVER_EDGES = 200_000
@@ -106,15 +106,18 @@ def trace(edges: DataFrame, entry: int, depth: int = 5) -> tuple[list[dict], boo
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges in either direction, of nodes with edges.
     Rounds of large and small stars; hubs are aggregated in part before each shuffle."""
-    e = stored(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a is not null and b is not null").distinct())
-    alone = e.where("a = b").select("a")
-    e = e.where("a <> b")
+    all_ = stored(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a is not null and b is not null").distinct())
+    alone = all_.where("a = b").select("a")
+    e = all_.where("a <> b")
+    before = None
     while not _stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         e = stored(large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct())
+        drop_stored(before)
+        before = e
     star = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     hubs = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     loops = alone.select(F.col("a").alias("node"), F.col("a").alias("component"))

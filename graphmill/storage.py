@@ -8,6 +8,7 @@ pointer is one small file that is replaced last.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 
@@ -18,17 +19,42 @@ from graphmill import schema
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder in the warehouse where it is unset."""
+    """spark.checkpoint.dir as the session has it. Only a local session, as in tests, may leave it unset: it
+    then has a folder in its warehouse. On a cluster that would be no shared folder, so it raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+    if not root:
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, suffix: str = "") -> str:
+    """A new path below the shared folder, deleted at the end of the application at the latest."""
+    path = f"{checkpoint_root(spark)}/graphmill-{uuid.uuid4().hex}{suffix}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/graphmill-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(*frames: DataFrame | None) -> None:
+    """Delete the files behind frames that stored() returned, once nothing will read them any more."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Files:
