@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,33 +9,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.storage import checkpoint_root, stored  # noqa: F401
+from graphmill.storage import drop_stored, scratch, stored  # noqa: F401
 
 #: Rows and bytes of one Arrow batch: a batch of long texts must fit a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 BATCH_BYTES = 32 << 20
 #: Text bytes that one vectorised step takes at a time (temporaries are some tens of times that).
 SLICE_BYTES = 1 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches sent to Python workers by rows and, where Spark can, by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches sent to Python workers by rows and bytes. The settings are the same for every
+    operator, so that it doesn't matter which plan was made last."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share."""
-    return f"{checkpoint_root(spark)}/graphmill-{uuid.uuid4().hex}"
+#: A key is hot if it has over one in HOT_SHARE of all rows; so at most HOT_SHARE keys are.
+HOT_SHARE = 2000
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a frame that stored() returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def join_skewed(left: DataFrame, right: DataFrame, on: list[str], total: int, count: str = "m", how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and, in `count`, how many rows of left have it.
+
+    Keys of over total / HOT_SHARE rows, HOT_SHARE at most, are broadcast, so that no task gets all rows of
+    a hot key; the others are joined as Spark chooses. `left` is read twice. how: inner, or left (null keys
+    and keys that right lacks keep their rows)."""
+    least = max(total // HOT_SHARE, 1000)
+    hot, rest = right.where(F.col(count) > least), right.where(F.col(count) <= least)
+    warm = left.join(F.broadcast(hot), on, "inner")
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
+    return warm.unionByName(cold)
+
+
+def smallest_hashes(count: float, most: int) -> int:
+    """Of `count` rows with 63-bit hashes, a bound below which at least `most` lie, but for a chance of some
+    1e-9, and not many more. It never falls to zero: beyond any count the share stays a positive number."""
+    want = most + 7 * most**0.5 + 40
+    return (1 << 63) - 1 if want >= count else max(1, int((1 << 63) * (want / count)))
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
