@@ -14,12 +14,10 @@ import hashlib
 import heapq
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from graphmill.llm.common import bounded_batches, rows_text
@@ -274,24 +272,26 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(2)
-def _load(name: str, local: bool) -> Bpe:
-    with open(name if local else SparkFiles.get(name), encoding="utf-8") as f:
-        return Bpe(f.read())
+_MADE: dict[str, Bpe] = {}
 
 
 def loader(spark, vocabulary: str):
-    """A function that gives the encoder in any worker. The vocabulary goes to the executors as a file of
-    the job (a few MB whatever the input), so that no executor needs its path."""
-    import os
+    """A function that gives the encoder in any worker. The vocabulary file's content, a few MB whatever the
+    input, is broadcast, so that no executor needs its path; a worker keeps the last two encoders by a digest
+    of their content, so that two vocabularies never stand for each other."""
+    with open(vocabulary, encoding="utf-8") as f:
+        content = f.read()
+    digest = hashlib.sha256(content.encode()).hexdigest()
+    sent = spark.sparkContext.broadcast(content)
 
-    name = os.path.basename(vocabulary)
-    try:
-        spark.sparkContext.addFile(vocabulary)
-    except Exception as e:  # the same name is already there from another path
-        if "already registered" not in str(e):
-            raise
-    return lambda: _load(name, False)
+    def load() -> Bpe:
+        if digest not in _MADE:
+            while len(_MADE) > 1:
+                del _MADE[next(iter(_MADE))]
+            _MADE[digest] = Bpe(sent.value)
+        return _MADE[digest]
+
+    return load
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,13 +317,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     return rows.mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, ids binary, n_tokens long, decoded string")
 
 
-def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode_documents() with digests in place of ids and texts, made in the same pass:
-    doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    id, n_tokens, ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
     bounded_batches(spark)
     load = loader(spark, vocabulary)
-    rows = docs.select("doc_id", "text")
+    rows = docs.select(id_col, text_col)
 
     def run(batches):
         bpe = load()
@@ -336,7 +336,7 @@ def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
                 ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphmill.llm import bpe, decontam, langid, licences, maxscore, minhash, secrets, token_files, urlfilter, warc
 
-#: Folder of the public vocabulary files.
-VOCABULARIES = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-VOCABULARY = f"{VOCABULARIES}/byte_bpe_50k.json"
+#: The public vocabulary file of these queries.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

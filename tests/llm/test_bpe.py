@@ -64,3 +64,16 @@ def test_digests(spark, library):
     assert got == sorted(want, key=str)
     assert bpe.encode_documents(df.limit(0), VOCABULARY).collect() == []
     assert [r.decoded for r in bpe.encode_documents(df.where("doc_id = 2"), VOCABULARY).collect()] == [""]
+
+
+def test_two_vocabularies_of_one_name(spark, tmp_path, library):
+    import json
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        other = json.load(f)
+    other["model"]["merges"] = []  # bytes only
+    (tmp_path / "byte_bpe_50k.json").write_text(json.dumps(other), encoding="utf-8")
+    df = spark.createDataFrame([(1, "hello world", 5)], "id long, body string, doc_id int")
+    n = [bpe.token_digests(df, v, "id", "body").first().n_tokens for v in (VOCABULARY, str(tmp_path / "byte_bpe_50k.json"), VOCABULARY)]
+    assert n == [2, 11, 2]
+    assert bpe.token_digests(df.limit(0), VOCABULARY, "id", "body").collect() == []
