@@ -6,25 +6,31 @@ values, the minimum and the maximum over the set, so half as many evaluations as
 bands; documents that agree in a band are candidates, and a link is confirmed on the full sets.
 
 Stages, all distributed:
-1. One pass over the texts: set size, a 128-bit fingerprint of the set and the bands' keys.
-2. Documents with equal sets form a class, represented by its smallest id.
+1. One pass over the texts: set size, a 128-bit cryptographic digest of the full sorted set, and the bands' keys.
+2. Documents with equal sets, as that digest confirms, form a class, represented by its smallest id.
 3. Representatives that share a band: each is compared with one leader, the one of its buckets' most central
    members that it meets most centrally; confirmed links are contracted, and buckets that lie in one component
    drop out. Two such rounds join large groups with about one comparison a document and round.
 4. Buckets that still touch several components are compared completely. Documents that such buckets connect
-   are dealt out in blocks bounded in rows and text, every two blocks that may hold a new link meet in one
-   task, and the pairs that share a bucket, but no component, are counted there on the full sets. A task gives
-   the links that it confirms, not its pairs; nothing is capped.
+   are dealt out in blocks bounded in rows and text, every two blocks that may hold a new link meet in a group
+   of their own (small clusters share one, up to the same bound), and the pairs that share a bucket, but no
+   component, are counted there on the full sets. A group gives the links that it confirms, not its pairs;
+   nothing is capped.
+
+Buckets and classes that hold many rows are joined by broadcast of their keys, whose number is bounded, so that
+no task gets all rows of one.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import SLICE_BYTES, bloom_filter, bounded_batches, slices, stored, text_buffer
+from graphmill.llm.common import SLICE_BYTES, bloom_filter, bounded_batches, drop_stored, join_skewed, slices, stored, text_buffer
 from graphmill.operators import graph
 
 SHINGLE = 5
@@ -38,6 +44,8 @@ LEADER_ROUNDS = 2
 #: Bounds of a block in the exact rest, where two blocks meet.
 BLOCK = 4096
 BLOCK_BYTES = 12 << 20
+#: Blocks that are filled by one running sum.
+COARSE = 64
 
 U64 = np.uint64
 PRIME = U64(0x9E3779B97F4A7C15)
@@ -167,18 +175,14 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for i, j in slices(at):
                 sets, of = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i])
                 sig = signatures(sets, of)
-                fp = np.zeros((j - i, 2), U64)
-                full = np.flatnonzero(np.diff(of))
-                if len(full):
-                    fp[full, 0] = np.add.reduceat(mix(sets + PRIME), of[full])
-                    fp[full, 1] = np.bitwise_xor.reduceat(mix(sets * PRIME + U64(7)), of[full])
                 n = np.diff(of)
+                fp = np.frombuffer(b"".join(blake2b(sets[of[k] : of[k + 1]], digest_size=16).digest() for k in range(j - i)), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(i, j - i),
                         pa.array(n, pa.int64()),
-                        pa.array(fp[:, 0].view(np.int64)),
-                        pa.array(fp[:, 1].view(np.int64)),
+                        pa.array(fp[:, 0]),
+                        pa.array(fp[:, 1]),
                         _lists(band_keys(sig).view(np.int64)),
                     ],
                     names=[id_col, "n_shingles", "fp_a", "fp_b", "bands"],
@@ -195,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of pairs (a, b) of ids, those whose full sets are similar."""
     spark = docs.sparkSession
-    bounded_batches(spark, 200)
+    bounded_batches(spark)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     wide = (
         pairs.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -238,59 +242,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share an id count as one document with every one of their sets: they are linked with each other. Rows
     with a null id are linked with nothing: component_id is null and kept is true. Other columns are not
     read. An empty table gives an empty result."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     prof = stored(profiles(docs, id_col, text_col))
     base = prof.select(F.col(id_col).alias("id"), "n_shingles", "fp_a", "fp_b")
     live = base.where("id is not null and n_shingles > 0")
-    classes = stored(live.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("id").alias("rep")))
+    total = prof.count()
+    fp = ["fp_a", "fp_b", "n_shingles"]
+    classes = stored(live.groupBy(*fp).agg(F.min("id").alias("rep"), F.count("*").alias("m")))
     # one row of bands for each class, from the rows of its representative
     reps = (
         prof.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
-        .join(classes.withColumnRenamed("rep", id_col), [id_col, "fp_a", "fp_b", "n_shingles"], "left_semi")
+        .join(classes.select(F.col("rep").alias(id_col), *fp), [id_col, *fp], "left_semi")
     )
     keyed = reps.select(F.col(id_col).alias("id"), F.explode("bands").alias("key"))
     # ids of a bucket may repeat where rows share an id; such a bucket is not shared by that alone
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    bands = stored(keyed.join(shared, "key", "left_semi").select("key", "id"))
+    shared = stored(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m"))
+    held = stored(join_skewed(keyed, shared, ["key"], BANDS * total).select("key", "id", "m"))
+    rows = held.count()
     # documents of several classes under one id, or of a class with another smallest id, are tied by id
-    ties = live.join(classes, ["fp_a", "fp_b", "n_shingles"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    ties = join_skewed(live, classes, fp, total).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     twice = live.groupBy("id").agg(F.min("fp_a").alias("x"), F.max("fp_a").alias("y")).where("x <> y").limit(1).count() > 0
 
     # the texts of documents that share a bucket; the filter's false positives do no harm
-    may_share = bloom_filter(bands.select("id").distinct())
+    may_share = bloom_filter(held.select("id").distinct())
     texts = stored(docs.where(may_share(F.col(id_col))))
 
     # how central a document is: the sizes of its buckets together
-    sizes = bands.groupBy("key").agg(F.count("*").alias("m"))
-    degree = bands.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("deg"))
-    bands = stored(bands.join(degree, "id").select("key", "id", "deg"))
+    degree = held.groupBy("id").agg(F.sum("m").alias("deg"))
+    bands = stored(held.join(degree, "id").select("key", "id", "deg"))
+    drop_stored(shared, held)
 
     links: DataFrame | None = None
     comps: DataFrame | None = None
     tried: DataFrame | None = None
     for _ in range(LEADER_ROUNDS):
         labelled = _relabel(bands, comps)
-        lead = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("deg", F.col("id"), "comp")).alias("lead")).where("lo < hi")
-        met = labelled.select("key", "id", "comp").join(lead.select("key", F.col("lead.id").alias("a"), F.col("lead.comp").alias("a_comp"), F.col("lead.deg").alias("deg")), "key").where("comp <> a_comp")
-        pairs = met.groupBy("a", F.col("id").alias("b")).agg(F.max("deg").alias("deg"))
+        lead = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("deg", F.col("id"), "comp")).alias("lead"), F.count("*").alias("m")).where("lo < hi")
+        lead = stored(lead.select("key", "m", F.col("lead.id").alias("a"), F.col("lead.comp").alias("a_comp"), F.col("lead.deg").alias("lead_deg")))
+        met = join_skewed(labelled.select("key", "id", "comp"), lead, ["key"], rows).where("comp <> a_comp")
+        pairs = met.groupBy("a", F.col("id").alias("b")).agg(F.max("lead_deg").alias("deg"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs.groupBy("b").agg(F.max(F.struct("deg", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
+        drop_stored(lead)
         if pairs.isEmpty():
             break
         found = stored(confirmed(pairs, texts, id_col, text_col))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        comps = stored(components(links))
-    found = _rest(bands, comps, texts, id_col, text_col)
+        before, comps = comps, stored(components(links))
+        drop_stored(before)
+    found = _rest(bands, comps, texts, rows, id_col, text_col)
+    drop_stored(bands, texts)
     if found is not None:
         links = found if links is None else links.unionByName(found)
     if twice:  # rows that share an id join all their classes
         links = ties if links is None else links.unionByName(ties)
     if links is not None:
         comps = stored(components(links))
-    out = base.join(classes, ["fp_a", "fp_b", "n_shingles"], "left")
+    out = join_skewed(base, classes, fp, total, how="left")
     if comps is not None:
         out = out.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     else:
@@ -302,34 +312,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _rest(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+def _rest(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, total: int, id_col: str, text_col: str) -> DataFrame | None:
     """All links between documents of different components that share a bucket, but for some that follow from
-    others of the same task."""
-    labelled = _relabel(bands, comps)
-    still = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first")).where("lo < hi")
-    members = stored(labelled.join(still.select("key", "first"), "key").select("key", "first", "id", "comp").distinct())
-    if members.isEmpty():
+    others of the same group."""
+    dealt = dealt_out(bands, comps, texts, total, id_col, text_col)
+    if dealt is None:
         return None
-    cluster = components(members.select(F.col("id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("id"), F.col("comp").alias("cluster"))
-    rows = members.groupBy("id", "comp").agg(F.collect_set("key").alias("keys")).join(cluster, "id")  # a document has BANDS keys at most
-    text = texts.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = stored(rows.join(text, "id").select("cluster", "id", "comp", "keys", "text"))
-    # of each cluster the largest component is dealt out by itself: its blocks needn't meet one another
-    per = rows.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
-    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
-    total = per.groupBy("cluster").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
-    deal = total.select("cluster", F.col("top.comp").alias("main"), blocks(F.col("top.n"), F.col("top.size")).alias("p"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("q"))
-    h = F.xxhash64("id")
-    others = F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)
-    dealt = (
-        rows.join(deal, "cluster")
-        .withColumn("own", F.when(F.col("comp") == F.col("main"), F.pmod(h, F.col("p"))).otherwise(F.col("p") + F.pmod(h, F.col("q"))).cast("int"))
-        .withColumn("other", F.explode(F.when(F.col("own") < F.col("p"), others).otherwise(F.concat(F.sequence(F.lit(0), F.col("p") - 1), others))))
-        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "keys", "text")
-    )
-    # many small clusters share a task's table
-    bundles = max(1, rows.count() // BLOCK)
-    bundle = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(bundles))
 
     def meet(t: pa.Table) -> pa.Table:
         cluster, i, j = (t.column(c).to_numpy() for c in ("cluster", "i", "j"))
@@ -340,7 +328,61 @@ def _rest(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, id_col: s
             out += new_links(t.take(pa.array(at)))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return stored(dealt.groupBy(bundle.alias("bundle")).applyInArrow(meet, "a long, b long").distinct())
+    return stored(dealt.groupBy("bundle", "i", "j").applyInArrow(meet, "a long, b long").distinct())
+
+
+def dealt_out(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, total: int, id_col: str, text_col: str) -> DataFrame | None:
+    """The rows (bundle, cluster, i, j, own, id, comp, keys, text) of what is left to compare, or None.
+
+    A cluster of few rows and little text is one block and meets itself; a hash packs such clusters into bundles
+    of about half a block, so that with clusters of a sixteenth of a block at most a bundle stays within a
+    block. Any other cluster is a bundle of its own, and each two of its blocks a group. So a group has about
+    two blocks at most, each of BLOCK rows and BLOCK_BYTES, or one longer text."""
+    labelled = _relabel(bands, comps)
+    still = stored(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first"), F.count("*").alias("m")).where("lo < hi").select("key", "first", "m"))
+    members = stored(join_skewed(labelled, still, ["key"], total).select("key", "first", "id", "comp").distinct())
+    drop_stored(still)
+    if members.isEmpty():
+        return None
+    cluster = components(members.select(F.col("id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("id"), F.col("comp").alias("cluster"))
+    rows = members.groupBy("id", "comp").agg(F.collect_set("key").alias("keys")).join(cluster, "id")  # a document has BANDS keys at most
+    text = texts.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = stored(rows.join(text, "id").select("cluster", "id", "comp", "keys", "text"))
+    drop_stored(members)
+    # what something fills of a block; a block takes rows up to a load of one and the row that exceeds it
+    load = lambda n, size: F.greatest(n / BLOCK, size / BLOCK_BYTES) * 4 / 3
+    light = stored(rows.groupBy("cluster", "id", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")))
+    # of each cluster the largest component is dealt out by itself: its blocks needn't meet one another
+    per = light.groupBy("cluster", "comp").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("m"))
+    sizes = per.groupBy("cluster").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("m").alias("m"))
+    coarse = lambda n, size: F.ceil(load(n, size) / COARSE).cast("int")
+    deal = stored(
+        sizes.select(
+            "cluster", "m", (load(F.col("n"), F.col("size")) <= 1 / 16).alias("small"), load(F.col("n"), F.col("size")).alias("load"), F.col("top.comp").alias("main"),
+            coarse(F.col("top.n"), F.col("top.size")).alias("cp"), F.greatest(F.lit(1), coarse(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size"))).alias("cq"),
+        )
+    )
+    filled = deal.where("small").agg(F.sum("load")).first()[0] or 0.0
+    bundles = max(1, int(2 * filled) + 1)
+    # rows are dealt by a hash into parts of some COARSE blocks, and by running sums into blocks within these
+    h = F.xxhash64("id")
+    main = (F.col("comp") == F.col("main")) & ~F.col("small")
+    w = Window.partitionBy("cluster", "side", "coarse").orderBy(h, "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = join_skewed(light, deal.drop("load"), ["cluster"], light.count()).withColumn("side", F.when(main, 0).otherwise(1))
+    placed = placed.withColumn("coarse", F.pmod(h, F.when(main, F.col("cp")).otherwise(F.col("cq"))))
+    placed = stored(placed.withColumn("place", F.floor(F.coalesce(F.sum(load(F.col("n"), F.col("size"))).over(w), F.lit(0.0))).cast("int")).select("cluster", "small", "side", "coarse", "place", "id"))
+    parts = placed.groupBy("cluster", "side", "coarse").agg((F.max("place") + 1).alias("blocks"))
+    v = Window.partitionBy("cluster")
+    parts = parts.select("cluster", "side", "coarse", F.coalesce(F.sum("blocks").over(v.orderBy("side", "coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"), F.sum(F.col("blocks") * (1 - F.col("side"))).over(v).alias("p"), F.sum(F.col("blocks") * F.col("side")).over(v).alias("q"))
+    own = stored(placed.join(parts, ["cluster", "side", "coarse"]).select("id", "small", (F.col("off") + F.col("place")).cast("int").alias("own"), F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q")))
+    drop_stored(light, deal, placed)
+    others = F.when(F.col("q") > 0, F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).otherwise(F.array().cast("array<int>"))
+    return (
+        rows.join(own, "id")
+        .withColumn("other", F.explode(F.when((F.col("own") < F.col("p")) | (F.col("p") == 0), others).otherwise(F.concat(F.sequence(F.lit(0), F.col("p") - 1), others))))
+        .withColumn("bundle", F.when(F.col("small"), -1 - F.pmod(F.xxhash64("cluster"), F.lit(bundles))).otherwise(F.col("cluster")))
+        .select("bundle", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "keys", "text")
+    )
 
 
 def new_links(t: pa.Table) -> list[tuple[int, int]]:

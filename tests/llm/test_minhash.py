@@ -77,6 +77,35 @@ def test_small_blocks_meet(spark, monkeypatch):
     test_groups_chains_and_near_misses(spark)
 
 
+def test_groups_of_the_exact_rest_are_bounded(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 20_000)
+    r = random.Random(4)
+    shared = words(r, 60)
+    rows = [(k, " ".join(shared + words(r, 500, 99999))) for k in range(60)]  # few but large
+    rows += [(1000 + k, " ".join(words(random.Random(k // 3), 30, 9999) + words(r, 8, 9999))) for k in range(300)]  # many small
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = docs.select(F.col("doc_id").alias("id"), F.explode(F.when(F.col("doc_id") < 1000, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.floor((F.col("doc_id") - 1000) / 3) + 10))).alias("key")).select("key", "id", F.lit(1).alias("deg"))
+    dealt = minhash.dealt_out(bands, None, docs, bands.count(), "doc_id", "text")
+    size = dealt.groupBy("bundle", "i", "j").agg(F.sum(F.octet_length("text")).alias("b"), F.countDistinct("cluster").alias("c"))
+    most = size.agg(F.max("b"), F.max("c"), F.count("*")).first()
+    assert most[0] < 2 * minhash.BLOCK_BYTES and most[1] > 1 and most[2] > 20
+    # every two documents of a cluster meet
+    met = {(x.a, x.b) for x in dealt.alias("x").join(dealt.alias("y"), ["bundle", "i", "j", "cluster"]).where("x.id < y.id and (x.own <> y.own or x.i = x.j)").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()}
+    assert met >= {(a, b) for a in range(60) for b in range(a + 1, 60)} and met >= {(1000 + k, 1001 + k) for k in range(0, 300, 3)}
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    from graphmill.llm import common
+
+    left = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(6000)] + [(None, -1), (99, -2)], "k long, v long")
+    right = left.where("k < 50").groupBy("k").count().withColumnRenamed("count", "m")
+    plain = lambda how: sorted(map(str, left.join(right, "k", how).select("k", "v", "m").collect()))
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.join_skewed(left, right, ["k"], 6000, how=how).select("k", "v", "m").collect())) == plain(how)
+
+
 def test_kept_documents(spark):
     rows = [(1, "a b c d e f g", "en"), (2, "a b c d e f g", "fr"), (3, "other words stand here alone", "en"), (None, "a b c d e f g", None), (4, None, "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
