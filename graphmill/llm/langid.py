@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import bounded_batches, slices, text_buffer
+from graphmill.llm.common import bounded_batches, slices, smallest_hashes, text_buffer
 
-#: Labelled documents of each language that training reads, at most about.
+#: Labelled documents that training takes, those of the smallest hash: of each language, and of all together.
+#: All languages are learned; of very many, each has fewer documents, LEAST_DOCS at least.
 TRAIN_DOCS = 1200
-#: Languages that are learned, the most frequent ones.
-MOST_LANGS = 64
+TRAIN_TOTAL = 40_000
+LEAST_DOCS = 20
 BITS = 13
 DIM = 1 << BITS
 ORDERS = (1, 2, 3)
@@ -82,6 +83,23 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
+@dataclass
+class Sparse:
+    """Rows of features by their places and values; only those asked for are spread out."""
+
+    slots: list[np.ndarray]
+    values: list[np.ndarray]
+
+    def __len__(self) -> int:
+        return len(self.slots)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), DIM), np.float32)
+        for k, r in enumerate(rows):
+            out[k, self.slots[r]] = self.values[r]
+        return out
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -91,31 +109,39 @@ class Model:
     trust: np.ndarray  # of each bit
 
     @classmethod
-    def train(cls, x: np.ndarray, lang: list[str], epochs: int = 30) -> Model:
+    def train(cls, x: np.ndarray | Sparse, lang: list[str], epochs: int = 30) -> Model:
         langs = sorted(set(lang))
         code = codewords(len(langs))
-        y = code[[langs.index(v) for v in lang]] if lang else np.zeros((0, code.shape[1] if len(code) else 1))
+        place = {v: k for k, v in enumerate(langs)}
+        y = code[[place[v] for v in lang]] if lang else np.zeros((0, code.shape[1] if len(code) else 1))
         bits = y.shape[1]
         w, b = np.zeros((DIM, bits), np.float32), np.zeros(bits, np.float32)
         trust = np.ones(bits)
         if len(langs) > 1:
-            held = np.arange(len(x)) % 5 == 0
+            number = {v: 0 for v in langs}
+            held = np.zeros(len(x), bool)  # every fifth row of each language
+            for k, v in enumerate(lang):
+                number[v] += 1
+                held[k] = number[v] % 5 == 0
             rng = np.random.default_rng(3)
             gw, gb = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
             rows = np.flatnonzero(~held)
-            size = np.array([lang.count(v) for v in langs])
-            share = (len(lang) / len(langs) / size)[[langs.index(v) for v in lang]]  # languages count alike
+            size = np.array([number[v] for v in langs])
+            share = (len(lang) / len(langs) / size)[[place[v] for v in lang]]  # languages count alike
             for _ in range(epochs):
                 for r in np.array_split(rng.permutation(rows), max(1, len(rows) // 128)):
-                    z = x[r] @ w + b
+                    own = x[r]
+                    z = own @ w + b
                     g = (-y[r] / (1 + np.exp(np.clip(y[r] * z, -30, 30))) * share[r, None]).astype(np.float32)
-                    dw, db = x[r].T @ g / len(r) + 1e-6 * w, g.mean(axis=0)
+                    dw, db = own.T @ g / len(r) + 1e-6 * w, g.mean(axis=0)
                     gw += dw * dw
                     gb += db * db
                     w -= 0.5 * dw / np.sqrt(gw)
                     b -= 0.5 * db / np.sqrt(gb)
-            right = ((x[held] @ w + b) * y[held] > 0).mean(axis=0)
-            trust = np.clip(2 * right - 1, 0.05, 1)
+            parts = [p for p in np.array_split(np.flatnonzero(held), held.sum() // 1024 + 1) if len(p)]
+            if parts:
+                right = np.concatenate([(x[p] @ w + b) * y[p] > 0 for p in parts]).mean(axis=0)
+                trust = np.clip(2 * right - 1, 0.05, 1)
         return cls(langs, code, w, b, trust / trust.sum())
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,41 +186,52 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def per_language(langs: int, most: int = TRAIN_DOCS) -> int:
+    """Documents that each of so many languages may teach."""
+    return max(LEAST_DOCS, min(most, TRAIN_TOTAL // max(1, langs)))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Model:
-    """Learn from labelled documents that are not held out: of each language about `most`, picked by a hash."""
-    bounded_batches(docs.sparkSession, 200)
+    """Learn from labelled documents that are not held out: of each language the per_language() ones with the
+    smallest hash of the id, however many there are. Labels without a drawn document would be an error."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    size = rows.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGS).collect()
+    rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("l"), F.xxhash64(id_col).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
+    size = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not size:
         return Model.train(np.zeros((0, DIM), np.float32), [])
-    pick = F.lit(False)
-    for r in size:
-        pick = pick | ((F.col(lang_col) == r["l"]) & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / r["count"]))))
+    most = per_language(len(size), most)
+    # the sketch's count may be a tenth too high, so the bound is drawn for fewer rows than it says
+    bounds = docs.sparkSession.createDataFrame([(v, smallest_hashes(n * 0.8, most)) for v, n in size.items()], "l string, bound long")
 
     def run(batches):
         for b in batches:
             raw, at = text_buffer(b.column(1))
             for i, j in slices(at):
-                x = features(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-                own = [np.flatnonzero(v).astype(np.uint16) for v in x]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([o.tobytes() for o in own], pa.binary()), pa.array([v[o].astype(np.float16).tobytes() for v, o in zip(x, own)], pa.binary()), b.column(2).slice(i, j - i)],
-                    names=["i", "slots", "values", "l"],
-                )
-
-    cap = 2 * most * len(size)
-    got = rows.where(pick).select(F.col(id_col).cast("string"), text_col, lang_col).mapInArrow(run, "i string, slots binary, values binary, l string").limit(cap).toPandas()
-    got = got.sort_values(["i", "slots", "l"]).reset_index(drop=True)
-    x = np.zeros((len(got), DIM), np.float32)
-    for k, (s, v) in enumerate(zip(got["slots"], got["values"])):
-        x[k, np.frombuffer(bytes(s), np.uint16)] = np.frombuffer(bytes(v), np.float16)
+                for k in range(i, j, 256):
+                    m = min(k + 256, j)
+                    x = features(raw[at[k] : at[m]], at[k : m + 1] - at[k])
+                    own = [np.flatnonzero(v).astype(np.uint16) for v in x]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(k, m - k), pa.array([o.tobytes() for o in own], pa.binary()), pa.array([v[o].astype(np.float16).tobytes() for v, o in zip(x, own)], pa.binary()), b.column(2).slice(k, m - k)],
+                        names=["h", "slots", "values", "l"],
+                    )
+
+    low = rows.join(F.broadcast(bounds), "l").where("h <= bound").select("h", "text", "l")
+    got = low.mapInArrow(run, "h long, slots binary, values binary, l string").distinct().toPandas()
+    got = got.sort_values(["l", "h", "slots"]).groupby("l", sort=True).head(most)
+    if set(got["l"]) != set(size):
+        raise RuntimeError(f"no labelled document was drawn for {set(size) - set(got['l'])}")
+    got = got.sort_values(["h", "l", "slots"])
+    x = Sparse([np.frombuffer(bytes(v), np.uint16) for v in got["slots"]], [np.frombuffer(bytes(v), np.float16) for v in got["values"]])
     return Model.train(x, got["l"].tolist())
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, lang_pred, score, ambiguous. Texts that are null or without a letter are `und`
-    with score 0; without any labelled document all are. Repeated rows give a row each; null ids stay null;
-    no other column is read."""
+    with score 0; without any labelled document all are. Of languages of equal loss the first by name is
+    taken, and the score shows the tie. Whole texts are judged, whatever their length. Repeated rows give a row
+    each; null ids stay null; an empty table gives an empty result; no other column is read."""
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -208,8 +245,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def known_language(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The documents whose language is found, with all their columns: not `und`, and score at least `least`."""
+def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents whose language is found, with all their columns: those that are neither `und` nor
+    flagged as ambiguous. A model of no language can't tell, and all texts with a letter stay."""
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -217,7 +255,12 @@ def known_language(docs: DataFrame, model: Model, text_col: str = "text", least:
 
     def run(batches):
         for b in batches:
-            langs, scores, _ = judged(sent.value, b.column(t))
-            yield b.filter(pa.array([v != UND and s >= least for v, s in zip(langs, scores)], pa.bool_()))
+            langs, _, vague = judged(sent.value, b.column(t))
+            if sent.value.langs:
+                keep = [v != UND and not x for v, x in zip(langs, vague)]
+            else:
+                raw, at = text_buffer(b.column(t))
+                keep = [has_letter(raw[at[k] : at[k + 1]]) for k in range(b.num_rows)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
