@@ -1,118 +1,142 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
-Texts are normalised at byte level (A-Z and Latin-1 capitals lower-cased, runs of ASCII characters that are
-neither letters nor digits to one space). Benchmark items are cut into windows of WINDOW bytes and of PASSAGE
-bytes, one at every Q bytes and one at the end, so that each quote of PASSAGE + Q - 1 bytes holds a whole one;
-an item of fewer bytes than WINDOW is a window itself. By the q-gram lemma a text's region within k edits of a
-window of m bytes shares m - q + 1 - k * q of its q-grams, all on diagonals at most k apart.
+Texts are normalised over code points: letters are lower-cased, and each run of characters that are no letters,
+digits or marks becomes one space. A benchmark item is found where a window of WINDOW or of PASSAGE characters
+of it, beginning at any of its characters (an item that is shorter: the whole item), has a stretch of the text
+within EDITS. So every quote of PASSAGE characters is found, wherever it begins. By the q-gram lemma a stretch
+within k edits of a window of m characters shares m - q + 1 - k * q of its q-grams, all on diagonals at most k
+apart.
 
 1. A bitmap over hashed q-grams marks where a document holds any benchmark q-gram, and a sliding count drops
    all stretches in which no window can reach its bound.
-2. What is left is looked up exactly; hits are counted in bands of diagonals, each 2 * (k + 1) wide and half
-   overlapping with the next, so that the diagonals of a match always lie in one band together.
-3. Bands that reach the bound are verified by alignment in the band, end gaps of the document free.
+2. What is left is looked up in the postings of the items' q-grams (one for each character of an item); hits
+   are sorted by bands of diagonals, each 2 * (k + 1) wide and half overlapping with the next, so that the
+   diagonals of a match always lie in one band together. Windows in which a band has the bound's number of
+   distinct q-grams are retained.
+3. A window all of whose q-grams lie on one diagonal is an exact match. Where an item has none, its retained
+   windows are verified by alignment in the band, end gaps of the document free.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from unicodedata import category
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import bounded_batches, slices, text_buffer
+from graphmill.llm.common import bounded_batches, slices, stored, text_buffer
 
 Q = 8
 WINDOW = 96
 #: Shorter windows for quotes of a part of an item; they have their own, smaller number of edits.
 PASSAGE = 64
-#: Edits allowed in a window, as a share of its bytes.
+#: Edits allowed in a window, as a share of its characters.
 EDITS = 0.09
-#: Shortest item that is looked for, in normalised bytes.
+#: Items of fewer normalised characters are no evidence inside a text: they are found as a whole text only.
 LEAST = 24
-#: Bytes of benchmark text in one index; larger benchmarks are worked in several passes over the documents.
-INDEX_BYTES = 1 << 19
+#: Characters of benchmark text in one index; larger benchmarks are worked in several passes over the documents.
+INDEX_CHARS = 1 << 21
 BITS = 22
-#: Postings that are counted at a time, about.
-POSTINGS = 2_000_000
+#: Postings that are counted, and windows that are aligned, at a time, about.
+POSTINGS = 1_000_000
+ALIGNED = 2048
+#: Of a run of retained windows every so many are aligned first.
+STRIDE = 8
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[:128] = [not (chr(c).isalnum()) for c in range(128)]
+
+@lru_cache(1)
+def _folding() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point the one that stands for it, and whether it is part of a word."""
+    every = [chr(c) for c in range(0x110000)]
+    fold = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in every], np.uint32)
+    return fold, np.array([c.isalnum() or category(c)[0] == "M" for c in every], bool)
+
+
+def points(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of consecutive UTF-8 texts, and their offsets (n + 1)."""
+    sofar = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32), sofar[at]
 
 
-def normalised(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised bytes of consecutive texts, their offsets (n + 1), and each byte's place in raw."""
-    text = _FOLD[raw]
-    after = raw[:-1] == 0xC3
-    upper = after & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-    text[1:][upper] += 0x20
-    space = _SPACE[raw]
-    text[space] = 32
+def normalised(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised code points of consecutive texts, their offsets (n + 1), and each one's place in text."""
+    fold, word = _folding()
+    space = ~word[text]
     keep = ~space
     keep[1:] |= ~space[:-1]  # the first space of a run
-    edge = at[:-1][at[:-1] < len(raw)]
+    edge = at[:-1][at[:-1] < len(text)]
     keep[edge] = ~space[edge]  # none at a text's start
     place = np.flatnonzero(keep)
-    return text[place], np.searchsorted(place, at), place
+    return np.where(space[place], np.uint32(32), fold[text[place]]), np.searchsorted(place, at), place
 
 
 def gram_codes(text: np.ndarray) -> np.ndarray:
-    """Codes of the Q-grams at each byte; the last Q - 1 bytes have none. Equal codes are equal grams."""
+    """Hashes of the Q-grams at each code point; the last Q - 1 have none."""
     n = len(text) - Q + 1
     if n <= 0:
         return np.zeros(0, U64)
-    code = text.astype(U64)
-    size = 1
-    while size < Q:  # 1, 2, 4, 8 bytes side by side
-        code = (code[:-size] << U64(8 * size)) | code[size:]
-        size *= 2
-    return code
+    code = (text.astype(U64) + U64(1)) * MULT
+    size, power = 1, int(MULT)
+    while size < Q:  # 1, 2, 4, 8 side by side
+        code = code[:-size] * U64(power) + code[size:]
+        size, power = size * 2, power * power % (1 << 64)
+    return code ^ (code >> U64(29))
 
 
 def slots(codes: np.ndarray, bits: int = BITS) -> np.ndarray:
     return ((codes * MULT) >> U64(64 - bits)).astype(np.int64)
 
 
+def plain(text: str) -> np.ndarray:
+    """One text normalised, without a space at its end."""
+    own = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    own = normalised(own, np.array([0, len(own)]))[0] if len(own) else own
+    return own[:-1] if len(own) and own[-1] == 32 else own
+
+
 class Index:
-    """Windows of some benchmark items and the postings of their q-grams."""
+    """Some benchmark items and the postings of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        self.short: dict[bytes, list[int]] = {}
         self.item: list[int] = []
-        self.start: list[int] = []
-        self.text: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
         for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            own = normalised(raw, np.array([0, len(raw)]))[0] if len(raw) else raw
-            if len(own) and own[-1] == 32:
-                own = own[:-1]
-            if len(own) < LEAST:
-                continue
-            for size in sorted({min(len(own), WINDOW), min(len(own), PASSAGE)}):
-                for p in sorted({*range(0, len(own) - size, Q), len(own) - size}):
-                    self.item.append(item)
-                    self.start.append(p)
-                    self.text.append(own[p : p + size])
-        self.size = np.array([len(t) for t in self.text], np.int64)
-        self.edits = np.floor(self.size * EDITS).astype(np.int64)
-        self.bound = np.maximum(1, self.size - Q + 1 - self.edits * Q)
-        codes = [gram_codes(t) for t in self.text]
+            own = plain(text or "")
+            if len(own) >= LEAST:
+                self.item.append(item)
+                texts.append(own)
+            elif len(own):
+                self.short.setdefault(own.tobytes(), []).append(item)
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.text = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+        codes = [gram_codes(t) for t in texts]
         flat = np.concatenate(codes) if codes else np.zeros(0, U64)
-        window = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        self.codes, self.window, self.place = flat[order], window[order], place[order]
+        self.codes = flat[order]
+        self.of = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])[order]
+        self.place = (np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes]) if codes else np.zeros(0, np.int32))[order]
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[slots(self.codes)] = True
-        self.widest = int((self.size + self.edits).max()) if len(codes) else 0
-        self.least = int(self.bound.min()) if len(codes) else 0
-
-    def matches(self, text: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, window, first byte, end, edits) of all windows found in consecutive normalised texts."""
-        if not len(self.text) or len(text) < Q:
+        #: Window size, edits and bound of each item, for long and for short windows.
+        self.rules = []
+        for size in (WINDOW, PASSAGE):
+            m = np.minimum(self.size, size)
+            k = np.floor(m * EDITS).astype(np.int64)
+            self.rules.append((m, k, m - Q + 1 - k * Q))
+        self.widest = int(max(((m + k).max() for m, k, _ in self.rules), default=0)) if texts else 0
+        self.least = int(min((b.min() for *_, b in self.rules), default=0)) if texts else 0
+
+    def matches(self, text: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """(text, item's number, first, end, edits, windows) of all items found in consecutive normalised texts:
+        of the windows compared those of fewest edits, from the first to the last."""
+        if not len(self.item) or len(text) < Q:
             return []
         codes = gram_codes(text)
         hit = self.bitmap[slots(codes)]
@@ -133,10 +157,15 @@ class Index:
         lo, hi = np.searchsorted(self.codes, codes[spots], "left"), np.searchsorted(self.codes, codes[spots], "right")
         count = hi - lo
         spots, lo, count = spots[count > 0], lo[count > 0], count[count > 0]
-        out = []
+        best: dict[tuple[int, int], list[int]] = {}
         for part in np.split(np.arange(len(spots)), self._cuts(spots, count)):
-            out += self._bands(text, at, spots[part], lo[part], count[part])
-        return sorted(set(out))
+            for d, i, s, e, c, w in self._found(text, at, spots[part], lo[part], count[part]):
+                old = best.get((d, i))
+                if old is None or c < old[2]:
+                    best[d, i] = [s, e, c, w]
+                elif c == old[2]:
+                    best[d, i] = [min(s, old[0]), max(e, old[1]), c, w + old[3]]
+        return [(d, i, *best[d, i]) for d, i in sorted(best)]
 
     def _cuts(self, spots: np.ndarray, count: np.ndarray) -> list[int]:
         """Places between hits that no match reaches over, where over POSTINGS postings have come together."""
@@ -149,68 +178,130 @@ class Index:
                     last = done[g - 1]
         return cuts
 
-    def _bands(self, text, at, spots, lo, count):
+    def _found(self, text, at, spots, lo, count):
         if not len(spots):
             return []
         pos = np.repeat(spots, count)
-        post = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(pos))
-        win = self.window[post]
+        post = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(pos))
+        item, place = self.of[post].astype(np.int64), self.place[post].astype(np.int64)
         doc = np.searchsorted(at, pos, "right") - 1
-        diag = pos - self.place[post]
-        half = self.edits[win] + 1
-        found = []
-        for shift in (0, 1):
-            band = (diag + shift * half) // (2 * half)
-            low = int(band.min())
-            radix = (int(doc[-1]) + 1, len(self.text), int(band.max()) - low + 1, WINDOW)
-            if np.prod([float(x) for x in radix]) < 2**62:  # one number to sort by
-                key = np.sort(((doc * radix[1] + win) * radix[2] + band - low) * WINDOW + self.place[post])
-                key = key[np.concatenate([[True], key[1:] != key[:-1]])]  # a q-gram of the window counts once
-                group = key // WINDOW
-                head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-                group = group[head]
-                d, w, b = group // (radix[1] * radix[2]), group // radix[2] % radix[1], group % radix[2] + low
-            else:
-                rows = np.unique(np.stack([doc, win, band, self.place[post]]), axis=1)
-                head = np.flatnonzero(np.concatenate([[True], np.any(rows[:3, 1:] != rows[:3, :-1], axis=0)]))
-                d, w, b = rows[:3, head]
-                key = rows[0]
-            shared = np.diff(np.append(head, len(key)))
-            for g in np.flatnonzero(shared >= self.bound[w]):
-                k = int(self.edits[w[g]])
-                found.append((int(d[g]), int(w[g]), int(b[g]) * 2 * (k + 1) - shift * (k + 1)))
-        return self._verify(text, at, sorted(set(found)))
-
-    def _verify(self, text, at, found):
-        out = []
-        by_size: dict[int, list] = {}
-        for d, w, low in found:
-            by_size.setdefault(int(self.size[w]), []).append((d, w, low))
-        for m, rows in by_size.items():
-            for r in range(0, len(rows), 2048):
-                part = rows[r : r + 2048]
-                k = int(self.edits[part[0][1]])
-                width = 2 * (k + 1) + 2 * k  # the band, and k to either side for paths that leave it
-                start = np.array([low - k for _, _, low in part])
-                place = start[:, None] + np.arange(m + width)[None, :]
-                begin, end = at[[d for d, _, _ in part]][:, None], at[[d + 1 for d, _, _ in part]][:, None]
-                inside = (place >= begin) & (place < end)
-                segment = np.where(inside, text[np.clip(place, 0, len(text) - 1)], 0)
-                cost, first, last = align(np.stack([self.text[w] for _, w, _ in part]), segment, width)
-                for (d, w, _), s, c, f, e in zip(part, start, cost, first, last):
-                    if c <= k:
-                        out.append((d, w, int(s + f), int(s + e), int(c)))
+        # a pair of text and item with too few hits for any window is left out first
+        key = (doc - doc[0]) * len(self.item) + item
+        if (doc[-1] - doc[0] + 1) * len(self.item) <= 8 * POSTINGS:
+            hits = np.bincount(key)
+            pair_key = np.flatnonzero(hits)
+            hits = hits[pair_key]
+            number = np.zeros(int(pair_key[-1]) + 1, np.int64)
+            number[pair_key] = np.arange(len(pair_key))
+            pair = number[key]
+        else:
+            pair_key, pair, hits = np.unique(key, return_inverse=True, return_counts=True)
+        enough = (hits >= np.minimum(self.rules[0][2], self.rules[1][2])[pair_key % len(self.item)])[pair]
+        pair, item, place, pos = pair[enough], item[enough], place[enough], pos[enough]
+        pair_key = pair_key + int(doc[0]) * len(self.item)
+        if not len(pair):
+            return []
+        diag = pos - place
+        out, exact = [], np.zeros(len(pair_key), bool)
+        for m, *_ in self.rules:
+            for p, a, d in self._exact(pair, diag, place, m[item]):
+                exact[p] = True
+                i = int(pair_key[p] % len(self.item))
+                out.append((int(pair_key[p] // len(self.item)), i, a + d, a + d + int(m[i]), 0, 1))
+        rest = ~exact[pair]
+        if rest.any():
+            out += self._aligned(text, at, pair_key, pair[rest], item[rest], diag[rest], place[rest])
         return out
 
+    @staticmethod
+    def _exact(pair, diag, place, m) -> list[tuple[int, int, int]]:
+        """(pair, first place, diagonal) of windows whose q-grams all lie on the diagonal: of each run of them
+        the first and the last window."""
+        order = np.lexsort((place, diag, pair))
+        p, d, s, m = pair[order], diag[order], place[order], m[order]
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(p)))
+        good = size >= m[head] - Q + 1
+        head, size = head[good], size[good]
+        last = s[head] + size - (m[head] - Q + 1)
+        return [(int(p[h]), int(a), int(d[h])) for h, z in zip(head, last) for a in sorted({int(s[h]), int(z)})]
+
+    def _aligned(self, text, at, pair_key, pair, item, diag, place):
+        """Retained windows of pairs without an exact match, verified by alignment."""
+        want: list[tuple] = []
+        for rule, (m, k, bound) in enumerate(self.rules):
+            if rule and not (m != self.rules[0][0])[item].any():
+                continue
+            for shift in (0, 1):
+                half = k[item] + 1
+                band = (diag + shift * half) // (2 * half)
+                floor = int(band.min())
+                wide = int(band.max()) - floor + 1
+                group, of, hits = np.unique(pair * wide + band - floor, return_inverse=True, return_counts=True)
+                many = (hits >= bound[pair_key[group // wide] % len(self.item)])[of]
+                far = int(self.size.max()) + WINDOW
+                key = np.unique(of[many] * far + place[many])  # a q-gram of the item counts once
+                if not len(key):
+                    continue
+                g, s = key // far, key % far
+                i = (pair_key[group[g] // wide] % len(self.item)).astype(np.int64)
+                last = np.arange(len(key)) + bound[i] - 1
+                fits = last < len(key)
+                fits[fits] = (g[last[fits]] == g[fits]) & (s[last[fits]] - s[fits] <= (m[i] - Q)[fits])
+                f = np.flatnonzero(fits)
+                low = np.maximum(s[last[f]] - (m[i[f]] - Q), 0)
+                high = np.minimum(s[f], self.size[i[f]] - m[i[f]])
+                f, low, high = f[low <= high], low[low <= high], high[low <= high]
+                if not len(f):
+                    continue
+                size = high - low + 1
+                a = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                window = np.unique(np.repeat(g[f], size) * far + a)  # windows of the group, each once
+                g, a = window // far, window % far
+                first = np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1] + 1)])
+                p, b = group[g] // wide, group[g] % wide + floor
+                i = (pair_key[p] % len(self.item)).astype(np.int64)
+                origin = b * 2 * (k[i] + 1) - shift * (k[i] + 1)
+                ahead = first | np.append(first[1:], True) | (a % STRIDE == 0)
+                want.append((p, i, a, origin, m[i], k[i], ahead))
+        if not want:
+            return []
+        p, i, a, origin, m, k, ahead = (np.concatenate(c) for c in zip(*want))
+        out: list[tuple] = []
+        done = np.zeros(len(pair_key), bool)
+        for now in (ahead, ~ahead):  # the others only where the first found nothing
+            now = np.flatnonzero(now & ~done[p])
+            for size in np.unique(m[now]):
+                own = now[m[now] == size]
+                for r in range(0, len(own), ALIGNED):
+                    part = own[r : r + ALIGNED]
+                    for n, s, e, c in self._verify(text, at, pair_key[p[part]] // len(self.item), i[part], a[part], origin[part], int(size), int(k[part[0]])):
+                        done[p[part[n]]] = True
+                        out.append((int(pair_key[p[part[n]]] // len(self.item)), int(i[part[n]]), s, e, c, 1))
+        return out
+
+    def _verify(self, text, at, doc, item, a, origin, m, k):
+        width = 2 * (k + 1) + 2 * k  # the band, and k to either side for paths that leave it
+        start = origin + a - k
+        place = start[:, None] + np.arange(m + width)[None, :]
+        inside = (place >= at[doc][:, None]) & (place < at[doc + 1][:, None])
+        segment = np.where(inside, text[np.clip(place, 0, len(text) - 1)], 0)
+        windows = self.text[(self.begin[item] + a)[:, None] + np.arange(m)[None, :]]
+        cost, first, last = align(windows, segment, width)
+        for n in np.flatnonzero(cost <= k):
+            d = int(doc[n])
+            yield int(n), max(int(start[n] + first[n]), int(at[d])), min(int(start[n] + last[n]), int(at[d + 1])), int(cost[n])
+
 
 def align(windows: np.ndarray, segments: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least edits of each window within its segment along diagonals 0 to width, with the match's first and
     end byte in the segment. Row by row over all pairs at once; cell j of row i is diagonal j."""
     n, m = windows.shape
-    big = 1 << 14
-    j = np.arange(width + 1)
-    scale = 1 << 12  # the start diagonal rides along below the cost
-    cell = np.broadcast_to(j, (n, width + 1)).astype(np.int64).copy()  # cost 0, start j
+    big = np.int32(1 << 14)
+    j = np.arange(width + 1, dtype=np.int32)
+    scale = np.int32(1 << 12)  # the start diagonal rides along below the cost
+    cell = np.broadcast_to(j, (n, width + 1)).astype(np.int32).copy()  # cost 0, start j
     for i in range(m):
         step = cell + (segments[:, i : i + width + 1] != windows[:, i : i + 1]) * scale
         up = np.full_like(cell, scale * big)
@@ -225,49 +316,52 @@ def align(windows: np.ndarray, segments: np.ndarray, width: int) -> tuple[np.nda
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """Indexes of the benchmark, each of INDEX_BYTES at most or one item, read one after another."""
+    """Indexes of the benchmark, each of INDEX_CHARS at most or one item, read one after another, and whether
+    another one follows."""
     own: list[tuple[int, str]] = []
     size = 0
     for r in benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).distinct().orderBy(id_col, text_col).toLocalIterator():
-        n = len(r[1].encode())
-        if own and size + n > INDEX_BYTES:
-            yield Index(own)
+        if own and size + len(r[1]) > INDEX_CHARS:
+            yield Index(own), True
             own, size = [], 0
         own.append((r[0], r[1]))
-        size += n
-    yield Index(own)
+        size += len(r[1])
+    yield Index(own), False
 
 
 def _scan(batch_text: pa.Array, index: Index):
     """Matches of a column of texts: (row, item, first code point, end, edits, windows) by row and item."""
     raw, at = text_buffer(batch_text)
     for i, j in slices(at):
-        own, off = raw[at[i] : at[j]], at[i : j + 1] - at[i]
-        if not len(own):
+        if at[j] == at[i]:
             continue
-        text, of, place = normalised(own, off)
-        best: dict[tuple[int, int], list] = {}
-        for d, w, s, e, c in index.matches(text, of):
-            best.setdefault((d, index.item[w]), []).append((s, e, c, w))
-        for (d, item), ms in sorted(best.items()):
-            s, e = max(min(m[0] for m in ms), int(of[d])), min(max(m[1] for m in ms), int(of[d + 1]))
-            low, high = int(place[s]), int(place[e - 1]) + 1
-            chars = (own[off[d] : off[d + 1]] & 0xC0) != 0x80
-            yield i + d, item, int(chars[: low - off[d]].sum()), int(chars[: high - off[d]].sum()), min(m[2] for m in ms), len({m[3] for m in ms})
+        text, off = points(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        plain_text, of, place = normalised(text, off)
+        got = [(d, index.item[n], int(place[s]) - int(off[d]), int(place[e - 1]) + 1 - int(off[d]), c, w) for d, n, s, e, c, w in index.matches(plain_text, of)]
+        if index.short:
+            for d in np.flatnonzero((np.diff(of) <= LEAST) & (np.diff(of) > 0)):
+                own = plain_text[of[d] : of[d + 1]]
+                own = own[:-1] if own[-1] == 32 else own
+                for item in index.short.get(own.tobytes(), ()):
+                    got.append((int(d), item, int(place[of[d]]) - int(off[d]), int(place[of[d] + len(own) - 1]) + 1 - int(off[d]), 0, 1))
+        for d, *m in sorted(got):
+            yield (i + d, *m)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document row and benchmark item found in it: id, item_id, start and end (code points, from
-    the first to the last window found), edits (of the best window), windows.
+    """One row per document row and benchmark item found in it: id, item_id, edits (of the best window that was
+    compared), start and end (code points, from the first to the last such window), windows (such ones).
 
-    Null and empty texts, and items under LEAST normalised bytes, match nothing; repeated rows give a row
-    each; equal items with different ids each match; null ids stay null; other columns are not read."""
+    Null and empty texts match nothing; texts of any length are searched as a whole; an item of under LEAST
+    normalised characters is found where it is the whole text, an empty one nowhere; repeated rows give a row
+    each; equal items with different ids each match; null ids stay null; an empty table or benchmark gives no
+    row; other columns are not read. A benchmark of several indexes is worked in as many jobs."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(id_col, text_col)
     schema = f"{id_col} {rows.schema[0].dataType.simpleString()}, item_id long, start long, end long, edits int, windows int"
     out = None
-    for index in blocks(benchmark, item_col, item_text):
+    for index, more in blocks(benchmark, item_col, item_text):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
@@ -279,6 +373,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), *(pa.array(c, t) for c, t in zip(cols, types))], names=[id_col, "item_id", "start", "end", "edits", "windows"])
 
         part = rows.mapInArrow(run, schema)
+        if more:  # one index at a time stays in the workers' memory
+            part = stored(part)
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -287,7 +384,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """The documents in which no benchmark item is found, with all their columns."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    for index in blocks(benchmark, item_col, item_text):
+    for index, more in blocks(benchmark, item_col, item_text):
         sent = spark.sparkContext.broadcast(index)
         t = docs.columns.index(text_col)
 
@@ -298,4 +395,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if more:
+            docs = stored(docs)
+            sent.destroy()
     return docs
