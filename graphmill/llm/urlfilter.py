@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,14 @@ from graphmill.llm.common import bounded_batches
 #: Buckets of word frequencies and of the model's tokens: their tables are as large whatever the corpus.
 WORD_BITS = 20
 TOKEN_BITS = 16
+#: The model's words have 2 to LONGEST letters; longer runs of the pages' text are no words, and in a name they
+#: are split or stand as unknown words of any length.
 LONGEST = 20
 VERDICTS = ("allow", "block")
 
+#: What each letter of an unknown word costs, as a negative log probability.
+LETTER = 2.3
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,13 +60,31 @@ def path_of(url: str) -> Column:
     return F.when(F.col(url).contains("://"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def fitting_rule(rules: list[Rule], what: str) -> Column:
-    """Of the longest rule that fits columns host and path its text or verdict; of equally long ones the first."""
-    out = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.text), reverse=True)[::-1]:
-        host = (F.col("host") == r.host) | F.col("host").endswith("." + r.host) if r.host else F.lit(True)
-        out = F.when(host & F.col("path").startswith(r.path), F.lit(getattr(r, what))).otherwise(out)
-    return out
+class Rules:
+    """Rules by host and path, so that a url costs a look for each end of its host and each length of a rule's
+    path there, however many rules there are."""
+
+    def __init__(self, rules: list[Rule]):
+        self.rules = rules
+        self.by_host: dict[str, dict[str, int]] = {}
+        for n, r in enumerate(rules):
+            self.by_host.setdefault(r.host, {}).setdefault(r.path, n)  # of equal rules the first
+        self.lengths = {h: sorted({len(p) for p in paths}, reverse=True) for h, paths in self.by_host.items()}
+
+    def fitting(self, host: str, path: str) -> Rule | None:
+        """The longest rule that fits; of equally long ones the first given."""
+        ends = [host]
+        while ends[-1]:
+            ends.append(ends[-1].partition(".")[2])
+        best = None
+        for end in ends:
+            for n in self.lengths.get(end, ()):
+                at = self.by_host[end].get(path[:n]) if n <= len(path) else None
+                if at is not None:
+                    size = -len(self.rules[at].text)
+                    best = min(best or (size, at), (size, at))
+                    break
+        return None if best is None else self.rules[best[1]]
 
 
 def bucket(text: str, bits: int) -> int:
@@ -68,8 +92,10 @@ def bucket(text: str, bits: int) -> int:
 
 
 def word_counts(pages: DataFrame, text_col: str) -> np.ndarray:
-    """Occurrences of a-z words of 2 to LONGEST letters over all pages, by bucket of their hash."""
-    words = pages.select(F.explode(F.regexp_extract_all(F.translate(text_col, UPPER, LOWER), F.lit(rf"[a-z]{{2,{LONGEST}}}"), 0)).alias("w"))
+    """Occurrences of a-z words of 2 to LONGEST letters in the text of all pages, without markup, scripts and
+    styles, by bucket of their hash."""
+    shown = F.regexp_replace(F.regexp_replace(F.translate(text_col, UPPER, LOWER), r"<(script|style)\b[^>]*>(?s:.*?)</\1\s*>", " "), r"<[^>]*>", " ")
+    words = pages.select(F.explode(F.regexp_extract_all(shown, F.lit(rf"(?<![a-z])[a-z]{{2,{LONGEST}}}(?![a-z])"), 0)).alias("w"))
     got = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("b")).count().toArrow()
     out = np.zeros(1 << WORD_BITS, np.int64)
     out[got.column("b").to_numpy()] = got.column("count").to_numpy()
@@ -91,13 +117,20 @@ class Segmenter:
         return Segmenter, (self.counts,)
 
     def cost(self, word: str) -> float:
-        n = int(self.counts[bucket(word, WORD_BITS)]) if len(word) > 1 else 0
-        return self.log_total - float(np.log(n)) if n else self.log_total + 2.3 * len(word)
+        """Of a word of the model; infinite for others."""
+        n = int(self.counts[bucket(word, WORD_BITS)]) if 2 <= len(word) <= LONGEST else 0
+        return self.log_total - float(np.log(n)) if n else float("inf")
 
     def _split(self, run: str) -> tuple[str, ...]:
-        best, back = [0.0], [0]
+        # best: the cheapest split of the first letters; open: the cheapest whose last word is unknown, and
+        # where that word begins. An unknown word costs once, and again for each letter.
+        best, back, open_, since = [0.0], [0], float("inf"), 0
         for end in range(1, len(run) + 1):
+            if best[end - 1] + self.log_total < open_:
+                open_, since = best[end - 1] + self.log_total, end - 1
+            open_ += LETTER
             c, s = min((best[start] + self.cost(run[start:end]), start) for start in range(max(0, end - LONGEST), end))
+            c, s = min((c, s), (open_, since))
             best.append(c)
             back.append(s)
         out, end = [], len(run)
@@ -111,7 +144,7 @@ class Segmenter:
         out = []
         for side, text in (("h", host), ("p", path.translate(_TO_LOWER))):
             for run in re.findall(r"[a-z]+|[0-9]+", text):
-                out += [f"{side}:#{len(run)}"] if run[0].isdigit() else [f"{side}:{w}" for w in self.split(run[:2000])] + ([f"{side}:{w}" for w in self.split(run[2000:])] if len(run) > 2000 else [])
+                out += [f"{side}:#{len(run)}"] if run[0].isdigit() else [f"{side}:{w}" for w in self.split(run)]
         return out
 
 
@@ -136,22 +169,25 @@ class Bayes:
         return float(z[1] - z[0])
 
 
-def fit(pages: DataFrame, segmenter: Segmenter) -> Bayes:
-    """From all of `pages` (host, path, label) whose label is a verdict."""
-    sent = pages.sparkSession.sparkContext.broadcast(segmenter)
+def fit(pages: DataFrame, sent: Broadcast) -> Bayes:
+    """From all of `pages` (host, path) that a rule decides; sent holds the segmenter and the rules."""
 
     def run(batches):
         for b in batches:
             count: dict[tuple[int, int], int] = {}
-            for host, path, label in zip(*(c.to_pylist() for c in b.columns)):
-                v = VERDICTS.index(label)
-                for t in [-1, *(bucket(t, TOKEN_BITS) for t in sent.value.tokens(host, path))]:
+            seg, known = sent.value
+            for host, path in zip(*(c.to_pylist() for c in b.columns)):
+                rule = known.fitting(host, path)
+                if rule is None:
+                    continue
+                v = VERDICTS.index(rule.verdict)
+                for t in [-1, *(bucket(t, TOKEN_BITS) for t in seg.tokens(host, path))]:
                     count[v, t] = count.get((v, t), 0) + 1
             if count:
                 keys = list(count)
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in keys], pa.int32()), pa.array([t for _, t in keys], pa.int64()), pa.array(count.values(), pa.int64())], names=["v", "t", "n"])
 
-    got = pages.where(F.col("label").isin(*VERDICTS)).select("host", "path", "label").mapInArrow(run, "v int, t long, n long").groupBy("v", "t").agg(F.sum("n").alias("n")).toArrow()
+    got = pages.select("host", "path").mapInArrow(run, "v int, t long, n long").groupBy("v", "t").agg(F.sum("n").alias("n")).toArrow()
     v, t, n = (got.column(c).to_numpy() for c in ("v", "t", "n"))
     docs, counts = np.zeros(2), np.zeros((2, 1 << TOKEN_BITS))
     docs[v[t < 0]] = n[t < 0]
@@ -163,25 +199,29 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     """Per row: id, host, path, rule (its text, or null), verdict, score (log odds of block; null under a rule).
 
     A url that is null or without `://` has an empty host and path, no rule fits it but one for every host,
-    and the model judges it by its prior. Repeated rows give a row each; null ids stay null; null texts count
-    no words; other columns are not read; without any URL that a rule decides, all else is allowed."""
-    bounded_batches(pages.sparkSession)
+    and the model judges it by its prior. Of equally long rules that fit the first given counts. Urls of any
+    length are judged as a whole. Repeated rows give a row each; null ids stay null; null texts count no words;
+    an empty table gives an empty result; other columns are not read; without any URL that a rule decides, all
+    else is allowed."""
+    spark = pages.sparkSession
+    bounded_batches(spark)
     counts = word_counts(pages.select(F.col(text_col).alias("text")), "text")
     segmenter = Segmenter(counts)
     split = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host_of("url").alias("host"), path_of("url").alias("path"))
-    ruled = split.select("id", "host", "path", fitting_rule(rules, "text").alias("rule"), fitting_rule(rules, "verdict").alias("label"))
-    model = fit(ruled, segmenter)
-    sent = pages.sparkSession.sparkContext.broadcast((segmenter, model))
+    sent = spark.sparkContext.broadcast((segmenter, Rules(rules)))  # tables of a set size, and the caller's rules
+    model = spark.sparkContext.broadcast(fit(split, sent))
 
     def run(batches):
         for b in batches:
-            seg, bayes = sent.value
-            verdicts, scores = [], []
-            for host, path, label in zip(*(b.column(c).to_pylist() for c in (1, 2, 4))):
-                s = None if label else bayes.block_score([bucket(t, TOKEN_BITS) for t in seg.tokens(host, path)])
+            seg, known = sent.value
+            texts, verdicts, scores = [], [], []
+            for host, path in zip(*(b.column(c).to_pylist() for c in (1, 2))):
+                rule = known.fitting(host, path)
+                s = None if rule else model.value.block_score([bucket(t, TOKEN_BITS) for t in seg.tokens(host, path)])
+                texts.append(rule.text if rule else None)
                 scores.append(s)
-                verdicts.append(label or VERDICTS[s > 0])
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "host", "path", "rule", "verdict", "score"])
+                verdicts.append(rule.verdict if rule else VERDICTS[s > 0])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.string()), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "host", "path", "rule", "verdict", "score"])
 
-    kind = ruled.schema["id"].dataType.simpleString()
-    return ruled.mapInArrow(run, f"{id_col} {kind}, host string, path string, rule string, verdict string, score double")
+    kind = split.schema["id"].dataType.simpleString()
+    return split.mapInArrow(run, f"{id_col} {kind}, host string, path string, rule string, verdict string, score double")
