@@ -23,11 +23,14 @@ GROUP_BLOCKS = 64
 
 
 def file_blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, block, payload of flat files (up to 2 GB each) below path."""
+    """file, block, payload of flat files below path, each read once and cut where it is read. Spark reads a
+    file as one value, up to 2 GB, and raises beyond; longer sequences come as several files in order of name,
+    or as blocks."""
     size = width * block_tokens
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     n = F.greatest(F.lit(1), F.ceil(F.col("length") / size)).cast("int")
-    return files.select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), "content").select("file", F.col("block").cast("long"), F.expr(f"substring(content, block * {size} + 1, {size})").alias("payload"))
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.cast("long").alias("block"), F.substring(F.col("content"), k * size + 1, F.lit(size)).alias("payload")))
+    return files.select(F.col("path").alias("file"), F.explode(cut).alias("x")).select("file", "x.block", "x.payload")
 
 
 def scan_block(ids: np.ndarray, separator: int) -> tuple[int, int, np.ndarray]:
@@ -45,7 +48,7 @@ def scan(blocks: DataFrame, separator: int, dtype: str = "<u2", keep_open: bool
     Blocks of a file are numbered from 0 and in any order; an empty file has no document; tokens after the
     last separator are a document if keep_open and there are any. Null payloads are empty blocks; a payload
     that is no whole number of ids raises. Only summaries and lengths, not tokens, are shuffled."""
-    bounded_batches(blocks.sparkSession, 64)
+    bounded_batches(blocks.sparkSession)
     width = np.dtype(dtype).itemsize
 
     def run(batches):
@@ -96,14 +99,22 @@ def scan(blocks: DataFrame, separator: int, dtype: str = "<u2", keep_open: bool
     return docs
 
 
+def two_bytes(ids: np.ndarray) -> bytes:
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} does not fit two bytes")
+    return ids.astype("<u2").tobytes()
+
+
 def token_blocks(docs: DataFrame, vocabulary: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Flat token files of documents, one for each partition, as (blocks, owners).
 
     blocks: file, block, payload (ids as little-endian uint16, each document followed by the separator);
     owners: file, ordinal, id. Separators in a text are ids of its own and would close it, so an added
     token's string is encoded as ordinary text. Blocks are cut wherever their size is reached. A third of
-    all rows in one partition is no trouble: files are as long as they are."""
+    all rows in one partition is no trouble: files are as long as they are. Ids and the separator must fit two
+    bytes: others raise."""
     spark = docs.sparkSession
+    two_bytes(np.array([separator]))
     bounded_batches(spark)
     load = bpe.loader(spark, vocabulary)
     rows = docs.select(F.col(id_col).cast("long"), text_col)
@@ -117,7 +128,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, separator: int, id_col: str =
         held, size, block, ordinal = [], 0, 0, 0
         step = 2 * block_tokens
         for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + end for x in coder.encode_ordinary_batch(rows_text(b.column(1)))]
+            ids = [two_bytes(np.frombuffer(x, "<u4")) + end for x in coder.encode_ordinary_batch(rows_text(b.column(1)))]
             yield _rows([name], [ordinal], [None], [b.column(0).to_pylist()])
             ordinal += len(ids)
             held += ids
@@ -145,7 +156,8 @@ def _rows(file, at, payload, ids) -> pa.RecordBatch:
 
 def document_tokens(docs: DataFrame, vocabulary: str, separator: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and n_tokens per document row, counted in its flat token file. Null and empty texts have 0 tokens;
-    null ids stay null; repeated rows give a row each; other columns are not read."""
+    very long texts cross blocks; null ids stay null; repeated rows give a row each; an empty table gives an
+    empty result; other columns are not read."""
     blocks, owners = token_blocks(docs, vocabulary, separator, id_col, text_col)
     counts = scan(blocks, separator, "<u2", keep_open=False)
     return owners.join(counts, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
