@@ -19,54 +19,71 @@ def sentence(r, n):
 # --- decontamination
 
 
-def distance(pattern, text):
-    """Least edits of the pattern against any stretch of the text."""
-    row = [0] * (len(text) + 1)
-    for i, c in enumerate(pattern, 1):
-        last, row[0] = row[0], i
-        for j, d in enumerate(text, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
-    return min(row)
-
-
-def test_contaminated_like_brute_force(spark):
+def distances(windows, text):
+    """Least edits of each window (rows of code points) against any stretch of the text."""
+    n = len(text)
+    j = np.arange(n + 1)
+    row = np.zeros((len(windows), n + 1), np.int64)
+    for i in range(windows.shape[1]):
+        step = np.concatenate([np.full((len(windows), 1), 1 << 20), row[:, :-1] + (text[None, :] != windows[:, i : i + 1])], axis=1)
+        best = np.minimum(step, row + 1)
+        row = np.minimum.accumulate(best - j, axis=1) + j
+    return row.min(axis=1)
+
+
+def brute_contaminated(docs, items):
+    want = set()
+    for item, text in items:
+        own = decontam.plain(text or "")
+        for d, t, *_ in docs:
+            body = decontam.plain(t or "")
+            if len(own) < decontam.LEAST:
+                hit = len(own) > 0 and own.tolist() == body.tolist()
+            else:
+                hit = False
+                for m in {min(len(own), decontam.WINDOW), min(len(own), decontam.PASSAGE)}:
+                    windows = np.lib.stride_tricks.sliding_window_view(own, m)
+                    hit = hit or (len(body) > 0 and bool((distances(windows, body) <= int(m * decontam.EDITS)).any()))
+            if hit:
+                want.add((d, item))
+    return want
+
+
+@pytest.mark.parametrize("alphabet", ["latin", "cyrillic"])
+def test_contaminated_like_brute_force(spark, alphabet):
     r = random.Random(5)
-    items = [(i, sentence(r, n)) for i, n in enumerate((8, 20, 45, 12))] + [(9, None), (10, "short"), (11, "")]
+    turn = (lambda t: t) if alphabet == "latin" else (lambda t: t.translate({ord(a): chr(0x430 + k) for k, a in enumerate("abcdefghijklmnopqrstuvwxyz")}))
+    items = [(i, turn(sentence(r, n))) for i, n in enumerate((8, 20, 45, 12))] + [(9, None), (10, turn("short one")), (11, ""), (12, turn(sentence(r, 4)))]
     docs = []
     for k in range(24):
         t = list(items[k % 4][1])
         for _ in range(r.choice([0, 0, 2, 4, 30])):
             p = r.randrange(len(t))
             t[p : p + 1] = r.choice([[], ["q"], [t[p], "z"]])
-        docs.append((k, sentence(r, 20) + " " + "".join(t).upper() + "! " + sentence(r, 15), "x"))
-    docs += [(100, None, "x"), (101, "", "x"), (None, items[1][1], "x"), (102, sentence(r, 3000), "x")]
+        docs.append((k, turn(sentence(r, 20)) + " " + "".join(t).upper() + "! " + turn(sentence(r, 15)), "x"))
+    docs += [(100, None, "x"), (101, "", "x"), (None, items[1][1], "x"), (102, turn(sentence(r, 900)) + items[2][1] + turn(sentence(r, 900)), "x"), (3, docs[3][1], "x"), (103, turn("short").upper() + " - " + turn("one") + "!", "x"), (104, turn("a short one"), "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(g.doc_id, g.item_id) for g in decontam.contaminated(df, bench).collect()}
-    index = decontam.Index([x for x in items if x[1]])
-    want = set()
-    for d, t, _ in docs:
-        raw = np.frombuffer((t or "").encode(), np.uint8)
-        plain = decontam.normalised(raw, np.array([0, len(raw)]))[0].tobytes() if len(raw) else b""
-        if d == 102:
-            continue
-        want |= {(d, index.item[w]) for w in range(len(index.text)) if distance(index.text[w].tobytes(), plain) <= index.edits[w]}
-    assert got == want and (0, 0) in got and (None, 1) in got
+    rows = decontam.contaminated(df, bench).collect()
+    got = {(g.doc_id, g.item_id) for g in rows}
+    want = brute_contaminated(docs, items)
+    assert got == want and {(0, 0), (None, 1), (102, 2), (103, 10)} <= got and (104, 10) not in got
+    assert sum((g.doc_id, g.item_id) == (3, 3) for g in rows) == 2  # repeated rows
     kept = {x.doc_id for x in decontam.clean(df, bench).collect()}
     assert kept == {d for d, *_ in docs} - {d for d, _ in want}
     assert decontam.contaminated(df, bench.limit(0)).collect() == [] and decontam.contaminated(df.limit(0), bench).collect() == []
 
 
 def test_benchmark_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "INDEX_BYTES", 10)
+    monkeypatch.setattr(decontam, "INDEX_CHARS", 10)
     monkeypatch.setattr(decontam, "POSTINGS", 5)
-    test_contaminated_like_brute_force(spark)
+    test_contaminated_like_brute_force(spark, "latin")
 
 
 def test_partial_quotes_at_all_offsets(spark):
     r = random.Random(12)
     item = sentence(r, 40)
-    least = decontam.PASSAGE + decontam.Q - 1
+    least = decontam.PASSAGE
     docs, quotes = [], {}
     for n in (least, 80, 96, 120, 143):
         for p in range(len(item) - n + 1):
@@ -117,7 +134,7 @@ def test_warc_round_trip(spark, monkeypatch):
 
 
 def test_broken_segments_are_noticed(spark, tmp_path):
-    full = warc.records(1, "u", b"y" * 200_000, hashlib.sha256(b"y" * 200_000).hexdigest(), None, 0)
+    full = warc.records(1, "u", b"y" * 200_000, hashlib.sha256(b"y" * 200_000).hexdigest(), 0)
     assert len(full) > 2
     for name, parts in (("gap", full[:1] + full[2:]), ("end", full[:-1]), ("twice", [*full, full[1]])):
         (tmp_path / name).mkdir()
@@ -130,6 +147,35 @@ def test_broken_segments_are_noticed(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "good")).first().payload == b"y" * 200_000
 
 
+def test_all_gzip_members_are_read(spark, tmp_path):
+    import gzip
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    own = [r for i, p in enumerate((b"one", b"two" * 90, b"")) for r in warc.records(i, "u", p, sha(p), i)]
+    other = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 2\r\n\r\nhi"
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in [other, *own]))
+    assert sorted((x.page_id, bytes(x.payload)) for x in warc.read(spark, str(tmp_path)).collect()) == [(0, b"one"), (1, b"two" * 90), (2, b"")]
+    ids = [h["warc-record-id"] for r in own for h, _ in warc.parse(r + b"\r\n\r\n")]
+    assert len(set(ids)) == 3 and all(re.search(rb"\r\nWARC-Date: \d{4}-", r) for r in own)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(own[0] + b"\r\n\r\n")[:-9])
+    with pytest.raises(Exception, match="gzip"):
+        warc.read(spark, str(tmp_path)).collect()
+
+
+def test_revisits_need_their_response(spark, tmp_path):
+    p = b"z" * 200
+    d = hashlib.sha256(p).hexdigest()
+    whole, again = warc.records(1, "u", p, d, 5)[0], warc.records(2, "u", p, d, 6, warc.urn(1, f"{d}/5"))[0]
+    for name, parts in (("both", [again, whole]), ("lost", [again]), ("wrong", [again, warc.record("response", warc.urn(1, f"{d}/5"), b"HTTP/1.1 200 OK\r\n\r\nother")])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(b"".join(x + b"\r\n\r\n" for x in parts))
+    got = {x.page_id: x for x in warc.read(spark, str(tmp_path / "both")).collect()}
+    assert (got[2].record_type, got[2].refers_to, got[2].payload_bytes, got[2].payload_digest) == ("revisit", 1, 200, d)
+    for name in ("lost", "wrong"):
+        with pytest.raises(Exception, match="no response"):
+            warc.read(spark, str(tmp_path / name)).collect()
+
+
 def test_chunked_framing():
     for p in (b"", b"a", b"\r\n" * 9000, bytes(range(256)) * 300):
         assert warc.dechunked(warc.chunked(p, 777)) == p
@@ -159,6 +205,38 @@ def test_languages(spark):
     assert {x.doc_id for x in langid.known_language(df, model).collect()} == set(got) - {900, 901, 902}
     none = langid.fit(df.where("lang is null"))
     assert {x.lang_pred for x in langid.identify(df, none).collect()} == {"und"}
+    assert {x.doc_id for x in langid.known_language(df, none).collect()} == set(got) - {900, 901, 902}
+    assert langid.identify(df.limit(0), model).collect() == [] and langid.known_language(df.limit(0), model).collect() == []
+    twice = [tuple(x) for x in langid.identify(df.where("doc_id = 0").unionByName(df.where("doc_id = 0")), model).collect()]
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_every_language_is_learned_and_sampled(spark):
+    from graphmill.llm.common import smallest_hashes
+
+    rows = [(i, f"{'abcdefghij'[i % 70 // 10]}{'klmnopqrst'[i % 10]} " * 12, f"l{i % 70:02d}", "s") for i in range(70 * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = langid.fit(df)
+    assert len(model.langs) == 70
+    got = [(x.lang_pred, x.doc_id) for x in langid.identify(df, model).collect()]
+    assert sum(v == f"l{i % 70:02d}" for v, i in got) / len(got) > 0.9
+    few = langid.fit(df, most=3)  # drawn, but not all
+    assert len(few.langs) == 70
+    for n in (10, 1_000, 2e9, 1e10, 1e13):  # the share never becomes nothing
+        bound = smallest_hashes(n, 1200)
+        assert bound / 2**63 * n >= min(n, 1200) * 0.999
+
+
+def test_decoding_like_brute_force():
+    rng = np.random.default_rng(4)
+    code = langid.codewords(5)
+    m = langid.Model(list("abcde"), code, rng.normal(size=(langid.DIM, code.shape[1])).astype(np.float32), np.zeros(code.shape[1], np.float32), np.full(code.shape[1], 1 / code.shape[1]))
+    x = rng.random((6, langid.DIM)).astype(np.float32) / 40
+    best, share = m.predict(x)
+    for row, b, s in zip(x, best, share):
+        z = [float(sum(row * m.weight[:, k])) for k in range(code.shape[1])]
+        loss = [sum(m.trust[k] * np.log(1 + np.exp(-z[k] * c[k])) for k in range(len(z))) * len(z) for c in code]
+        assert int(b) == int(np.argmin(loss)) and abs(s - 1 / sum(np.exp(min(loss) - v) for v in loss)) < 1e-3
 
 
 @pytest.mark.parametrize("n", [2, 4, 7, 12])
@@ -193,6 +271,8 @@ def test_flat_files(spark, tmp_path):
     df = token_files.file_blocks(spark, str(tmp_path), 2, 2)
     assert sorted((x.ordinal, x.n_tokens) for x in token_files.scan(df, 0).collect()) == [(0, 2), (1, 1), (2, 0), (3, 1)]
     assert token_files.scan(df.limit(0), 0).collect() == []
+    with pytest.raises(ValueError, match="two bytes"):
+        token_files.two_bytes(np.array([1, 70_000]))
 
 
 def test_document_tokens(spark):
@@ -211,6 +291,9 @@ def test_document_tokens(spark):
         assert sorted((tuple(x) for x in token_files.document_tokens(df, VOCABULARY, SEPARATOR).collect()), key=str) == want
     finally:
         token_files.BLOCK_TOKENS = before
+    assert token_files.document_tokens(df.limit(0), VOCABULARY, SEPARATOR).collect() == []
+    clash = df.selectExpr("doc_id", "text", "1 as file", "2 as ordinal", "'x' as n_tokens")
+    assert sorted((tuple(x) for x in token_files.document_tokens(clash, VOCABULARY, SEPARATOR).collect()), key=str) == want
 
 
 # --- URL filters
@@ -231,6 +314,43 @@ def test_urls(spark):
     assert got[None] == ("c.com", "/FR/", None, None) and got[11][2] == "org/" and got[12] == ("h", "", None, None)
     assert got[13] == ("evilexample.org", "/es/", "org/", "allow")
     assert urlfilter.judge(df.limit(0), RULES).collect() == []
+    long = spark.createDataFrame([(1, "http://a.org/" + "x" * 30_000, words)] * 2, "page_id long, url string, html string")
+    assert [(len(x.path), x.verdict) for x in urlfilter.judge(long, RULES).collect()] == [(30_001, "allow")] * 2
+
+
+def test_rules_like_brute_force():
+    r = random.Random(6)
+    hosts = ["", "a.b", "b", "c.a.b", "x.b", "ab"]
+    for _ in range(60):
+        rules = [urlfilter.Rule(r.choice(urlfilter.VERDICTS), r.choice(hosts), "/" + "".join(r.choice("xy/") for _ in range(r.randrange(4)))) for _ in range(8)]
+        known = urlfilter.Rules(rules)
+        for _ in range(20):
+            host, path = r.choice(["", "a.b", "b", "c.a.b", "d.c.a.b", "cab", "x.b"]), r.choice(["", "/"]) + "".join(r.choice("xy/") for _ in range(r.randrange(5)))
+            fit = [x for x in rules if (x.host in ("", host) or host.endswith("." + x.host)) and path.startswith(x.path)]
+            assert known.fitting(host, path) == max(fit, key=lambda x: len(x.text), default=None)
+
+
+def test_viterbi_like_brute_force():
+    from itertools import combinations as some
+
+    r = random.Random(3)
+    counts = np.zeros(1 << urlfilter.WORD_BITS, np.int64)
+    for w in ("ab", "abc", "bca", "ca", "cab", "aa", "b" * 25):
+        counts[urlfilter.bucket(w, urlfilter.WORD_BITS)] = r.randint(1, 50)
+    s = urlfilter.Segmenter(counts)
+    price = lambda w: min(s.cost(w), s.log_total + urlfilter.LETTER * len(w))
+    for _ in range(60):
+        run = "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
+        ways = [[run[i:j] for i, j in zip((0, *cut), (*cut, len(run)))] for n in range(len(run)) for cut in some(range(1, len(run)), n)]
+        assert abs(sum(map(price, s.split(run))) - min(sum(map(price, w)) for w in ways)) < 1e-9
+    assert "".join(s.split("abcca" * 3000)) == "abcca" * 3000 and s.split("q" * 50) == ("q" * 50,)
+
+
+def test_only_shown_words_count(spark):
+    page = "<html lang='en'><style>red blue</style><Script src=x>var hidden</scRipt><p class=big>Alpha alpha</p> beta " + "z" * 30
+    got = urlfilter.word_counts(spark.createDataFrame([(page,), (None,)], "text string"), "text")
+    assert {w: int(got[urlfilter.bucket(w, urlfilter.WORD_BITS)]) for w in ("alpha", "beta", "html", "hidden", "red", "class", "z" * 20)} == {"alpha": 2, "beta": 1, "html": 0, "hidden": 0, "red": 0, "class": 0, "z" * 20: 0}
+    assert int(got.sum()) == 3
 
 
 def test_names_are_split_into_words():
@@ -261,6 +381,7 @@ def test_licences(spark):
     r = random.Random(4)
     notes = {n: t[0] for n, t in licences.TEMPLATES.items()}
     rows = [(i, sentence(r, 30) + ". " + t + ".\n" + sentence(r, 10), n) for i, (n, t) in enumerate(notes.items())]
+    rows += [(60, rows[0][1], rows[0][2])]
     rows += [(50, None, None), (51, "", None), (52, sentence(r, 4000), None), (None, "RELEASED under the -- mit LICENSE", "MIT"), (53, "Released under the MIT License. Licensed under the Apache License, Version 2.0.", "two")]
     df = spark.createDataFrame(rows, "doc_id long, text string, licence string")
     got = {}
@@ -268,6 +389,17 @@ def test_licences(spark):
         got.setdefault(x.doc_id, []).append((x.licence, round(x.dice, 3)))
     assert {k: v for k, v in got.items() if k != 53} == {i: [(n, 1.0)] for i, _, n in rows if n and n != "two"}
     assert sorted(got[53]) == [("Apache-2.0", 1.0), ("MIT", 1.0)]
+    assert licences.scan(df.limit(0)).collect() == []
+    twice = df.where("doc_id = 60").unionByName(df.where("doc_id = 60"))
+    assert len(licences.scan(twice).collect()) == 2
+
+
+def test_alike_licences_are_told_apart(spark):
+    rows = [(1, licences.TEMPLATES["BSD-2-Clause"][2]), (2, licences.TEMPLATES["BSD-3-Clause"][2]), (3, "This software is distributed under the MIT License and comes with no support"), (4, (licences.TEMPLATES["MIT"][2] + " ") * 40)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(x.licence, x.dice) for x in got if x.doc_id < 3] == [("BSD-2-Clause", 1.0), ("BSD-3-Clause", 1.0)]
+    assert [(x.licence, round(x.dice, 3)) for x in got if x.doc_id == 3] == [("MIT", 0.857)]
+    assert [(x.licence, x.dice) for x in got if x.doc_id == 4] == [("MIT", 1.0)] * 40
 
 
 def test_licence_stretches_like_brute_force():
@@ -321,11 +453,13 @@ def test_shortened_licences(spark):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_top_k_like_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(maxscore, "SHARD", 60)
-    monkeypatch.setattr(maxscore, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(maxscore, "SHARD_CELLS", 60 * 8)
+    monkeypatch.setattr(maxscore, "BLOCK_CELLS", 2 * 8)
     monkeypatch.setattr(maxscore, "SEED", 10)
+    monkeypatch.setattr(maxscore, "STEP", 20)
     r = random.Random(seed)
-    rows = [(i, [r.choice([r.gauss(0, 0.3), 0.25, -0.5]) for _ in range(8)]) for i in range(300)]
+    values = [0.0] * 9 if seed == 2 else [0.25, -0.5]  # mostly 0: postings are short
+    rows = [(i, [r.choice([r.gauss(0, 0.3), *values]) for _ in range(8)]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(30)] + [(900, None), (901, [0.1, None] * 4), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, [0.5] * 8), (50, rows[3][1]), (950, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     vectors = maxscore.quantised(df, "vec_id", "embedding")
@@ -337,6 +471,7 @@ def test_top_k_like_brute_force(spark, seed, monkeypatch):
             best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in fine if i != q and len(a) == len(b))[:5]
             want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert got == sorted(want)
+    assert maxscore.top_k(vectors.limit(0), vectors.limit(0), 5).collect() == []
 
 
 # --- secrets
@@ -377,7 +512,7 @@ def test_network_learns_and_base_spans_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     net = secrets.fit(df.where("doc_id < 1000"))
     x, y = secrets.labelled(df.where("doc_id < 1000"))
-    p = secrets.Network.train(x, y).scores(x)
+    p = secrets.Network.train(x, y).scores(*secrets.side_by_side(x))
     assert ((p >= 0.5) == (y > 0)).mean() > 0.97
     got = {g.doc_id: g for g in secrets.digest(secrets.scan(df, net)).collect()}
     assert sum(got[1000 + i].n_model for i in range(20)) >= 10 and sum(g.n_model for i, g in got.items() if i % 4 > 1 and i < 1000) == 0
@@ -387,18 +522,46 @@ def test_network_learns_and_base_spans_stay(spark):
 
 def test_threshold_keeps_the_recall_of_findings_hard_to_tell_apart():
     rng = np.random.default_rng(3)
-    x = rng.integers(0, secrets.CLASSES, (800, secrets.WIDTH)).astype(np.uint8)
+    size = secrets.BEFORE + 20 + secrets.AFTER + secrets.SPAN
+    x = [rng.integers(0, secrets.CLASSES, size).astype(np.uint8).tobytes() for _ in range(800)]
     y = (rng.random(800) < 0.1).astype(np.int64)  # labels without any pattern
     net = secrets.Network.train(x, y)
-    held = np.arange(800) % 4 == 0
-    assert (net.scores(x[held & (y > 0)]) >= net.threshold).mean() >= secrets.RECALL
+    held = (y > 0) & ((np.cumsum(y) - 1) % 5 == 1)
+    assert (net.scores(*secrets.side_by_side(x))[held] >= net.threshold).mean() >= secrets.RECALL
 
 
-def test_runs_like_brute_force():
+def test_network_like_brute_force():
     import pyarrow as pa
 
-    texts = ["a1" * 8, "x" * 15, "", "é" + "b" * 16 + "é", "c" * 10, "d" * 9, "1" * 40]
+    rng = np.random.default_rng(8)
+    net = secrets.Network.untrained()
+    net.bias = rng.normal(size=net.FILTERS)
+    texts = ["x abcdefgh1 é password= Zz9-Zz9-Zz9", "", "12345678", "a" * 400 + " b"]
     raw, at = text_buffer(pa.array(texts))
-    of, s, e, digit = secrets.runs(raw, at)
-    got = [(int(d), raw[a:b].tobytes().decode(), bool(g)) for d, a, b, g in zip(of, s, e, digit)]
-    assert got == [(0, "a1" * 8, True), (3, "b" * 16, False), (6, "1" * 40, True)]
+    of, start, end = secrets.runs(raw, at)
+    assert [(int(d), raw[a:b].tobytes().decode()) for d, a, b in zip(of, start, end)] == [(0, "abcdefgh1"), (0, "password="), (0, "Zz9-Zz9-Zz9"), (2, "12345678"), (3, "a" * 400)]
+    got = net.logits(*secrets.surroundings(raw, at[of], at[of + 1], start, end))
+    for d, a, b, z in zip(of, start, end, got):
+        cls = lambda p: int(secrets.CLASS[raw[p]]) if at[d] <= p < at[d + 1] else 0  # noqa: B023, E731
+        parts = []
+        for i, j in ((a - secrets.BEFORE, a), (a, b), (b, b + secrets.AFTER)):
+            v = np.array([net.bias + sum(net.kernel[k][cls(p + k)] for k in range(secrets.SPAN)) for p in range(i, j)])
+            parts.append(np.maximum(v.max(axis=0), 0))
+        assert abs(float(np.concatenate(parts) @ net.out + net.shift) - float(z)) < 1e-3
+    win = [secrets.window(raw, at[d], at[d + 1], a, b) for d, a, b in zip(of[:4], start, end)]  # as training sees them
+    assert np.allclose(net.logits(*secrets.side_by_side(win)), got[:4], atol=1e-3)
+
+
+def test_rare_findings_are_drawn_from_all_documents(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, sentence(r, 30) + (f" password=abc{i:06d}" if i % 100 == 0 else "")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    x, y = secrets.labelled(df, most_rows=20)
+    assert y.sum() == 20 and len(y) == 40
+    x, y = secrets.labelled(df)
+    assert y.sum() == 30  # every one, though one document in a hundred has any
+    assert secrets.labelled(df.limit(0))[0] == [] and secrets.fit(df.limit(0)).threshold > 1
+    net = secrets.fit(df)
+    again = df.where("doc_id = 0").unionByName(df.where("doc_id = 0"))
+    assert len(secrets.scan(again, net).collect()) == 2 and secrets.scan(df.limit(0), net).collect() == []
+    assert secrets.mask(df.limit(0), net).collect() == [] and len(secrets.mask(again, net).collect()) == 2
