@@ -100,8 +100,8 @@ def test_health_report(spark):
     t = B.run_stages({k: schema.empty(spark, k) for k in schema.TABLES} | tables(spark))
     r = H.report(t)
     assert r["healthy"] and r["numbers"]["symbols"] == 3 and r["numbers"]["internal_unresolved"] == 1 and r["numbers"]["calls_rate"] == 0.5
-    strict = H.report(t, H.Policy.of("strict", minima={"calls_rate": 0.9}, required_symbols=(("app/a.py", "main"), ("app/a.py", "gone")), required_calls=(("main", "helper"),)))
-    assert not strict["healthy"] and {i["code"] for i in strict["issues"]} >= {"THRESHOLD_MINIMUM", "REQUIRED_SYMBOL_MISSING"} and "REQUIRED_CALL_MISSING" not in {i["code"] for i in strict["issues"]}
+    strict = H.report(t, H.Policy.of("strict", minima={"minCallResolutionRate": 0.9, "minTypeResolutionRate": 0.1}, required_symbols=(("app/a.py", "main"), ("app/a.py", "gone")), required_calls=(("main", "helper"),)))
+    assert not strict["healthy"] and {i["code"] for i in strict["issues"]} >= {"THRESHOLD_MIN_CALL_RESOLUTION_RATE", "THRESHOLD_MIN_TYPE_RESOLUTION_RATE", "REQUIRED_SYMBOL_MISSING"} and "REQUIRED_CALL_MISSING" not in {i["code"] for i in strict["issues"]}
 
 
 def test_span_rules(spark):
