@@ -144,15 +144,19 @@ def ownership(lines: DataFrame) -> DataFrame:
 
 
 def risk(commits: DataFrame, files: DataFrame, now: int) -> DataFrame:
-    """One row of recency, author and churn levels of a history, and the highest of them."""
+    """One row of recency, author and churn levels of a history, and the highest of them. Days are whole ones;
+    blank authors are no authors; without commits all is unknown."""
     per = files.groupBy(F.col("commit_sha").alias("sha")).agg(F.sum(F.greatest(F.coalesce("insertions", F.lit(0)), F.lit(0)) + F.greatest(F.coalesce("deletions", F.lit(0)), F.lit(0))).alias("c"))
-    one = commits.join(per, "sha", "left").agg(F.count("*").alias("commits"), F.countDistinct("author").alias("authors"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("churn"), ((F.lit(now) - F.max("timestamp")) / 86400).alias("days"))
+    named = F.when(F.trim("author", F.lit(" \t\r\n")) != "", F.col("author"))
+    days = F.greatest(F.lit(0), F.floor((F.lit(now) - F.max("timestamp")) / 86400)).cast("long")
+    one = commits.join(per, "sha", "left").agg(F.count("*").alias("commits"), F.countDistinct(named).alias("authors"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("churn"), F.when(F.count("timestamp") > 0, days).alias("days"))
     mean, spread = F.try_divide("churn", "commits"), F.try_divide("authors", "commits")
-    level = lambda high, medium: F.when(high, 2).when(medium, 1).otherwise(0)
+    level = lambda unknown, high, medium: F.when(unknown, 0).when(high, 3).when(medium, 2).otherwise(1)
+    none = F.col("commits") == 0
     levels = {
-        "recency": level(F.col("days") <= 14, F.col("days") <= 60),
-        "dispersion": level((F.col("authors") >= 5) | (spread >= 0.6), (F.col("authors") >= 3) | (spread >= 0.35)),
-        "churn_level": level((F.col("churn") >= 500) | (mean >= 120), (F.col("churn") >= 150) | (mean >= 40)),
+        "recency": level(F.col("days").isNull(), F.col("days") <= 14, F.col("days") <= 60),
+        "dispersion": level(none, (F.col("authors") >= 5) | (spread >= 0.6), (F.col("authors") >= 3) | (spread >= 0.35)),
+        "churn_level": level(none, (F.col("churn") >= 500) | (mean >= 120), (F.col("churn") >= 150) | (mean >= 40)),
     }
-    name = lambda c: F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), c + 1)
+    name = lambda c: F.element_at(F.array(*map(F.lit, ("unknown", "low", "medium", "high"))), c + 1)
     return one.select("commits", "authors", "churn", "days", *(name(v).alias(k) for k, v in levels.items()), name(F.greatest(*levels.values())).alias("overall"))

@@ -18,8 +18,9 @@ def _ends(symbols: DataFrame, files: DataFrame, side: str) -> DataFrame:
     return s.join(f, "_f").withColumnRenamed("_f", f"{side}_file_id")
 
 
-def listed(edges: DataFrame, symbols: DataFrame, files: DataFrame, source: str, target: str, order: str, resolved_only: bool = False, file_id: int | None = None, branch: str | None = None, methods: list[str] | None = None, limit: int = MOST_EDGES) -> DataFrame:
-    """Edges with both ends' names and paths; those whose target is set but not effective are left out."""
+def listed(edges: DataFrame, symbols: DataFrame, files: DataFrame, source: str, target: str, order: str, resolved_only: bool = False, file_id: int | None = None, branch: str | None = None, methods: list[str] | None = None, limit: int | None = MOST_EDGES) -> DataFrame:
+    """Edges with both ends' names and paths; those whose target is set but not effective are left out. Without
+    a limit they come unordered and whole."""
     src = _ends(symbols, files, "source").withColumnRenamed("source_id", source)
     dst = _ends(symbols, files, "target").withColumnRenamed("target_id", target)
     out = edges
@@ -32,7 +33,7 @@ def listed(edges: DataFrame, symbols: DataFrame, files: DataFrame, source: str,
     out = out.drop("layer", "generation").join(src, source).join(dst, target, "left").where(F.col(target).isNull() | F.col("target_name").isNotNull())
     if branch is not None:
         out = out.where(F.col("source_branch") == branch)
-    return out.orderBy(source, order, "id").limit(limit)
+    return out if limit is None else out.orderBy(source, order, "id").limit(limit)
 
 
 def calls(edges: DataFrame, symbols: DataFrame, files: DataFrame, **options) -> DataFrame:

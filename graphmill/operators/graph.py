@@ -28,10 +28,30 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, backward: bool = False
     out = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         level = level.join(steps, "node").select(F.col("next").alias("node")).distinct()
+        if 1 < d < depth:  # each level once, not again for all levels behind it
+            level = stored(level)
         out = out.unionByName(level.withColumn("depth", F.lit(d)))
     return out
 
 
+def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
+    """(node, depth) of all nodes that can be reached from the seeds, with the least depth. Each round stores
+    the new nodes only, and ends where there are none."""
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    steps = stored(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node is not null and next is not null").distinct())
+    seen = frontier = stored(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    d = 0
+    while True:
+        d += 1
+        new = frontier.select("node").join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+        frontier = stored(new.withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            drop_stored(steps)
+            return seen
+        seen, old = stored(seen.unionByName(frontier)), seen
+        drop_stored(old)
+
+
 def dependents(edges: DataFrame, seeds: DataFrame, depth: int = 5, line: str = "line") -> DataFrame:
     """Nodes that reach a seed within depth: (node, depth, line, method), depth and the others smallest. line
     and method are over all edges that leave the node, whether they lead to the seed or not."""
@@ -240,9 +260,11 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if ready.isEmpty():
             break
         part = ready.withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
+        before = (left, e)
+        out, old = stored(part if out is None else out.unionByName(part)), out
         left = stored(left.join(ready, "node", "left_anti"))
         e = stored(e.join(ready.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        drop_stored(old, ready, *before)
         level += 1
     return out if out is not None else left.withColumn("level", F.lit(0)).limit(0)
 

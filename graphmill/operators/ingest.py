@@ -18,7 +18,56 @@ DEFINITION_ROLE = 1
 CALL_SYNTAX = (15, 16, 17, 18)
 TYPE_SYNTAX = (19, 20)
 # fixed values: names of symbol kinds by number, where the index states one
-KINDS = {7: "class", 8: "constant", 9: "constructor", 11: "enum", 12: "enum_member", 15: "field", 17: "function", 21: "interface", 25: "macro", 26: "method", 29: "module", 30: "namespace", 33: "object", 35: "package", 37: "parameter", 41: "property", 42: "protocol", 49: "struct", 53: "trait", 54: "type", 55: "type_alias", 58: "type_parameter", 59: "union", 61: "variable"}
+KINDS = {
+    7: "class",
+    8: "constant",
+    9: "constructor",
+    11: "enum",
+    12: "enum_member",
+    15: "property",
+    17: "function",
+    18: "method",
+    21: "interface",
+    25: "macro",
+    26: "method",
+    27: "parameter",
+    29: "module",
+    30: "module",
+    35: "module",
+    36: "module",
+    37: "parameter",
+    38: "parameter",
+    41: "property",
+    42: "interface",
+    44: "parameter",
+    45: "method",
+    49: "class",
+    52: "parameter",
+    53: "interface",
+    54: "type_alias",
+    55: "type_alias",
+    56: "type_alias",
+    57: "type_alias",
+    58: "parameter",
+    60: "variable",
+    61: "variable",
+    64: "module",
+    66: "method",
+    67: "method",
+    68: "method",
+    69: "method",
+    70: "method",
+    71: "method",
+    72: "method",
+    74: "method",
+    75: "class",
+    76: "method",
+    77: "variable",
+    79: "property",
+    80: "method",
+    81: "property",
+    82: "variable",
+}
 
 
 def span(range_: Column, prefix: str) -> list[Column]:
@@ -64,7 +113,8 @@ def descriptors(symbol: str) -> list[tuple[str, str]]:
     return out
 
 
-SUFFIX_KIND = {"/": "namespace", "#": "class", ".": "variable", "().": "method", ":": "metadata", "!": "macro", "(": "parameter", "[": "type_parameter"}
+# fixed values: kinds by the suffix of a symbol string
+SUFFIX_KIND = {"/": "module", "#": "class", ".": "variable", "().": "method", ":": "property", "!": "macro", "(": "parameter", "[": "variable"}
 
 
 def symbol_parts(symbol: str | None) -> dict:
@@ -101,6 +151,18 @@ def reference_kind(symbol: Column, syntax: Column) -> Column:
     return F.when(syntax.isin(*CALL_SYNTAX), "call").when(syntax.isin(*TYPE_SYNTAX), "type").when(symbol.rlike(r"\)\.$"), "call").when(symbol.endswith("#"), "type").otherwise("skip")
 
 
+def hinted_kind(stated: Column, by_suffix: Column, doc: Column, symbol: Column) -> Column:
+    """The kind of a definition: the index's number, else the suffix of its symbol string; the documentation
+    tells interfaces from classes and, without a number, some others."""
+    said = lambda word: doc.contains(word)
+    interface = said("interface ") | said("trait ")
+    types = F.when(interface, "interface").when(said("enum "), "enum").when(said("type "), "type_alias").otherwise("class")
+    terms = F.when(said("(enum member)"), "enum_member").when(said("const "), "constant").when(said("(property)"), "property").when(symbol.rlike(r"\([0-9a-f]{8,}\)\.$"), "function").otherwise("variable")
+    calls = F.when(said("constructor"), "constructor").otherwise(by_suffix)
+    own = F.when(by_suffix.isin("method", "function"), calls).when(by_suffix == "class", types).when((by_suffix == "variable") & symbol.endswith("."), terms).otherwise(by_suffix)
+    return F.when((stated == "class") & interface, "interface").otherwise(F.coalesce(stated, own))
+
+
 def definitions(occurrences: DataFrame, infos: DataFrame) -> DataFrame:
     """Symbols of definition occurrences with spans (the enclosing range, if there), names and kinds. infos are
     (symbol, documentation, display_name, kind). Parts of each distinct symbol string are read once."""
@@ -115,7 +177,7 @@ def definitions(occurrences: DataFrame, infos: DataFrame) -> DataFrame:
         "file_id",
         F.col("symbol").alias("scip_symbol"),
         F.coalesce(F.nullif(F.col("info.display_name"), F.lit("")), F.col("p.name")).alias("name"),
-        F.coalesce(kinds[F.col("info.kind")], F.col("p.kind")).alias("kind"),
+        hinted_kind(kinds[F.col("info.kind")], F.col("p.kind"), F.coalesce(F.array_join("info.documentation", "\n"), F.lit("")), F.col("symbol")).alias("kind"),
         *span(body, ""),
         F.get("range", F.lit(0)).alias("selection_line"),
         F.get("range", F.lit(1)).alias("selection_character"),

@@ -23,6 +23,11 @@ def specific(edges: DataFrame, target: str, name: str) -> DataFrame:
     return edges.withColumnsRenamed({"target": target, "name": name, "method": "resolution_method"})
 
 
+def branched(df: DataFrame) -> DataFrame:
+    """df with its branch; a frame without one is all one branch."""
+    return df if "branch" in df.columns else df.withColumn("branch", F.lit(""))
+
+
 def _put(edges: DataFrame, found: DataFrame) -> DataFrame:
     """edges with target and method from found (id, t, m) where it has the id."""
     return edges.join(found, "id", "left").withColumns({"target": F.coalesce("t", "target"), "method": F.coalesce("m", "method")}).select(*edges.columns)
@@ -34,12 +39,15 @@ def by_definition(edges: DataFrame, symbols: DataFrame, files: DataFrame, dirty:
     within the span (end included), line within the span. The narrowest wins; a tie is ambiguous; a path that
     is not indexed is stale if dirty, else external."""
     normal = F.col("name") if normal is None else normal
+    files, dirty = branched(files), branched(dirty)
     open_ = edges.where("target is null and method = 'unresolved' and definition_path is not null and definition_line is not null")
     open_ = open_.select("id", "file_id", F.col("name").alias("n"), normal.alias("nn"), "definition_path", F.col("definition_line").alias("l"), F.col("definition_character").alias("c"))
-    here = files.groupBy(F.col("path").alias("definition_path")).agg(F.max("id").alias("f"))
-    known = open_.join(here, "definition_path", "left")
-    stale = dirty.select(F.col("path").alias("definition_path")).distinct().withColumn("d", F.lit(True))
-    outside = known.where("f is null").join(stale, "definition_path", "left").select("id", F.lit(None).cast("long").alias("t"), F.when(F.col("d"), "overlay_stale").otherwise("external_definition").alias("m"))
+    # a definition lies in the edge's own branch
+    own = files.select(F.col("id").alias("file_id"), F.col("branch").alias("_b"))
+    here = files.groupBy(F.col("path").alias("definition_path"), F.col("branch").alias("_b")).agg(F.max("id").alias("f"))
+    known = open_.join(own, "file_id", "left").join(here, ["definition_path", "_b"], "left")
+    stale = dirty.select(F.col("path").alias("definition_path"), F.col("branch").alias("_b")).distinct().withColumn("d", F.lit(True))
+    outside = known.where("f is null").join(stale, ["definition_path", "_b"], "left").select("id", F.lit(None).cast("long").alias("t"), F.when(F.col("d"), "overlay_stale").otherwise("external_definition").alias("m"))
     names = known.where("f is not null").withColumn("sname", F.explode(F.array_distinct(F.filter(F.array("n", "nn"), lambda x: x.isNotNull() & (x != "")))))
     s = symbols.select(F.col("id").alias("t"), F.col("file_id").alias("f"), F.col("name").alias("sname"), F.col("start_line").alias("s0"), F.col("end_line").alias("s1"), F.col("start_character").alias("c0"), F.col("end_character").alias("c1"), F.col("selection_line").alias("p0"), F.col("selection_character").alias("p1"))
     met = names.join(s, ["f", "sname"])
@@ -63,47 +71,52 @@ def by_definition(edges: DataFrame, symbols: DataFrame, files: DataFrame, dirty:
     return _put(edges, inside.unionByName(outside))
 
 
-def by_name(edges: DataFrame, symbols: DataFrame, normal: Column | None = None) -> DataFrame:
-    """Resolve by name: the only such symbol of the edge's file; else the only one anywhere that is no macro,
-    constant or enum member; else the first of several in one file. The normalised name counts where no symbol
-    has the name itself."""
-    every = symbols.groupBy("name").agg(
+def by_name(edges: DataFrame, symbols: DataFrame, normal: Column | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Resolve by name: the only such symbol of the edge's file; else the only one of its branch that is no
+    macro, constant or enum member; else the first of several in one file. The normalised name counts where no
+    symbol of the branch has the name itself. Without files, all is one branch."""
+    if files is None:
+        edges, symbols = edges.withColumn("_b", F.lit("")), symbols.withColumn("_b", F.lit(""))
+    else:
+        of = branched(files).select(F.col("id").alias("file_id"), F.col("branch").alias("_b"))
+        edges, symbols = edges.join(of, "file_id", "left").select(*edges.columns, "_b"), symbols.join(of, "file_id")
+    every = symbols.groupBy("_b", "name").agg(
         F.sum((~F.col("kind").isin(*NOT_ACROSS_FILES)).cast("int")).alias("n"),
         F.min(F.when(~F.col("kind").isin(*NOT_ACROSS_FILES), F.col("id"))).alias("first"),
         F.min(F.when(~F.col("kind").isin(*NOT_ACROSS_FILES), F.col("file_id"))).alias("f0"),
         F.max(F.when(~F.col("kind").isin(*NOT_ACROSS_FILES), F.col("file_id"))).alias("f1"),
     )
     own = symbols.groupBy("file_id", "name").agg(F.count("*").alias("k"), F.min("id").alias("own"))
-    open_ = edges.where("target is null and method = 'unresolved'").select("id", "file_id", "name")
+    open_ = edges.where("target is null and method = 'unresolved'").select("id", "file_id", "name", "_b")
     if normal is not None:
-        has = symbols.select("name").distinct().withColumn("_has", F.lit(True))
-        open_ = open_.withColumn("_n", normal).join(has, "name", "left").select("id", "file_id", F.when(F.col("_has") | (F.col("_n") == ""), F.col("name")).otherwise(F.col("_n")).alias("name"))
-    met = open_.join(every, "name").join(own, ["file_id", "name"], "left")
+        has = symbols.select("_b", "name").distinct().withColumn("_has", F.lit(True))
+        open_ = open_.withColumn("_n", normal).join(has, ["_b", "name"], "left").select("id", "file_id", "_b", F.when(F.col("_has") | (F.col("_n") == ""), F.col("name")).otherwise(F.col("_n")).alias("name"))
+    met = open_.join(every, ["_b", "name"]).join(own, ["file_id", "name"], "left")
     found = met.select(
         "id",
         F.when(F.col("k") == 1, F.col("own")).when((F.col("n") >= 1) & (F.col("f0") == F.col("f1")), F.col("first")).alias("t"),
         F.when(F.col("k") == 1, "name_same_file").when(F.col("n") == 1, "name_unique").when((F.col("n") > 1) & (F.col("f0") == F.col("f1")), "name_single_file").alias("m"),
     ).where("t is not null")
-    return _put(edges, found)
+    return _put(edges.drop("_b"), found)
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, dirty: DataFrame) -> DataFrame:
     e = generic(calls, "callee_id", "callee_name")
     e = by_definition(e, symbols, files, dirty, member_name("name"))
-    e = by_name(by_name(e, symbols), symbols, member_name("name"))
+    e = by_name(by_name(e, symbols, files=files), symbols, member_name("name"), files)
     return specific(e, "callee_id", "callee_name")
 
 
 def resolve_types(types: DataFrame, symbols: DataFrame, files: DataFrame, dirty: DataFrame) -> DataFrame:
     e = generic(types, "type_id", "type_name")
     e = by_definition(e, symbols, files, dirty, bare_type("name"))
-    e = by_name(by_name(e, symbols), symbols, bare_type("name"))
+    e = by_name(by_name(e, symbols, files=files), symbols, bare_type("name"), files)
     return specific(e, "type_id", "type_name")
 
 
 def resolve_relationships(relationships: DataFrame, symbols: DataFrame, files: DataFrame, dirty: DataFrame) -> DataFrame:
     e = generic(relationships, "target_symbol_id", "target_symbol_name")
-    e = by_name(by_definition(e, symbols, files, dirty, bare_type("name")), symbols, bare_type("name"))
+    e = by_name(by_definition(e, symbols, files, dirty, bare_type("name")), symbols, bare_type("name"), files)
     return specific(e, "target_symbol_id", "target_symbol_name")
 
 
@@ -119,9 +132,10 @@ def by_include(imports: DataFrame, files: DataFrame) -> DataFrame:
 
     imports are (id, path of the including file, raw)."""
     plain = F.regexp_replace(F.regexp_replace(F.translate(F.col("raw"), "\\", "/"), r'^[<"]|[>"]$', ""), r"^(\./)+|/+$", "")
-    want = imports.select("id", F.col("path").alias("src"), plain.alias("suffix")).where("suffix <> ''").where(~F.array_contains(F.split("suffix", "/"), ".."))
-    target = files.select(F.col("id").alias("t"), F.col("path").alias("dst"), F.explode(suffixes(F.ltrim(F.col("path"), F.lit("/")))).alias("suffix"))
-    met = want.join(target, "suffix")
+    one = F.lit("")
+    want = imports.select("id", (F.col("b") if "b" in imports.columns else one).alias("b"), F.col("path").alias("src"), plain.alias("suffix")).where("suffix <> ''").where(~F.array_contains(F.split("suffix", "/"), ".."))
+    target = files.select(F.col("id").alias("t"), (F.col("branch") if "b" in imports.columns else one).alias("b"), F.col("path").alias("dst"), F.explode(suffixes(F.ltrim(F.col("path"), F.lit("/")))).alias("suffix"))
+    met = want.join(target, ["suffix", "b"])
     a, b = F.split(F.ltrim(F.col("src"), F.lit("/")), "/"), F.split(F.ltrim(F.col("dst"), F.lit("/")), "/")
     da, db = F.slice(a, F.lit(1), F.size(a) - 1), F.slice(b, F.lit(1), F.size(b) - 1)
     same = F.zip_with(da, db, lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -133,6 +147,7 @@ def by_include(imports: DataFrame, files: DataFrame) -> DataFrame:
     return best.join(total, "id").where("b.k = 1").select("id", F.col("b.t").alias("t"), F.concat(kind, F.when(F.col("n") == 1, "unique").otherwise("nearest")).alias("m"))
 
 
+# fixed values: what an import of a script may mean, in order
 JS_PROBES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")
 JS_TO_TS = ((".js", ".ts"), (".jsx", ".tsx"), (".mjs", ".mts"), (".cjs", ".cts"))
 
@@ -187,23 +202,24 @@ def external(language: Column, raw: Column, go_module: str | None, crates: list[
 def resolve_imports(imports: DataFrame, files: DataFrame, root: str = "", go_module: str | None = None, crates: list[str] | None = None, include_paths: DataFrame | None = None) -> DataFrame:
     """imports with resolved_id and method: candidate paths by language against the indexed paths, then C
     include paths (file_id, position, dir), then ends of indexed paths, then external."""
-    f = files.select(F.col("id").alias("_f"), F.col("path").alias("_p"), "language")
-    open_ = imports.where("resolved_id is null and resolution_method = 'unresolved'").join(f, F.col("file_id") == F.col("_f")).select("id", "file_id", F.col("_p").alias("path"), "language", F.col("raw_import").alias("raw"))
+    files = branched(files)
+    f = files.select(F.col("id").alias("_f"), F.col("path").alias("_p"), "language", F.col("branch").alias("b"))
+    open_ = imports.where("resolved_id is null and resolution_method = 'unresolved'").join(f, F.col("file_id") == F.col("_f")).select("id", "file_id", "b", F.col("_p").alias("path"), "language", F.col("raw_import").alias("raw"))
     cand = F.array().cast("array<string>")
     for lang in LANGUAGES:
         cand = F.when(F.col("language") == lang, candidates(lang, F.col("raw"), F.col("path"), root, go_module)).otherwise(cand)
-    paths = files.groupBy(F.col("path").alias("c")).agg(F.max("id").alias("t"))
-    probed = open_.select("id", F.posexplode(cand).alias("pos", "c")).join(paths, "c").groupBy("id").agg(F.min(F.struct("pos", "t")).alias("b")).select("id", F.col("b.t").alias("t"), F.lit("filesystem_exact").alias("m"))
+    paths = files.groupBy(F.col("path").alias("c"), F.col("branch").alias("b")).agg(F.max("id").alias("t"))
+    probed = open_.select("id", "b", F.posexplode(cand).alias("pos", "c")).join(paths, ["c", "b"]).groupBy("id").agg(F.min(F.struct("pos", "t")).alias("b")).select("id", F.col("b.t").alias("t"), F.lit("filesystem_exact").alias("m"))
     found = probed
     if go_module:
         inside = (F.col("raw") == go_module) | F.col("raw").startswith(go_module + "/")
-        go = open_.where((F.col("language") == "go") & inside).select("id", F.concat(F.lit(root), F.expr(f"substring(raw, {len(go_module) + 1})")).alias("dir"))
-        first = files.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).select(directory(F.col("path")).alias("dir"), "path", "id").groupBy("dir").agg(F.min(F.struct("path", "id")).alias("x"))
-        found = found.unionByName(go.join(first.select("dir", F.col("x.id").alias("t")), "dir").select("id", "t", F.lit("filesystem_exact").alias("m")))
+        go = open_.where((F.col("language") == "go") & inside).select("id", "b", F.concat(F.lit(root), F.expr(f"substring(raw, {len(go_module) + 1})")).alias("dir"))
+        first = files.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).select(directory(F.col("path")).alias("dir"), F.col("branch").alias("b"), "path", "id").groupBy("dir", "b").agg(F.min(F.struct("path", "id")).alias("x"))
+        found = found.unionByName(go.join(first.select("dir", "b", F.col("x.id").alias("t")), ["dir", "b"]).select("id", "t", F.lit("filesystem_exact").alias("m")))
     c = open_.where("language in ('c', 'cpp')").join(found.select("id"), "id", "left_anti")
     bare = F.regexp_replace("raw", r'^[<"]|[>"]$', "")
     if include_paths is not None:
-        via = c.join(include_paths, "file_id").select("id", "position", normal_path(F.concat("dir", F.lit("/"), bare)).alias("c")).join(paths, "c").groupBy("id").agg(F.min(F.struct("position", "t")).alias("b")).select("id", F.col("b.t").alias("t"), F.lit("compilation_database").alias("m"))
+        via = c.join(include_paths, "file_id").select("id", "b", "position", normal_path(F.concat("dir", F.lit("/"), bare)).alias("c")).join(paths, ["c", "b"]).groupBy("id").agg(F.min(F.struct("position", "t")).alias("b")).select("id", F.col("b.t").alias("t"), F.lit("compilation_database").alias("m"))
         found = found.unionByName(via)
         c = c.join(via.select("id"), "id", "left_anti")
     found = found.unionByName(by_include(c, files))
@@ -243,13 +259,13 @@ def first_per_key(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
 def header_language(files: DataFrame, includes: DataFrame) -> DataFrame:
     """(path, language) of headers: what C and C++ units reach them by includes (src, dst), c, cpp or mixed;
     else the sources of the nearest directory above that has any, c, cpp or ambiguous; else unknown."""
-    from graphmill.operators.graph import reach
+    from graphmill.operators.graph import reachable
 
     unit = files.where("path not like '%.h'").where("language in ('c', 'cpp')").select("path", "language")
     heads = files.where("path like '%.h'").select("path")
     out = None
     for lang in ("c", "cpp"):
-        got = reach(includes, unit.where(F.col("language") == lang).select(F.col("path").alias("node")), 20).select(F.col("node").alias("path")).distinct().withColumn(lang, F.lit(True))
+        got = reachable(includes, unit.where(F.col("language") == lang).select(F.col("path").alias("node"))).select(F.col("node").alias("path")).withColumn(lang, F.lit(True))
         out = got if out is None else out.join(got, "path", "full_outer")
     reached = heads.join(out, "path", "left").select("path", F.when(F.col("c") & F.col("cpp"), "mixed").when(F.col("c"), "c").when(F.col("cpp"), "cpp").alias("by_include"))
     ups = lambda p: F.transform(F.sequence(F.lit(0), F.size(F.split(p, "/")) - 2), lambda n: F.array_join(F.slice(F.split(p, "/"), F.lit(1), n + 1), "/"))

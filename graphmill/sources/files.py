@@ -9,29 +9,49 @@ from graphmill.functions.columns import base_name, selected
 
 # fixed values: languages by file extension
 LANGUAGES = {
-    "typescript": ".ts .tsx .mts .cts",
-    "javascript": ".js .jsx .mjs .cjs",
-    "python": ".py .pyi",
-    "go": ".go",
-    "rust": ".rs",
-    "java": ".java",
-    "kotlin": ".kt .kts",
-    "scala": ".scala .sc",
-    "csharp": ".cs",
-    "c": ".c .h",
-    "cpp": ".cc .cpp .cxx .hpp .hh .hxx .C",
-    "ruby": ".rb",
-    "php": ".php",
-    "swift": ".swift",
-    "lua": ".lua",
-    "bash": ".sh .bash",
-    "elixir": ".ex .exs",
-    "haskell": ".hs",
-    "ocaml": ".ml .mli",
-    "zig": ".zig",
-    "dart": ".dart",
-    "elm": ".elm",
-    "objc": ".m",
+    ".c": "c",
+    ".C": "cpp",
+    ".h": "c",
+    ".rs": "rust",
+    ".py": "python",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".c++": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".hxx": "cpp",
+    ".h++": "cpp",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".go": "go",
+    ".java": "java",
+    ".cs": "csharp",
+    ".rb": "ruby",
+    ".php": "php",
+    ".swift": "swift",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".scala": "scala",
+    ".sc": "scala",
+    ".lua": "lua",
+    ".sh": "bash",
+    ".bash": "bash",
+    ".zsh": "bash",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".zig": "zig",
+    ".ml": "ocaml",
+    ".mli": "ocaml",
+    ".hs": "haskell",
+    ".jl": "julia",
+    ".elm": "elm",
+    ".m": "objc",
+    ".mm": "objc",
 }
 EXCLUDED = ("node_modules", ".git", "dist", "build", "coverage", ".next", "target", "__pycache__")
 # fixed values: files that mark a project's language at its root
@@ -39,10 +59,9 @@ MARKERS = {"package.json": "javascript", "tsconfig.json": "typescript", "go.mod"
 
 
 def language_of(path: Column | str) -> Column:
-    """By extension, case-sensitive (`.C` is C++, `.c` C); null if unknown."""
+    """By extension without regard to case, but for `.C`, which is C++; null if unknown."""
     ext = F.regexp_extract(base_name(path), r"(\.[^.]+)$", 1)
-    pairs = [F.lit(x) for lang, exts in LANGUAGES.items() for e in exts.split() for x in (e, lang)]
-    return F.create_map(*pairs)[ext]
+    return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.when(ext == ".C", ext).otherwise(F.lower(ext))]
 
 
 def excluded(path: Column | str, more: tuple[str, ...] = ()) -> Column:
@@ -52,13 +71,15 @@ def excluded(path: Column | str, more: tuple[str, ...] = ()) -> Column:
 
 def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """(path, language, size_bytes, last_hash, source, modified) of the known source files below root, paths
-    relative to it; hidden and excluded directories are left out, and of one physical file one path stays."""
+    relative to it; hidden and excluded directories are left out. Size and hash are of the file's bytes; bytes
+    that are no UTF-8 stand as replacement characters in source. Only files with a known extension are read."""
     root = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    names = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in LANGUAGES if e != ".C") + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + _quoted("/" + root.split(":", 1)[-1].strip("/")) + "/", "")
     found = raw.select(rel.alias("path"), "length", "modificationTime", "content").where(~excluded("path") & ~F.col("path").rlike(r"(^|/)\.[^/]"))
     found = found.where(selected("path", include or [], exclude)).withColumn("language", language_of("path")).where("language is not null")
-    return snapshot(found.select("path", "language", F.decode("content", "UTF-8").alias("source"), "modificationTime")).dropDuplicates(["path"])
+    return found.select("path", "language", F.make_valid_utf8(F.expr("cast(content as string)")).alias("source"), F.col("modificationTime").alias("modified"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("last_hash"))
 
 
 def _quoted(text: str) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 def parsed(df: DataFrame, parse: Callable[..., Iterable[dict]], columns: list[str], keep: list[str], schema: str) -> DataFrame:
     """keep and the fields of schema for every row that parse(*columns) gives."""
-    own = df.select(*keep, *columns)
+    own = df.select(*dict.fromkeys([*keep, *columns]))
     fields = T.StructType([*(own.schema[k] for k in keep), *T.StructType.fromDDL(schema)])
     names = [f.name for f in T.StructType.fromDDL(schema)]
 
@@ -176,7 +176,11 @@ def _yaml(text: str) -> dict:
 
 def masked_c(text: str | None) -> str:
     """C source with line continuations joined and comments blanked; strings and lines keep their places."""
-    text = (text or "").replace("\\\r\n", "").replace("\\\n", "")
+    return without_comments((text or "").replace("\\\r\n", "").replace("\\\n", ""))
+
+
+def without_comments(text: str) -> str:
+    """C source with comments blanked, those over several lines too; all else keeps its place."""
     token = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?', re.S)
     return token.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0].startswith(("//", "/*")) else m[0], text)
 
@@ -189,7 +193,7 @@ def c_includes(text: str | None) -> list[dict]:
 
 def c_macros(text: str | None) -> list[dict]:
     """#define rows: name, parameters, value, line and end_line (zero-based), and the conditions around."""
-    lines = (text or "").split("\n")
+    lines = without_comments(text or "").split("\n")
     out, conditions, i = [], [], 0
     while i < len(lines):
         first, line = i, lines[i]
@@ -197,7 +201,7 @@ def c_macros(text: str | None) -> list[dict]:
             i += 1
             line = line[:-1] + lines[i]
         i += 1
-        line = re.sub(r"//.*|/\*.*?\*/", " ", line).rstrip()
+        line = line.rstrip()
         m = re.match(r"\s*#\s*(\w+)\s*(.*)$", line)
         if not m:
             continue
@@ -243,6 +247,7 @@ def absolute(path: str, cwd: str) -> str:
 
 
 def unit_language(arguments: list[str], path: str) -> str:
+    """c or cpp by -x, -std, the tool and the extension; unknown if none of them tells."""
     for i, a in enumerate(arguments):
         x = arguments[i + 1] if a == "-x" and i + 1 < len(arguments) else a[2:] if a.startswith("-x") and len(a) > 2 else None
         if x:
@@ -250,18 +255,22 @@ def unit_language(arguments: list[str], path: str) -> str:
         if a.startswith("-std="):
             return "cpp" if "++" in a else "c"
     tool = arguments[0].rsplit("/", 1)[-1] if arguments else ""
-    return "cpp" if "++" in tool or re.search(r"\.(cc|cpp|cxx|C|hpp|hh)$", path) else "c"
+    if "++" in tool or re.search(r"\.(cc|cpp|cxx|c\+\+|C|hpp|hh|hxx|h\+\+)$", path):
+        return "cpp"
+    return "c" if path.endswith((".c", ".h")) else "unknown"
 
 
-def compile_commands(text: str | None) -> list[dict]:
-    """Units of a compilation database: path, language, includes and status (valid or why not)."""
+def compile_commands(text: str | None, folder: str | None = None) -> list[dict]:
+    """Units of a compilation database: path, language, includes and status (valid or why not). Entries
+    without a directory lie in the database's own folder, if that is given."""
     try:
         data = json.loads(text or "")
     except ValueError:
         return []
     out = []
     for e in data if isinstance(data, list) else []:
-        if not isinstance(e, dict) or not isinstance(e.get("file"), str) or not isinstance(e.get("directory"), str):
+        own = (e.get("directory") or folder) if isinstance(e, dict) else None
+        if not isinstance(own, str) or not isinstance(e.get("file"), str):
             out.append({"path": None, "language": None, "includes": [], "status": "incomplete"})
             continue
         args = e.get("arguments")
@@ -269,8 +278,8 @@ def compile_commands(text: str | None) -> list[dict]:
             args = args if isinstance(args, list) else shlex.split(e.get("command") or "")
         except ValueError:
             args = []
-        path = absolute(e["file"], e["directory"])
-        out.append({"path": path, "language": unit_language(args, path), "includes": include_paths(args, e["directory"]), "status": "valid" if args else "no command"})
+        path = absolute(e["file"], own)
+        out.append({"path": path, "language": unit_language(args, path), "includes": include_paths(args, own), "status": "valid" if args else "no command"})
     return out
 
 
