@@ -393,11 +393,6 @@ def symbol_sccs(spark, d):
     return G.strong_components(_call_edges(spark, d))
 
 
-@query()
-def topo_levels(spark, d):
-    return G.topological_levels(A.symbols(spark, d).select(F.col("id").alias("node")), _sparse(spark, d))
-
-
 @query()
 def clusters(spark, d):
     s = A.symbols(spark, d).select("id", "file_id", (F.col("end_line") - F.col("start_line") + 1).alias("lines"))
@@ -479,26 +474,7 @@ def internal_unresolved(spark, d):
     return H.internal_unresolved(A.calls(spark, d).withColumn("definition_path", F.lit(None).cast("string")), "callee_id", "callee_name", A.symbols(spark, d), A.files(spark, d)).select("id", "by")
 
 
-@query()
-def codebase_summary(spark, d):
-    s, f = A.symbols(spark, d), A.files(spark, d)
-    mods = f.select("language").distinct().select(F.abs(F.xxhash64("language")).alias("id"), F.col("language").alias("name"))
-    owners = f.select(F.col("id").alias("file_id"), F.abs(F.xxhash64("language")).alias("module_id"))
-    got = G.summary(s, f, _sparse(spark, d), owners, mods)
-    return spark.createDataFrame([(k, len(v) if isinstance(v, list) else v) for k, v in got.items()], "measure string, value long")
-
-
-# --- text extraction and streams
-
-
-@query("""SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS raw FROM pages""", raw=True)
-def include_extract(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("raw")).distinct()
-
-
-@query("SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.k') AS value FROM events", raw=True)
-def config_flatten(spark, d):
-    return A.table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+# --- streams
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1", raw=True)
