@@ -13,8 +13,14 @@ def effective_files(files: DataFrame, dirty: DataFrame, promoted: DataFrame, can
     if candidate:
         return files.where((F.col("layer") == "baseline") & (F.col("branch") == candidate[0]) & (F.col("generation") == candidate[1]))
     paths = dirty.select("path", "branch").distinct()
+    named = ["path", "branch"]
+    if "overlay_gen" in dirty.columns:  # of several overlay batches the one that the path names
+        paths_over = dirty.select("path", "branch", F.col("overlay_gen").alias("generation")).distinct()
+        named = [*named, "generation"]
+    else:
+        paths_over = paths
     base = files.where("layer = 'baseline'").join(paths, ["path", "branch"], "left_anti").join(promoted.select("branch", "generation"), ["branch", "generation"], "left_semi")
-    over = files.where("layer = 'overlay'").join(paths, ["path", "branch"], "left_semi")
+    over = files.where("layer = 'overlay'").join(paths_over, named, "left_semi")
     return base.select(*files.columns).unionByName(over.select(*files.columns))
 
 

@@ -1,8 +1,11 @@
 """Materialising frames in the shared folder, and the generation store of an index.
 
-Layout of an index: <root>/tables/<table>/layer=<l>/generation=<g>/*.parquet for layered tables, and
-<root>/tables/<table>/v=<n> with a pointer for the others. Readers see a promoted generation only, since the
-pointer is one small file that is replaced last.
+Layout of an index: <root>/tables/<table>/layer=<l>/generation=<g>/*.parquet. A generation's folder is written
+once. The state (promoted generations, dirty paths, meta data) is one small file for each change,
+<root>/state/<number>.json: readers take the one of the highest number, and a writer adds the next one by a
+rename, which fails where another writer was first. So a reader, or a crash at any point, sees the old state or
+the new one. Overlay batches are folders of their own (generation 0 and up of the overlay layer); which batch a
+dirty path's rows come from is part of the state.
 """
 
 from __future__ import annotations
@@ -57,6 +60,10 @@ def drop_stored(*frames: DataFrame | None) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: States that stay beside the newest, for readers that have just listed them.
+KEPT_STATES = 5
+
+
 class Files:
     """Small files of an index through Hadoop's file system, so that any store works."""
 
@@ -76,27 +83,19 @@ class Files:
             return None
         return self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()[0]
 
-    def write(self, name: str, text: str) -> None:
-        """Replace a file: written beside it, then renamed."""
-        tmp = self.path(f"{name}.{uuid.uuid4().hex}")
+    def add(self, name: str, text: str) -> bool:
+        """Put a new file in place by a rename, whole or not at all; false if there is one of the name."""
+        if self.exists(name):
+            return False
+        tmp = self.path(f"tmp-{uuid.uuid4().hex}")
         out = self.fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self.path(name), False)
-        if not self.fs.rename(tmp, self.path(name)):
-            raise OSError(f"cannot replace {name}")
-
-    def create_new(self, name: str, text: str) -> bool:
-        """Create a file only if it does not exist."""
-        try:
-            out = self.fs.create(self.path(name), False)
-        except Exception as e:
-            if "exist" in str(e):
-                return False
-            raise
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
+        self.fs.mkdirs(self.path(name).getParent())
+        done = not self.exists(name) and self.fs.rename(tmp, self.path(name))
+        if not done:
+            self.fs.delete(tmp, False)
+        return done
 
     def delete(self, name: str) -> bool:
         return self.fs.delete(self.path(name), True)
@@ -111,17 +110,29 @@ class Index:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
 
-    # state: promoted generations, dirty paths and meta data, in one small file
+    def _numbers(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names("state") if n.endswith(".json"))
+
     def state(self) -> dict:
-        text = self.files.read("state.json")
-        return json.loads(text) if text else {"version": schema.VERSION, "promoted": {}, "dirty": {}, "meta": {}, "sequence": 0}
+        """The state of the highest number; `number` is that number, 0 for an index without any."""
+        for n in reversed(self._numbers()):
+            text = self.files.read(f"state/{n:012d}.json")
+            if text:
+                return json.loads(text) | {"number": n}
+        return {"version": schema.VERSION, "promoted": {}, "dirty": {}, "meta": {}, "sequence": 0, "batches": 0, "number": 0}
 
     def _save(self, state: dict) -> None:
-        self.files.write("state.json", json.dumps(state, sort_keys=True))
+        """Add the state that follows `state`; raises where another writer has added one since it was read."""
+        n = state["number"] + 1
+        if not self.files.add(f"state/{n:012d}.json", json.dumps({k: v for k, v in state.items() if k != "number"}, sort_keys=True)):
+            raise RuntimeError("another writer changed the index")
+        state["number"] = n
+        for old in self._numbers()[:-KEPT_STATES]:
+            self.files.delete(f"state/{old:012d}.json")
 
     def acquire(self, owner: str) -> int:
         """Claim the writer's lease and its fencing number; fails while another owner holds it."""
-        if not self.files.create_new("writer.lock", owner) and self.files.read("writer.lock") != owner:
+        if not self.files.add("writer.lock", owner) and self.files.read("writer.lock") != owner:
             raise RuntimeError("another writer holds the index")
         state = self.state()
         state["writer"] = state.get("writer", 0) + 1
@@ -166,17 +177,25 @@ class Index:
         self._save(state)
         return True
 
-    def mark_dirty(self, paths: list[str], branch: str, now: int) -> None:
+    def mark_dirty(self, paths: list[str], branch: str, now: int, batch: int = 0) -> None:
+        """The paths' overlay rows are those of the batch, from now on."""
         state = self.state()
         for p in paths:
-            state["dirty"].setdefault(json.dumps([p, branch]), now)
+            since, _ = state["dirty"].get(json.dumps([p, branch]), (now, 0))
+            state["dirty"][json.dumps([p, branch])] = (since, batch)
+        state["batches"] = max(state["batches"], batch)
         self._save(state)
 
+    def next_batch(self) -> int:
+        """A number for an overlay batch above every one written, whether the state knows it or not."""
+        written = [int(g.partition("=")[2]) for t in self.files.names("tables") for g in self.files.names(f"tables/{t}/layer=overlay") if g.startswith("generation=")]
+        return max([0, self.state()["batches"], *written]) + 1
+
     def baseline_generations(self) -> DataFrame:
         return self.spark.createDataFrame(list(self.state()["promoted"].items()), schema.struct("baseline_generations"))
 
     def dirty_files(self) -> DataFrame:
-        rows = [(*json.loads(k), v, 0) for k, v in self.state()["dirty"].items()]
+        rows = [(*json.loads(k), *v) for k, v in self.state()["dirty"].items()]
         return self.spark.createDataFrame(rows, schema.struct("dirty_files"))
 
     def clean_up(self, keep: set[int] | None = None) -> list[str]:
@@ -189,14 +208,16 @@ class Index:
                 if g.startswith("generation=") and int(g.partition("=")[2]) not in live:
                     self.files.delete(f"tables/{t}/layer=baseline/{g}")
                     gone.append(f"{t}/{g}")
-            if not state["dirty"] and self.files.exists(f"tables/{t}/layer=overlay"):
-                self.files.delete(f"tables/{t}/layer=overlay")
-                gone.append(f"{t}/overlay")
+            used = {batch for _, batch in state["dirty"].values()}
+            for g in self.files.names(f"tables/{t}/layer=overlay"):
+                if g.startswith("generation=") and int(g.partition("=")[2]) not in used:
+                    self.files.delete(f"tables/{t}/layer=overlay/{g}")
+                    gone.append(f"{t}/overlay/{g}")
         return gone
 
     def freshness(self, now: int | None = None) -> dict:
         """source (baseline, or mixed with dirty paths), age of the oldest dirty path, their number."""
-        dirty = self.state()["dirty"].values()
+        dirty = [since for since, _ in self.state()["dirty"].values()]
         now = int(time.time()) if now is None else now
         return {"source": "mixed" if dirty else "baseline", "age_seconds": now - min(dirty) if dirty else 0, "dirty_files": len(dirty)}
 
@@ -204,9 +225,9 @@ class Index:
 def open_index(spark: SparkSession, root: str) -> Index:
     """An index for reading; its version and tables must be current."""
     index = Index(spark, root)
-    text = index.files.read("state.json")
+    state = index.state()
     found = {t: index.raw(t).schema for t in index.files.names("tables")}
-    status = schema.inspect(found | {t: schema.struct(t) for t in schema.TABLES if t not in found}, json.loads(text)["version"] if text else None)
+    status = schema.inspect(found | {t: schema.struct(t) for t in schema.TABLES if t not in found}, state["version"] if state["number"] else None)
     if status != "current":
         raise RuntimeError(f"index is {status}")
     return index

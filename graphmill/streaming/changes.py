@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from graphmill.storage import Index, stored
+from graphmill.storage import Index, drop_stored, stored
 
 
 def latest(changes: DataFrame, key: list[str], order: str, tie: str | None = None) -> DataFrame:
@@ -35,29 +35,25 @@ def counts(events: DataFrame, key: list[str], time: str, size: str, slide: str |
 
 
 def update_overlay(index: Index, batch: DataFrame, branch: str, now: int, apply: Callable[[Index, DataFrame], None] | None = None) -> list[str]:
-    """One micro-batch of changed paths (path, source, deleted, seq): new overlay rows replace those of the
-    paths, sources that did not change are skipped, and the paths become dirty; a deleted path keeps no row."""
+    """One micro-batch of changed paths (path, source, deleted, seq): their new rows are written as an overlay
+    batch of their own, sources that did not change are skipped, and the paths, which the state then names with
+    the batch, become dirty; a deleted path has no row. Nothing that readers use is overwritten, and until the
+    state is added they see the batch before. Ids come from branch and path, so that a batch delivered again
+    gives the same rows."""
     last = latest(batch, ["path"], "seq").withColumn("last_hash", F.sha2(F.coalesce("source", F.lit("")), 256))
-    files = index.raw("files")
-    seen = visible(index).where(F.col("branch") == branch).select("path", F.col("last_hash").alias("_h"))
-    fresh = last.join(seen, "path", "left").where("deleted or _h is null or _h <> last_hash").drop("_h").persist()
-    try:
-        paths = [r[0] for r in fresh.select("path").toLocalIterator()]
-        if not paths:
-            return []
-        old = files.where((F.col("layer") == "overlay") & ~((F.col("branch") == branch) & F.col("path").isin(paths)) if len(paths) < 1000 else F.col("layer") == "overlay")
-        if len(paths) >= 1000:
-            old = old.join(fresh.select("path").withColumn("branch", F.lit(branch)), ["path", "branch"], "left_anti")
-        top = files.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = fresh.where("not deleted").select((F.lit(top) + 1 + F.monotonically_increasing_id()).alias("id"), "path", F.lit(branch).alias("branch"), "language", F.octet_length("source").cast("long").alias("size_bytes"), "last_hash", "source", F.lit(now).cast("long").alias("indexed_at"), F.lit("overlay").alias("layer"), F.lit(0).cast("long").alias("generation"))
-        merged = stored(old.select(*files.columns).unionByName(new.select(*files.columns)))  # it replaces what it reads
-        index.write("files", merged, "overlay", 0)
-        index.mark_dirty(paths, branch, now)
+    seen = visible(index).where(F.col("branch") == branch).select("path", F.col("last_hash").alias("_h"), F.lit(True).alias("_in"))
+    fresh = stored(last.join(seen, "path", "left").where("(deleted and _in) or (not deleted and (_h is null or _h <> last_hash))").drop("_h", "_in"))
+    # the paths of one micro-batch, which maxFilesPerTrigger bounds, go into the state
+    paths = [r[0] for r in fresh.select("path").orderBy("path").toLocalIterator()]
+    if paths:
+        number = index.next_batch()
+        own = F.abs(F.xxhash64(F.lit(branch), "path", F.lit(number)))
+        index.write("files", fresh.where("not deleted").select(own.alias("id"), "path", F.lit(branch).alias("branch"), "language", F.octet_length("source").cast("long").alias("size_bytes"), "last_hash", "source", F.lit(now).cast("long").alias("indexed_at")), "overlay", number)
+        index.mark_dirty(paths, branch, now, number)
         if apply:
             apply(index, fresh)
-        return sorted(paths)
-    finally:
-        fresh.unpersist()
+    drop_stored(fresh)
+    return paths
 
 
 def visible(index: Index) -> DataFrame:

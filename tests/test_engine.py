@@ -60,12 +60,52 @@ def test_rejected_and_failed_builds_change_nothing(spark, index):
 
     with pytest.raises(ValueError):
         B.build(index, tables(spark), "main", stages=[B.Step("x", fail)])
-    assert [r["status"] for r in json.loads(index.files.read("runs.json"))] == ["rejected", "failed"]
+    assert [r["status"] for r in B.runs(index)] == ["rejected", "failed"]
     index.acquire("me")
     with pytest.raises(RuntimeError):
         index.acquire("you")
 
 
+def test_crashes_leave_the_old_or_the_new_state(spark, index, monkeypatch):
+    B.build(index, tables(spark), "main", clock=lambda: 100)
+    change = spark.createDataFrame([("app/a.py", "python", "new\n", False, 1)], X.CHANGE)
+    old = {r.path: r.source for r in X.visible(index).collect()}
+    whole = [(Index, "write"), (Index, "mark_dirty"), (Index, "_save"), (type(index.files), "add")]
+    for owner, name in whole:  # each step fails before it does anything
+        with monkeypatch.context() as m:
+            m.setattr(owner, name, lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                X.update_overlay(index, change, "main", 200)
+        assert {r.path: r.source for r in X.visible(index).collect()} == old
+    X.update_overlay(index, change, "main", 200)
+    new = {r.path: (r.id, r.source) for r in X.visible(index).collect()}
+    assert new["app/a.py"][1] == "new\n" and new.keys() == old.keys()
+    assert X.update_overlay(index, change, "main", 201) == []  # delivered again
+    assert {r.path: (r.id, r.source) for r in X.visible(index).collect()} == new
+    stale = index.state()
+    index.mark_dirty(["x"], "main", 1)
+    with pytest.raises(RuntimeError, match="another writer"):
+        index._save(stale)
+
+
+def test_build_from_sources(spark, index, tmp_path):
+    root = tmp_path / "src"
+    for path, text in {"go.mod": "module example.org/m\n", "pkg/a.go": "package a\n", "main.go": "package main\n", "c/a.c": '#include "x.h"\n#include <lib.h>\n', "c/x.h": "int f();\n", "inc/lib.h": "int g();\n", "bad.py": b"caf\xe9\n", "r/Cargo.toml": '[package]\nname = "my-crate"\n', "node_modules/n.py": "x"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(text if isinstance(text, bytes) else text.encode())
+    units = spark.createDataFrame([("c/a.c", ["/inc"])], "path string, includes array<string>")
+    assert B.build_sources(index, str(root), "main", units=units, clock=lambda: 9)["status"] == "success"
+    f = {r.path: r for r in index.raw("files").collect()}
+    assert set(f) == {"pkg/a.go", "main.go", "c/a.c", "c/x.h", "inc/lib.h", "bad.py"} and f["bad.py"].source == "caf\ufffd\n"
+    got = {r.raw_import: (r.resolved_id, r.resolution_method) for r in index.raw("file_imports").collect()}
+    assert got["x.h"] == (f["c/x.h"].id, "filesystem_exact") and got["<lib.h>"][0] == f["inc/lib.h"].id
+    p = B.Project.of(B.manifests(spark, str(root)))
+    assert p.go_module == "example.org/m" and p.crates == ("my_crate",)
+    imports = schema.conform(spark.createDataFrame([(1, f["main.go"].id, "example.org/m/pkg"), (2, f["main.go"].id, "fmt")], "id long, file_id long, raw_import string"), "file_imports")
+    t = B.ingest_imports({"files": index.raw("files"), "file_imports": imports}, p)["file_imports"]
+    assert {r.raw_import: (r.resolved_id, r.resolution_method) for r in t.collect()} == {"example.org/m/pkg": (f["pkg/a.go"].id, "filesystem_exact"), "fmt": (None, "external_dependency")}
+
+
 def test_stream_of_changes(spark, index, tmp_path):
     B.build(index, tables(spark), "main")
     inbox = tmp_path / "inbox"
