@@ -781,3 +781,44 @@ def one_hop_edges(spark, d):
     e = _call_edges(spark, d)
     top = e.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("node"))
     return G.bfs_edges(e, top, 1, 1000, backward=True)
+
+
+@query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'license')) AS f FROM t), g AS (SELECT count(*) AS docs, avg(n) AS a, count(*) FILTER (WHERE f > 0) AS df FROM c)
+    SELECT doc_id, round(-ln((docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / a)), 6) AS score FROM c, g WHERE f > 0""", raw=True)
+def bm25_postings(spark, d):
+    terms, lengths = S.postings(A.table(spark, d, "documents"), ["text"], "doc_id")
+    return S.bm25_from(terms, lengths, "License", "doc_id", None).withColumns(r6("score"))
+
+
+@query("SELECT sha, message AS text FROM commits WHERE CAST(sha AS BIGINT) % 4 = 1")
+def commit_embedding_texts(spark, d):
+    c = A.commits(spark, d).withColumn("message", F.when(F.expr("cast(sha as long) % 4 = 0"), " ").otherwise(F.col("message")))
+    return S.commit_texts(c, c.where("cast(sha as long) % 4 > 1"))
+
+
+@query("""SELECT n, id FROM (SELECT 0 AS n, vec_id AS id, row_number() OVER (ORDER BY sqrt(list_sum(list_transform(list_zip(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = 2)), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), vec_id) AS r FROM embeddings) WHERE r <= 12""", raw=True)
+def graph_semantic_nodes(spark, d):
+    from graphmill.plans import tools
+
+    v = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.where("id = 2").first()["embedding"]
+    e = tools.Engine({"symbols": A.symbols(spark, d), "files": A.files(spark, d), "symbol_refs": A.calls(spark, d)}, vectors=v, embed=lambda _: q)
+    got = tools.graph(e, limit=1, mode="semantic", query="x", semantic_limit=12)
+    assert got["mode_used"] == "semantic"
+    return spark.createDataFrame([(0, r["id"]) for r in got["semantic_nodes"]], "n int, id long")
+
+
+@query("SELECT 1 AS layer_rows, path, 'b' AS source FROM files WHERE id % 10 = 0 AND id % 30 <> 0 UNION ALL SELECT 1, path, 'a' FROM files WHERE id % 10 <> 0")
+def overlay_batches(spark, d):
+    from graphmill.storage import Index, scratch
+
+    index = Index(spark, scratch(spark, "-index"))
+    f = A.files(spark, d).withColumn("source", F.lit("a")).drop("layer", "generation")
+    g = index.reserve("main")
+    index.write("files", f.withColumn("last_hash", F.sha2("source", 256)), "baseline", g)
+    index.promote("main", g)
+    change = lambda df, text, seq, gone: df.select("path", "language", F.lit(text).alias("source"), F.lit(gone).alias("deleted"), F.lit(seq).cast("long").alias("seq"))
+    X.update_overlay(index, change(f.where("id % 10 = 0"), "first", 1, False), "main", 5)
+    X.update_overlay(index, change(f.where("id % 10 = 0"), "b", 2, False), "main", 6)
+    X.update_overlay(index, change(f.where("id % 30 = 0"), None, 3, True), "main", 7)
+    return X.visible(index).groupBy("path", "source").agg(F.count("*").cast("int").alias("layer_rows"))

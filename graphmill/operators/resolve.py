@@ -213,7 +213,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, root: str = "", go_mod
     found = probed
     if go_module:
         inside = (F.col("raw") == go_module) | F.col("raw").startswith(go_module + "/")
-        go = open_.where((F.col("language") == "go") & inside).select("id", "b", F.concat(F.lit(root), F.expr(f"substring(raw, {len(go_module) + 1})")).alias("dir"))
+        go = open_.where((F.col("language") == "go") & inside).select("id", "b", F.expr(f"substring(raw, {len(go_module) + (1 if root else 2)})").alias("below")).select("id", "b", F.concat(F.lit(root), "below").alias("dir"))
         first = files.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).select(directory(F.col("path")).alias("dir"), F.col("branch").alias("b"), "path", "id").groupBy("dir", "b").agg(F.min(F.struct("path", "id")).alias("x"))
         found = found.unionByName(go.join(first.select("dir", "b", F.col("x.id").alias("t")), ["dir", "b"]).select("id", "t", F.lit("filesystem_exact").alias("m")))
     c = open_.where("language in ('c', 'cpp')").join(found.select("id"), "id", "left_anti")

@@ -19,14 +19,61 @@ K1, B = 1.2, 0.75
 ROOT = 60
 
 
+def _folding() -> tuple[str, str]:
+    """Latin letters with marks, and the letters without them."""
+    pairs = [(chr(c), d) for c in range(0xC0, 0x250) if (d := unicodedata.normalize("NFD", chr(c))[0]) != chr(c) and d.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _folding()
+_MARKS = str.maketrans(MARKED, PLAIN)
+
+
 def tokens(c: Column | str) -> Column:
-    """Words of letters and digits in lower case, as an array; anything else separates."""
+    """Words of letters and digits in lower case, without marks on Latin letters, as an array; anything else
+    separates."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(F.translate(F.regexp_replace(c, r"[\u0300-\u036F]", ""), MARKED, PLAIN)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
 def query_tokens(text: str) -> list[str]:
-    return [t for t in re.split(r"[\W_]+", text.lower()) if t]
+    plain = re.sub("[\u0300-\u036f]", "", text).translate(_MARKS).lower()
+    return [t for t in re.split(r"[\W_]+", plain) if t]
+
+
+def postings(docs: DataFrame, columns: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(term, key, positions) and (key, len) of documents: what bm25_from needs, made once for all queries.
+    Columns follow one another with a gap, so that no phrase reaches from one into the next."""
+    words = F.concat(*[x for c in columns for x in (tokens(F.coalesce(c, F.lit(""))), F.array(F.lit("")))])
+    flat = docs.select(key, F.posexplode(words).alias("pos", "term"))
+    length = docs.select(key, sum((F.size(tokens(F.coalesce(c, F.lit("")))) for c in columns), F.lit(0)).alias("len"))
+    return flat.where("term <> ''").groupBy("term", key).agg(F.array_sort(F.collect_list("pos")).alias("positions")), length
+
+
+def bm25_from(terms: DataFrame, lengths: DataFrame, query: str, key: str = "id", limit: int | None = 20) -> DataFrame:
+    """bm25() over postings: only the rows of the query's terms are read, which Parquet that is sorted by term
+    prunes; a phrase's places come from its terms' positions."""
+    want = query_tokens(query)
+    if not want:
+        return lengths.select(key, F.lit(0.0).alias("score")).limit(0)
+    hits = None
+    for k, term in enumerate(want):
+        own = terms.where(F.col("term") == term).select(key, F.transform("positions", lambda p: p - k).alias(f"p{k}"))
+        hits = own if hits is None else hits.join(own, key)
+    places = F.col("p0")
+    for k in range(1, len(want)):
+        places = F.array_intersect(places, F.col(f"p{k}"))
+    found = hits.select(key, F.size(places).alias("f")).where("f > 0")
+    total = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    df = found.agg(F.count("*").alias("df"))
+    return _scored(found.join(lengths, key).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(df)), key, limit)  # one row each
+
+
+def _scored(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+    out = rows.select(key, (-idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))).alias("score"))
+    return out.orderBy("score", key).limit(limit) if limit else out
 
 
 def documents(symbols: DataFrame) -> DataFrame:
@@ -61,11 +108,7 @@ def bm25(docs: DataFrame, query: str, columns: list[str], key: str = "id", limit
             hits = hits + ((F.length(joined) - F.length(F.replace(joined, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
     own = docs.select(key, length.alias("len"), hits.alias("f"))
     total = own.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), F.sum((F.col("f") > 0).cast("int")).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    score = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    out = own.where("f > 0").crossJoin(F.broadcast(total)).select(key, score.alias("score"))  # total: one row
-    return out.orderBy("score", key).limit(limit) if limit else out
+    return _scored(own.where("f > 0").crossJoin(F.broadcast(total)), key, limit)  # total: one row
 
 
 def prefix_fallback(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -167,6 +210,12 @@ def symbol_texts(symbols: DataFrame) -> DataFrame:
     return symbols.where(some).select("id", structural_text("signature", "resolved_type_signature", "resolved_return_type", "name").alias("text"))
 
 
+def commit_texts(commits: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(sha, text) of commits whose message is not blank and which have no vector yet."""
+    own = commits.where(F.trim("message", F.lit(" \t\r\n")) != "").select("sha", F.col("message").alias("text"))
+    return own if known is None else own.join(known.select("sha"), "sha", "left_anti")
+
+
 class QueryCache:
     """Embeddings of recent queries, bounded in number and age."""
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -13,8 +15,12 @@ from pyspark.sql import functions as F
 
 from graphmill import schema
 from graphmill.operators import edges as E
+from graphmill.operators import ingest as N
 from graphmill.operators import resolve as R
+from graphmill.operators import retrieval as S
 from graphmill.operators.health import Policy, report
+from graphmill.sources import files as W
+from graphmill.sources import texts as T
 from graphmill.storage import Index, replace, stored
 
 Tables = dict[str, DataFrame]
@@ -33,8 +39,83 @@ class Step:
         self.name, self.run = name, run
 
 
-def ingest_imports(t: Tables) -> Tables:
-    return {"file_imports": R.resolve_imports(t["file_imports"], t["files"])}
+@dataclass(frozen=True)
+class Project:
+    """What a project's own files say about its imports."""
+
+    root: str = ""
+    go_module: str | None = None
+    crates: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, files: DataFrame, root: str = "") -> Project:
+        """From the manifests (path, source) at the root and, for crates, anywhere below."""
+        own = {r["path"]: r["source"] or "" for r in files.where(F.col("path").rlike(r"(^|/)(go\.mod|Cargo\.toml)$")).select("path", "source").orderBy("path").toLocalIterator()}
+        at = f"{root}/go.mod" if root else "go.mod"
+        module = re.search(r"^module\s+(\S+)", own.get(at, ""), re.M)
+        crates = [m[1].replace("-", "_") for p, text in own.items() if p.endswith("Cargo.toml") and (m := re.search(r'^\[package\][^\[]*?^name\s*=\s*"([^"]+)"', text, re.M | re.S))]
+        return cls(root, module[1] if module else None, tuple(sorted(set(crates))))
+
+
+def scan_imports(files: DataFrame) -> DataFrame:
+    """Literal includes of C and C++ sources as unresolved imports; ids come from file and place."""
+    own = files.where("language in ('c', 'cpp')").select(F.col("id").alias("file_id"), "source")
+    got = T.parsed(own, T.c_includes, ["source"], ["file_id"], "position int, raw_import string")
+    return schema.conform(got.select(F.abs(F.xxhash64("file_id", "position")).alias("id"), "file_id", "raw_import"), "file_imports")
+
+
+def scanned(spark, root: str, branch: str, now: int) -> DataFrame:
+    """The files table of a source tree; ids come from branch and path."""
+    own = W.walk(spark, root)
+    return schema.conform(own.select(F.abs(F.xxhash64(F.lit(branch), "path")).alias("id"), "path", F.lit(branch).alias("branch"), "language", "size_bytes", "last_hash", "source", F.lit(now).alias("indexed_at")), "files")
+
+
+def manifests(spark, root: str) -> DataFrame:
+    """(path, source) of the manifests below a source tree."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{go.mod,Cargo.toml}").load(root)
+    at = root.rstrip("/").split(":", 1)[-1].strip("/")
+    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + W._quoted("/" + at) + "/", "")
+    return raw.select(rel.alias("path"), F.make_valid_utf8(F.expr("cast(content as string)")).alias("source"))
+
+
+def ingest_occurrences(occurrences: DataFrame, infos: DataFrame, files: DataFrame) -> Tables:
+    """Symbols, calls and type uses of an index's occurrences (file_id, range, symbol, symbol_roles,
+    enclosing_range, syntax_kind), with targets by symbol string; ids come from symbol and place."""
+    defs = N.definitions(occurrences, infos)
+    made = defs.withColumn("id", F.abs(F.xxhash64("file_id", "scip_symbol", "start_line", "start_character")))
+    main = N.canonical(made, files).select(F.col("scip_symbol").alias("symbol"), F.col("id").alias("target"), F.col("name").alias("target_name"))
+    parents = main.select(F.col("symbol").alias("parent_symbol"), F.col("target").alias("parent_symbol_id"))
+    symbols = schema.conform(made.join(parents, "parent_symbol", "left").withColumns({"signature": F.coalesce("signature", F.lit("")), "is_exported": F.lit(True)}), "symbols")
+    refs = N.references(occurrences, symbols).join(main, "symbol", "left").where("caller_id is not null")
+    shown = F.coalesce("target_name", F.regexp_replace(F.regexp_extract("symbol", r"([^/#.:]+)[#.:]*$", 1), r"\(.*$", ""))
+    method = F.when(F.col("target").isNotNull(), "scip_definition").otherwise("external_definition")
+    calls = refs.where("kind = 'call'").select(F.abs("point_id").alias("id"), "caller_id", "file_id", F.col("target").alias("callee_id"), shown.alias("callee_name"), F.col("line").alias("call_line"), F.col("character").alias("call_character"), F.lit("direct").alias("call_kind"), method.alias("resolution_method"))
+    types = refs.where("kind = 'type'").select(F.abs("point_id").alias("id"), "file_id", F.col("caller_id").alias("symbol_id"), F.col("target").alias("type_id"), shown.alias("type_name"), shown.alias("type_name_bare"), F.lit("other").alias("ref_kind"), F.col("line").alias("ref_line"), F.col("character").alias("ref_character"), method.alias("resolution_method"))
+    return {"symbols": symbols, "symbol_refs": schema.conform(calls, "symbol_refs"), "type_refs": schema.conform(types, "type_refs")}
+
+
+def build_sources(index: Index, root: str, branch: str, occurrences: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, units: DataFrame | None = None, clock: Callable[[], float] = time.time, policy: Policy | None = None) -> dict:
+    """Build a generation from a source tree: files, includes, the project's manifests, and what `occurrences`
+    gives for the files table, if there is an index of compiler facts (occurrences and infos). units (path,
+    includes) are those of a compilation database."""
+    spark = index.spark
+    files = stored(scanned(spark, root, branch, int(clock())))
+    tables: Tables = {"files": files, "file_imports": scan_imports(files)}
+    if occurrences is not None:
+        tables |= ingest_occurrences(*occurrences(files), files)
+    project = Project.of(manifests(spark, root))
+    lists = R.include_lists(units, files) if units is not None else None
+    return build(index, tables, branch, policy=policy, clock=clock, stages=[Step("imports", lambda t: ingest_imports(t, project, lists)), *STAGES[1:], Step("search", search_tables)])
+
+
+def search_tables(t: Tables) -> Tables:
+    """Full-text rows of the symbols."""
+    return {"symbols_fts": S.documents(t["symbols"])}
+
+
+def ingest_imports(t: Tables, project: Project | None = None, include_paths: DataFrame | None = None) -> Tables:
+    own = project or Project.of(t["files"])
+    return {"file_imports": R.resolve_imports(t["file_imports"], t["files"], own.root, own.go_module, list(own.crates), include_paths)}
 
 
 def resolve_symbols(t: Tables) -> Tables:
@@ -89,12 +170,16 @@ def build(index: Index, tables: Tables, branch: str, mode: str = "build", policy
         raise
     finally:
         row["completed_at"] = int(clock())
-        runs = json.loads(index.files.read("runs.json") or "[]")
-        index.files.write("runs.json", json.dumps([*runs, row]))
+        index.files.add(f"runs/{generation:012d}-{run}.json", json.dumps(row))
         index.release()
     return row
 
 
+def runs(index: Index) -> list[dict]:
+    """The rows of all runs, in the order of their generations."""
+    return [json.loads(index.files.read(f"runs/{n}")) for n in index.files.names("runs")]
+
+
 def ingest_summary(summaries: DataFrame, new: DataFrame) -> DataFrame:
     """Summaries with the new ones in place of those of the same symbol."""
     return replace(summaries, new, ["symbol_id"])

@@ -114,7 +114,20 @@ def snippet(e: Engine, path: str | None = None, start_line: int | None = None, e
     return {"path": row["path"], "start_line": first, "end_line": last, "text": row["text"], "symbol": around[0].asDict() if around else None}
 
 
-def graph(e: Engine, kind: str = "call", source: str | None = None, target: str | None = None, hops: int = 1, limit: int = 1000) -> dict:
+def semantic_nodes(e: Engine, query: str | None, limit: int, most: float | None, branch: str | None) -> tuple[list[dict], str]:
+    """Symbols near a query's vector, of a branch if it is given, and the mode used."""
+    if not query or e.embed is None:
+        return [], "structural (fallback: missing query_vector)"
+    if e.vectors is None:
+        return [], "structural (fallback: no embeddings)"
+    own = L.with_context(e.symbols, e.files).where(L.symbol_filter(branch=branch))
+    near = R.nearest(e.vectors.join(own.select("id"), "id", "left_semi"), e.embed(query), limit=max(1, limit), most=most)
+    rows = own.join(near, "id").select(F.lit("symbol").alias("node_type"), "id", "name", "branch", F.col("distance").alias("score"), "kind", "file_path")
+    return [r.asDict() for r in rows.orderBy("score", "id").collect()], "semantic"
+
+
+def graph(e: Engine, kind: str = "call", source: str | None = None, target: str | None = None, hops: int = 1, limit: int = 1000, mode: str = "structural", query: str | None = None, semantic_limit: int | None = None, semantic_max_distance: float | None = None, branch: str | None = None) -> dict:
+    """Edges of a kind, all, between two names, or around one, and in semantic mode the symbols near a query."""
     edges = {"call": e.call_edges, "import": e.import_edges, "inheritance": e.inheritance_edges, "type_dependency": e.type_edges}[kind]()
     nodes = (e.files.select("id", F.col("path").alias("name")) if kind == "import" else e.symbols.select("id", "name"))
 
@@ -134,7 +147,11 @@ def graph(e: Engine, kind: str = "call", source: str | None = None, target: str
     name = nodes.select(F.col("id"), F.col("name"))
     out = out.join(name.withColumnsRenamed({"id": "src", "name": "src_name"}), "src").join(name.withColumnsRenamed({"id": "dst", "name": "dst_name"}), "dst").orderBy("src", "dst")
     rows = shown(out)
-    return {"edges": rows, "depth_used": depth, "truncated": len(rows) >= limit}
+    done = {"edges": rows, "mode_used": "structural", "depth_used": depth, "truncated": len(rows) >= limit}
+    if mode == "semantic":
+        found, used = semantic_nodes(e, query, semantic_limit or min(limit, 20), semantic_max_distance, branch)
+        done |= {"semantic_nodes": found, "mode_used": used}
+    return done
 
 
 def dependents(e: Engine, symbol: str | None = None, path: str | None = None, depth: int = 5, limit: int = 1000) -> dict:
@@ -198,7 +215,11 @@ def history(e: Engine, mode: str = "recent", value: str | None = None, limit: in
 
 def blame(e: Engine, lines: DataFrame, mode: str = "blame", start_line: int = 1, end_line: int = 2**31 - 1, now: int | None = None) -> dict:
     """Of blamed lines (line one-based, sha, author, author_email, timestamp, text) the lines, or who owns them
-    with risk signals of their commits."""
+    with risk signals of their commits; or the history of a range with its commits' files and refs."""
+    if mode == "history":  # lines are then the entries of a line history (sha, ..., patch), newest first
+        known = C.with_details(e.commits, e.commit_files, e.commit_refs).select("sha", "files", "refs")
+        rows = lines.join(known, "sha", "left").orderBy(F.desc("timestamp"), "sha")
+        return {"history": [r.asDict(recursive=True) for r in rows.collect()]}
     own = lines.where((F.col("line") >= start_line) & (F.col("line") <= end_line))
     if mode == "blame":
         return {"lines": [r.asDict() for r in own.orderBy("line").collect()]}

@@ -72,7 +72,8 @@ def excluded(path: Column | str, more: tuple[str, ...] = ()) -> Column:
 def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """(path, language, size_bytes, last_hash, source, modified) of the known source files below root, paths
     relative to it; hidden and excluded directories are left out. Size and hash are of the file's bytes; bytes
-    that are no UTF-8 stand as replacement characters in source. Only files with a known extension are read."""
+    that are no UTF-8 stand as replacement characters in source. Only files with a known extension are read, and no
+    empty ones, which the reader passes over."""
     root = root.rstrip("/")
     names = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in LANGUAGES if e != ".C") + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
