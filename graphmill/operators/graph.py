@@ -17,6 +17,9 @@ from graphmill.storage import drop_stored, stored
 
 #: Edges that the driver takes for algorithms that are sequential by nature.
 DRIVER_EDGES = 200_000
+#: A node is a hub if it has over one in HUB_SHARE of all edges, and HUB_LEAST edges at least.
+HUB_SHARE = 2000
+HUB_LEAST = 1000
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, backward: bool = False) -> DataFrame:
@@ -125,17 +128,19 @@ def trace(edges: DataFrame, entry: int, depth: int = 5) -> tuple[list[dict], boo
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges in either direction, of nodes with edges.
-    Rounds of large and small stars; hubs are aggregated in part before each shuffle."""
+    Rounds of large and small stars; hubs are aggregated in part before each shuffle, and those of over one in
+    HUB_SHARE edges, some HUB_SHARE at most as no round adds edges, are broadcast, so that no task gets all edges of one."""
     all_ = stored(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a is not null and b is not null").distinct())
     alone = all_.where("a = b").select("a")
     e = all_.where("a <> b")
+    many = max(all_.count() // HUB_SHARE, HUB_LEAST)
     before = None
     while not _stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = stored(large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct())
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = _with_least(both.where("b > a"), least, many).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        e = stored(_with_least(large, least, many).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct())
         drop_stored(before)
         before = e
     star = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -144,6 +149,15 @@ def components(edges: DataFrame) -> DataFrame:
     return star.unionByName(hubs).unionByName(loops.join(star.unionByName(hubs), "node", "left_anti"))
 
 
+def _with_least(e: DataFrame, least: DataFrame, many: int) -> DataFrame:
+    """Edges (a, b) with the m of a; `least` has (a, m, n), n the number of a's edges. Hubs of over `many` edges
+    are broadcast; their edges go on by a and b, so that they spread, and find no other partner."""
+    hub = F.broadcast(least.where(F.col("n") > many).select("a", F.col("m").alias("of_hub")))
+    marked = e.join(hub, "a", "left").withColumn("spread", F.when(F.col("of_hub").isNull(), F.lit(0)).otherwise(F.xxhash64("b")))
+    zero = F.least("n", F.lit(0)).alias("spread")  # no constant, which the optimiser would take out of the key
+    return marked.join(least.select("a", zero, "m"), ["a", "spread"], "left").select("a", "b", F.coalesce("of_hub", "m").alias("m"))
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether every node of edges (a, b) has one edge up, or only edges from below."""
     ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("low")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("low")))).alias("x")).select("x.*")

@@ -28,6 +28,15 @@ def plain_scc(n, pairs):
     return {i: min({i} | {j for j in r[i] if i in r[j]}) for i in range(n) if i in r[i]}
 
 
+@pytest.mark.parametrize("hub", [0, 2500])
+def test_components_of_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(G, "HUB_LEAST", 50)
+    around = [x for x in range(2500 + 1) if x != hub]  # the hub is the smallest or the largest node
+    pairs = [(hub, x) for x in around] + [(3000 + x, x) for x in range(1, 300)] + [(5000 + x, 5001 + x) for x in range(5)]
+    want = {x: 0 for x in range(2501)} | {3000 + x: 0 for x in range(1, 300)} | {5000 + x: 5000 for x in range(6)}
+    assert dict(G.components(edges(spark, pairs)).collect()) == want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_strong_components_of_random_graphs(spark, seed):
     r = random.Random(seed)
