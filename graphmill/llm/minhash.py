@@ -300,11 +300,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = ties if links is None else links.unionByName(ties)
     if links is not None:
         comps = stored(components(links))
-    out = join_skewed(base, classes, fp, total, how="left")
+    # each class gets its component before the documents get their class, so no key of theirs is shuffled but fp
     if comps is not None:
-        out = out.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+        named = classes.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     else:
-        out = out.withColumn("comp", F.lit(None).cast("long"))
+        named = classes.withColumn("comp", F.lit(None).cast("long"))
+    out = join_skewed(live, named, fp, total).select("id", "n_shingles", "rep", "comp")
+    none = F.lit(None).cast("long")
+    out = out.unionByName(base.where("id is null or n_shingles = 0").select("id", "n_shingles", none.alias("rep"), none.alias("comp")))
     # rep is the smallest id of the class, comp the smallest of the component
     comp = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("comp", "rep"))
     return out.select(F.col("id").alias(id_col), "n_shingles", comp.cast("long").alias("component_id")).withColumn(
