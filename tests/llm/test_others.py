@@ -565,3 +565,75 @@ def test_rare_findings_are_drawn_from_all_documents(spark, monkeypatch):
     again = df.where("doc_id = 0").unionByName(df.where("doc_id = 0"))
     assert len(secrets.scan(again, net).collect()) == 2 and secrets.scan(df.limit(0), net).collect() == []
     assert secrets.mask(df.limit(0), net).collect() == [] and len(secrets.mask(again, net).collect()) == 2
+
+
+def test_network_learns_calibrates_and_sets_its_threshold_by_every_candidate(spark):
+    r = random.Random(6)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    tails = [lambda: f"password={hexes(18)}", lambda: f"token = {hexes(40)}", lambda: f"on 2021-03-{r.randint(10, 28)}-release-{r.randint(100, 999)}", lambda: "", lambda: "", lambda: ""]
+    rows = [(i, f"{sentence(r, 12)} {tails[i % 6]()} {sentence(r, 5)}") for i in range(1800)] + [(None, None), (1800, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    net, same = secrets.fit(df.coalesce(1)), secrets.fit(df.repartition(5))
+    assert (net.kernel == same.kernel).all() and (net.out == same.out).all() and (net.slope, net.offset, net.threshold) == (same.slope, same.offset, same.threshold)
+    scores, fold, found = [], [], []
+    for _, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        _, start, end, _, h = secrets.examined(raw, np.array([0, len(raw)]))
+        assert [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", t or "")] == list(zip(start, end))
+        if len(start):
+            scores += net.scores(*secrets.surroundings(raw, np.zeros(len(start), int), np.full(len(start), len(raw)), start, end)).tolist()
+            fold += (h % 5).tolist()
+            found += [any(s < y and x < e for s, _, e in brute(t)) for x, y in zip(start, end)]
+    scores, fold, found = np.array(scores), np.array(fold), np.array(found)
+    counts = secrets.score_counts(df, "text", net)
+    assert counts.sum(axis=1).tolist() == [(~found & (fold == 0)).sum(), (found & (fold == 0)).sum(), (found & (fold == 1)).sum(), (found & (fold > 1)).sum()]
+    _, learned, bins = secrets.step_sums(df, "text", net, 1e9)
+    assert learned.tolist() == [(~found & (fold > 1)).sum(), (found & (fold > 1)).sum()] and bins.sum() == found.sum()
+    held = scores[found & (fold == 1)]
+    logit = np.log(net.threshold / (1 - net.threshold))
+    above = 1 / (1 + np.exp(-logit - net.slope * 1.01 / secrets.GRID))  # a step higher
+    assert (held >= net.threshold).mean() >= secrets.RECALL > (held >= above).mean()
+    # a mean score like the share of findings, among the candidates that calibrate
+    assert abs(scores[fold == 0].mean() - found[fold == 0].mean()) < 0.02
+    # clean runs that a small draw hardly holds
+    extra = lambda n: sum(g.n_model for g in secrets.digest(secrets.scan(df, n)).collect())
+    assert extra(net) < 20 < extra(secrets.Network.train(*secrets.labelled(df, most_rows=20)))
+
+
+def test_slopes_like_differences_of_the_loss():
+    import copy
+
+    import pyarrow as pa
+
+    r, rng = random.Random(4), np.random.default_rng(4)
+    net = secrets.Network.untrained()
+    net.bias, net.shift = rng.normal(0, 0.1, net.FILTERS), 0.1
+    raw, at = text_buffer(pa.array([sentence(r, 20) + " é " + "a1" * r.randint(4, 40) for _ in range(20)]))
+    of, start, end = secrets.runs(raw, at)
+    args = secrets.surroundings(raw, at[of], at[of + 1], start, end)
+    for sign in (-1, 1):
+        sums = np.zeros(secrets.WEIGHTS, np.int64)
+        secrets.add_slopes(net, sums, *args, sign)
+        loss = lambda n: float((np.maximum(0, 1 - sign * n.logits(*args)) ** 2).sum() / 2)  # noqa: B023, E731
+        for _ in range(20):
+            moves = [rng.normal(size=x.shape) for x in (net.kernel, net.bias, net.out, np.zeros(1))]
+            ends = []
+            for eps in (1e-4, -1e-4):
+                n = copy.deepcopy(net)
+                n.kernel, n.bias, n.out, n.shift = n.kernel + eps * moves[0], n.bias + eps * moves[1], n.out + eps * moves[2], n.shift + eps * moves[3][0]
+                ends.append(loss(n))
+            want = sums / secrets.UNIT @ np.concatenate([m.ravel() for m in moves])
+            assert abs((ends[0] - ends[1]) / 2e-4 - want) < 0.02 * np.abs(sums / secrets.UNIT).max() + 0.02 * abs(want)
+
+
+def test_very_long_candidates_in_pieces(monkeypatch):
+    rng = np.random.default_rng(7)
+    net = secrets.Network.untrained()
+    text = np.frombuffer(b"abcdefghijkl0123456789+/_.=-", np.uint8)[rng.integers(0, 28, 5000)]
+    raw = np.concatenate([np.frombuffer(b"the word abcdefgh1 ", np.uint8), text, np.frombuffer(b" and more words1234", np.uint8)])
+    of, start, end = secrets.runs(raw, np.array([0, len(raw)]))
+    args = secrets.surroundings(raw, np.zeros(len(of), int), np.full(len(of), len(raw)), start, end)
+    want, tops = net.largest(*args), net.tops(*args)
+    monkeypatch.setattr(secrets, "CONVOLVED", 97)
+    assert len(of) == 3 and all((a == b).all() for a, b in zip(net.largest(*args), want)) and (net.tops(*args) == tops).all()
+    assert (tops == np.maximum(want[0], 0).reshape(3, -1)).all()
