@@ -168,13 +168,8 @@ class Network:
         z += two[code[3 : n + 3]]
         return z
 
-    def tops(self, classes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For each candidate the largest values before, in and after it, side by side."""
-        if not len(start):
-            return np.zeros((0, 3 * self.FILTERS), np.float32)
-        if int((end - start).max()) > 4 * CONVOLVED:
-            return np.maximum(self.largest(classes, start, end)[0], 0).reshape(len(start), -1)
-        z = self.convolved(classes)
+    def highest(self, z: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each candidate the largest of the convolved values before, in and after it."""
         of = {1: z}  # the largest of so many places from each place on
         for n in (1, 2, 4, 8):
             of[2 * n] = np.maximum(of[n][:-n], of[n][n:])
@@ -190,7 +185,7 @@ class Network:
         long = np.flatnonzero(end - start > 32)
         if len(long):
             top[long, 1] = np.maximum.reduceat(z, np.stack([start[long], end[long]], 1).ravel(), axis=0)[::2]
-        return np.maximum(top, 0).reshape(len(start), -1)
+        return top
 
     def largest(self, classes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each candidate the largest values before, in and after it, and the first places where they are. A
@@ -198,14 +193,15 @@ class Network:
         shape = (len(start), 3, self.FILTERS)
         if int((end - start).max()) <= 4 * CONVOLVED:
             z = self.convolved(classes)
-            at = np.stack([start - BEFORE, start, end, end + AFTER], 1).ravel()
-            top = np.maximum.reduceat(z, at, axis=0)
-            size = np.maximum(np.diff(at, append=len(z)), 1)
-            begin = np.cumsum(size) - size
-            place = np.arange(int(size.sum())) + np.repeat(at - begin, size)
-            first = np.where(z[place] == np.repeat(top, size, axis=0), place[:, None], len(z))
-            where = np.minimum.reduceat(first, begin, axis=0)
-            return top.reshape(-1, 4, self.FILTERS)[:, :3], where.reshape(-1, 4, self.FILTERS)[:, :3]
+            top = self.highest(z, start, end)
+            size = np.stack([np.full(len(start), BEFORE), end - start, np.full(len(start), AFTER)], 1).ravel()
+            cell = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(cell)) + np.repeat(np.stack([start - BEFORE, start, end], 1).ravel() - np.cumsum(size) + size, size)
+            same = np.flatnonzero(z[place] == top.reshape(-1, self.FILTERS)[cell])[::-1]
+            row = same // self.FILTERS
+            where = np.empty(top.size, np.int64)
+            where[cell[row] * self.FILTERS + same % self.FILTERS] = place[row]  # the first place is written last
+            return top, where.reshape(shape)
         top, where = np.full(shape, -np.inf, np.float32), np.zeros(shape, np.int64)
         for r, (s, e) in enumerate(zip(start.tolist(), end.tolist())):
             for part, (i, j) in enumerate(((s - BEFORE, s), (s, e), (e, e + AFTER))):
@@ -217,6 +213,16 @@ class Network:
                     top[r, part] = np.maximum(more, top[r, part])
         return top, where
 
+    def tops(self, classes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each candidate the largest values before, in and after it, 0 at least, side by side."""
+        if not len(start):
+            return np.zeros((0, 3 * self.FILTERS), np.float32)
+        if int((end - start).max()) > 4 * CONVOLVED:
+            top = self.largest(classes, start, end)[0]
+        else:
+            top = self.highest(self.convolved(classes), start, end)
+        return np.maximum(top, 0).reshape(len(start), -1)
+
     def logits(self, classes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.tops(classes, start, end) * self.out).sum(axis=1) + self.shift  # row by row, whatever the batch
 
