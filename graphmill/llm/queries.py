@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.llm import bpe, decontam, langid, licences, maxscore, minhash, secrets, token_files, urlfilter, warc
+from graphmill.llm import bpe, decontam, langid, licences, maxscore, merkle, minhash, periodic, secrets, simhash, token_files, urlfilter, warc
 
 #: The public vocabulary file of these queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, secrets.fit(docs)))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.Manifest(table(spark, sf_dir, "documents")).audit()
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(table(spark, sf_dir, "documents"), planted=True))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
@@ -82,8 +94,12 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_maxscore": op9_maxscore,
     "op10_secrets": op10_secrets,
+    "op11_simhash": op11_simhash,
+    "op12_merkle": op12_merkle,
+    "op13_runs": op13_runs,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle": merkle.audit_sql(),
     "op9_maxscore": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
