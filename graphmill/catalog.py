@@ -17,6 +17,8 @@ from graphmill.operators import lookups as L
 from graphmill.operators import resolve as R
 from graphmill.operators import retrieval as S
 from graphmill.operators import visibility as V
+from graphmill.operators.fulltext import FullText
+from graphmill.storage import scratch
 from graphmill.streaming import changes as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,12 +412,27 @@ def trace(spark, d):
 
 # --- retrieval
 
+_INDEXES: dict[tuple, FullText] = {}
+
+
+def document_index(spark, d) -> FullText:
+    """The full-text index of a folder's documents, which its queries share: built by the first of them in an
+    application, and again when the table has another age or size."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = (spark.sparkContext.applicationId, d, fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength())
+    if mark not in _INDEXES:
+        index = FullText(spark, scratch(spark, "-fulltext"), ["text"], "doc_id", buckets=32, slices=2)
+        index.build(A.table(spark, d, "documents").select("doc_id", "text"))
+        _INDEXES[mark] = index
+    return _INDEXES[mark]
+
 
 @query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
     c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'stupid')) AS f FROM t), g AS (SELECT count(*) AS docs, avg(n) AS a, count(*) FILTER (WHERE f > 0) AS df FROM c)
     SELECT doc_id, round(-ln((docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / a)), 6) AS score FROM c, g WHERE f > 0 ORDER BY -ln((docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / a)), doc_id LIMIT 20""", raw=True)
 def bm25_top(spark, d):
-    return S.bm25(A.table(spark, d, "documents"), "stupid", ["text"], "doc_id").withColumns(r6("score"))
+    return document_index(spark, d).search("stupid").withColumns(r6("score"))
 
 
 def _query_vector(spark, d):
@@ -435,13 +452,11 @@ def knn_top(spark, d):
     v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY dist, vec_id) AS r FROM s QUALIFY r <= 20)
     SELECT id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT 0 AS l, * FROM b UNION ALL SELECT 1, * FROM v) GROUP BY id ORDER BY sum(1.0 / (60 + r)) DESC, min(l * 1000 + r), id LIMIT 20""", raw=True)
 def rrf_fused(spark, d):
-    text = S.bm25(A.table(spark, d, "documents"), "stupid", ["text"], "doc_id").withColumnRenamed("doc_id", "id")
+    text = document_index(spark, d).search("stupid").withColumnRenamed("doc_id", "id")
     near = S.nearest(A.table(spark, d, "embeddings"), _query_vector(spark, d), "vec_id").withColumnRenamed("vec_id", "id")
     return S.fused(text, near).withColumns(r6("score"))
 
 
-
-
 # --- definitions, spans and health
 
 

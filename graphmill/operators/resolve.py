@@ -126,25 +126,33 @@ def suffixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(s)), lambda n: F.array_join(F.slice(s, n, F.size(s)), "/"))
 
 
+def ancestors(path: Column) -> Column:
+    """(depth, dir) of all directories above a path, from the root, depth 0 and an empty name, to its own."""
+    s = segments(F.ltrim(path, F.lit("/")))
+    return F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(s, F.lit(1), n), "/").alias("dir")))
+
+
 def by_include(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Includes still open against all indexed paths that end with them: the only one, else the only one in
     the deepest directory of the including file that has any of them below it. (id, t, m); `..` never matches.
 
-    imports are (id, path of the including file, raw)."""
+    imports are (id, path of the including file, raw). Includes and files of a name never meet one by one: files
+    are counted by ending and directory above, and each directory of an include's own path asks for one such
+    count, once for all includes of the directory. So 10^5 includes and 10^5 files of one name are 10^5 rows of
+    either side times their depth."""
     plain = F.regexp_replace(F.regexp_replace(F.translate(F.col("raw"), "\\", "/"), r'^[<"]|[>"]$', ""), r"^(\./)+|/+$", "")
     one = F.lit("")
-    want = imports.select("id", (F.col("b") if "b" in imports.columns else one).alias("b"), F.col("path").alias("src"), plain.alias("suffix")).where("suffix <> ''").where(~F.array_contains(F.split("suffix", "/"), ".."))
-    target = files.select(F.col("id").alias("t"), (F.col("branch") if "b" in imports.columns else one).alias("b"), F.col("path").alias("dst"), F.explode(suffixes(F.ltrim(F.col("path"), F.lit("/")))).alias("suffix"))
-    met = want.join(target, ["suffix", "b"])
-    a, b = F.split(F.ltrim(F.col("src"), F.lit("/")), "/"), F.split(F.ltrim(F.col("dst"), F.lit("/")), "/")
-    da, db = F.slice(a, F.lit(1), F.size(a) - 1), F.slice(b, F.lit(1), F.size(b) - 1)
-    same = F.zip_with(da, db, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    shared = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
-    ranked = met.select("id", "suffix", "t", shared.alias("depth"))
-    total = ranked.groupBy("id").agg(F.count("*").alias("n"))
-    best = ranked.groupBy("id", "suffix", "depth").agg(F.count("*").alias("k"), F.min("t").alias("t")).groupBy("id", "suffix").agg(F.max(F.struct("depth", "k", "t")).alias("b"))
+    want = imports.select("id", (F.col("b") if "b" in imports.columns else one).alias("b"), directory(F.ltrim("path", F.lit("/"))).alias("at"), plain.alias("suffix")).where("suffix <> ''").where(~F.array_contains(F.split("suffix", "/"), ".."))
+    asked = want.select("b", "suffix").distinct()
+    target = files.select(F.col("id").alias("t"), (F.col("branch") if "b" in imports.columns else one).alias("b"), "path", F.explode(suffixes(F.ltrim(F.col("path"), F.lit("/")))).alias("suffix"))
+    below = target.join(asked, ["b", "suffix"], "left_semi").select("b", "suffix", "t", F.explode(ancestors(F.col("path"))).alias("x"))
+    counts = below.groupBy("b", "suffix", F.col("x.dir").alias("dir")).agg(F.count("*").alias("k"), F.min("t").alias("t"))
+    places = want.select("b", "suffix", "at").distinct()
+    met = places.select("*", F.explode(ancestors(F.concat("at", F.when(F.col("at") == "", "").otherwise("/"), F.lit("x")))).alias("x")).select("b", "suffix", "at", "x.depth", "x.dir").join(counts, ["b", "suffix", "dir"])
+    best = met.groupBy("b", "suffix", "at").agg(F.max(F.struct("depth", "k", "t")).alias("best"), F.max("k").alias("n"))  # the root's count is that of all
     kind = F.when(F.col("suffix").contains("/"), "include_suffix_").otherwise("include_basename_")
-    return best.join(total, "id").where("b.k = 1").select("id", F.col("b.t").alias("t"), F.concat(kind, F.when(F.col("n") == 1, "unique").otherwise("nearest")).alias("m"))
+    found = best.where("best.k = 1").select("b", "suffix", "at", F.col("best.t").alias("t"), F.concat(kind, F.when(F.col("n") == 1, "unique").otherwise("nearest")).alias("m"))
+    return want.join(found, ["b", "suffix", "at"]).select("id", "t", "m")
 
 
 # fixed values: what an import of a script may mean, in order
@@ -240,16 +248,63 @@ def include_lists(units: DataFrame, files: DataFrame) -> DataFrame:
     return own.unionByName(best).select("file_id", F.posexplode("includes").alias("position", "dir"))
 
 
+def _levels(spans: DataFrame, begin: str, end: str) -> int:
+    """Levels of halving that spans [begin, end) need."""
+    longest = spans.agg(F.max(F.col(end) - F.col(begin))).first()[0]
+    return max(int(longest or 0), 1).bit_length()
+
+
+def _cover(begin: Column, end: Column, levels: int) -> Column:
+    """(level, place) of the aligned stretches of 2^level that make up [begin, end): two of a level at most."""
+    odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def of_level(k: int) -> Column:
+        first, last = F.shiftright(begin + ((1 << k) - 1), k), F.shiftright(end, k)
+        some = first < last
+        if k == levels - 1:  # longer stretches would only be fewer
+            places = F.when(some, F.sequence(first, last - 1)).otherwise(F.array().cast("array<long>"))
+        else:
+            places = F.filter(F.array(F.when(some & odd(first), first), F.when(some & odd(last), last - 1)), lambda x: x.isNotNull())
+        return F.transform(places, lambda p: F.struct(F.lit(k).alias("level"), p.alias("place")))
+
+    return F.flatten(F.array(*map(of_level, range(levels))))
+
+
+def smallest_holding(points: DataFrame, spans: DataFrame, keys: list[str], at: str, begin: str, end: str, value: str) -> DataFrame:
+    """points with the smallest `value` of the spans of their keys that hold `at`, begin included, end not.
+
+    Each span becomes the aligned stretches that make it up, at most two of each length 1, 2, 4 ..., of which the
+    smallest value is kept; a point asks for one stretch of each length. So points and spans meet by equality,
+    with one row on the side of the spans, however many of them overlap in one place."""
+    spans = spans.where(F.col(begin) < F.col(end))
+    n = _levels(spans, begin, end)
+    made = spans.select(*keys, value, F.explode(_cover(F.col(begin).cast("long"), F.col(end).cast("long"), n)).alias("x"))
+    least = made.groupBy(*keys, "x.level", "x.place").agg(F.min(value).alias(value))
+    asked = points.select(*keys, at).distinct()
+    up = asked.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(at).cast("long"), k).alias("place")) for k in range(n)])).alias("x")).select(*keys, at, "x.level", "x.place")
+    found = up.join(least, [*keys, "level", "place"]).groupBy(*keys, at).agg(F.min(value).alias(value))
+    return points.join(found, [*keys, at], "left")
+
+
 def nearest_occurrence(points: DataFrame, occurrences: DataFrame, most: int = 5) -> DataFrame:
     """For each point (point_id, file_id, line, character) an occurrence (occ_id, start_line, start_character,
     end_line, end_character): one that holds it, else the nearest start on its line within `most` characters,
-    else a longer one of several lines that spans it."""
-    met = points.join(occurrences, "file_id").where((F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line")))
-    single = F.col("start_line") == F.col("end_line")
-    gap = F.abs(F.col("character") - F.col("start_character"))
-    holds = single & (F.col("character") >= F.col("start_character")) & (F.col("character") < F.col("end_character"))
-    rank = F.when(holds, F.lit(0)).when((F.col("line") == F.col("start_line")) & (gap <= most), gap + 1).when(~single, F.lit(most + 2))
-    return met.withColumn("rank", rank).where("rank is not null").groupBy("point_id").agg(F.min(F.struct("rank", "occ_id")).alias("b")).select("point_id", F.col("b.occ_id").alias("occ_id"))
+    else a longer one of several lines that spans it; the smallest occ_id of equal ones.
+
+    The three are found by themselves, each by equality of keys, and points at one place are asked for once:
+    work grows with points and occurrences, not with their product in a file or a line."""
+    p = points.select("point_id", "file_id", "line", "character").where("line is not null")
+    o = occurrences.select("file_id", "occ_id", "start_line", "start_character", "end_line", "end_character")
+    single = o.where("start_line = end_line").select("file_id", F.col("start_line").alias("line"), "start_character", "end_character", "occ_id")
+    holding = smallest_holding(p.select("file_id", "line", "character").distinct().where("character is not null"), single, ["file_id", "line"], "character", "start_character", "end_character", "occ_id").where("occ_id is not null").withColumn("rank", F.lit(0))
+    starts = o.where("start_line <= end_line").groupBy("file_id", F.col("start_line").alias("line"), F.col("start_character").alias("start")).agg(F.min("occ_id").alias("occ_id"))
+    reach = p.select("file_id", "line", "character").distinct().withColumn("start", F.explode(F.sequence(F.col("character") - most, F.col("character") + most)))
+    near = reach.join(starts, ["file_id", "line", "start"]).select("file_id", "line", "character", "occ_id", (F.abs(F.col("character") - F.col("start")) + 1).alias("rank"))
+    long = o.where("start_line < end_line").select("file_id", "start_line", (F.col("end_line") + 1).alias("after"), "occ_id")
+    spanned = smallest_holding(p.select("file_id", "line").distinct(), long, ["file_id"], "line", "start_line", "after", "occ_id").where("occ_id is not null")
+    by_place = holding.select("file_id", "line", "character", "rank", "occ_id").unionByName(near).groupBy("file_id", "line", "character").agg(F.min(F.struct("rank", "occ_id")).alias("x"))
+    out = p.join(by_place, ["file_id", "line", "character"], "left").join(spanned.withColumnRenamed("occ_id", "_s"), ["file_id", "line"], "left")
+    return out.select("point_id", F.coalesce("x.occ_id", "_s").alias("occ_id")).where("occ_id is not null")
 
 
 def first_per_key(df: DataFrame, key: list[str], *order: Column) -> DataFrame:

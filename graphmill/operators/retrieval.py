@@ -69,10 +69,14 @@ def bm25_from(terms: DataFrame, lengths: DataFrame, query: str, key: str = "id",
     return _scored(found.join(lengths, key).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(df)), key, limit)  # one row each
 
 
-def _scored(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+def bm25_score(n: Column, df: Column, f: Column, length: Column, avg: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    out = rows.select(key, (-idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))).alias("score"))
+    return -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / avg))
+
+
+def _scored(rows: DataFrame, key: str, limit: int | None) -> DataFrame:
+    out = rows.select(key, bm25_score(*(F.col(c) for c in ("n", "df", "f", "len", "avg"))).alias("score"))
     return out.orderBy("score", key).limit(limit) if limit else out
 
 
@@ -234,9 +238,10 @@ class QueryCache:
         return hit[1]
 
 
-def search(docs: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, mode: str = "structural", limit: int = 20) -> tuple[DataFrame, str]:
-    """Results (id, score) and the mode used: without vectors, semantic and fused fall back to structural."""
-    text = bm25(docs, query, ["name", "signature", "kind"], limit=limit)
+def search(docs: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, mode: str = "structural", limit: int = 20, index=None) -> tuple[DataFrame, str]:
+    """Results (id, score) and the mode used: without vectors, semantic and fused fall back to structural. index:
+    a FullText of the documents, which is read in place of them; docs then say which of its ids may be found."""
+    text = bm25(docs, query, ["name", "signature", "kind"], limit=limit) if index is None else index.search(query, limit, docs)
     if mode == "structural" or vectors is None or vector is None:
         return text, "structural" if mode == "structural" else f"structural (fallback from {mode})"
     near = nearest(vectors, vector, limit=limit)

@@ -16,6 +16,7 @@ from graphmill.operators import edges as E
 from graphmill.operators import graph as G
 from graphmill.operators import lookups as L
 from graphmill.operators import retrieval as R
+from graphmill.operators.fulltext import FullText
 
 LINES = ("line", "start_line", "end_line", "call_line", "ref_line", "selection_line", "start_character", "end_character", "call_character")
 
@@ -29,13 +30,15 @@ def shown(df: DataFrame, limit: int = L.MOST_ROWS) -> list[dict]:
 
 @dataclass
 class Engine:
-    """Effective tables by name, vectors if there are any, and the query embedder."""
+    """Effective tables by name, vectors if there are any, the query embedder, and the stored full-text index of
+    the symbols, without which a search scans them."""
 
     tables: dict[str, DataFrame]
     freshness: Callable[[], dict] = lambda: {"source": "baseline", "age_seconds": 0, "dirty_files": 0}
     vectors: DataFrame | None = None
     commit_vectors: DataFrame | None = None
     embed: Callable[[str], list[float]] | None = None
+    text: FullText | None = None
     observers: list[Callable[[dict], None]] = field(default_factory=list)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -90,7 +93,7 @@ def search(e: Engine, query: str, mode: str = "structural", limit: int = 20, **f
     context = L.with_context(e.symbols, e.files).where(L.symbol_filter(**filters))
     docs = R.documents(context)
     vectors = e.vectors.join(context.select("id"), "id", "left_semi") if e.vectors is not None else None
-    found, used = R.search(docs, vectors, query, e.embed(query) if e.embed and vectors is not None and mode != "structural" else None, mode, limit)
+    found, used = R.search(docs, vectors, query, e.embed(query) if e.embed and vectors is not None and mode != "structural" else None, mode, limit, e.text)
     rows = shown(context.join(found, "id").orderBy(F.desc("score") if used == "fused" else F.col("score"), "id"))
     out = {"results": rows, "mode_used": used}
     for o in e.observers:

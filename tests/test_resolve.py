@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 
 from graphmill.operators import resolve as R
 
@@ -80,3 +84,83 @@ def test_nearest_occurrence(spark):
     o = spark.createDataFrame([(1, 1, 5, 8, 5, 12), (2, 1, 5, 20, 5, 22), (3, 1, 6, 0, 8, 1)], "occ_id long, file_id long, start_line int, start_character int, end_line int, end_character int")
     got = {r.point_id: r.occ_id for r in R.nearest_occurrence(p, o.withColumnRenamed("file_id", "file_id")).collect()}
     assert got == {1: 1, 2: 2, 3: 3}
+
+
+def brute_nearest(points, occurrences, most=5):
+    out = {}
+    for pid, file, line, char in points:
+        ranks = []
+        for oid, f, l0, c0, l1, c1 in occurrences:
+            if f != file or not l0 <= line <= l1:
+                continue
+            if l0 == l1 and c0 <= char < c1:
+                ranks.append((0, oid))
+            elif line == l0 and abs(char - c0) <= most:
+                ranks.append((abs(char - c0) + 1, oid))
+            elif l0 < l1:
+                ranks.append((most + 2, oid))
+        if ranks:
+            out[pid] = min(ranks)[1]
+    return out
+
+
+def test_nearest_occurrence_equals_brute_force(spark):
+    rng = random.Random(4)
+    points = [(i, rng.randrange(3), rng.randrange(30), rng.randrange(60)) for i in range(500)]
+    occurrences = []
+    for i in range(400):
+        line, char = rng.randrange(30), rng.randrange(60)
+        more = rng.choice([0, 0, 0, 0, 1, 3, 17])
+        occurrences.append((rng.randrange(10**6), rng.randrange(3), line, char, line + more, rng.randrange(60) if more else char + rng.choice([0, 1, 2, 5, 30, -3])))
+    p = spark.createDataFrame(points + [(1000, 1, None, None), (1001, None, 1, 1)], "point_id long, file_id long, line int, character int")
+    o = spark.createDataFrame(occurrences + [(5, 1, None, 1, 1, 1), (6, None, 1, 1, 1, 1)], "occ_id long, file_id long, start_line int, start_character int, end_line int, end_character int")
+    assert {r.point_id: r.occ_id for r in R.nearest_occurrence(p, o).collect()} == brute_nearest(points, occurrences)
+    assert R.nearest_occurrence(p, o.limit(0)).collect() == [] == R.nearest_occurrence(p.limit(0), o).collect()
+
+
+def test_a_large_file_of_points_and_occurrences_makes_no_product(spark):
+    n = 200_000  # all in one file, a half on one line
+    k = F.col("id")
+    line = F.when(k % 2 == 0, 0).otherwise(k).cast("int")
+    p = spark.range(n).select(k.alias("point_id"), F.lit(1).cast("long").alias("file_id"), line.alias("line"), (k * 4 + 1).cast("int").alias("character"))
+    o = spark.range(n).select(k.alias("occ_id"), F.lit(1).cast("long").alias("file_id"), line.alias("start_line"), (k * 4).cast("int").alias("start_character"), line.alias("end_line"), (k * 4 + 3).cast("int").alias("end_character"))
+    assert R.nearest_occurrence(p, o).where("point_id <> occ_id").count() == 0 and R.nearest_occurrence(p, o).count() == n
+
+
+def brute_include(imports, files):
+    out = {}
+    for id_, src, raw in imports:
+        ends = [(t, p) for t, p in files if ("/" + p.lstrip("/")).endswith("/" + raw)]
+        here = src.lstrip("/").split("/")[:-1]
+
+        def depth(p):
+            n = 0
+            for a, b in zip(here, p.lstrip("/").split("/")[:-1]):
+                if a != b:
+                    break
+                n += 1
+            return n
+
+        best = max((depth(p) for _, p in ends), default=None)
+        top = [t for t, p in ends if depth(p) == best]
+        if len(top) == 1:
+            out[id_] = (top[0], f"include_{'suffix' if '/' in raw else 'basename'}_{'unique' if len(ends) == 1 else 'nearest'}")
+    return out
+
+
+def test_includes_equal_brute_force(spark):
+    rng = random.Random(9)
+    path = lambda name: rng.choice(["", "/"]) + "/".join([rng.choice("abc") for _ in range(rng.randint(0, 4))] + [name])
+    files = [(i, path(rng.choice(["x.h", "y.h", "z.h"]))) for i in range(120)]
+    imports = [(i, path(f"m{i % 7}.c"), "/".join([rng.choice("abc") for _ in range(rng.choice([0, 0, 1, 2]))] + [rng.choice(["x.h", "y.h", "none.h"])])) for i in range(200)]
+    got = R.by_include(spark.createDataFrame(imports, "id long, path string, raw string"), spark.createDataFrame(files, "id long, path string"))
+    assert {r.id: (r.t, r.m) for r in got.collect()} == brute_include(imports, files)
+
+
+def test_many_files_of_one_name_make_no_product(spark):
+    n = 50_000
+    d = F.concat(F.lit("src/d"), (F.col("id") % 300).cast("string"), F.lit("/e"), F.col("id").cast("string"))
+    files = spark.range(n).select("id", F.concat(d, F.lit("/index.h")).alias("path"))
+    imports = spark.range(n).select("id", F.concat(d, F.lit("/m.c")).alias("path"), F.lit('"index.h"').alias("raw"))
+    got = R.by_include(imports, files)
+    assert got.where("id = t and m = 'include_basename_nearest'").count() == n
