@@ -4,8 +4,10 @@ Layout of an index: <root>/tables/<table>/layer=<l>/generation=<g>/*.parquet. A
 once. The state (promoted generations, dirty paths, meta data) is one small file for each change,
 <root>/state/<number>.json: readers take the one of the highest number, and a writer adds the next one by a
 rename, which fails where another writer was first. So a reader, or a crash at any point, sees the old state or
-the new one. Overlay batches are folders of their own (generation 0 and up of the overlay layer); which batch a
-dirty path's rows come from is part of the state.
+the new one. Overlay batches are folders of their own (generation 0 and up of the overlay layer), with a table of
+their dirty paths, <root>/dirty/batch=<n>; the state names the batches that count, and the last batch of each
+stream, so that one that is delivered again is recognised. What a crash leaves has a number that no state names, and
+the next batch takes that number and overwrites it.
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ class Index:
             text = self.files.read(f"state/{n:012d}.json")
             if text:
                 return json.loads(text) | {"number": n}
-        return {"version": schema.VERSION, "promoted": {}, "dirty": {}, "meta": {}, "sequence": 0, "batches": 0, "number": 0}
+        return {"version": schema.VERSION, "promoted": {}, "overlays": [], "streams": {}, "meta": {}, "sequence": 0, "batches": 0, "number": 0}
 
     def _save(self, state: dict) -> None:
         """Add the state that follows `state`; raises where another writer has added one since it was read."""
@@ -172,54 +174,72 @@ class Index:
         if generation <= state["promoted"].get(branch, -1):
             return False
         state["promoted"][branch] = generation
-        state["dirty"] = {k: v for k, v in state["dirty"].items() if json.loads(k)[1] != branch}
+        state["overlays"] = [[n, b] for n, b in state["overlays"] if b != branch]
         state["meta"] |= meta or {}
         self._save(state)
         return True
 
-    def mark_dirty(self, paths: list[str], branch: str, now: int, batch: int = 0) -> None:
-        """The paths' overlay rows are those of the batch, from now on."""
+    def mark_dirty(self, paths: DataFrame | list[str], branch: str, now: int, batch: int = 0, stream: tuple[str, int] | None = None) -> None:
+        """The paths' overlay rows are those of the batch, from now on. The paths are a table of the batch; a state
+        has one number for each batch since the last promotion. stream: name and batch number of the stream that delivered them."""
+        rows = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
+        rows.select("path", F.lit(branch).alias("branch"), F.lit(now).cast("long").alias("dirty_since")).write.mode("overwrite").parquet(f"{self.root}/dirty/batch={batch}")
+        self._advance(branch, batch, stream)
+
+    def _advance(self, branch: str, batch: int | None, stream: tuple[str, int] | None) -> None:
         state = self.state()
-        for p in paths:
-            since, _ = state["dirty"].get(json.dumps([p, branch]), (now, 0))
-            state["dirty"][json.dumps([p, branch])] = (since, batch)
-        state["batches"] = max(state["batches"], batch)
+        if batch is not None:
+            state["overlays"] = [x for x in state["overlays"] if x != [batch, branch]] + [[batch, branch]]
+            state["batches"] = max(state["batches"], batch)
+        if stream:
+            state["streams"][stream[0]] = stream[1]
         self._save(state)
 
+    def delivered(self, stream: tuple[str, int] | None) -> bool:
+        """Whether this batch of a stream is in the index already."""
+        return stream is not None and self.state()["streams"].get(stream[0], -1) >= stream[1]
+
     def next_batch(self) -> int:
-        """A number for an overlay batch above every one written, whether the state knows it or not."""
-        written = [int(g.partition("=")[2]) for t in self.files.names("tables") for g in self.files.names(f"tables/{t}/layer=overlay") if g.startswith("generation=")]
-        return max([0, self.state()["batches"], *written]) + 1
+        """The number of the next overlay batch: the same until a state has that batch."""
+        return self.state()["batches"] + 1
 
     def baseline_generations(self) -> DataFrame:
         return self.spark.createDataFrame(list(self.state()["promoted"].items()), schema.struct("baseline_generations"))
 
     def dirty_files(self) -> DataFrame:
-        rows = [(*json.loads(k), *v) for k, v in self.state()["dirty"].items()]
-        return self.spark.createDataFrame(rows, schema.struct("dirty_files"))
+        """(path, branch, dirty_since, overlay_gen): a path counts from its first batch, its rows are those of its last."""
+        own = sorted({n for n, _ in self.state()["overlays"]})
+        want = schema.struct("dirty_files")
+        if not own:
+            return self.spark.createDataFrame([], want)
+        rows = self.spark.read.schema("path string, branch string, dirty_since long, batch int").parquet(f"{self.root}/dirty").where(F.col("batch").isin(own))
+        return rows.groupBy("path", "branch").agg(F.min("dirty_since").alias("dirty_since"), F.max("batch").cast("long").alias("overlay_gen"))
 
     def clean_up(self, keep: set[int] | None = None) -> list[str]:
         """Delete generations that no branch has promoted, but those to keep; gives what was deleted."""
         state = self.state()
         live = {*state["promoted"].values(), *(keep or set())}
+        used = {n for n, _ in state["overlays"]}
         gone = []
         for t in self.files.names("tables"):
             for g in self.files.names(f"tables/{t}/layer=baseline"):
                 if g.startswith("generation=") and int(g.partition("=")[2]) not in live:
                     self.files.delete(f"tables/{t}/layer=baseline/{g}")
                     gone.append(f"{t}/{g}")
-            used = {batch for _, batch in state["dirty"].values()}
             for g in self.files.names(f"tables/{t}/layer=overlay"):
                 if g.startswith("generation=") and int(g.partition("=")[2]) not in used:
                     self.files.delete(f"tables/{t}/layer=overlay/{g}")
                     gone.append(f"{t}/overlay/{g}")
+        for g in self.files.names("dirty"):
+            if g.startswith("batch=") and int(g.partition("=")[2]) not in used:
+                self.files.delete(f"dirty/{g}")
         return gone
 
     def freshness(self, now: int | None = None) -> dict:
         """source (baseline, or mixed with dirty paths), age of the oldest dirty path, their number."""
-        dirty = [since for since, _ in self.state()["dirty"].values()]
+        row = self.dirty_files().agg(F.count("*"), F.min("dirty_since")).first()
         now = int(time.time()) if now is None else now
-        return {"source": "mixed" if dirty else "baseline", "age_seconds": now - min(dirty) if dirty else 0, "dirty_files": len(dirty)}
+        return {"source": "mixed" if row[0] else "baseline", "age_seconds": now - row[1] if row[0] else 0, "dirty_files": row[0]}
 
 
 def open_index(spark: SparkSession, root: str) -> Index:

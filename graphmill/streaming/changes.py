@@ -34,26 +34,34 @@ def counts(events: DataFrame, key: list[str], time: str, size: str, slide: str |
     return events.groupBy(*key, F.window(time, size, slide).alias("w")).agg(F.count("*").alias("events")).select(*key, F.col("w.start").alias("start"), "events")
 
 
-def update_overlay(index: Index, batch: DataFrame, branch: str, now: int, apply: Callable[[Index, DataFrame], None] | None = None) -> list[str]:
+def update_overlay(index: Index, batch: DataFrame, branch: str, now: int, apply: Callable[[Index, DataFrame, int], None] | None = None, stream: tuple[str, int] | None = None) -> int:
     """One micro-batch of changed paths (path, source, deleted, seq): their new rows are written as an overlay
     batch of their own, sources that did not change are skipped, and the paths, which the state then names with
     the batch, become dirty; a deleted path has no row. Nothing that readers use is overwritten, and until the
-    state is added they see the batch before. Ids come from branch and path, so that a batch delivered again
-    gives the same rows."""
+    state is added they see the batch before. Gives how many paths changed.
+
+    apply(index, files of the batch, number) writes what else belongs to the batch, before it is seen. stream: name
+    and number of the stream's batch; one that is in the index is passed over. Ids come from branch, path, seq
+    and content, and the batch's number stays free until the state has it, so that a batch that is delivered again after a
+    crash overwrites what it had written with the same rows and ids."""
+    if index.delivered(stream):
+        return 0
     last = latest(batch, ["path"], "seq").withColumn("last_hash", F.sha2(F.coalesce("source", F.lit("")), 256))
     seen = visible(index).where(F.col("branch") == branch).select("path", F.col("last_hash").alias("_h"), F.lit(True).alias("_in"))
     fresh = stored(last.join(seen, "path", "left").where("(deleted and _in) or (not deleted and (_h is null or _h <> last_hash))").drop("_h", "_in"))
-    # the paths of one micro-batch, which maxFilesPerTrigger bounds, go into the state
-    paths = [r[0] for r in fresh.select("path").orderBy("path").toLocalIterator()]
-    if paths:
+    changed = fresh.count()
+    if changed:
         number = index.next_batch()
-        own = F.abs(F.xxhash64(F.lit(branch), "path", F.lit(number)))
-        index.write("files", fresh.where("not deleted").select(own.alias("id"), "path", F.lit(branch).alias("branch"), "language", F.octet_length("source").cast("long").alias("size_bytes"), "last_hash", "source", F.lit(now).cast("long").alias("indexed_at")), "overlay", number)
-        index.mark_dirty(paths, branch, now, number)
+        own = F.abs(F.xxhash64(F.lit(branch), "path", "seq", "last_hash"))
+        files = fresh.where("not deleted").select(own.alias("id"), "path", F.lit(branch).alias("branch"), "language", F.octet_length("source").cast("long").alias("size_bytes"), "last_hash", "source", F.lit(now).cast("long").alias("indexed_at"))
+        index.write("files", files, "overlay", number)
         if apply:
-            apply(index, fresh)
+            apply(index, files, number)
+        index.mark_dirty(fresh, branch, now, number, stream)
+    elif stream:
+        index._advance(branch, None, stream)
     drop_stored(fresh)
-    return paths
+    return changed
 
 
 def visible(index: Index) -> DataFrame:
@@ -64,8 +72,8 @@ def visible(index: Index) -> DataFrame:
 
 def follow(index: Index, stream: DataFrame, branch: str, checkpoint: str, clock: Callable[[], int], interval: str | None = None) -> StreamingQuery:
     """Keep an index's overlay up to date with a stream of changes; without an interval, take what there is
-    and stop. A batch that failed is delivered again with the same rows, and writing it twice is the same."""
-    writer = stream.writeStream.foreachBatch(lambda df, _: update_overlay(index, df, branch, clock()))
+    and stop. The stream is named by its checkpoint: a batch that is delivered again is recognised by its number."""
+    writer = stream.writeStream.foreachBatch(lambda df, n: update_overlay(index, df, branch, clock(), stream=(checkpoint, n)) and None)
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
@@ -76,24 +84,3 @@ CHANGE = T.StructType([T.StructField("path", T.StringType()), T.StructField("lan
 def change_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """A stream of change rows from JSON files as they arrive below path."""
     return spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", files_per_batch).json(path)
-
-
-def polled(snapshots: DataFrame, quiet_ms: int = 0) -> DataFrame:
-    """A stream of snapshots (path, modified) as changes (path, change), created or changed, by the last state
-    of each path; paths that repeat their state give nothing."""
-    import pandas as pd
-
-    def step(key, frames, state):
-        last = state.get[0] if state.exists else None
-        kind = None
-        for pdf in frames:
-            for m in sorted(pdf["modified"]):
-                if last is None:
-                    kind = "created"
-                elif m != last:
-                    kind = kind or "changed"
-                last = m
-        state.update((last,))
-        yield pd.DataFrame([(key[0], kind)] if kind else [], columns=["path", "change"])
-
-    return snapshots.select("path", "modified").groupBy("path").applyInPandasWithState(step, "path string, change string", "modified long", "append", "NoTimeout")

@@ -41,9 +41,10 @@ def test_build_promotes_and_overlay_updates(spark, index):
     imports = {r.raw_import: (r.resolved_id, r.resolution_method) for r in index.raw("file_imports").collect()}
     assert imports == {"lib.b": (2, "filesystem_exact"), "os": (None, "external_dependency")}
     change = spark.createDataFrame([("app/a.py", "python", "new\n", False, 1), ("app/a.py", "python", "newer\n", False, 2), ("lib/b.py", "python", None, True, 1), ("lib/c.py", "python", "c\n", False, 1)], X.CHANGE)
-    assert X.update_overlay(index, change, "main", 200) == ["app/a.py", "lib/b.py", "lib/c.py"]
+    assert X.update_overlay(index, change, "main", 200) == 3
+    assert sorted(r.path for r in index.dirty_files().collect()) == ["app/a.py", "lib/b.py", "lib/c.py"]
     assert {r.path: r.source for r in X.visible(index).collect()} == {"app/a.py": "newer\n", "lib/c.py": "c\n"}
-    assert X.update_overlay(index, change.where("path = 'lib/c.py'"), "main", 300) == []
+    assert X.update_overlay(index, change.where("path = 'lib/c.py'"), "main", 300) == 0
     assert index.freshness(250) == {"source": "mixed", "age_seconds": 50, "dirty_files": 3}
     again = B.build(index, tables(spark), "main", clock=lambda: 400)
     assert again["generation"] == 2 and index.freshness()["source"] == "baseline"
@@ -80,7 +81,7 @@ def test_crashes_leave_the_old_or_the_new_state(spark, index, monkeypatch):
     X.update_overlay(index, change, "main", 200)
     new = {r.path: (r.id, r.source) for r in X.visible(index).collect()}
     assert new["app/a.py"][1] == "new\n" and new.keys() == old.keys()
-    assert X.update_overlay(index, change, "main", 201) == []  # delivered again
+    assert X.update_overlay(index, change, "main", 201) == 0  # delivered again
     assert {r.path: (r.id, r.source) for r in X.visible(index).collect()} == new
     stale = index.state()
     index.mark_dirty(["x"], "main", 1)

@@ -85,23 +85,6 @@ def test_diagnostics_and_scope(spark):
     assert len(one) == 1 and one[0].digest == H.scope(scoped, ["c"], [], []).first().digest
 
 
-def test_polled_snapshots(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text('{"path":"a","modified":1}\n{"path":"b","modified":1}\n')
-    stream = spark.readStream.schema("path string, modified long").json(str(tmp_path / "in"))
-
-    def run():
-        seen = []
-        q = X.polled(stream).writeStream.foreachBatch(lambda df, _: seen.extend(tuple(r) for r in df.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert q.exception() is None
-        return sorted(seen)
-
-    assert run() == [("a", "created"), ("b", "created")]
-    (tmp_path / "in" / "2.json").write_text('{"path":"a","modified":2}\n{"path":"b","modified":1}\n')
-    assert run() == [("a", "changed")]
-
-
 def test_risk_and_cosine(spark):
     commits = spark.createDataFrame([("1", "a", "a@", 1_000_000, "m"), ("2", "b", "b@", 1_100_000, "m")], "sha string, author string, author_email string, timestamp long, message string")
     files = spark.createDataFrame([("1", "f", 100, None), ("2", "f", 60, -5)], "commit_sha string, file_path string, insertions long, deletions long")
