@@ -18,10 +18,13 @@ from graphmill.operators import edges as E
 from graphmill.operators import ingest as N
 from graphmill.operators import resolve as R
 from graphmill.operators import retrieval as S
+from graphmill.operators import visibility as V
+from graphmill.operators.fulltext import FullText
 from graphmill.operators.health import Policy, report
 from graphmill.sources import files as W
 from graphmill.sources import texts as T
-from graphmill.storage import Index, replace, stored
+from graphmill.storage import Index, drop_stored, replace, stored
+from graphmill.streaming import changes as X
 
 Tables = dict[str, DataFrame]
 
@@ -108,6 +111,48 @@ def build_sources(index: Index, root: str, branch: str, occurrences: Callable[[D
     return build(index, tables, branch, policy=policy, clock=clock, stages=[Step("imports", lambda t: ingest_imports(t, project, lists)), *STAGES[1:], Step("search", search_tables)])
 
 
+def refresh_sources(index: Index, root: str, branch: str, occurrences: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, units: DataFrame | None = None, clock: Callable[[], float] = time.time, policy: Policy | None = None, text: FullText | None = None) -> dict:
+    """Bring an index up to a source tree: a build where the branch has none; else an overlay batch of the paths
+    whose content differs from what readers see, and of those that are gone, with their symbols, calls, types and
+    imports resolved against all files. text is the full-text index of the symbols, which follows. Gives mode
+    (build, update or none) and how many paths changed. After a crash at any point the next call does the same again, with
+    the same rows and ids, as the batch's number stays free until the index has it."""
+    spark = index.spark
+    project, now = Project.of(manifests(spark, root)), int(clock())
+    if branch not in index.state()["promoted"]:
+        row = build_sources(index, root, branch, occurrences, units, clock, policy)
+        files = index.raw("files").where((F.col("branch") == branch) & (F.col("generation") == row["generation"]))
+        if text is not None and row["status"] == "success":
+            text.build(S.documents(V.effective(index.raw("symbols"), files)))
+        return {"mode": "build", "changed": files.count(), "status": row["status"]}
+    tree = stored(scanned(spark, root, branch, now))
+    seen = X.visible(index).where(F.col("branch") == branch)
+    changed = stored(W.changes(seen, tree))
+    batch = changed.join(tree.select("path", "language", "source", "last_hash"), "path", "left").select("path", "language", "source", "last_hash", (F.col("change") == "deleted").alias("deleted"), F.lit(index.next_batch()).alias("seq"))
+
+    def apply(index: Index, files: DataFrame, number: int) -> None:
+        rest = seen.join(changed.select("path"), "path", "left_anti")
+        every = schema.conform(rest, "files").drop("layer", "generation").unionByName(schema.conform(files, "files").drop("layer", "generation"))
+        t: Tables = {"files": every, "file_imports": scan_imports(files)}
+        made = ingest_occurrences(*occurrences(files), files) if occurrences is not None else {}
+        lists = R.include_lists(units, every) if units is not None else None
+        out = ingest_imports(t, project, lists)
+        if made:
+            own = stored(made["symbols"])
+            old = V.effective(index.raw("symbols"), rest)
+            whole = {"symbols": old.unionByName(schema.conform(own, "symbols")), "files": every, "dirty_files": schema.empty(spark, "dirty_files"), "symbol_relationships": schema.empty(spark, "symbol_relationships")} | {k: v for k, v in made.items() if k != "symbols"}
+            done = resolve_symbols(whole)
+            out |= {"symbols": own, "symbol_refs": done["symbol_refs"], "type_refs": done["type_refs"]}
+            if text is not None:
+                text.refresh(S.documents(own), V.effective(index.raw("symbols"), seen.join(changed.select("path"), "path", "left_semi")).select("id"))
+        for name, df in out.items():
+            index.write(name, df, "overlay", number)
+
+    n = X.update_overlay(index, batch, branch, now, apply)
+    drop_stored(tree, changed)
+    return {"mode": "update" if n else "none", "changed": n}
+
+
 def search_tables(t: Tables) -> Tables:
     """Full-text rows of the symbols."""
     return {"symbols_fts": S.documents(t["symbols"])}

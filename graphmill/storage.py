@@ -161,12 +161,14 @@ class Index:
         own.write.mode("overwrite").parquet(f"{self.root}/tables/{table}/layer={layer}/generation={generation}")
 
     def raw(self, table: str) -> DataFrame:
-        """All layers and generations, or an empty frame."""
+        """All baseline generations and the overlay batches that the state names, or an empty frame."""
         if not self.files.exists(f"tables/{table}"):
             return schema.empty(self.spark, table)
         want = schema.struct(table)
         df = self.spark.read.schema(want).option("basePath", f"{self.root}/tables/{table}").parquet(f"{self.root}/tables/{table}")
-        return df.select(*[f.name for f in want])
+        own = sorted({n for n, _ in self.state()["overlays"]})
+        # by partition columns, so files of other batches, which may be overwritten, are never opened
+        return df.where((F.col("layer") != "overlay") | (F.col("generation").isin(own) if own else F.lit(False))).select(*[f.name for f in want])
 
     def promote(self, branch: str, generation: int, meta: dict | None = None) -> bool:
         """Move a branch to a generation, clear its dirty paths and publish meta data; only ever forward."""

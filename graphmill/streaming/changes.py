@@ -46,7 +46,9 @@ def update_overlay(index: Index, batch: DataFrame, branch: str, now: int, apply:
     crash overwrites what it had written with the same rows and ids."""
     if index.delivered(stream):
         return 0
-    last = latest(batch, ["path"], "seq").withColumn("last_hash", F.sha2(F.coalesce("source", F.lit("")), 256))
+    last = latest(batch, ["path"], "seq")
+    if "last_hash" not in batch.columns:  # else the hash of the file's bytes
+        last = last.withColumn("last_hash", F.sha2(F.coalesce("source", F.lit("")), 256))
     seen = visible(index).where(F.col("branch") == branch).select("path", F.col("last_hash").alias("_h"), F.lit(True).alias("_in"))
     fresh = stored(last.join(seen, "path", "left").where("(deleted and _in) or (not deleted and (_h is null or _h <> last_hash))").drop("_h", "_in"))
     changed = fresh.count()

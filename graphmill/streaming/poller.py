@@ -150,14 +150,15 @@ class Poller:
         listing(self.spark, root).write.mode("append").parquet(f"{self.path}/listings")
 
     def start(self, interval: str | None = None) -> StreamingQuery:
-        """The stream over the listings; without an interval, it takes what there is and stops. The state store is
-        RocksDB's, which timers need."""
+        """The stream over the listings; without an interval, one batch takes what there is, and timers that have
+        run out (with timers, batches without data follow one another for ever, so nothing else would end). The
+        state store is RocksDB's, which timers need."""
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         self.files.fs.mkdirs(self.files.path("listings"))
         listings = self.spark.readStream.schema(LISTING).parquet(f"{self.path}/listings")
         known = self.known() if self.known else None
         writer = polled(listings, self.absent_ms, known).writeStream.outputMode("update").foreachBatch(self.step).option("checkpointLocation", f"{self.path}/checkpoint")
-        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(once=True)).start()
 
     def poll(self, root: str) -> None:
         """List the tree, apply what changed, and rebuild if that is due."""
