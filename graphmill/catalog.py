@@ -390,7 +390,11 @@ def connected_components(spark, d):
     return G.components(_sparse(spark, d))
 
 
-@query()
+@query(""", e AS (SELECT DISTINCT caller_id AS a, callee_id AS b FROM calls WHERE callee_id IS NOT NULL), p AS (SELECT b AS n FROM e GROUP BY b ORDER BY count(*) DESC, b LIMIT 1),
+    fw(n) AS (SELECT n FROM p UNION SELECT e.b FROM fw JOIN e ON e.a = fw.n), bw(n) AS (SELECT n FROM p UNION SELECT e.a FROM bw JOIN e ON e.b = bw.n), big AS (SELECT n FROM fw INTERSECT SELECT n FROM bw),
+    rest AS (SELECT a, b FROM e WHERE a NOT IN (SELECT n FROM big) AND b NOT IN (SELECT n FROM big)), r(a, b) AS (SELECT a, b FROM rest UNION SELECT r.a, rest.b FROM r JOIN rest ON rest.a = r.b)
+    SELECT x.a AS node, min(least(x.a, x.b)) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1
+    UNION ALL SELECT n, (SELECT min(n) FROM big) FROM big WHERE (SELECT count(*) FROM big) > 1 OR n IN (SELECT a FROM e WHERE a = b)""")
 def symbol_sccs(spark, d):
     return G.strong_components(_call_edges(spark, d))
 

@@ -209,22 +209,58 @@ def tarjan(edges: list[tuple[int, int]]) -> dict[int, int]:
     return comp
 
 
-def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+def _labels(e: DataFrame, turn: int, rounds: list[int] | None) -> DataFrame:
+    """(node, f, b) of edges (src, dst): f the first node, in an order by a hash, that reaches the node, b the first
+    that it reaches, itself included; each as (h, node).
+
+    A round takes the labels over one edge, and then from the node that the label names: what reaches that
+    one reaches this one too. So labels travel further with each round, about half as far again, and the number
+    of rounds grows with the logarithm of the longest way. Nodes of many edges and labels of many nodes are
+    broadcast, some HUB_SHARE at most, so that no task gets all rows of one."""
+    ends = e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    own = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
+    labels = stored(ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).select("node", "o", "i", own.alias("f"), own.alias("b")))
+    many = max(e.count() // HUB_SHARE, HUB_LEAST)
+
+    def over_edges(labels: DataFrame, label: str, a: str, b: str, degree: str) -> DataFrame:
+        least = labels.select(F.col("node").alias("a"), F.col(label).alias("m"), F.col(degree).alias("n"))
+        return _with_least(e.select(F.col(a).alias("a"), F.col(b).alias("b")), least, many).groupBy(F.col("b").alias("node")).agg(F.min("m").alias(f"n{label}"))
+
+    def from_named(labels: DataFrame, label: str) -> DataFrame:
+        named = labels.select(F.col(f"{label}.node").alias("a"), F.col("node").alias("b"))
+        least = labels.select(F.col("node").alias("a"), F.col(label).alias("m")).join(named.groupBy("a").agg(F.count("*").alias("n")), "a")
+        return _with_least(named, least, many).select(F.col("b").alias("node"), F.col("m").alias(f"n{label}"))
+
+    while True:
+        met = labels.join(over_edges(labels, "f", "src", "dst", "o"), "node", "left").join(over_edges(labels, "b", "dst", "src", "i"), "node", "left")
+        step = stored(met.select("node", "o", "i", F.least("f", F.coalesce("nf", "f")).alias("f"), F.least("b", F.coalesce("nb", "b")).alias("b"), (F.coalesce(F.col("nf") < F.col("f"), F.lit(False)) | F.coalesce(F.col("nb") < F.col("b"), F.lit(False))).alias("moved")))
+        drop_stored(labels)
+        if rounds is not None:
+            rounds.append(turn)
+        if step.where("moved").isEmpty():
+            return step.select("node", "f", "b")
+        labels = stored(step.drop("moved").join(from_named(step, "f"), "node").join(from_named(step, "b"), "node").select("node", "o", "i", F.col("nf").alias("f"), F.col("nb").alias("b")))
+        drop_stored(step)
+
+
+def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES, rounds: list[int] | None = None) -> DataFrame:
     """(node, component) of nodes on cycles: the smallest node of the strongly connected component, for
-    components of several nodes and for nodes with an edge to themselves."""
+    components of several nodes and for nodes with an edge to themselves.
+
+    In each turn every node is labelled with the first node that reaches it and the first that it reaches, in an
+    order by a hash; where both are the same node, that is in its component, so that many components are found at
+    once. Of the others only edges within equal labels can lie on a cycle. `driver_edges` edges or fewer go to
+    the driver. rounds, if given, gets an entry for each round of labels."""
     spark = edges.sparkSession
     e = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    e = e.where("src <> dst")
-    out = None
+    e, before = e.where("src <> dst"), None
+    out, turn = None, 0
     while True:
-        # trim: nodes without an incoming or outgoing edge are on no cycle
-        while True:
-            n = e.count()
-            trimmed = stored(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            e = trimmed
-            if e.count() == n or n <= driver_edges:
-                break
+        # nodes without an incoming or outgoing edge are on no cycle; long ways of them are left to the labels
+        e = stored(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        drop_stored(before)
+        before = e
         n = e.count()
         if not n:
             break
@@ -235,29 +271,14 @@ def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> Dat
             part = spark.createDataFrame(rows, "node long, component long")
             out = part if out is None else out.unionByName(part)
             break
-        # colours: the smallest node that reaches each node
-        color = stored(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("c", F.col("node")))
-        while True:
-            met = e.join(color.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
-            new = stored(color.join(met, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")))
-            color = new.select("node", "c")
-            if new.where("moved").isEmpty():
-                break
-        # within a colour, what reaches its root is the root's component
-        inner = e.join(color.withColumnsRenamed({"node": "src", "c": "ca"}), "src").join(color.withColumnsRenamed({"node": "dst", "c": "cb"}), "dst").where("ca = cb").select("src", "dst", F.col("ca").alias("c"))
-        inner = stored(inner)
-        found = stored(color.where("node = c"))
-        frontier = found
-        while True:
-            new = frontier.withColumnRenamed("node", "dst").join(inner, ["dst", "c"]).select(F.col("src").alias("node"), "c").distinct().join(found, ["node", "c"], "left_anti")
-            frontier = stored(new)
-            if frontier.isEmpty():
-                break
-            found = stored(found.unionByName(frontier))
-        sized = found.join(found.groupBy("c").count().where("count > 1"), "c", "left_semi").select("node", F.col("c").alias("component"))
-        out = stored(sized) if out is None else stored(out.unionByName(sized))
-        gone = found.select("node")
-        e = stored(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        labels = _labels(e, turn, rounds)
+        found = labels.where("f = b").select("node", F.col("f.node").alias("root"))
+        groups = found.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("k")).where("k > 1")
+        out = stored(found.join(groups, "root").select("node", "component") if out is None else out.unionByName(found.join(groups, "root").select("node", "component")))
+        left = labels.where("f <> b")
+        inside = e.join(left.select(F.col("node").alias("src"), F.col("f").alias("fa"), F.col("b").alias("ba")), "src").join(left.select(F.col("node").alias("dst"), F.col("f").alias("fb"), F.col("b").alias("bb")), "dst")
+        e = inside.where("fa = fb and ba = bb").select("src", "dst")
+        turn += 1
     if out is None:
         return loops
     return out.unionByName(loops.join(out, "node", "left_anti"))

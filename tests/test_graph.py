@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphmill.operators import graph as G
 
@@ -190,3 +191,12 @@ def test_directory_cycles_and_layers(spark):
 def test_empty_graphs(spark):
     e = edges(spark, [])
     assert G.components(e).collect() == [] and G.strong_components(e).collect() == []
+
+
+def test_rounds_of_strong_components_grow_slowly_with_the_way(spark):
+    n = 150
+    k = F.col("id")
+    ring = spark.range(n).select((k * 7919 % n).alias("src"), ((k + 1) % n * 7919 % n).alias("dst"))
+    rounds = []
+    got = G.strong_components(ring, 0, rounds)
+    assert got.count() == n and got.where("component = 0").count() == n and len(rounds) < 20
