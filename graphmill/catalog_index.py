@@ -61,3 +61,57 @@ def fulltext_refreshed(spark, d):
 @query(_bm25(_CHANGED, "len(list_filter(w, lambda x: x = 'license'))", "ORDER BY {}, doc_id LIMIT 50"), raw=True)
 def fulltext_merged(spark, d):
     return _changed(spark, d, (2, None)).search("license", 50).withColumns(r6("score"))
+
+
+# --- relationships and imports of a compiler index in a build
+
+
+def _facts(spark, d):
+    """For each file k a class Ck, which extends the class of file k - 1 and implements an interface from outside, uses
+    it as a type, and imports its package and one that no file defines."""
+    k, none = F.col("k"), F.array().cast("array<int>")
+    files = A.files(spark, d)
+    n = files.select(F.col("id").alias("k"))
+    name = lambda c: F.concat(F.lit("s m v p"), c.cast("string"), F.lit(" C"), c.cast("string"), F.lit("#"))
+    at = lambda *c: F.array(*[F.lit(x).cast("int") if isinstance(x, int) else x.cast("int") for x in c])
+    occurrence = lambda rng, symbol, roles, around: n.select(k.alias("file_id"), rng.alias("range"), symbol.alias("symbol"), F.lit(roles).alias("symbol_roles"), around.alias("enclosing_range"), F.lit(0).alias("syntax_kind"))
+    occurrences = occurrence(at(k % 50, 6, 9), name(k), 1, at(k % 50, 0, k % 50 + 9, 1)).unionByName(occurrence(at(k % 50, 12, 15), name(k - 1), 2, none)).unionByName(occurrence(at(0, 0, 5), F.lit("s m v away X#"), 2, none))
+    flags = lambda symbol, i, t, f: F.struct(symbol.alias("symbol"), F.lit(False).alias("is_reference"), F.lit(i).alias("is_implementation"), F.lit(t).alias("is_type_definition"), F.lit(f).alias("is_definition"))
+    relations = F.array(flags(name(k - 1), True, False, False), flags(F.lit("s m v q Away#"), True, False, False), flags(name(k - 1), False, True, False), flags(name(k - 1), False, False, False))
+    infos = n.select(k.alias("file_id"), name(k).alias("symbol"), F.array(F.lit("class C")).alias("documentation"), F.lit("").alias("display_name"), F.lit(7).alias("kind"), relations.alias("relationships"))
+    return occurrences, infos, files
+
+
+def _built(spark, d):
+    from graphmill.plans import build as B
+
+    occurrences, infos, files = _facts(spark, d)
+    return B.ingest_occurrences(occurrences, infos, files), files
+
+
+@query("""SELECT f.id AS file_id, t.id AS target_file, r.type AS relationship_type, CASE WHEN r.type = 'implements' THEN 'Away' ELSE 'C' || (f.id - 1) END AS target_symbol_name, CAST(f.id % 50 AS INTEGER) AS line,
+    CASE WHEN t.id IS NULL THEN 'unresolved' ELSE 'scip_definition' END AS resolution_method, t.path AS definition_path FROM files f CROSS JOIN (SELECT unnest(['extends', 'implements', 'type_definition']) AS type) r
+    LEFT JOIN files t ON t.id = f.id - 1 AND r.type <> 'implements' WHERE r.type <> 'extends' OR t.id IS NOT NULL UNION ALL SELECT id, NULL, 'implements', 'C' || (id - 1), CAST(id % 50 AS INTEGER), 'unresolved', NULL FROM files WHERE id - 1 NOT IN (SELECT id FROM files)""")
+def build_relationships(spark, d):
+    got, _ = _built(spark, d)
+    owner = got["symbols"].select(F.col("id").alias("target_symbol_id"), F.col("file_id").alias("target_file"))
+    source = got["symbols"].select(F.col("id").alias("source_symbol_id"), F.col("file_id").alias("_own"))
+    rows = got["symbol_relationships"].join(owner, "target_symbol_id", "left").join(source, "source_symbol_id").where("_own = file_id")
+    return rows.select("file_id", "target_file", "relationship_type", "target_symbol_name", "line", "resolution_method", "definition_path")
+
+
+@query("""SELECT f.id AS file_id, 'p' || (f.id - 1) AS raw_import, t.id AS resolved_id, CASE WHEN t.id IS NULL THEN 'unresolved' ELSE 'scip_definition' END AS resolution_method FROM files f LEFT JOIN files t ON t.id = f.id - 1
+    UNION ALL SELECT id, 'away', NULL, 'unresolved' FROM files""")
+def build_imports(spark, d):
+    got, _ = _built(spark, d)
+    return got["file_imports"].select("file_id", "raw_import", "resolved_id", "resolution_method")
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'c' WHEN id % 5 = 1 THEN 'csharp' WHEN id % 5 = 2 THEN 'cpp' WHEN id % 5 = 3 THEN 'python' END AS language FROM files")
+def document_languages(spark, d):
+    from graphmill.operators.ingest import document_language
+
+    m = F.col("id") % 5
+    stated = F.when(m == 0, "C").when(m == 1, "VisualBasic").when(m == 2, "c").when(m == 3, F.when(F.col("id") % 2 == 0, "")).otherwise("klingon")
+    path = F.concat("path", F.when(m == 0, ".h").when(m == 1, ".py").when(m == 2, ".cc").when(m == 3, ".py").otherwise(".zzz"))
+    return A.files(spark, d).select("id", document_language(stated, path).alias("language"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.operators.lookups import narrowest
+from graphmill.sources.files import language_of
 
 #: Occurrences: (file_id, range array<int>, symbol, symbol_roles, enclosing_range array<int>, syntax_kind).
 DEFINITION_ROLE = 1
@@ -204,6 +205,88 @@ def references(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     return narrowest(rows, symbols).withColumnRenamed("symbol_id", "caller_id")
 
 
+#: The role of an occurrence that imports its symbol.
+IMPORT_ROLE = 2
+
+
+def stated_kinds(infos: DataFrame) -> DataFrame:
+    """(symbol, kind) of the symbols that an index describes, those of other packages included."""
+    best = infos.groupBy("symbol").agg(F.max_by(F.struct("documentation", "kind"), F.size("documentation")).alias("info"))
+    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    doc = F.lower(F.coalesce(F.get("info.documentation", F.lit(0)), F.lit("")))
+    return best.withColumn("p", _parts("symbol")).select("symbol", hinted_kind(kinds[F.col("info.kind")], F.col("p.kind"), doc, F.col("symbol")).alias("kind"))
+
+
+def related(infos: DataFrame, symbols: DataFrame, main: DataFrame, files: DataFrame) -> DataFrame:
+    """Relationships that the index states, with their targets: an implementation is `extends` where the index
+    describes the target as a class, else `implements`; type definitions and definitions have types of their own,
+    references none.
+
+    infos are (file_id, symbol, documentation, kind, relationships); symbols (id, file_id, scip_symbol, start and
+    selection); main the canonical ones of each symbol string. The source is the symbol of the same file, else the
+    canonical one."""
+    flat = infos.select("file_id", F.col("symbol").alias("own"), F.explode("relationships").alias("r")).select("file_id", "own", F.col("r.symbol").alias("symbol"), "r.is_implementation", "r.is_type_definition", "r.is_definition").where("symbol <> '' and own <> ''")
+    kinds = stated_kinds(infos).withColumnRenamed("kind", "target_kind")
+    kind = F.when(F.col("is_implementation"), F.when(F.col("target_kind") == "class", "extends").otherwise("implements")).when(F.col("is_type_definition"), "type_definition").when(F.col("is_definition"), "defines")
+    rows = flat.join(kinds, "symbol", "left").select("file_id", "own", "symbol", kind.alias("relationship_type")).where("relationship_type is not null").distinct()
+    here = symbols.groupBy("file_id", F.col("scip_symbol").alias("own")).agg(F.min(F.struct("start_line", "start_character", "id", "selection_line", "selection_character")).alias("here"))
+    at = main.select(F.col("scip_symbol").alias("own"), F.struct("id", "selection_line", "selection_character").alias("there"))
+    target = main.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("scip_symbol").alias("symbol"), F.col("id").alias("target_symbol_id"), F.col("name").alias("_name"), F.col("path").alias("definition_path"), F.col("selection_line").alias("definition_line"), F.col("selection_character").alias("definition_character"))
+    named = rows.select("symbol").distinct().withColumn("_shown", _parts("symbol").getField("name"))
+    out = rows.join(here, ["file_id", "own"], "left").join(at, "own", "left").join(target, "symbol", "left").join(named, "symbol", "left")
+    return out.select(
+        "file_id", F.coalesce("here.id", "there.id").alias("source_symbol_id"), "target_symbol_id", F.coalesce("_name", "_shown").alias("target_symbol_name"), "relationship_type",
+        F.coalesce("here.selection_line", "there.selection_line").alias("line"), F.coalesce("here.selection_character", "there.selection_character").alias("character"),
+        F.when(F.col("target_symbol_id").isNotNull(), "scip_definition").otherwise("unresolved").alias("resolution_method"), "definition_path", "definition_line", "definition_character",
+        "own", "symbol",
+    )
+
+
+def stated_imports(occurrences: DataFrame, main: DataFrame) -> DataFrame:
+    """(file_id, raw_import, resolved_id, resolution_method) of occurrences that import a symbol: the package of
+    its string, or the whole string without one; once for each file, with the file that defines the first of the
+    symbols, by place, that any file does."""
+    words = F.split("symbol", " ")
+    raw = F.when(F.size(words) >= 4, F.get(words, F.lit(3))).otherwise(F.col("symbol"))
+    own = occurrences.where(F.col("symbol_roles").bitwiseAND(F.lit(IMPORT_ROLE)) > 0).where("symbol <> ''").select("file_id", "symbol", "range", raw.alias("raw_import")).where("raw_import <> ''")
+    met = own.join(main.select(F.col("scip_symbol").alias("symbol"), F.col("file_id").alias("t")), "symbol", "left")
+    first = met.groupBy("file_id", "raw_import").agg(F.min(F.when(F.col("t").isNotNull(), F.struct("range", "t"))).alias("x"))
+    return first.select("file_id", "raw_import", F.col("x.t").alias("resolved_id"), F.when(F.col("x.t").isNotNull(), "scip_definition").otherwise("unresolved").alias("resolution_method"))
+
+
+# fixed values: languages of an index by their names
+INDEX_LANGUAGES = {
+    "typescript": "typescript",
+    "typescriptreact": "typescript",
+    "javascript": "javascript",
+    "javascriptreact": "javascript",
+    "python": "python",
+    "java": "java",
+    "scala": "scala",
+    "kotlin": "kotlin",
+    "rust": "rust",
+    "c": "c",
+    "c++": "cpp",
+    "cpp": "cpp",
+    "c#": "csharp",
+    "csharp": "csharp",
+    "visualbasic": "csharp",
+    "ruby": "ruby",
+    "php": "php",
+    "go": "go",
+    "dart": "dart",
+}
+
+
+def document_language(stated: Column, path: Column) -> Column:
+    """The language of an index's document: as stated, but that the extension decides between C and C++ where it
+    has a language; by extension where the statement is empty or unknown; else null."""
+    said = F.create_map(*[F.lit(x) for kv in INDEX_LANGUAGES.items() for x in kv])[F.lower(F.coalesce(stated, F.lit("")))]
+    by_path = language_of(path)
+    plain_header = F.lower(path).endswith(".h")
+    return F.when(said.isin("c", "cpp"), F.when(plain_header, said).otherwise(F.coalesce(by_path, said))).otherwise(F.coalesce(said, by_path))
+
+
 def external_symbols(symbols: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Symbol strings (column symbol) of packages that the index does not define: their first four words are
     no prefix of its own."""

@@ -82,11 +82,13 @@ def manifests(spark, root: str) -> DataFrame:
 
 
 def ingest_occurrences(occurrences: DataFrame, infos: DataFrame, files: DataFrame) -> Tables:
-    """Symbols, calls and type uses of an index's occurrences (file_id, range, symbol, symbol_roles,
-    enclosing_range, syntax_kind), with targets by symbol string; ids come from symbol and place."""
+    """Symbols, calls, type uses, imports and relationships of an index's occurrences (file_id, range, symbol,
+    symbol_roles, enclosing_range, syntax_kind) and its infos, with targets by symbol string; ids come from symbol
+    and place. Relationships need the file_id and relationships of infos."""
     defs = N.definitions(occurrences, infos)
     made = defs.withColumn("id", F.abs(F.xxhash64("file_id", "scip_symbol", "start_line", "start_character")))
-    main = N.canonical(made, files).select(F.col("scip_symbol").alias("symbol"), F.col("id").alias("target"), F.col("name").alias("target_name"))
+    first = stored(N.canonical(made, files))
+    main = first.select(F.col("scip_symbol").alias("symbol"), F.col("id").alias("target"), F.col("name").alias("target_name"))
     parents = main.select(F.col("symbol").alias("parent_symbol"), F.col("target").alias("parent_symbol_id"))
     symbols = schema.conform(made.join(parents, "parent_symbol", "left").withColumns({"signature": F.coalesce("signature", F.lit("")), "is_exported": F.lit(True)}), "symbols")
     refs = N.references(occurrences, symbols).join(main, "symbol", "left").where("caller_id is not null")
@@ -94,7 +96,12 @@ def ingest_occurrences(occurrences: DataFrame, infos: DataFrame, files: DataFram
     method = F.when(F.col("target").isNotNull(), "scip_definition").otherwise("external_definition")
     calls = refs.where("kind = 'call'").select(F.abs("point_id").alias("id"), "caller_id", "file_id", F.col("target").alias("callee_id"), shown.alias("callee_name"), F.col("line").alias("call_line"), F.col("character").alias("call_character"), F.lit("direct").alias("call_kind"), method.alias("resolution_method"))
     types = refs.where("kind = 'type'").select(F.abs("point_id").alias("id"), "file_id", F.col("caller_id").alias("symbol_id"), F.col("target").alias("type_id"), shown.alias("type_name"), shown.alias("type_name_bare"), F.lit("other").alias("ref_kind"), F.col("line").alias("ref_line"), F.col("character").alias("ref_character"), method.alias("resolution_method"))
-    return {"symbols": symbols, "symbol_refs": schema.conform(calls, "symbol_refs"), "type_refs": schema.conform(types, "type_refs")}
+    imports = N.stated_imports(occurrences, first).withColumn("id", F.abs(F.xxhash64("file_id", "raw_import")))
+    out = {"symbols": symbols, "symbol_refs": schema.conform(calls, "symbol_refs"), "type_refs": schema.conform(types, "type_refs"), "file_imports": schema.conform(imports, "file_imports")}
+    if {"file_id", "relationships"} <= set(infos.columns):
+        related = N.related(infos, made, first, files).withColumn("id", F.abs(F.xxhash64("file_id", "own", "symbol", "relationship_type")))
+        out["symbol_relationships"] = schema.conform(related, "symbol_relationships")
+    return out
 
 
 def build_sources(index: Index, root: str, branch: str, occurrences: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, units: DataFrame | None = None, clock: Callable[[], float] = time.time, policy: Policy | None = None) -> dict:
@@ -105,7 +112,7 @@ def build_sources(index: Index, root: str, branch: str, occurrences: Callable[[D
     files = stored(scanned(spark, root, branch, int(clock())))
     tables: Tables = {"files": files, "file_imports": scan_imports(files)}
     if occurrences is not None:
-        tables |= ingest_occurrences(*occurrences(files), files)
+        tables = _with_facts(tables, ingest_occurrences(*occurrences(files), files))
     project = Project.of(manifests(spark, root))
     lists = R.include_lists(units, files) if units is not None else None
     return build(index, tables, branch, policy=policy, clock=clock, stages=[Step("imports", lambda t: ingest_imports(t, project, lists)), *STAGES[1:], Step("search", search_tables)])
@@ -136,13 +143,15 @@ def refresh_sources(index: Index, root: str, branch: str, occurrences: Callable[
         t: Tables = {"files": every, "file_imports": scan_imports(files)}
         made = ingest_occurrences(*occurrences(files), files) if occurrences is not None else {}
         lists = R.include_lists(units, every) if units is not None else None
+        if made:
+            t["file_imports"] = t["file_imports"].unionByName(made["file_imports"])
         out = ingest_imports(t, project, lists)
         if made:
             own = stored(made["symbols"])
             old = V.effective(index.raw("symbols"), rest)
-            whole = {"symbols": old.unionByName(schema.conform(own, "symbols")), "files": every, "dirty_files": schema.empty(spark, "dirty_files"), "symbol_relationships": schema.empty(spark, "symbol_relationships")} | {k: v for k, v in made.items() if k != "symbols"}
+            whole = {"symbols": old.unionByName(schema.conform(own, "symbols")), "files": every, "dirty_files": schema.empty(spark, "dirty_files"), "symbol_relationships": schema.empty(spark, "symbol_relationships")} | {k: v for k, v in made.items() if k not in ("symbols", "file_imports")}
             done = resolve_symbols(whole)
-            out |= {"symbols": own, "symbol_refs": done["symbol_refs"], "type_refs": done["type_refs"]}
+            out |= {"symbols": own} | {k: done[k] for k in ("symbol_refs", "type_refs", "symbol_relationships")}
             if text is not None:
                 text.refresh(S.documents(own), V.effective(index.raw("symbols"), seen.join(changed.select("path"), "path", "left_semi")).select("id"))
         for name, df in out.items():
@@ -153,6 +162,11 @@ def refresh_sources(index: Index, root: str, branch: str, occurrences: Callable[
     return {"mode": "update" if n else "none", "changed": n}
 
 
+def _with_facts(tables: Tables, facts: Tables) -> Tables:
+    """Tables with those of an index: the imports of its files join those that were scanned."""
+    return tables | facts | {"file_imports": tables["file_imports"].unionByName(facts["file_imports"])}
+
+
 def search_tables(t: Tables) -> Tables:
     """Full-text rows of the symbols."""
     return {"symbols_fts": S.documents(t["symbols"])}

@@ -148,8 +148,11 @@ def occurrences(docs: DataFrame, files: DataFrame) -> DataFrame:
     return own.select("file_id", F.explode("occurrences").alias("o")).select("file_id", "o.*")
 
 
-def informations(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode("symbols").alias("s")).select("s.*")
+def informations(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """What the documents say about symbols; with files, by file id as well."""
+    if files is None:
+        return docs.select(F.explode("symbols").alias("s")).select("s.*")
+    return docs.join(files.select(F.col("id").alias("file_id"), "path"), "path").select("file_id", F.explode("symbols").alias("s")).select("file_id", "s.*")
 
 
 def precomputed(paths: DataFrame, directory: str, languages: list[str]) -> DataFrame:

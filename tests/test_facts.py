@@ -103,3 +103,35 @@ def test_query_cache_forgets():
     now[0] = 11
     cache("a")
     assert asked == ["a", "b", "c", "a", "a"]
+
+
+def test_a_build_keeps_stated_relationships_and_imports(spark, tmp_path):
+    from graphmill.plans import build as B
+    from graphmill.storage import Index
+
+    root = tmp_path / "src"
+    root.mkdir()
+    for name in ("a.ts", "b.ts"):
+        (root / name).write_text("class X {\n m() {}\n}\n")
+    occ = "path string, range array<int>, symbol string, symbol_roles int, enclosing_range array<int>, syntax_kind int"
+    rows = [
+        ("a.ts", [0, 6, 7], "s m v lib A#", 1, [0, 0, 2, 1], 0), ("a.ts", [1, 1, 2], "s m v lib A#m().", 1, [1, 0, 1, 7], 0),
+        ("b.ts", [0, 6, 7], "s m v lib B#", 1, [0, 0, 2, 1], 0), ("b.ts", [1, 1, 2], "s m v lib B#m().", 1, [1, 0, 1, 7], 0),
+        ("b.ts", [0, 9, 10], "s m v lib A#", 2, [], 0), ("b.ts", [0, 20, 21], "lone", 2, [], 0), ("b.ts", [1, 3, 4], "s m v lib A#m().", 0, [], 15),
+    ]
+    info = "path string, symbol string, documentation array<string>, display_name string, kind int, relationships array<struct<symbol:string,is_reference:boolean,is_implementation:boolean,is_type_definition:boolean,is_definition:boolean>>"
+    infos = [("a.ts", "s m v lib A#", ["interface A"], "", 0, []), ("b.ts", "s m v lib B#", ["class B"], "", 0, [("s m v lib A#", True, True, False, False), ("", False, True, False, False)])]
+
+    def facts(files):
+        own = files.select(F.col("id").alias("file_id"), "path")
+        return tuple(spark.createDataFrame(r, s).join(own, "path").drop("path") for r, s in ((rows, occ), (infos, info)))
+
+    index = Index(spark, str(tmp_path / "index"))
+    assert B.build_sources(index, str(root), "main", occurrences=facts, clock=lambda: 1)["status"] == "success"
+    names = {r.id: r.name for r in index.raw("symbols").collect()}
+    rel = index.raw("symbol_relationships").collect()
+    assert [(names[r.source_symbol_id], names[r.target_symbol_id], r.relationship_type, r.definition_path) for r in rel] == [("B", "A", "implements", "a.ts")]
+    paths = {r.id: r.path for r in index.raw("files").collect()}
+    assert {(paths[r.file_id], r.raw_import, paths.get(r.resolved_id)) for r in index.raw("file_imports").collect()} == {("b.ts", "lib", "a.ts"), ("b.ts", "lone", None)}
+    calls = {(names[r.caller_id], names[r.callee_id], r.call_kind) for r in index.raw("symbol_refs").collect()}
+    assert ("m", "m", "virtual") in calls  # dispatch follows from the relationship
