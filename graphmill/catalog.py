@@ -223,14 +223,14 @@ def name_cascade(spark, d):
 
 
 @query("""SELECT c.id, c.caller_id, s.name AS source_name, f.path AS source_path, c.callee_id, t.name AS target_name, g.path AS target_path FROM calls c JOIN symbols s ON s.id = c.caller_id JOIN files f ON f.id = s.file_id
-    LEFT JOIN symbols t ON t.id = c.callee_id LEFT JOIN files g ON g.id = t.file_id WHERE c.callee_id IS NOT NULL ORDER BY c.caller_id, c.call_line, c.id LIMIT 100000""")
+    LEFT JOIN symbols t ON t.id = c.callee_id LEFT JOIN files g ON g.id = t.file_id WHERE c.callee_id IS NOT NULL""")
 def resolved_edges(spark, d):
-    return E.calls(A.calls(spark, d), A.symbols(spark, d), A.files(spark, d), resolved_only=True).select("id", "caller_id", "source_name", "source_path", "callee_id", "target_name", "target_path")
+    return E.calls(A.calls(spark, d), A.symbols(spark, d), A.files(spark, d), resolved_only=True, limit=None).select("id", "caller_id", "source_name", "source_path", "callee_id", "target_name", "target_path")
 
 
-@query("""SELECT c.id, c.symbol_id, s.name AS source_name, c.type_id, t.name AS target_name FROM type_uses c JOIN symbols s ON s.id = c.symbol_id LEFT JOIN symbols t ON t.id = c.type_id ORDER BY c.symbol_id, c.ref_line, c.id LIMIT 100000""")
+@query("""SELECT c.id, c.symbol_id, s.name AS source_name, c.type_id, t.name AS target_name FROM type_uses c JOIN symbols s ON s.id = c.symbol_id LEFT JOIN symbols t ON t.id = c.type_id""")
 def type_ref_edges(spark, d):
-    return E.type_uses(A.type_uses(spark, d), A.symbols(spark, d), A.files(spark, d)).select("id", "symbol_id", "source_name", "type_id", "target_name")
+    return E.type_uses(A.type_uses(spark, d), A.symbols(spark, d), A.files(spark, d), limit=None).select("id", "symbol_id", "source_name", "type_id", "target_name")
 
 
 @query("""SELECT c.id, s.name AS source_name, c.target_symbol_id, t.name AS target_name FROM relationships c JOIN symbols s ON s.id = c.source_symbol_id LEFT JOIN symbols t ON t.id = c.target_symbol_id WHERE relationship_type = 'extends'""")

@@ -180,10 +180,12 @@ def glob_selection(spark, d):
     return A.files(spark, d).where(K.selected("path", ["/building/**", "/{machinery,none}/n?/*.py"], ["**/*7.py"])).select("id")
 
 
-@query("SELECT unnest(['python', 'go', 'javascript']) AS language", raw=True)
+@query(KEYS + f" SELECT DISTINCT language FROM (SELECT list_extract([{', '.join('NULL' if x is None else repr(x) for x in _LANG)}], CAST(k % 7 + 1 AS INTEGER)) AS language FROM o UNION ALL SELECT unnest(['python', 'go', 'javascript']))", raw=True)
 def project_languages(spark, d):
+    # half of the extensions one directory deep, all of them two deep, where they don't count
+    near = numbers(spark, d).select(F.concat(text("k", "d@/f"), F.element_at(F.array(*map(F.lit, _EXT[:7])), (F.col("k") % 7 + 1).cast("int"))).alias("path"))
     rows = _paths(spark, d).select("path").unionByName(spark.createDataFrame([("package.json",), ("go.mod",), ("src/x.py",), ("node_modules/y.rs",), (".hidden/z.rb",), ("a/b/c.java",), ("deep/go.mod",)], "path string"))
-    return W.project_languages(rows.where("path not like 'src/a.b/%'"))
+    return W.project_languages(rows.unionByName(near))
 
 
 @query("SELECT CAST(l AS VARCHAR) AS layer, generation, n FROM (SELECT 'baseline' AS l, CAST(2 AS BIGINT) AS generation, count(*) AS n FROM files WHERE id % 2 = 0 UNION ALL SELECT 'overlay', CAST(0 AS BIGINT), count(*) FROM files WHERE id % 50 = 0)")
@@ -490,7 +492,7 @@ def merged_documents(spark, d):
     k = F.col("k")
     occ = F.array(F.struct(i(1, 2, 3).alias("range"), text("k", "s").alias("symbol"), F.lit(1).alias("symbol_roles"), F.when(k % 2 == 0, i(1, 0, 9)).otherwise(F.array().cast("array<int>")).alias("enclosing_range"), F.lit(0).alias("syntax_kind")))
     sym = F.array(F.struct(F.lit("s").alias("symbol"), F.when(k % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"))).alias("documentation"), F.array().cast("array<string>").alias("relationships")))
-    docs = numbers(spark, d).where("k < (select 1) or true").select(F.concat(F.lit("p"), F.floor(k / 2).cast("string")).alias("path"), occ.alias("occurrences"), sym.alias("symbols"))
+    docs = numbers(spark, d).select(F.concat(F.lit("p"), F.floor(k / 2).cast("string")).alias("path"), occ.alias("occurrences"), sym.alias("symbols"))
     return W.merged_documents(docs).select("path", F.size("occurrences").alias("occurrences"), F.size("symbols").alias("symbols"), F.size(F.element_at("symbols", 1)["documentation"]).alias("docs"))
 
 
@@ -552,10 +554,10 @@ def include_lists(spark, d):
     return R.include_lists(units.unionByName(own), f)
 
 
-@query(KEYS + " SELECT '/h/f' || k || '.h' AS path, CASE k % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'cpp' WHEN 2 THEN 'mixed' ELSE 'ambiguous' END AS language FROM o WHERE k < 400", raw=True)
+@query(KEYS + " SELECT '/h/f' || k || '.h' AS path, CASE k % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'cpp' WHEN 2 THEN 'mixed' ELSE 'ambiguous' END AS language FROM o", raw=True)
 def header_languages(spark, d):
     k = F.col("k")
-    n = numbers(spark, d).where("k < 400")
+    n = numbers(spark, d)
     heads = n.select(text("k", "/h/f@.h").alias("path"), F.lit("c").alias("language"))
     units = spark.createDataFrame([("/s/a.c", "c"), ("/s/b.cpp", "cpp")], "path string, language string")
     e = n.select(F.explode(F.when(k % 4 == 0, F.array(F.lit("/s/a.c"))).when(k % 4 == 1, F.array(F.lit("/s/b.cpp"))).when(k % 4 == 2, F.array(F.lit("/s/a.c"), F.lit("/s/b.cpp"))).otherwise(F.array().cast("array<string>"))).alias("src"), text("k", "/h/f@.h").alias("dst"))
@@ -614,21 +616,24 @@ def shortest_path(spark, d):
     return spark.createDataFrame(list(zip(path, range(len(path)))), "node long, place int")
 
 
-def _pairs(spark):
-    n = spark.range(40).select(F.col("id").alias("k"))
+DIRECTORIES = "WITH o AS (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier)"
+
+
+def _pairs(spark, d):
+    n = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
     sample = F.array().cast("array<string>").alias("sample_files")
     a = n.select(text("k", "a@").alias("from_dir"), text("k", "b@").alias("to_dir"), F.lit(3).cast("long").alias("count"), sample)
     return a.unionByName(n.select(text("k", "b@").alias("from_dir"), text("k", "a@").alias("to_dir"), (F.col("k") + 1).alias("count"), sample))
 
 
-@query("SELECT 'a' || k || ',b' || k AS directories, k + 4 AS edge_count FROM range(40) t(k) ORDER BY 2 DESC, 1 LIMIT 20", raw=True)
+@query(DIRECTORIES + " SELECT 'a' || k || ',b' || k AS directories, k + 4 AS edge_count FROM o ORDER BY 2 DESC, 1 LIMIT 20", raw=True)
 def directory_cycles(spark, d):
-    return spark.createDataFrame([(",".join(c["directories"]), c["edge_count"]) for c in G.directory_cycles(_pairs(spark))], "directories string, edge_count long")
+    return spark.createDataFrame([(",".join(c["directories"]), c["edge_count"]) for c in G.directory_cycles(_pairs(spark, d))], "directories string, edge_count long")
 
 
-@query("SELECT 'b' || k AS from_dir, 'a' || k AS to_dir, CAST(2 * (row_number() OVER (ORDER BY 'a' || k) - 1) AS INTEGER) AS from_rank, CAST(2 * row_number() OVER (ORDER BY 'a' || k) - 1 AS INTEGER) AS to_rank, k + 1 AS edge_count FROM range(40) t(k) ORDER BY edge_count DESC, 1 LIMIT 20", raw=True)
+@query(DIRECTORIES + " SELECT 'b' || k AS from_dir, 'a' || k AS to_dir, CAST(2 * (row_number() OVER (ORDER BY 'a' || k) - 1) AS INTEGER) AS from_rank, CAST(2 * row_number() OVER (ORDER BY 'a' || k) - 1 AS INTEGER) AS to_rank, k + 1 AS edge_count FROM o ORDER BY edge_count DESC, 1 LIMIT 20", raw=True)
 def layer_violations(spark, d):
-    return spark.createDataFrame([(v["from_dir"], v["to_dir"], v["from_rank"], v["to_rank"], v["edge_count"]) for v in G.layer_violations(_pairs(spark))], "from_dir string, to_dir string, from_rank int, to_rank int, edge_count long")
+    return spark.createDataFrame([(v["from_dir"], v["to_dir"], v["from_rank"], v["to_rank"], v["edge_count"]) for v in G.layer_violations(_pairs(spark, d))], "from_dir string, to_dir string, from_rank int, to_rank int, edge_count long")
 
 
 @query("""SELECT caller_id AS src, callee_id AS dst, 'call' AS kind, resolution_method AS method FROM calls WHERE callee_id IS NOT NULL UNION ALL SELECT symbol_id, type_id, 'type', resolution_method FROM type_uses WHERE type_id IS NOT NULL

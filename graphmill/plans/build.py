@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import tomllib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -42,6 +43,22 @@ class Step:
         self.name, self.run = name, run
 
 
+def local_crates(manifest: str) -> set[str]:
+    """Crates that a Cargo manifest puts inside the project, as code names them: its own package and library, and
+    the dependencies that it has by path, under the names that it gives them, in every kind of dependency table."""
+    try:
+        m = tomllib.loads(manifest)
+    except tomllib.TOMLDecodeError:
+        return set()
+    table = lambda x: x if isinstance(x, dict) else {}
+    names = {table(m.get(t)).get("name") for t in ("package", "lib")}
+    owners = [m, table(m.get("workspace")), *map(table, table(m.get("target")).values())]
+    for own in owners:
+        for kind in ("dependencies", "dev-dependencies", "build-dependencies"):
+            names |= {name for name, d in table(own.get(kind)).items() if "path" in table(d)}
+    return {n.replace("-", "_") for n in names if isinstance(n, str)}
+
+
 @dataclass(frozen=True)
 class Project:
     """What a project's own files say about its imports."""
@@ -56,8 +73,8 @@ class Project:
         own = {r["path"]: r["source"] or "" for r in files.where(F.col("path").rlike(r"(^|/)(go\.mod|Cargo\.toml)$")).select("path", "source").orderBy("path").toLocalIterator()}
         at = f"{root}/go.mod" if root else "go.mod"
         module = re.search(r"^module\s+(\S+)", own.get(at, ""), re.M)
-        crates = [m[1].replace("-", "_") for p, text in own.items() if p.endswith("Cargo.toml") and (m := re.search(r'^\[package\][^\[]*?^name\s*=\s*"([^"]+)"', text, re.M | re.S))]
-        return cls(root, module[1] if module else None, tuple(sorted(set(crates))))
+        crates = {c for p, text in own.items() if p.endswith("Cargo.toml") for c in local_crates(text)}
+        return cls(root, module[1] if module else None, tuple(sorted(crates)))
 
 
 def scan_imports(files: DataFrame) -> DataFrame:

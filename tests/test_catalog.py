@@ -5,23 +5,19 @@ import os
 import pytest
 
 import __spark_entry__
-from graphmill import catalog, catalog_facts  # noqa: F401
+from graphmill import catalog, catalog_facts, catalog_index
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["commit_cadence_week", "churn_by_file", "branch_activity", "effective_files", "reconcile_targets", "symbols_contains", "containing_symbol", "name_cascade", "containment_cascade", "cohesion", "coverage_grouping_sets", "diff_changed", "callers_depth5", "connected_components", "rrf_fused", "session_quiet_period"]
 
 
-#: Rows that the smallest tables do not have.
-EMPTY = {"new_commits"} - {"new_commits"}
-
-
 def rounded(v):
     return round(v, 5) if isinstance(v, float) else v
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted({*SOME, *(n for n, f in catalog.QUERIES.items() if f.__module__ == catalog_facts.__name__ and n in catalog.ORACLE_SQL)}))
+@pytest.mark.parametrize("name", sorted({*SOME, *(n for n, f in catalog.QUERIES.items() if f.__module__ in (catalog_facts.__name__, catalog_index.__name__) and n in catalog.ORACLE_SQL)}))
 def test_same_as_sql(spark, name):
     import duckdb
 
@@ -34,7 +30,7 @@ def test_same_as_sql(spark, name):
     place = [[c[0] for c in rel.description].index(c) for c in cols]
     want = sorted((tuple(rounded(r[i]) for i in place) for r in rel.fetchall()), key=str)
     got = sorted((tuple(rounded(r[c]) for c in cols) for r in df.collect()), key=str)
-    assert got == want and (got or name in EMPTY)
+    assert got == want and got
 
 
 def test_entry():

@@ -164,3 +164,22 @@ def test_many_files_of_one_name_make_no_product(spark):
     imports = spark.range(n).select("id", F.concat(d, F.lit("/m.c")).alias("path"), F.lit('"index.h"').alias("raw"))
     got = R.by_include(imports, files)
     assert got.where("id = t and m = 'include_basename_nearest'").count() == n
+
+
+def test_local_crates():
+    from graphmill.plans.build import local_crates
+
+    text = """[package]
+name = "my-app"
+[lib]
+name = "my_lib"
+[dependencies]
+serde = "1"
+local = { path = "../l", version = "1" }
+[target.'cfg(unix)'.dev-dependencies]
+unix-only = { path = "u" }
+[workspace.dependencies]
+shared-core = { path = "core" }
+"""
+    assert local_crates(text) == {"my_app", "my_lib", "local", "unix_only", "shared_core"}
+    assert local_crates("not [ toml") == set() == local_crates("package = 1")
