@@ -1,4 +1,4 @@
-"""Registered queries over stored indexes, with their SQL: build, refresh, merge and search of full text."""
+"""Registered queries of the stored full-text index, of index facts in builds, definition tiers and streams, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from graphmill import adapters as A
 from graphmill.catalog import document_index, query, r6
 from graphmill.operators.fulltext import FullText
+from graphmill.operators import resolve as R
 from graphmill.storage import scratch
+from graphmill.streaming import changes as X
 
 _WORDS = "list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -115,3 +117,41 @@ def document_languages(spark, d):
     stated = F.when(m == 0, "C").when(m == 1, "VisualBasic").when(m == 2, "c").when(m == 3, F.when(F.col("id") % 2 == 0, "")).otherwise("klingon")
     path = F.concat("path", F.when(m == 0, ".h").when(m == 1, ".py").when(m == 2, ".cc").when(m == 3, ".py").otherwise(".zzz"))
     return A.files(spark, d).select("id", document_language(stated, path).alias("language"))
+
+
+# --- definition tiers, and streams as streams
+
+
+@query("""SELECT id, CASE id % 6 WHEN 0 THEN id * 10 + 2 WHEN 1 THEN id * 10 + 3 WHEN 2 THEN id * 10 + 3 WHEN 3 THEN id * 10 + 1 END AS target, CASE WHEN id % 6 < 4 THEN 'lsp_definition' WHEN id % 6 = 4 THEN 'ambiguous_definition' ELSE 'unresolved' END AS method FROM files""")
+def definition_tiers(spark, d):
+    # in each file four symbols: the edge's place is a selection, a start, within a span, on its lines, in two equal spans, in none
+    files = A.files(spark, d)
+    k, none = F.col("id"), F.lit(None).cast("int")
+    one = lambda n, name, l0, c0, l1, c1, p0=None, p1=None: F.struct((k * 10 + n).alias("id"), F.lit(name).alias("name"), *(F.lit(v).cast("int").alias(c) for c, v in zip(("start_line", "start_character", "end_line", "end_character", "selection_line", "selection_character"), (l0, c0, l1, c1, p0, p1))))
+    made = F.array(one(1, "f", 0, 0, 50, 0), one(2, "f", 10, 0, 20, 1, 10, 4), one(3, "f", 12, 0, 14, 9), one(4, "g", 5, 0, 8, 0), one(5, "g", 5, 0, 8, 0))
+    symbols = files.select(k.alias("file_id"), F.explode(made).alias("s")).select("s.id", "file_id", "s.name", F.lit("function").alias("kind"), *(f"s.{c}" for c in ("start_line", "start_character", "end_line", "end_character", "selection_line", "selection_character")))
+    m = k % 6
+    line = F.when(m == 0, 10).when(m == 1, 12).when(m == 2, 13).when(m == 3, 30).when(m == 4, 5).otherwise(99)
+    char = F.when(m == 0, 4).when(m == 1, 0).when(m == 2, 2).when(m == 3, none).otherwise(0)
+    edges = files.select("id", k.alias("file_id"), F.lit(None).cast("long").alias("target"), F.when(m == 4, "g").otherwise("f").alias("name"), F.lit("unresolved").alias("method"), F.col("path").alias("definition_path"), line.cast("int").alias("definition_line"), char.cast("int").alias("definition_character"))
+    return R.by_definition(edges, symbols, files, A.dirty_files(spark, d).limit(0)).select("id", "target", "method")
+
+
+def _streamed(spark, d, name: str, change):
+    """The last result of a stream over a table's files, run until it has taken all of them."""
+    out, at = scratch(spark, "-stream"), scratch(spark, "-progress")
+    rows = spark.readStream.schema(A.table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
+    query = change(rows).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", at).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, count(*) AS events FROM events GROUP BY 1, 2", raw=True)
+def streamed_counts(spark, d):
+    got = _streamed(spark, d, "events", lambda e: X.counts(e.withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], "ts", "1 hour"))
+    return got.select("event_type", F.unix_seconds("start").alias("start"), "events")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1", raw=True)
+def streamed_latest(spark, d):
+    return _streamed(spark, d, "events", lambda e: X.latest(e.select("user_id", "event_id", "event_type", "ts"), ["user_id"], "ts", "event_id")).select("user_id", "event_id", "event_type")
