@@ -284,24 +284,65 @@ def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES, rounds
     return out.unionByName(loops.join(out, "node", "left_anti"))
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): nodes whose dependencies (dst) all have lower levels; nodes on or behind cycles are left
-    out. The order by level and node is a topological one."""
-    e = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    left = stored(nodes.select("node").distinct())
-    out, level = None, 0
+def topological_levels(nodes: DataFrame, edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """(node, level): nodes whose dependencies (dst) all have lower levels, level 0 without any; nodes on or behind
+    cycles are left out. The order by level and node is a topological one.
+
+    A round takes away the nodes without open dependencies, and then contracts those with a single one: such a node's level
+    is the larger of a number known so far and that of its dependency plus a number, and such rules compose, so a
+    way of single dependencies of any length is followed in steps that double. Trees and chains take a
+    number of steps that grows with the logarithm of their size; other graphs at most a round for each level. Contracted nodes get
+    their levels in the end, in reverse order. rounds, if given, gets an entry for each step."""
+    note = (lambda k: None) if rounds is None else rounds.append
+    e = stored(edges.select("src", "dst", F.lit(1).alias("w")).where("src is not null and dst is not null").distinct())
+    left = stored(nodes.select("node").unionByName(e.select(F.explode(F.array("src", "dst")).alias("node"))).distinct().withColumn("base", F.lit(0)))
+    known = nodes.select("node").distinct()
+    done: list[DataFrame] = []
+    chains: list[DataFrame] = []
+    turn = 0
     while True:
-        ready = stored(left.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
-        if ready.isEmpty():
+        note(turn)
+        degree = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("dst"), F.min("w").alias("w"))
+        rows = stored(left.join(degree, "node", "left"))
+        ready = stored(rows.where("n is null").select("node", F.col("base").alias("level")))
+        single = stored(rows.where("n = 1").select("node", F.col("dst").alias("to"), "base", F.col("w").alias("add")))
+        if ready.isEmpty() and single.isEmpty():
             break
-        part = ready.withColumn("level", F.lit(level))
+        done.append(ready)
+        # follow single dependencies: the rule of a node and that of what it depends on, as one
+        steps = 0
+        most = max(single.count(), 1).bit_length() + 1
+        while steps < most:
+            further = single.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("base").alias("_b"), F.col("add").alias("_a"))
+            met = single.join(further, "to", "left")
+            step = stored(met.select("node", F.coalesce("_to", "to").alias("to"), F.greatest("base", F.coalesce(F.col("_b") + F.col("add"), "base")).alias("base"), (F.col("add") + F.coalesce("_a", F.lit(0))).alias("add"), F.col("_to").isNotNull().alias("moved")))
+            single = step.drop("moved")
+            steps += 1
+            note(turn)
+            if step.where("moved").isEmpty():
+                break
+        # what still leads to a contracted node after that many steps is on or behind a cycle
+        single = stored(single.join(single.select(F.col("node").alias("to")), "to", "left_anti"))
+        chains.append(single)
+        open_ = rows.where("n > 1").select("node", "base")
+        over = e.join(open_.select(F.col("node").alias("src")), "src", "left_semi")
+        through = over.join(single.select(F.col("node").alias("dst"), "to", F.col("base").alias("b"), "add"), "dst", "left").select("src", F.coalesce("to", "dst").alias("dst"), (F.col("w") + F.coalesce("add", F.lit(0))).alias("w"), (F.col("w") + F.col("b")).alias("b"))
+        met = stored(through.join(ready.withColumnRenamed("node", "dst"), "dst", "left"))
+        gained = met.groupBy(F.col("src").alias("node")).agg(F.max(F.greatest(F.coalesce(F.col("w") + F.col("level"), F.lit(0)), F.coalesce("b", F.lit(0)))).alias("g"))
         before = (left, e)
-        out, old = stored(part if out is None else out.unionByName(part)), out
-        left = stored(left.join(ready, "node", "left_anti"))
-        e = stored(e.join(ready.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-        drop_stored(old, ready, *before)
-        level += 1
-    return out if out is not None else left.withColumn("level", F.lit(0)).limit(0)
+        left = stored(open_.join(gained, "node", "left").select("node", F.greatest("base", F.coalesce("g", F.lit(0))).alias("base")))
+        e = stored(met.where("level is null").groupBy("src", "dst").agg(F.max("w").alias("w")))
+        drop_stored(rows, met, *before)
+        turn += 1
+    if not done:
+        return known.withColumn("level", F.lit(0)).limit(0)
+    levels = done[0]
+    for part in done[1:]:
+        levels = levels.unionByName(part)
+    for chain in reversed(chains):
+        found = chain.join(levels.withColumnRenamed("node", "to"), "to").select("node", F.greatest("base", F.col("add") + F.col("level")).alias("level"))
+        levels = stored(levels.unionByName(found))
+    return levels.join(known, "node", "left_semi").select("node", F.col("level").cast("int").alias("level"))
 
 
 class Union:

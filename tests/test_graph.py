@@ -200,3 +200,22 @@ def test_rounds_of_strong_components_grow_slowly_with_the_way(spark):
     rounds = []
     got = G.strong_components(ring, 0, rounds)
     assert got.count() == n and got.where("component = 0").count() == n and len(rounds) < 20
+
+
+def test_levels_of_chains_trees_and_random_graphs(spark):
+    k = F.col("id")
+    n = 3000
+    chain = spark.range(1, n).select((k * 7 % n).alias("src"), ((k - 1) * 7 % n).alias("dst"))  # a chain in a mixed order
+    rounds = []
+    got = G.topological_levels(spark.range(n).select(k.alias("node")), chain, rounds)
+    assert got.where(f"node = level * 7 % {n}").count() == n and len(rounds) < 25
+    r = random.Random(8)
+    pairs = [(a, r.randrange(a)) for a in range(1, 40)] + [tuple(sorted(r.sample(range(40), 2), reverse=True)) for _ in range(15)] + [(50, 51), (51, 50), (52, 51), (53, 52), (53, 3), (54, 54)]
+    deps = defaultdict(set)
+    for a, b in pairs:
+        deps[a].add(b)
+    want = {}
+    for a in range(40):
+        want[a] = 1 + max((want[b] for b in deps[a]), default=-1)
+    nodes = spark.createDataFrame([(i,) for i in [*range(40), *range(50, 55)]], "node long")
+    assert dict(map(tuple, G.topological_levels(nodes, edges(spark, pairs)).collect())) == want
