@@ -330,48 +330,63 @@ def test_rules_like_brute_force():
             assert known.fitting(host, path) == max(fit, key=lambda x: len(x.text), default=None)
 
 
-def test_viterbi_like_brute_force():
+def test_viterbi_like_brute_force(monkeypatch):
     from itertools import combinations as some
 
     r = random.Random(3)
-    counts = np.zeros(1 << urlfilter.WORD_BITS, np.int64)
-    for w in ("ab", "abc", "bca", "ca", "cab", "aa", "b" * 25):
-        counts[urlfilter.bucket(w, urlfilter.WORD_BITS)] = r.randint(1, 50)
-    s = urlfilter.Segmenter(counts)
-    price = lambda w: min(s.cost(w), s.log_total + urlfilter.LETTER * len(w))
+    s = urlfilter.Segmenter(urlfilter.Words.of({w: r.randint(1, 50) for w in ("ab", "abc", "bca", "ca", "cab", "aa", "b" * 25)}))
+    price = lambda w: min(float(s.costs([w])[0]), s.log_total + urlfilter.LETTER * len(w))
     for _ in range(60):
         run = "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
         ways = [[run[i:j] for i, j in zip((0, *cut), (*cut, len(run)))] for n in range(len(run)) for cut in some(range(1, len(run)), n)]
         assert abs(sum(map(price, s.split(run))) - min(sum(map(price, w)) for w in ways)) < 1e-9
     assert "".join(s.split("abcca" * 3000)) == "abcca" * 3000 and s.split("q" * 50) == ("q" * 50,)
+    long = ("abcca" * 500 + "b" * 25) * 3
+    whole = s.split(long)
+    assert "b" * 25 in whole  # words of any length are known
+    monkeypatch.setattr(urlfilter, "LOOKED_UP", 20)
+    assert s._split(long) == whole
 
 
 def test_only_shown_words_count(spark):
     page = "<html lang='en'><style>red blue</style><Script src=x>var hidden</scRipt><p class=big>Alpha alpha</p> beta " + "z" * 30
     got = urlfilter.word_counts(spark.createDataFrame([(page,), (None,)], "text string"), "text")
-    assert {w: int(got[urlfilter.bucket(w, urlfilter.WORD_BITS)]) for w in ("alpha", "beta", "html", "hidden", "red", "class", "z" * 20)} == {"alpha": 2, "beta": 1, "html": 0, "hidden": 0, "red": 0, "class": 0, "z" * 20: 0}
-    assert int(got.sum()) == 3
+    assert {w: int(got.counts([w])[0]) for w in ("alpha", "beta", "html", "hidden", "red", "class", "z" * 20, "z" * 30)} == {"alpha": 2, "beta": 1, "html": 0, "hidden": 0, "red": 0, "class": 0, "z" * 20: 0, "z" * 30: 1}
+    assert got.total == int(got.count.sum()) == 4 and got.lengths.tolist() == [4, 5, 30]
+
+
+def test_many_distinct_words_do_not_fill_the_table(spark):
+    from pyspark.sql import functions as F
+
+    # 5 million words that occur once, each of 12 letters by its number, among frequent ones
+    letters = [F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.floor(F.col("w") / 26**i) % 26 + 1).cast("int"), F.lit(1)) for i in range(5)]
+    rare = spark.range(0, 5_000_000, 1, 8).withColumn("w", (F.col("id") * 7919) % 11881376).select(F.concat(F.lit("qx"), *letters).alias("t"))
+    often = spark.range(200).select(F.lit("best casino cheap flights " * 20).alias("t"))
+    got = urlfilter.word_counts(rare.unionByName(often), "t")
+    s = urlfilter.Segmenter(got)
+    assert got.total == 5_000_000 + 200 * 80 and len(got.key) == 4
+    exact = urlfilter.Segmenter(urlfilter.Words.of({w: 4000 for w in ("best", "casino", "cheap", "flights")}))
+    for name in ("bestcasinoxqzwv", "cheapflights", "xqzwvkjh"):
+        assert s.split(name) == exact.split(name), name
+    assert s.split("bestcasinoxqzwv") == ("best", "casino", "xqzwv")
 
 
 def test_names_are_split_into_words():
-    counts = np.zeros(1 << urlfilter.WORD_BITS, np.int64)
-    for w, n in (("cheap", 50), ("flights", 40), ("a", 500), ("fl", 3), ("best", 30), ("bestial", 1)):
-        counts[urlfilter.bucket(w, urlfilter.WORD_BITS)] = n
-    s = urlfilter.Segmenter(counts)
+    s = urlfilter.Segmenter(urlfilter.Words.of({"cheap": 50, "flights": 40, "fl": 3, "best": 30, "bestial": 1}))
     assert s.split("cheapflights") == ("cheap", "flights") and s.split("bestcheap") == ("best", "cheap")
     assert s.tokens("cheapflights.com", "/A1/22") == ["h:cheap", "h:flights", *s.tokens("com", ""), *s.tokens("", "/A"), "p:#1", "p:#2"]
 
 
 def test_bayes_like_brute_force():
-    docs = [("block", [1, 2, 2]), ("block", [2, 3]), ("allow", [4, 1])]
-    counts = np.zeros((2, 1 << urlfilter.TOKEN_BITS))
-    for v, ts in docs:
-        for t in ts:
-            counts[urlfilter.VERDICTS.index(v), t] += 1
-    m = urlfilter.Bayes.of(np.array([1.0, 2.0]), counts)
-    c = {v: Counter(t for w, ts in docs if w == v for t in ts) for v in ("allow", "block")}
-    z = {v: np.log((n + 1) / 5) + sum(np.log((c[v][t] + 1) / (c[v].total() + 4)) for t in [2, 4]) for v, n in (("allow", 1), ("block", 2))}
-    assert abs(m.block_score([2, 4]) - (z["block"] - z["allow"])) < 1e-9
+    docs = [("block", "122"), ("block", "23"), ("allow", "41")]
+    c = {v: Counter(t for w, ts in docs if w == v for t in ts) for v in urlfilter.VERDICTS}
+    key = list("1234")
+    counts = np.array([[c[v][t] for t in key] for v in urlfilter.VERDICTS], float)
+    m = urlfilter.Bayes.of(np.array([1.0, 2.0]), urlfilter.fingerprints(key), counts, counts.sum(axis=1))
+    z = {v: np.log((n + 1) / 5) + sum(np.log((c[v][t] + 1) / (c[v].total() + 4)) for t in "2495") for v, n in (("allow", 1), ("block", 2))}
+    assert abs(m.block_score(list("2495")) - (z["block"] - z["allow"])) < 1e-9
+    empty = urlfilter.Bayes.of(np.zeros(2), np.zeros(0, np.int64), np.zeros((2, 0)), np.zeros(2))
+    assert empty.block_score(["a"]) == empty.block_score([]) == 0.0
 
 
 # --- licences
