@@ -545,19 +545,25 @@ def findings(raw: np.ndarray, at: np.ndarray, net: Network) -> list[list[tuple[i
         out[d] = patterns(raw[at[d] : at[d + 1]].tobytes().decode(), bool(long[d]))
     if len(of) and net.threshold <= 1:
         good = np.flatnonzero(np.concatenate(in_parts(raw, at, of, start, end, net.scores)) >= net.threshold)
-        points: dict[int, np.ndarray] = {}
-        for r in good:
-            d = int(of[r])
-            if d not in points:
-                points[d] = np.cumsum((raw[at[d] : at[d + 1]] & 0xC0) != 0x80)
-            p, q = int(points[d][start[r] - at[d]]) - 1, int(points[d][end[r] - 1 - at[d]])
-            if not any(k < 3 and p < y and x < q for x, k, y in out[d]):
-                out[d].append((p, 3, q))
-        for d in points:
-            out[d].sort()
+        for part in np.split(good, np.flatnonzero(np.diff(of[good])) + 1):
+            if len(part):
+                d = int(of[part[0]])
+                points = np.cumsum((raw[at[d] : at[d + 1]] & 0xC0) != 0x80)
+                p, q = points[start[part] - at[d]] - 1, points[end[part] - 1 - at[d]]
+                new = apart(p, q, out[d])
+                out[d] = sorted([*out[d], *((int(x), 3, int(y)) for x, y in zip(p[new], q[new]))])
     return out
 
 
+def apart(p: np.ndarray, q: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which of the stretches from p to q overlap none of spans (start, kind, end)."""
+    if not spans:
+        return np.ones(len(p), bool)
+    x, _, y = np.array(sorted(spans)).T
+    before = np.searchsorted(x, q)  # spans that begin before q; the furthest end of these decides
+    return (before == 0) | (np.maximum.accumulate(y)[before - 1] <= p)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """The network by all documents; with under LEAST_ROWS candidates of a label to learn from it accepts nothing."""
     net = learned_from_all(docs, id_col, text_col)

@@ -615,6 +615,28 @@ def test_network_learns_calibrates_and_sets_its_threshold_by_every_candidate(spa
     assert extra(net) < 20 < extra(secrets.Network.train(*secrets.labelled(df, most_rows=20)))
 
 
+def test_many_findings_in_one_text():
+    import time
+
+    r = random.Random(8)
+    for _ in range(300):
+        spans = sorted((s, r.randrange(3), s + r.randint(1, 9)) for s in (r.randrange(60) for _ in range(r.randrange(6))))
+        p = np.array([r.randrange(60) for _ in range(5)])
+        q = p + np.array([r.randint(1, 9) for _ in range(5)])
+        assert secrets.apart(p, q, spans).tolist() == [not any(a < y and x < b for x, _, y in spans) for a, b in zip(p, q)]
+    net = secrets.Network.untrained()
+    net.threshold = 0.0  # every run is a finding
+    n = 100_000
+    raw = np.frombuffer(b"".join(b"token=abcdefgh12 lonelyrun%07d " % i for i in range(n)), np.uint8)
+    began = time.perf_counter()
+    parts = secrets.patterns(raw.tobytes().decode())
+    of, start, end = secrets.runs(raw, np.array([0, len(raw)]))
+    new = secrets.apart(start, end, parts)
+    assert len(parts) == n and int(new.sum()) == n and time.perf_counter() - began < 20
+    got = secrets.findings(raw[: 34 * 2000], np.array([0, 34 * 2000]), net)[0]
+    assert [k for _, k, _ in got] == [0, 3] * 2000
+
+
 def test_slopes_like_differences_of_the_loss():
     import copy
 
