@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
-from graphmill import catalog, catalog_facts, catalog_index
+from graphmill import catalog, catalog_changes, catalog_facts, catalog_index
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,7 +17,7 @@ def rounded(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted({*SOME, *(n for n, f in catalog.QUERIES.items() if f.__module__ in (catalog_facts.__name__, catalog_index.__name__) and n in catalog.ORACLE_SQL)}))
+@pytest.mark.parametrize("name", sorted({*SOME, *(n for n, f in catalog.QUERIES.items() if f.__module__ in (catalog_changes.__name__, catalog_facts.__name__, catalog_index.__name__) and n in catalog.ORACLE_SQL)}))
 def test_same_as_sql(spark, name):
     import duckdb
 
