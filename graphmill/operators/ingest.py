@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from graphmill.operators.lookups import narrowest
 from graphmill.sources.files import language_of
@@ -357,18 +359,40 @@ def stable_pairs(left: list[dict], right: list[dict]) -> list[tuple[int, int, in
 MATCHED = ("id", "name", "kind", "start_line", "start_character", "end_line", "selection_line", "selection_character", "signature", "parent_name")
 
 
+def in_groups(df: DataFrame, keys: list[str], order: list[str], run: Callable[[list[dict]], list[dict]], columns: dict[str, pa.DataType]) -> DataFrame:
+    """run over the rows of each group, in order: groups are met one after another in sorted partitions, so that
+    many small ones cost no call of Spark's each, and one is held at a time."""
+    schema = pa.schema(list(columns.items()))
+
+    def go(batches):
+        key, held, out = None, [], []
+        for b in batches:
+            for r in b.to_pylist():
+                k = tuple(r[c] for c in keys)
+                if k != key and held:
+                    out += run(held)
+                    held = []
+                key = k
+                held.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            out = []
+        if held:
+            yield pa.RecordBatch.from_pylist(run(held), schema=schema)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(go, from_arrow_schema(schema))
+
+
 def matched(indexed: DataFrame, served: DataFrame) -> DataFrame:
     """(file_id, indexed_id, served_id, score): stable matching within each file and name. Rows meet by file
     and name, which is what bounds a group."""
     left = indexed.select("file_id", F.lit(0).alias("side"), *MATCHED)
     right = served.select("file_id", F.lit(1).alias("side"), *MATCHED)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+    def run(rows: list[dict]) -> list[dict]:
         got = stable_pairs([r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1])
-        return pd.DataFrame([(rows[0]["file_id"], a, b, s) for a, b, s in got], columns=["file_id", "indexed_id", "served_id", "score"])
+        return [{"file_id": rows[0]["file_id"], "indexed_id": a, "served_id": b, "score": s} for a, b, s in got]
 
-    return left.unionByName(right).groupBy("file_id", "name").applyInPandas(run, "file_id long, indexed_id long, served_id long, score int")
+    return in_groups(left.unionByName(right), ["file_id", "name"], ["side", "id"], run, {"file_id": pa.int64(), "indexed_id": pa.int64(), "served_id": pa.int64(), "score": pa.int32()})
 
 
 def supplements(served: DataFrame, symbols: DataFrame) -> DataFrame:

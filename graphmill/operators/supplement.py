@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.operators.ingest import exact_callee, matched
+from graphmill.operators.ingest import exact_callee, in_groups, matched
 from graphmill.storage import stored
 
 # fixed values: kinds whose declarations take more than a line, and kinds that call
@@ -21,24 +21,25 @@ def needs_repair(kind: Column, start: Column, end: Column) -> Column:
     return F.coalesce(start.isNull() | end.isNull() | (start < 0) | (end < start) | ((end == start) & kind.isin(*LONG_KINDS)), F.lit(False))
 
 
-def _twins(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the rows of one file, name, kind and owner: what each candidate repeats, by (id, position); the first
+def _twins(rows: list[dict]) -> list[dict]:
+    """Of the rows of one file, name, kind and owner, by side, id and position: what each candidate repeats, by (id, position); the first
     of known symbols by id, then of earlier candidates that repeat nothing. Points of selection decide where both
     have one; else spans that meet."""
-    rows = pdf.sort_values(["side", "id", "position"]).to_dict("records")
     exact: dict[tuple, tuple] = {}
     vague: list[tuple] = []  # without a point
     every: list[tuple] = []
     out = []
     for r in rows:
-        point = None if pd.isna(r["selection_line"]) or pd.isna(r["selection_character"]) else (int(r["selection_line"]), int(r["selection_character"]))
-        ends = ((r["start_line"], -1 if pd.isna(r["start_character"]) else r["start_character"]), (r["end_line"], float("inf") if pd.isna(r["end_character"]) else r["end_character"]))
+        point = None if r["selection_line"] is None or r["selection_character"] is None else (r["selection_line"], r["selection_character"])
+        ends = None
+        if r["start_line"] is not None and r["end_line"] is not None:
+            ends = ((r["start_line"], -1 if r["start_character"] is None else r["start_character"]), (r["end_line"], float("inf") if r["end_character"] is None else r["end_character"]))
         found = None
         if r["side"] == 1:
-            near = [x for x in (every if point is None else vague) if not pd.isna(ends[0][0]) and not pd.isna(x[1][0][0]) and ends[0] <= x[1][1] and x[1][0] <= ends[1]]
-            met = ([exact[point]] if point in exact else []) + [x[0] for x in near[:1]]
+            near = next((x[0] for x in (every if point is None else vague) if ends and x[1] and ends[0] <= x[1][1] and x[1][0] <= ends[1]), None)
+            met = ([exact[point]] if point in exact else []) + ([near] if near else [])
             found = min(met, default=None)
-            out.append((r["file_id"], r["position"], *(found[1:] if found else (0, 0)), found is None))
+            out.append({"file_id": r["file_id"], "position": r["position"], "twin": found[1] if found else 0, "twin_position": found[2] if found else 0, "new": found is None})
         if found is None:
             me = (len(every), r["id"], r["position"])
             every.append((me, ends))
@@ -46,7 +47,7 @@ def _twins(pdf: pd.DataFrame) -> pd.DataFrame:
                 vague.append((me, ends))
             else:
                 exact.setdefault(point, me)
-    return pd.DataFrame(out, columns=["file_id", "position", "twin", "twin_position", "new"])
+    return out
 
 
 def change_set(indexed: DataFrame, served: DataFrame, sourced: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def change_set(indexed: DataFrame, served: DataFrame, sourced: DataFrame) -> Dat
         if done is not None:  # inserts of earlier levels are there to be repeated too
             old = old.unionByName(done.where("action = 'insert'").select(*columns, "id", F.lit(-1).cast("long").alias("position"), F.lit(0).alias("side")))
         both = old.join(keys, ["file_id", "name", "kind", "owner"], "left_semi").unionByName(open_.select(*columns, F.lit(0).cast("long").alias("id"), F.col("position").cast("long").alias("position"), F.lit(1).alias("side")))
-        twins = both.groupBy("file_id", "name", "kind", "owner").applyInPandas(_twins, "file_id long, position long, twin long, twin_position long, new boolean")
+        twins = in_groups(both, ["file_id", "name", "kind", "owner"], ["side", "id", "position"], _twins, {"file_id": pa.int64(), "position": pa.int64(), "twin": pa.int64(), "twin_position": pa.int64(), "new": pa.bool_()})
         first = level.select("file_id", F.col("position").alias("twin_position"), F.col("_fresh").alias("_first"))
         met = twins.join(first, ["file_id", "twin_position"], "left").select("file_id", "position", "new", F.when(F.col("twin_position") >= 0, F.col("_first")).otherwise(F.col("twin")).alias("twin"))
         got = level.join(met, ["file_id", "position"], "left")
