@@ -2,8 +2,8 @@
 
 Layout below the index's path:
   postings/part=<p>/bucket=<b>/  (term, key, positions, len): sorted by term within a file. A term's bucket is a hash of it,
-                                 and its postings lie in `slices` files of that bucket, by a hash of the document, so
-                                 that a frequent term is neither one task's work nor one file
+                                 and its postings lie in `slices` files of that bucket or more, by a hash of the
+                                 document, so that a frequent term is neither one task's work nor one file
   documents/part=<p>/            (key, len): every document, those without words too
   dead/part=<p>/                 (key): documents whose postings in earlier parts don't count any more
   state/<n>.json                 the parts in order, and the number of documents and words that count
@@ -17,7 +17,10 @@ other table: corpus numbers are in the state, a document's length stands in each
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,37 @@ from graphmill.operators.retrieval import bm25_score, query_tokens, tokens
 from graphmill.storage import Files
 
 KEPT_STATES = 3
+POSTINGS = "term string, key long, positions array<int>, len int, part int, bucket int"
+#: The bucket that holds a row for each document, of which the documents table is made.
+DOCUMENTS = -1
+#: Bytes of one Arrow batch of words.
+BATCH_BYTES = 32 << 20
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, key, positions, len) of (key, words): a row for each term of a document, and one of the empty term for itself."""
+    for b in batches:
+        if not len(b):
+            continue
+        keys, lists = b.column(0).to_numpy(), b.column(1)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        coded = lists.flatten().dictionary_encode()
+        terms, code = coded.dictionary, coded.indices.to_numpy()
+        doc = np.repeat(np.arange(len(b)), np.diff(at))
+        pos = np.arange(len(code)) - at[doc]
+        full = code != terms.index("").as_py()  # the gaps between columns are no words
+        doc, code, pos = doc[full], code[full].astype(np.int64), pos[full].astype(np.int32)
+        size = np.bincount(doc, minlength=len(b)).astype(np.int32)
+        group = doc * len(terms) + code
+        order = np.argsort(group, kind="stable")  # so positions stay ascending
+        group, pos = group[order], pos[order]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        of, term = group[first] // len(terms), terms.take(pa.array(group[first] % len(terms)))
+        ends = np.append(first, len(pos)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([term.cast(pa.string()), pa.array(keys[of]), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos)), pa.array(size[of])], names=["term", "key", "positions", "len"])
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(len(b) + 1, np.int32)), pa.array([], pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([""] * len(b)), pa.array(keys), none, pa.array(size)], names=["term", "key", "positions", "len"])
 
 
 class FullText:
@@ -78,20 +112,26 @@ class FullText:
         (writer.partitionBy("bucket") if table == "postings" else writer).parquet(f"{self.path}/{table}/part={part}")
 
     def _write_part(self, docs: DataFrame, part: int) -> tuple[int, int]:
-        """Write the postings and documents of docs; gives the numbers of documents and words. One shuffle: the
-        words go to their bucket's slice, where each term's positions in a document are put together."""
+        """Write the postings and documents of docs; gives the numbers of documents and words. Texts are cut into words
+        once. A document's words are put together where it is read, so that the one shuffle moves a row for each term
+        of a document, not for each word; tasks and files grow with the bytes, whatever the number of buckets."""
         gap = F.array(F.lit(""))  # so that no phrase reaches from one column into the next
         words = F.concat(*[x for c in self.columns for x in (tokens(F.coalesce(c, F.lit(""))), gap)])
         own = docs.select(F.col(self.key).cast("long").alias("key"), words.alias("words")).where("key is not null")
-        sized = own.withColumn("len", F.size("words") - len(self.columns))
-        self._put(sized.select("key", "len"), "documents", part)
-        flat = sized.select("key", "len", F.posexplode("words").alias("pos", "term")).where("term <> ''")
-        flat = flat.select(self._bucket(F.col("term")).alias("bucket"), F.pmod(F.xxhash64("key"), F.lit(self.slices)).alias("slice"), "term", "key", "len", "pos")
-        held = flat.repartition(self.buckets * self.slices, "bucket", "slice").groupBy("bucket", "slice", "term", "key").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
-        self._put(held.sortWithinPartitions("bucket", "term", "key").select("bucket", "term", "key", "positions", "len"), "postings", part)
+        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        held = own.mapInArrow(_postings, "term string, key long, positions array<int>, len int")
+        # a document itself is the row of the empty term, in a bucket of its own
+        held = held.select(F.when(F.col("term") == "", DOCUMENTS).otherwise(self._bucket(F.col("term"))).alias("bucket"), "term", "key", "positions", "len")
+        self._put_postings(held, part)
+        mine = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where((F.col("part") == part) & (F.col("bucket") == DOCUMENTS))
+        self._put(mine.select("key", "len"), "documents", part)
         row = self.table("documents", [part]).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         return row[0], row[1]
 
+    def _put_postings(self, rows: DataFrame, part: int) -> None:
+        spread = rows.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(self.slices))).hint("rebalance", F.col("bucket"), F.col("slice"))
+        self._put(spread.sortWithinPartitions("bucket", "term", "key").select("bucket", "term", "key", "positions", "len"), "postings", part)
+
     def build(self, docs: DataFrame) -> None:
         """Index docs as the only part. A null text has no words; a null id is not indexed; ids are unique."""
         state = self.state()
@@ -121,8 +161,7 @@ class FullText:
         if len(own) < 2 and not (own and state["dead"] and first == 0):
             return
         self._put(self._live(self.table("documents", own), state).select("key", "len"), "documents", part)
-        live = self._live(self.table("postings", own), state).select("bucket", F.pmod(F.xxhash64("key"), F.lit(self.slices)).alias("slice"), "term", "key", "positions", "len")
-        self._put(live.repartition(self.buckets * self.slices, "bucket", "slice").sortWithinPartitions("bucket", "term", "key").select("bucket", "term", "key", "positions", "len"), "postings", part)
+        self._put_postings(self._live(self.table("postings", own), state), part)
         if first:  # the dead of these parts may lie in earlier ones
             self._put(self.table("dead", own).select("key").distinct(), "dead", part)
         self._save(state, parts=[*parts[:first], part], dead=1 if first else 0, next=part + 1)
@@ -131,11 +170,12 @@ class FullText:
 
     def table(self, name: str, parts: list[int]) -> DataFrame:
         """(part, ...) of a table's parts; empty where there are none."""
-        schema = {"postings": "term string, key long, positions array<int>, len int, part int, bucket int", "documents": "key long, len int, part int", "dead": "key long, part int"}[name]
+        schema = {"postings": POSTINGS, "documents": "key long, len int, part int", "dead": "key long, part int"}[name]
         have = {int(x.removeprefix("part=")) for x in self.files.names(name) if x.startswith("part=")} & set(parts)
         if not have:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("part").isin(sorted(have)))
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("part").isin(sorted(have)))
+        return rows.where(F.col("bucket") != DOCUMENTS) if name == "postings" else rows
 
     def _live(self, rows: DataFrame, state: dict) -> DataFrame:
         """rows (part, key, ...) without those that a later part has declared dead."""
@@ -170,7 +210,7 @@ class FullText:
         negative, best first, ties by key. within: ids (key) to which the results are limited; the corpus numbers,
         and so the scores, stay those of the whole index."""
         state, found = self.state(), self.matches(query)
-        df = found.agg(F.count("*").alias("df"))
+        df = found.agg(F.count("len").alias("df"))  # never null; so it needs the columns of found, and their shuffle is made once
         rows = found.crossJoin(F.broadcast(df))  # one row
         if within is not None:
             rows = rows.join(within.select(F.col(self.key).cast("long").alias("key")).distinct(), "key", "left_semi")

@@ -89,3 +89,14 @@ def test_search_through_the_index(spark, full):
     full.build(docs)
     found, used = R.search(docs.where("id = 2").select("id"), None, "file", None, index=full)
     assert used == "structural" and [r.id for r in found.collect()] == [2]
+
+
+def test_a_document_s_words_are_one_row_a_term_before_the_shuffle(spark, full, monkeypatch):
+    shuffled = []
+    put = full._put_postings
+    monkeypatch.setattr(full, "_put_postings", lambda rows, part: (shuffled.append(rows.count()), put(rows, part)))
+    full.build(spark.createDataFrame([(i, "alpha beta", "beta " * 500 + "alpha", "p") for i in range(20)] + [(20, "", None, "p")], SCHEMA))
+    assert shuffled == [20 * 2 + 21]  # a row a term and a row a document, not one for each of 503 words
+    rows = full.table("postings", [1]).where("key = 7").orderBy("term").collect()
+    assert [(r.term, len(r.positions), r.len) for r in rows] == [("alpha", 2, 503), ("beta", 501, 503)]
+    assert rows[0].positions == [0, 503] and full.table("documents", [1]).where("key = 20").first()["len"] == 0
