@@ -565,20 +565,18 @@ def clusters(symbols: DataFrame, edges: DataFrame, most_lines: int = 500, least_
 
 
 def directory_cycles(graph: DataFrame, limit: int = 20) -> list[dict]:
-    """Cycles of directories with the imports inside; the directory graph is small by its depth and checked."""
-    rows = _small(graph)
-    names = sorted({x for r in rows for x in (r["from_dir"], r["to_dir"])})
-    number = {d: i for i, d in enumerate(names)}
-    comp = tarjan([(number[r["from_dir"]], number[r["to_dir"]]) for r in rows])
-    groups: dict[int, list[str]] = defaultdict(list)
-    for d in names:
-        groups[comp[number[d]]].append(d)
-    out = []
-    for c, dirs in groups.items():
-        own = [r for r in rows if comp[number[r["from_dir"]]] == c == comp[number[r["to_dir"]]]]
-        if len(dirs) > 1 or own:
-            out.append({"directories": dirs, "edge_count": sum(r["count"] for r in own)})
-    return sorted(out, key=lambda c: (-c["edge_count"], c["directories"]))[:limit]
+    """Cycles of directories with the imports inside, those with the most imports first, then by directories. Only the
+    cycles that are returned reach the driver."""
+    e = stored(graph.select("from_dir", "to_dir", "count"))
+    names = stored(e.select(F.explode(F.array("from_dir", "to_dir")).alias("name")).distinct().withColumn("node", F.monotonically_increasing_id()))
+    numbered = e.join(names.withColumnsRenamed({"name": "from_dir", "node": "src"}), "from_dir").join(names.withColumnsRenamed({"name": "to_dir", "node": "dst"}), "to_dir")
+    numbered = stored(numbered.select("src", "dst", "count"))
+    of = stored(strong_components(numbered))
+    inside = numbered.join(of.withColumnsRenamed({"node": "src", "component": "c"}), "src").join(of.withColumnsRenamed({"node": "dst", "component": "d"}), "dst").where("c = d")
+    sums = inside.groupBy(F.col("c").alias("component")).agg(F.sum("count").alias("edge_count"))
+    dirs = of.join(names, "node").groupBy("component").agg(F.array_sort(F.collect_list("name")).alias("directories"))
+    rows = dirs.join(sums, "component").orderBy(F.desc("edge_count"), "directories").limit(limit).collect()
+    return [{"directories": r["directories"], "edge_count": r["edge_count"]} for r in rows]
 
 
 def layer_violations(graph: DataFrame, limit: int = 20) -> list[dict]:

@@ -219,3 +219,13 @@ def test_levels_of_chains_trees_and_random_graphs(spark):
         want[a] = 1 + max((want[b] for b in deps[a]), default=-1)
     nodes = spark.createDataFrame([(i,) for i in [*range(40), *range(50, 55)]], "node long")
     assert dict(map(tuple, G.topological_levels(nodes, edges(spark, pairs)).collect())) == want
+
+
+def test_directory_cycles_are_not_gathered_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(G, "DRIVER_EDGES", 10)
+    k = F.col("id").cast("string")
+    pair = lambda a, b, n: F.struct(F.concat(F.lit(a), k).alias("from_dir"), F.concat(F.lit(b), k).alias("to_dir"), n.cast("long").alias("count"))
+    g = spark.range(20).select(F.explode(F.array(pair("a", "b", F.lit(1)), pair("b", "a", F.col("id")), pair("b", "c", F.lit(100)), pair("d", "d", F.lit(3)))).alias("x")).select("x.*")
+    got = G.directory_cycles(g, 22)
+    assert got[:2] == [{"directories": ["a19", "b19"], "edge_count": 20}, {"directories": ["a18", "b18"], "edge_count": 19}]
+    assert [c["directories"] for c in got[-5:]] == [["a2", "b2"], ["d0"], ["d1"], ["d10"], ["d11"]] and {c["edge_count"] for c in got[-5:]} == {3}
