@@ -159,7 +159,9 @@ def line_slice(source: Column | str, first: int, last: int) -> Column:
 
 
 def line_lengths(source: Column | str) -> Column:
-    return F.transform(F.split(col(source), r"\r\n|\r|\n"), lambda x: utf16_length(x))
+    lines = F.split(col(source), r"\r\n|\r|\n")
+    plain = F.octet_length(col(source)) == F.length(col(source))  # ASCII: no pairs of surrogates to look for
+    return F.when(plain, F.transform(lines, lambda x: F.length(x))).otherwise(F.transform(lines, lambda x: utf16_length(x)))
 
 
 def glob_regexp(glob: str) -> str:

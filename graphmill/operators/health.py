@@ -61,8 +61,9 @@ def spans(symbols: DataFrame, calls: DataFrame, types: DataFrame, relationships:
 
 
 def invalid_spans(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows with a wrong span and the reason. Only line lengths travel with the join, not the sources."""
-    lengths = files.select(F.col("id").alias("file_id"), line_lengths("source").alias("lengths"))
+    """Rows with a wrong span and the reason. Only line lengths travel with the join, not the sources. They are shuffled,
+    never broadcast: Spark takes an array for a few bytes, whatever the number of lines."""
+    lengths = files.select(F.col("id").alias("file_id"), line_lengths("source").alias("lengths")).hint("merge")
     return rows.join(lengths, "file_id", "left").withColumn("reason", span_reason()).where("reason is not null").drop("lengths")
 
 

@@ -181,3 +181,18 @@ def test_schema_status():
     full = {t: schema.struct(t) for t in schema.TABLES}
     assert schema.inspect(full, schema.VERSION) == "current" and schema.inspect(full, 99) == "newer" and schema.inspect({}, None) == "missing"
     assert schema.inspect(full | {"commits": schema.struct("files")}, schema.VERSION) == "outdated"
+
+
+def test_files_by_prefix_gives_all_files_without_a_limit(spark):
+    from graphmill.operators import lookups as L
+
+    f = spark.range(1500).select("id", F.concat(F.lit("/a/"), F.col("id").cast("string")).alias("path"), F.lit("main").alias("branch"))
+    assert L.files_by_prefix(f, "/a/").count() == 1500 and L.files_by_prefix(f, "/a", limit=20).count() == 20
+
+
+def test_line_lengths_are_never_broadcast(spark):
+    rows = spark.range(4).select("id", F.col("id").alias("file_id"), F.col("id").cast("int").alias("start_line"), F.lit(0).alias("start_character"), F.col("id").cast("int").alias("end_line"), F.lit(3).alias("end_character"), *(F.lit(None).cast("int").alias(c) for c in ("selection_line", "selection_character")))
+    files = spark.range(4).select("id", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("abc\n"), 3)).otherwise(F.repeat(F.lit("é😀\n"), 3)).alias("source"))
+    got = H.invalid_spans(rows, files)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in got.orderBy("id").collect()] == [3]
