@@ -32,9 +32,10 @@ def list_files(files: DataFrame, limit: int | None = None, branch: str | None =
 
 
 def files_by_prefix(files: DataFrame, prefix: str, branch: str | None = None, limit: int | None = None) -> DataFrame:
-    """The path itself and what lies below it; one slash at its end means nothing."""
+    """The path itself and what lies below it, all of it without a limit; one slash at its end means nothing."""
     p = prefix.strip().removesuffix("/")
-    return files.where(_branch(branch) & ((F.col("path") == p) | F.col("path").startswith(p + "/"))).orderBy("path", "branch", "id").limit(clamp(limit))
+    found = files.where(_branch(branch) & ((F.col("path") == p) | F.col("path").startswith(p + "/")))
+    return found if limit is None else found.orderBy("path", "branch", "id").limit(clamp(limit))
 
 
 def with_context(symbols: DataFrame, files: DataFrame) -> DataFrame:
