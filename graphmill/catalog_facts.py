@@ -63,7 +63,8 @@ def git_log_parse(spark, d):
 def git_refs_parse(spark, d):
     r = A.commit_refs(spark, d)
     line = F.concat(F.col("commit_sha"), F.when(F.col("ref_type") == "branch", " refs/heads/").otherwise(" refs/tags/"), F.col("ref_name"))
-    texts = r.groupBy("ref_name").agg(F.array_join(F.collect_list(line), "\n").alias("text")).select("text")
+    block = F.floor(F.col("commit_sha").cast("long") / 5000)  # a text is a listing of 5000 lines at most, so that no row grows with the tables
+    texts = r.groupBy("ref_name", block.alias("block")).agg(F.array_join(F.collect_list(line), "\n").alias("text")).select("text")
     return T.parsed(texts, T.git_refs, ["text"], [], "commit_sha string, ref_name string, ref_type string")
 
 
