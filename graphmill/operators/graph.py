@@ -20,6 +20,14 @@ DRIVER_EDGES = 200_000
 #: A node is a hub if it has over one in HUB_SHARE of all edges, and HUB_LEAST edges at least.
 HUB_SHARE = 2000
 HUB_LEAST = 1000
+#: Frames with a row for each node of up to this many edges may be broadcast, if Spark takes them for small.
+BROADCAST_EDGES = 200_000
+
+
+def spread(df: DataFrame, edges: int) -> DataFrame:
+    """df, a row for each node, to be joined by a shuffle if there are many edges. Spark goes by the bytes of the files, and
+    sorted or equal labels of millions of nodes compress to a few MB."""
+    return df.hint("merge") if edges > BROADCAST_EDGES else df
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, backward: bool = False) -> DataFrame:
@@ -133,14 +141,15 @@ def components(edges: DataFrame) -> DataFrame:
     all_ = stored(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a is not null and b is not null").distinct())
     alone = all_.where("a = b").select("a")
     e = all_.where("a <> b")
-    many = max(all_.count() // HUB_SHARE, HUB_LEAST)
+    edges = all_.count()
+    many = max(edges // HUB_SHARE, HUB_LEAST)
     before = None
     while not _stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-        large = _with_least(both.where("b > a"), least, many).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both.where("b > a"), least, many, edges).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        e = stored(_with_least(large, least, many).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct())
+        e = stored(_with_least(large, least, many, edges).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct())
         drop_stored(before)
         before = e
     star = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -149,13 +158,13 @@ def components(edges: DataFrame) -> DataFrame:
     return star.unionByName(hubs).unionByName(loops.join(star.unionByName(hubs), "node", "left_anti"))
 
 
-def _with_least(e: DataFrame, least: DataFrame, many: int) -> DataFrame:
+def _with_least(e: DataFrame, least: DataFrame, many: int, edges: int) -> DataFrame:
     """Edges (a, b) with the m of a; `least` has (a, m, n), n the number of a's edges. Hubs of over `many` edges
     are broadcast; their edges go on by a and b, so that they spread, and find no other partner."""
     hub = F.broadcast(least.where(F.col("n") > many).select("a", F.col("m").alias("of_hub")))
     marked = e.join(hub, "a", "left").withColumn("spread", F.when(F.col("of_hub").isNull(), F.lit(0)).otherwise(F.xxhash64("b")))
     zero = F.least("n", F.lit(0)).alias("spread")  # no constant, which the optimiser would take out of the key
-    return marked.join(least.select("a", zero, "m"), ["a", "spread"], "left").select("a", "b", F.coalesce("of_hub", "m").alias("m"))
+    return marked.join(spread(least.select("a", zero, "m"), edges), ["a", "spread"], "left").select("a", "b", F.coalesce("of_hub", "m").alias("m"))
 
 
 def _stars(e: DataFrame) -> bool:
@@ -220,26 +229,27 @@ def _labels(e: DataFrame, turn: int, rounds: list[int] | None) -> DataFrame:
     ends = e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     own = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
     labels = stored(ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).select("node", "o", "i", own.alias("f"), own.alias("b")))
-    many = max(e.count() // HUB_SHARE, HUB_LEAST)
+    edges = e.count()
+    many = max(edges // HUB_SHARE, HUB_LEAST)
 
     def over_edges(labels: DataFrame, label: str, a: str, b: str, degree: str) -> DataFrame:
         least = labels.select(F.col("node").alias("a"), F.col(label).alias("m"), F.col(degree).alias("n"))
-        return _with_least(e.select(F.col(a).alias("a"), F.col(b).alias("b")), least, many).groupBy(F.col("b").alias("node")).agg(F.min("m").alias(f"n{label}"))
+        return _with_least(e.select(F.col(a).alias("a"), F.col(b).alias("b")), least, many, edges).groupBy(F.col("b").alias("node")).agg(F.min("m").alias(f"n{label}"))
 
     def from_named(labels: DataFrame, label: str) -> DataFrame:
         named = labels.select(F.col(f"{label}.node").alias("a"), F.col("node").alias("b"))
-        least = labels.select(F.col("node").alias("a"), F.col(label).alias("m")).join(named.groupBy("a").agg(F.count("*").alias("n")), "a")
-        return _with_least(named, least, many).select(F.col("b").alias("node"), F.col("m").alias(f"n{label}"))
+        least = labels.select(F.col("node").alias("a"), F.col(label).alias("m")).join(spread(named.groupBy("a").agg(F.count("*").alias("n")), edges), "a")
+        return _with_least(named, least, many, edges).select(F.col("b").alias("node"), F.col("m").alias(f"n{label}"))
 
     while True:
-        met = labels.join(over_edges(labels, "f", "src", "dst", "o"), "node", "left").join(over_edges(labels, "b", "dst", "src", "i"), "node", "left")
+        met = labels.join(spread(over_edges(labels, "f", "src", "dst", "o"), edges), "node", "left").join(spread(over_edges(labels, "b", "dst", "src", "i"), edges), "node", "left")
         step = stored(met.select("node", "o", "i", F.least("f", F.coalesce("nf", "f")).alias("f"), F.least("b", F.coalesce("nb", "b")).alias("b"), (F.coalesce(F.col("nf") < F.col("f"), F.lit(False)) | F.coalesce(F.col("nb") < F.col("b"), F.lit(False))).alias("moved")))
         drop_stored(labels)
         if rounds is not None:
             rounds.append(turn)
         if step.where("moved").isEmpty():
             return step.select("node", "f", "b")
-        labels = stored(step.drop("moved").join(from_named(step, "f"), "node").join(from_named(step, "b"), "node").select("node", "o", "i", F.col("nf").alias("f"), F.col("nb").alias("b")))
+        labels = stored(step.drop("moved").join(spread(from_named(step, "f"), edges), "node").join(spread(from_named(step, "b"), edges), "node").select("node", "o", "i", F.col("nf").alias("f"), F.col("nb").alias("b")))
         drop_stored(step)
 
 
@@ -254,11 +264,11 @@ def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES, rounds
     spark = edges.sparkSession
     e = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    e, before = e.where("src <> dst"), None
-    out, turn = None, 0
+    n, e, before = e.count(), e.where("src <> dst"), None
+    out, turn, all_ = None, 0, n
     while True:
         # nodes without an incoming or outgoing edge are on no cycle; long ways of them are left to the labels
-        e = stored(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        e = stored(e.join(spread(e.select(F.col("dst").alias("src")).distinct(), n), "src", "left_semi").join(spread(e.select(F.col("src").alias("dst")).distinct(), n), "dst", "left_semi").select("src", "dst"))
         drop_stored(before)
         before = e
         n = e.count()
@@ -276,12 +286,12 @@ def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES, rounds
         groups = found.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("k")).where("k > 1")
         out = stored(found.join(groups, "root").select("node", "component") if out is None else out.unionByName(found.join(groups, "root").select("node", "component")))
         left = labels.where("f <> b")
-        inside = e.join(left.select(F.col("node").alias("src"), F.col("f").alias("fa"), F.col("b").alias("ba")), "src").join(left.select(F.col("node").alias("dst"), F.col("f").alias("fb"), F.col("b").alias("bb")), "dst")
+        inside = e.join(spread(left.select(F.col("node").alias("src"), F.col("f").alias("fa"), F.col("b").alias("ba")), n), "src").join(spread(left.select(F.col("node").alias("dst"), F.col("f").alias("fb"), F.col("b").alias("bb")), n), "dst")
         e = inside.where("fa = fb and ba = bb").select("src", "dst")
         turn += 1
     if out is None:
         return loops
-    return out.unionByName(loops.join(out, "node", "left_anti"))
+    return out.unionByName(loops.join(spread(out, all_), "node", "left_anti"))
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:

@@ -229,3 +229,14 @@ def test_directory_cycles_are_not_gathered_on_the_driver(spark, monkeypatch):
     got = G.directory_cycles(g, 22)
     assert got[:2] == [{"directories": ["a19", "b19"], "edge_count": 20}, {"directories": ["a18", "b18"], "edge_count": 19}]
     assert [c["directories"] for c in got[-5:]] == [["a2", "b2"], ["d0"], ["d1"], ["d10"], ["d11"]] and {c["edge_count"] for c in got[-5:]} == {3}
+
+
+def test_labels_of_many_nodes_are_not_broadcast(spark, monkeypatch):
+    e = spark.range(20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    least = e.select("a", F.col("b").alias("m"), F.lit(1).alias("n"))
+    plan = lambda edges: G._with_least(e, least, 10, edges)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(G.BROADCAST_EDGES + 1) and "SortMergeJoin" not in plan(20)
+    monkeypatch.setattr(G, "BROADCAST_EDGES", 0)
+    ring = spark.range(40).select(F.col("id").alias("src"), F.when(F.col("id") % 4 < 3, F.col("id") + 1).otherwise(F.col("id") - 3).alias("dst"))
+    got = {r.node: r.component for r in G.strong_components(ring, driver_edges=0).collect()}
+    assert got == {k: k - k % 4 for k in range(40)}
