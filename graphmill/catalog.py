@@ -18,7 +18,7 @@ from graphmill.operators import resolve as R
 from graphmill.operators import retrieval as S
 from graphmill.operators import visibility as V
 from graphmill.operators.fulltext import FullText
-from graphmill.storage import scratch
+from graphmill.storage import scratch, stored
 from graphmill.streaming import changes as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,15 +348,21 @@ def _call_edges(spark, d):
     return A.calls(spark, d).where("callee_id is not null").select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), F.col("call_line").alias("line"), F.col("resolution_method").alias("method"))
 
 
-def _most_called(spark, d):
-    return _call_edges(spark, d).groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("node"))
+def _stored_calls(spark, d):
+    """Call edges, resolved once for a query that goes over them several times."""
+    return stored(_call_edges(spark, d))
+
+
+def _most_called(edges):
+    return edges.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("node"))
 
 
 @query(""", seed AS (SELECT callee_id AS node FROM calls WHERE callee_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
     up(node, depth) AS (SELECT node, 0 FROM seed UNION SELECT c.caller_id, depth + 1 FROM up JOIN calls c ON c.callee_id = up.node WHERE depth < 5)
     SELECT node, min(depth) AS depth, min(l) AS line, min(m) AS method FROM up JOIN (SELECT caller_id, min(call_line) AS l, min(resolution_method) AS m FROM calls WHERE callee_id IS NOT NULL GROUP BY 1) ON caller_id = node WHERE depth > 0 GROUP BY node""")
 def callers_depth5(spark, d):
-    return G.dependents(_call_edges(spark, d), _most_called(spark, d), 5)
+    e = _stored_calls(spark, d)
+    return G.dependents(e, _most_called(e), 5)
 
 
 @query(""", up(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT i.file_id, depth + 1 FROM up JOIN imports i ON i.resolved_id = up.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM up WHERE depth > 0 GROUP BY node""")
@@ -377,7 +383,8 @@ def subclasses_depth5(spark, d):
     up(node, depth) AS (SELECT node, 0 FROM seed UNION SELECT c.caller_id, depth + 1 FROM up JOIN calls c ON c.callee_id = up.node WHERE depth < 2)
     SELECT DISTINCT c.caller_id AS src, c.callee_id AS dst, d + 1 AS hop FROM calls c JOIN (SELECT node, min(depth) AS d FROM up GROUP BY 1) ON node = c.callee_id ORDER BY hop, src, dst LIMIT 1000""")
 def bfs_edges(spark, d):
-    return G.bfs_edges(_call_edges(spark, d), _most_called(spark, d), 3, 1000, backward=True)
+    e = _stored_calls(spark, d)
+    return G.bfs_edges(e, _most_called(e), 3, 1000, backward=True)
 
 
 def _sparse(spark, d):
@@ -409,8 +416,9 @@ def clusters(spark, d):
 
 @query()
 def trace(spark, d):
-    entry = _call_edges(spark, d).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").first()["src"]
-    steps, _ = G.trace(_call_edges(spark, d), entry, 3)
+    e = _stored_calls(spark, d)
+    entry = e.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").first()["src"]
+    steps, _ = G.trace(e, entry, 3)
     return spark.createDataFrame([(s["symbol_id"], s["depth"], s["call_line"], s["resolution_method"]) for s in steps], "symbol_id long, depth int, call_line int, resolution_method string")
 
 

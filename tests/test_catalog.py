@@ -35,3 +35,9 @@ def test_same_as_sql(spark, name):
 
 def test_entry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_calls_are_resolved_once(spark):
+    plan = catalog.QUERIES["callers_depth5"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "callee_name" not in plan and "l_orderkey" not in plan
