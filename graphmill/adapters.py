@@ -74,7 +74,7 @@ def raw_calls(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     t = ((F.col("l_orderkey") * 7 + F.col("l_partkey")) % F.col("n")).cast("long")
     line = _modulo(table(spark, d, "lineitem"), o).select(F.col("l_orderkey").cast("long").alias("caller_id"), t.alias("t"), "l_linenumber")
-    per = line.groupBy("caller_id", "t").agg(F.min("l_linenumber").cast("int").alias("call_line"))
+    per = line.repartition("caller_id").groupBy("caller_id", "t").agg(F.min("l_linenumber").cast("int").alias("call_line"))  # where the join needs them
     own = o.select(F.col("o_orderkey").cast("long").alias("caller_id"), F.col("o_custkey").cast("long").alias("file_id"))
     return per.join(own, "caller_id").select(
         (F.col("caller_id") * 10_000_000 + F.col("t")).alias("id"),

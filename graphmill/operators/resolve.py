@@ -87,17 +87,18 @@ def by_name(edges: DataFrame, symbols: DataFrame, normal: Column | None = None,
         F.max(F.when(~F.col("kind").isin(*NOT_ACROSS_FILES), F.col("file_id"))).alias("f1"),
     )
     own = symbols.groupBy("file_id", "name").agg(F.count("*").alias("k"), F.min("id").alias("own"))
-    open_ = edges.where("target is null and method = 'unresolved'").select("id", "file_id", "name", "_b")
+    # an edge meets both tables on its way and is not joined with itself again; edges that are settled pass by
+    columns = [c for c in edges.columns if c != "_b"]
+    is_open = F.coalesce(F.col("target").isNull() & (F.col("method") == "unresolved"), F.lit(False))
+    open_, closed = edges.where(is_open).withColumn("_k", F.col("name")), edges.where(~is_open)
     if normal is not None:
-        has = symbols.select("_b", "name").distinct().withColumn("_has", F.lit(True))
-        open_ = open_.withColumn("_n", normal).join(has, ["_b", "name"], "left").select("id", "file_id", "_b", F.when(F.col("_has") | (F.col("_n") == ""), F.col("name")).otherwise(F.col("_n")).alias("name"))
-    met = open_.join(every, ["_b", "name"]).join(own, ["file_id", "name"], "left")
-    found = met.select(
-        "id",
-        F.when(F.col("k") == 1, F.col("own")).when((F.col("n") >= 1) & (F.col("f0") == F.col("f1")), F.col("first")).alias("t"),
-        F.when(F.col("k") == 1, "name_same_file").when(F.col("n") == 1, "name_unique").when((F.col("n") > 1) & (F.col("f0") == F.col("f1")), "name_single_file").alias("m"),
-    ).where("t is not null")
-    return _put(edges.drop("_b"), found)
+        has = symbols.select("_b", F.col("name").alias("_k")).distinct().withColumn("_has", F.lit(True))
+        open_ = open_.withColumn("_n", normal).join(has, ["_b", "_k"], "left").withColumn("_k", F.when(F.col("_has") | (F.col("_n") == ""), F.col("name")).otherwise(F.col("_n")))
+    met = open_.join(every.withColumnRenamed("name", "_k"), ["_b", "_k"], "left").join(own.withColumnRenamed("name", "_k"), ["file_id", "_k"], "left")
+    t = F.when(F.col("n").isNull(), F.lit(None)).when(F.col("k") == 1, F.col("own")).when((F.col("n") >= 1) & (F.col("f0") == F.col("f1")), F.col("first"))
+    m = F.when(F.col("k") == 1, "name_same_file").when(F.col("n") == 1, "name_unique").otherwise("name_single_file")
+    met = met.withColumn("_t", t).withColumns({"target": F.coalesce("_t", "target"), "method": F.when(F.col("_t").isNotNull(), m).otherwise(F.col("method"))})
+    return met.select(*columns).unionByName(closed.select(*columns))
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, dirty: DataFrame) -> DataFrame:
