@@ -189,9 +189,14 @@ def refreshed_reverse_deps(old: DataFrame, new: DataFrame, changed: DataFrame) -
 def virtual_dispatch(calls: DataFrame, overrides: DataFrame) -> DataFrame:
     """Calls of an interface's method as calls of each method that overrides it (interface_id, concrete_id),
     unless the caller has that call at the place already; nulls in places are equal."""
-    made = calls.where("callee_id is not null").join(overrides.distinct(), F.col("callee_id") == F.col("interface_id")).select("caller_id", F.col("concrete_id").alias("callee_id"), "callee_name", "call_line", "call_character", "file_id").distinct()
-    have = calls.select(F.col("caller_id").alias("_c"), F.col("callee_id").alias("_t"), F.col("call_line").alias("_l"), F.col("call_character").alias("_h"))
-    return made.join(have, (F.col("caller_id") == F.col("_c")) & (F.col("callee_id") == F.col("_t")) & (F.col("call_line") == F.col("_l")) & F.col("call_character").eqNullSafe(F.col("_h")), "left_anti")
+    pairs = overrides.select("interface_id", "concrete_id").distinct()
+    # a call may be made again if its callee is an interface's method, and stand in the way if it overrides one; others go no further
+    roles = pairs.select(F.col("interface_id").alias("_t"), F.col("concrete_id").alias("_to"), F.lit(True).alias("_made")).unionByName(pairs.select(F.col("concrete_id").alias("_t"), F.col("concrete_id").alias("_to"), F.lit(False).alias("_made")).distinct())
+    met = calls.where("callee_id is not null").join(roles.where("_t is not null"), F.col("callee_id") == F.col("_t"))
+    place = ["caller_id", "_callee", "call_line", "call_character"]
+    per = met.withColumnRenamed("_to", "_callee").groupBy(*place).agg(F.collect_set(F.when(F.col("_made"), F.struct("callee_name", "file_id"))).alias("made"), F.max(~F.col("_made")).alias("have"))
+    free = per.where(~F.col("have") | F.col("caller_id").isNull() | F.col("_callee").isNull() | F.col("call_line").isNull()).withColumn("x", F.explode("made"))
+    return free.select("caller_id", F.col("_callee").alias("callee_id"), "x.callee_name", "call_line", "call_character", "x.file_id")
 
 
 def overrides(relationships: DataFrame, symbols: DataFrame) -> DataFrame:
