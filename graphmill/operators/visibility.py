@@ -44,9 +44,13 @@ def reconcile(edges: DataFrame, target: str, symbols: DataFrame, files: DataFram
     live = symbols.select(F.col("id").alias("_t"))
     back = files.select(F.col("path").alias("_p"), F.col("branch").alias("_b")).distinct().withColumn("_back", F.lit(True))
     own = files.select(F.col("id").alias("_f"), F.col("branch").alias("_own"))
-    joined = edges.join(live, F.col(target) == F.col("_t"), "left").join(own, F.col("file_id") == F.col("_f"), "left").join(back, (F.col("definition_path") == F.col("_p")) & (F.col("_own") == F.col("_b")), "left")
+    # only stale edges look for their path: all edges without one would meet in one task
+    stale = F.coalesce(F.col(target).isNull() & (F.col("resolution_method") == "overlay_stale") & F.col("definition_path").isNotNull(), F.lit(False))
+    kept = edges.where(~stale).join(live, F.col(target) == F.col("_t"), "left").withColumn("_back", F.lit(None).cast("boolean"))
+    asked = edges.where(stale).join(own, F.col("file_id") == F.col("_f"), "left").join(back, (F.col("definition_path") == F.col("_p")) & (F.col("_own") == F.col("_b")), "left").withColumn("_t", F.lit(None).cast("long"))
+    joined = kept.select(*edges.columns, "_t", "_back").unionByName(asked.select(*edges.columns, "_t", "_back"))
     lost = F.col(target).isNotNull() & F.col("_t").isNull()
-    again = F.col(target).isNull() & (F.col("resolution_method") == "overlay_stale") & F.col("_back").isNotNull()
+    again = F.col("_back").isNotNull()
     return joined.withColumn("resolution_method", F.when(lost | again, "unresolved").otherwise(F.col("resolution_method"))).withColumn(target, F.when(~lost, F.col(target))).select(*edges.columns)
 
 
