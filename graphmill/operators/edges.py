@@ -93,19 +93,20 @@ def cohesion(calls: DataFrame, symbols: DataFrame, files: DataFrame, depth: int
 def directory_graph(imports: DataFrame, files: DataFrame, depth: int = 2, branch: str | None = None) -> DataFrame:
     """(from_dir, to_dir, count, sample_files): imports between different directories, with the first three
     distinct samples by file ids."""
-    a = files.select(F.col("id").alias("file_id"), F.col("path").alias("src"), "branch")
-    if branch is not None:
-        a = a.where(F.col("branch") == branch)
-    b = files.select(F.col("id").alias("resolved_id"), F.col("path").alias("dst"))
-    e = imports.where("resolved_id is not null").select("file_id", "resolved_id").join(a, "file_id").join(b, "resolved_id")
-    e = e.select("file_id", "resolved_id", directory_prefix("src", depth).alias("from_dir"), directory_prefix("dst", depth).alias("to_dir"), F.concat_ws(" → ", "src", "dst").alias("sample")).where("from_dir <> to_dir")
-    # samples: per pair of files one row, then the three smallest, without gathering a directory's edges
-    pairs = e.groupBy("from_dir", "to_dir", "file_id", "resolved_id", "sample").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 
+    a = files.select(F.col("id").alias("file_id"), directory_prefix("path", depth).alias("from_dir"), "branch")
+    if branch is not None:
+        a = a.where(F.col("branch") == branch)
+    b = files.select(F.col("id").alias("resolved_id"), directory_prefix("path", depth).alias("to_dir"))
+    e = imports.where("resolved_id is not null").select("file_id", "resolved_id").join(a.drop("branch"), "file_id").join(b, "resolved_id").where("from_dir <> to_dir")
+    # samples: the three smallest pairs of files, cut down before the shuffle, and only then their paths
     w = Window.partitionBy("from_dir", "to_dir").orderBy("file_id", "resolved_id")
-    top = pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("from_dir", "to_dir").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "sample"))), lambda x: x["sample"]).alias("sample_files"))
-    return pairs.groupBy("from_dir", "to_dir").agg(F.sum("n").alias("count")).join(top, ["from_dir", "to_dir"])
+    top = e.withColumn("r", F.dense_rank().over(w)).where("r <= 3").select("from_dir", "to_dir", "r", "file_id", "resolved_id").distinct()
+    path = lambda key, name: files.select(F.col("id").alias(key), F.col("path").alias(name))
+    top = top.join(path("file_id", "src"), "file_id").join(path("resolved_id", "dst"), "resolved_id").select("from_dir", "to_dir", "r", F.concat_ws(" → ", "src", "dst").alias("sample"))
+    top = top.groupBy("from_dir", "to_dir").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "sample"))), lambda x: x["sample"]).alias("sample_files"))
+    return e.groupBy("from_dir", "to_dir").agg(F.count("*").alias("count")).join(top, ["from_dir", "to_dir"])
 
 
 def outliers(graph: DataFrame, limit: int = 20) -> DataFrame:
