@@ -75,11 +75,13 @@ def list_symbols(symbols: DataFrame, files: DataFrame, limit: int = 100, offset:
 def symbol_ranges(symbols: DataFrame, files: DataFrame, names: DataFrame, **filters) -> DataFrame:
     """For each name (column `name`) whether it means one symbol: outcome resolved, missing or ambiguous, the
     number of candidates, and the range of the one that is resolved."""
-    found = with_context(symbols, files).where(symbol_filter(**filters)).select(ascii_lower("name").alias("_n"), F.struct("id", "file_path", "start_line", "end_line").alias("s"))
-    per = found.groupBy("_n").agg(F.count("*").alias("n"), F.min("s").alias("s"))
+    f = files.select(F.col("id").alias("_f"), F.col("path").alias("file_path"), "branch", "language")
+    found = symbols.join(f, F.col("file_id") == F.col("_f")).where(symbol_filter(**filters)).withColumn("_n", ascii_lower("name"))
+    # of one row the minima are its own values; apart they are aggregated by hash, and those that nobody reads aren't kept
+    per = found.groupBy("_n").agg(F.count("*").alias("n"), *(F.min(c).alias(f"_{c}") for c in ("id", "file_path", "start_line", "end_line")))
     out = names.select("name").distinct().join(per, ascii_lower("name") == F.col("_n"), "left")
     n = F.coalesce("n", F.lit(0))
-    one = lambda c: F.when(n == 1, F.col(f"s.{c}")).alias(c)
+    one = lambda c: F.when(n == 1, F.col(f"_{c}")).alias(c)
     return out.select("name", F.when(n == 1, "resolved").when(n == 0, "missing").otherwise("ambiguous").alias("outcome"), n.cast("long").alias("candidates"), one("id"), one("file_path"), one("start_line"), one("end_line"))
 
 
