@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.storage import small_tasks
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_tasks(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -63,8 +63,8 @@ def by_definition(edges: DataFrame, symbols: DataFrame, files: DataFrame, dirty:
     )
     one_line = (F.col("s0") == F.col("s1")) & F.col("c0").isNotNull() & F.col("c1").isNotNull()
     chars = F.when(F.col("tier") == 4, 0).when(one_line, F.col("c1") - F.col("c0")).otherwise(2**31 - 1)
-    met = met.withColumn("tier", tier).where("tier is not null").select("id", "t", F.struct("tier", (F.col("s1") - F.col("s0")).alias("w"), chars.alias("k")).alias("rank")).distinct()
-    # the best rank, how many candidates share it, and the smallest id, in one aggregation of partial sums
+    met = met.withColumn("tier", tier).where("tier is not null").select("id", "t", F.struct("tier", (F.col("s1") - F.col("s0")).alias("w"), chars.alias("k")).alias("rank")).repartition("id").distinct()
+    # the best rank, how many candidates share it, and the smallest id: all where the edge's candidates are
     per = met.groupBy("id", "rank").agg(F.count("*").alias("n"), F.min("t").alias("t"))
     best = per.groupBy("id").agg(F.min(F.struct("rank", "n", "t")).alias("b"))
     inside = best.select("id", F.when(F.col("b.n") == 1, F.col("b.t")).alias("t"), F.when(F.col("b.n") == 1, "lsp_definition").otherwise("ambiguous_definition").alias("m"))

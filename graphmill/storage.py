@@ -42,6 +42,18 @@ def scratch(spark: SparkSession, suffix: str = "") -> str:
     return path
 
 
+#: How Spark is told of the sizes that it can't see: rows take several times the bytes of their files and shuffled blocks.
+SIZES = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m", "spark.sql.sources.fileCompressionFactor": "8"}
+
+
+def small_tasks(spark: SparkSession) -> None:
+    """Let Spark join shuffle partitions up to 8 MB only, not 64, and take tables for 8 times their files, so that it doesn't
+    broadcast those whose rows fill a task's memory. A session that has set a value keeps it."""
+    for key, value in SIZES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
