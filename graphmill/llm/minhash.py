@@ -278,16 +278,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for _ in range(LEADER_ROUNDS):
         labelled = _relabel(bands, comps)
         lead = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("deg", F.col("id"), "comp")).alias("lead"), F.count("*").alias("m")).where("lo < hi")
-        lead = stored(lead.select("key", "m", F.col("lead.id").alias("a"), F.col("lead.comp").alias("a_comp"), F.col("lead.deg").alias("lead_deg")))
+        lead = stored(graph.gathered(lead.select("key", "m", F.col("lead.id").alias("a"), F.col("lead.comp").alias("a_comp"), F.col("lead.deg").alias("lead_deg")), rows))
         met = join_skewed(labelled.select("key", "id", "comp"), lead, ["key"], rows).where("comp <> a_comp")
         pairs = met.groupBy("a", F.col("id").alias("b")).agg(F.max("lead_deg").alias("deg"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs.groupBy("b").agg(F.max(F.struct("deg", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
+        pairs = stored(graph.gathered(pairs.groupBy("b").agg(F.max(F.struct("deg", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), rows))
         drop_stored(lead)
         if pairs.isEmpty():
             break
-        found = stored(confirmed(pairs, texts, id_col, text_col))
+        found = stored(graph.gathered(confirmed(pairs, texts, id_col, text_col), rows))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         before, comps = comps, stored(components(links))
@@ -331,7 +331,7 @@ def _rest(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, total: in
             out += new_links(t.take(pa.array(at)))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return stored(dealt.groupBy("bundle", "i", "j").applyInArrow(meet, "a long, b long").distinct())
+    return stored(graph.gathered(dealt.groupBy("bundle", "i", "j").applyInArrow(meet, "a long, b long").distinct(), total))
 
 
 def dealt_out(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, total: int, id_col: str, text_col: str) -> DataFrame | None:
@@ -342,8 +342,8 @@ def dealt_out(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, total
     block. Any other cluster is a bundle of its own, and each two of its blocks a group. So a group has about
     two blocks at most, each of BLOCK rows and BLOCK_BYTES, or one longer text."""
     labelled = _relabel(bands, comps)
-    still = stored(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first"), F.count("*").alias("m")).where("lo < hi").select("key", "first", "m"))
-    members = stored(join_skewed(labelled, still, ["key"], total).select("key", "first", "id", "comp").distinct())
+    still = stored(graph.gathered(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("first"), F.count("*").alias("m")).where("lo < hi").select("key", "first", "m"), total))
+    members = stored(graph.gathered(join_skewed(labelled, still, ["key"], total).select("key", "first", "id", "comp").distinct(), total))
     drop_stored(still)
     if members.isEmpty():
         return None
@@ -354,15 +354,16 @@ def dealt_out(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, total
     drop_stored(members)
     # what something fills of a block; a block takes rows up to a load of one and the row that exceeds it
     load = lambda n, size: F.greatest(n / BLOCK, size / BLOCK_BYTES) * 4 / 3
-    light = stored(rows.groupBy("cluster", "id", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")))
+    light = stored(graph.gathered(rows.groupBy("cluster", "id", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")), total))
     # of each cluster the largest component is dealt out by itself: its blocks needn't meet one another
     per = light.groupBy("cluster", "comp").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("m"))
     sizes = per.groupBy("cluster").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("m").alias("m"))
     coarse = lambda n, size: F.ceil(load(n, size) / COARSE).cast("int")
     deal = stored(
-        sizes.select(
+        graph.gathered(sizes, total).select(
             "cluster", "m", (load(F.col("n"), F.col("size")) <= 1 / 16).alias("small"), load(F.col("n"), F.col("size")).alias("load"), F.col("top.comp").alias("main"),
             coarse(F.col("top.n"), F.col("top.size")).alias("cp"), F.greatest(F.lit(1), coarse(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size"))).alias("cq"),
+            (load(F.col("top.n"), F.col("top.size")) <= 1).alias("lp"), (load(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")) <= 1).alias("lq"),
         )
     )
     filled = deal.where("small").agg(F.sum("load")).first()[0] or 0.0
@@ -370,10 +371,13 @@ def dealt_out(bands: DataFrame, comps: DataFrame | None, texts: DataFrame, total
     # rows are dealt by a hash into parts of some COARSE blocks, and by running sums into blocks within these
     h = F.xxhash64("id")
     main = (F.col("comp") == F.col("main")) & ~F.col("small")
-    w = Window.partitionBy("cluster", "side", "coarse").orderBy(h, "id").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("cluster", "side", "coarse", "apart").orderBy(h, "id").rowsBetween(Window.unboundedPreceding, -1)
     placed = join_skewed(light, deal.drop("load"), ["cluster"], light.count()).withColumn("side", F.when(main, 0).otherwise(1))
     placed = placed.withColumn("coarse", F.pmod(h, F.when(main, F.col("cp")).otherwise(F.col("cq"))))
-    placed = stored(placed.withColumn("place", F.floor(F.coalesce(F.sum(load(F.col("n"), F.col("size"))).over(w), F.lit(0.0))).cast("int")).select("cluster", "small", "side", "coarse", "place", "id"))
+    # what fits in one block needs no sum: its rows have the place 0 each by itself, and don't meet in one task
+    placed = placed.withColumn("apart", F.when(F.col("small") | F.when(main, F.col("lp")).otherwise(F.col("lq")), h))
+    at = F.when(F.col("apart").isNull(), F.floor(F.coalesce(F.sum(load(F.col("n"), F.col("size"))).over(w), F.lit(0.0)))).otherwise(0).cast("int")
+    placed = stored(graph.gathered(placed.withColumn("place", at).select("cluster", "small", "side", "coarse", "place", "id"), total))
     parts = placed.groupBy("cluster", "side", "coarse").agg((F.max("place") + 1).alias("blocks"))
     v = Window.partitionBy("cluster")
     parts = parts.select("cluster", "side", "coarse", F.coalesce(F.sum("blocks").over(v.orderBy("side", "coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"), F.sum(F.col("blocks") * (1 - F.col("side"))).over(v).alias("p"), F.sum(F.col("blocks") * F.col("side")).over(v).alias("q"))

@@ -22,6 +22,8 @@ HUB_SHARE = 2000
 HUB_LEAST = 1000
 #: Frames with a row for each node of up to this many edges may be broadcast, if Spark takes them for small.
 BROADCAST_EDGES = 200_000
+#: Partitions of such frames.
+FEW_PARTITIONS = 8
 
 
 def spread(df: DataFrame, edges: int) -> DataFrame:
@@ -30,6 +32,12 @@ def spread(df: DataFrame, edges: int) -> DataFrame:
     return df.hint("merge") if edges > BROADCAST_EDGES else df
 
 
+def gathered(df: DataFrame, edges: int) -> DataFrame:
+    """df, a row for each node or edge, in few partitions if there are few edges, so that a round of small frames isn't
+    a round of empty tasks."""
+    return df.coalesce(FEW_PARTITIONS) if edges <= BROADCAST_EDGES else df
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, backward: bool = False) -> DataFrame:
     """(node, depth) for each length 0 to depth of walks from the seeds (column node), distinct. A seed on a
     cycle comes again at a larger depth."""
@@ -144,33 +152,37 @@ def components(edges: DataFrame) -> DataFrame:
     edges = all_.count()
     many = max(edges // HUB_SHARE, HUB_LEAST)
     before = None
-    while not _stars(e):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    while not _stars(e, edges):
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
         large = _with_least(both.where("b > a"), least, many, edges).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        e = stored(_with_least(large, least, many, edges).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct())
+        e = stored(gathered(_with_least(large, least, many, edges).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct(), edges))
         drop_stored(before)
         before = e
     star = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    hubs = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    hubs = gathered(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct(), edges)
     loops = alone.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    return star.unionByName(hubs).unionByName(loops.join(star.unionByName(hubs), "node", "left_anti"))
+    known = star.unionByName(hubs).select("node")
+    return star.unionByName(hubs).unionByName(loops.join(F.broadcast(known) if edges <= BROADCAST_EDGES else known, "node", "left_anti"))
 
 
 def _with_least(e: DataFrame, least: DataFrame, many: int, edges: int) -> DataFrame:
     """Edges (a, b) with the m of a; `least` has (a, m, n), n the number of a's edges. Hubs of over `many` edges
-    are broadcast; their edges go on by a and b, so that they spread, and find no other partner."""
+    are broadcast; their edges go on by a and b, so that they spread, and find no other partner. Of few edges all of
+    `least` is broadcast, and no edge is shuffled."""
+    if edges <= BROADCAST_EDGES:
+        return e.join(F.broadcast(gathered(least.select("a", "m"), edges)), "a", "left").select("a", "b", "m")
     hub = F.broadcast(least.where(F.col("n") > many).select("a", F.col("m").alias("of_hub")))
     marked = e.join(hub, "a", "left").withColumn("spread", F.when(F.col("of_hub").isNull(), F.lit(0)).otherwise(F.xxhash64("b")))
     zero = F.least("n", F.lit(0)).alias("spread")  # no constant, which the optimiser would take out of the key
     return marked.join(spread(least.select("a", zero, "m"), edges), ["a", "spread"], "left").select("a", "b", F.coalesce("of_hub", "m").alias("m"))
 
 
-def _stars(e: DataFrame) -> bool:
+def _stars(e: DataFrame, edges: int) -> bool:
     """Whether every node of edges (a, b) has one edge up, or only edges from below."""
     ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("low")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("low")))).alias("x")).select("x.*")
-    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or (up > 0 and low > 0)").isEmpty()
+    return gathered(ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or (up > 0 and low > 0)"), edges).isEmpty()
 
 
 def tarjan(edges: list[tuple[int, int]]) -> dict[int, int]:

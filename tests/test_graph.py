@@ -38,6 +38,27 @@ def test_components_of_hubs(spark, monkeypatch, hub):
     assert dict(G.components(edges(spark, pairs)).collect()) == want
 
 
+def test_components_of_hubs_by_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(G, "BROADCAST_EDGES", 0)
+    test_components_of_hubs(spark, monkeypatch, 2500)
+
+
+def test_a_round_of_few_edges_is_a_handful_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spark, "_rounds", [], raising=False)
+    keep = G.stored
+    monkeypatch.setattr(G, "stored", lambda df: spark._rounds.append(df.rdd.getNumPartitions()) or keep(df))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = dict(G.components(edges(spark, [(x, x + 1) for x in range(20)])).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {x: 0 for x in range(21)}
+    assert max(spark._rounds[1:]) <= G.FEW_PARTITIONS
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_strong_components_of_random_graphs(spark, seed):
     r = random.Random(seed)
