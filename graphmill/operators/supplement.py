@@ -65,10 +65,14 @@ def change_set(indexed: DataFrame, served: DataFrame, sourced: DataFrame) -> Dat
     A level of nesting is decided at a time, as an owner's symbol must be known first; levels are as many as
     declarations nest. Null and unknown parents count as none."""
     names = indexed.select(F.col("id").alias("parent_symbol_id"), F.col("name").alias("parent_name"))
-    have = indexed.join(names, "parent_symbol_id", "left")
+    # null keys would meet in one task, so rows without a parent, and below those without a symbol, take no part in a join by it
+    top = indexed.where("parent_symbol_id is null").withColumn("parent_name", F.lit(None).cast("string"))
+    have = indexed.where("parent_symbol_id is not null").join(names, "parent_symbol_id", "left").unionByName(top)
     above = served.select("file_id", F.col("position").alias("parent_position"), F.col("name").alias("parent_name"))
     own = served.join(above, ["file_id", "parent_position"], "left").withColumn("id", F.col("position"))
     pairs = matched(have, own).select("file_id", F.col("served_id").alias("position"), F.col("indexed_id").alias("id"))
+    spans = indexed.select("id", needs_repair(F.col("kind"), F.col("start_line"), F.col("end_line")).alias("_repair"))
+    pairs = pairs.join(spans, "id", "left")
     flags = sourced.select("file_id").distinct().withColumn("_sourced", F.lit(True))
     fresh = F.xxhash64("file_id", F.lit("served"), "position", "name", "kind", "start_line", "start_character").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     todo = stored(served.join(pairs, ["file_id", "position"], "left").join(flags, "file_id", "left").withColumn("_fresh", fresh))
@@ -93,13 +97,12 @@ def change_set(indexed: DataFrame, served: DataFrame, sourced: DataFrame) -> Dat
         met = twins.join(first, ["file_id", "twin_position"], "left").select("file_id", "position", "new", F.when(F.col("twin_position") >= 0, F.col("_first")).otherwise(F.col("twin")).alias("twin"))
         got = level.join(met, ["file_id", "position"], "left")
         repair = F.col("_sourced") & F.col("_repair")
-        spans = indexed.select("id", needs_repair(F.col("kind"), F.col("start_line"), F.col("end_line")).alias("_repair"))
-        got = got.join(spans, "id", "left").withColumn("action", F.when(F.col("id").isNotNull(), F.when(F.coalesce(repair, F.lit(False)), "update").when(F.col("_sourced"), "fill").otherwise("keep")).when(F.col("new"), "insert").otherwise("drop"))
+        got = got.withColumn("action", F.when(F.col("id").isNotNull(), F.when(F.coalesce(repair, F.lit(False)), "update").when(F.col("_sourced"), "fill").otherwise("keep")).when(F.col("new"), "insert").otherwise("drop"))
         got = stored(got.withColumn("id", F.coalesce("id", F.when(F.col("new"), F.col("_fresh")).otherwise(F.col("twin")))).drop("_repair", "twin", "new", "_fresh"))
         known = got.select("file_id", "position", "id")
         done = got if done is None else done.unionByName(got)
     if done is None:
-        done = todo.withColumns({"parent_symbol_id": F.lit(None).cast("long"), "action": F.lit(None).cast("string")}).drop("_fresh")
+        done = todo.withColumns({"parent_symbol_id": F.lit(None).cast("long"), "action": F.lit(None).cast("string")}).drop("_fresh", "_repair")
     return done.withColumn("sourced", F.coalesce("_sourced", F.lit(False))).drop("_sourced")
 
 
