@@ -158,6 +158,10 @@ def line_slice(source: Column | str, first: int, last: int) -> Column:
     return F.array_join(F.slice(F.split(col(source), "\n"), first, last - first + 1), "\n")
 
 
+def line_count(source: Column | str) -> Column:
+    return F.size(F.split(col(source), r"\r\n|\r|\n"))
+
+
 def line_lengths(source: Column | str) -> Column:
     lines = F.split(col(source), r"\r\n|\r|\n")
     plain = F.octet_length(col(source)) == F.length(col(source))  # ASCII: no pairs of surrogates to look for

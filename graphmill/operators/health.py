@@ -9,17 +9,18 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.functions.columns import ascii_lower, line_lengths, selected
+from graphmill.functions.columns import ascii_lower, line_count, line_lengths, selected
 from graphmill.operators import edges as E
 from graphmill.operators.resolve import suffixes
 
 
-def span_reason(lengths: Column | str = "lengths") -> Column:
-    """Why a span is wrong, or null: the first of the rules that fails, against the snapshot's line lengths."""
+def span_reason(lengths: Column | str = "lengths", lines: Column | None = None) -> Column:
+    """Why a span is wrong, or null: the first of the rules that fails, against the snapshot's line lengths. lines, if
+    given, is their number."""
     # fixed values: the reasons
     n = F.col(lengths) if isinstance(lengths, str) else lengths
     s, e, sc, ec, p, pc = (F.col(c) for c in ("start_line", "end_line", "start_character", "end_character", "selection_line", "selection_character"))
-    size = F.coalesce(F.size(n), F.lit(0))
+    size = F.coalesce(F.size(n) if lines is None else lines, F.lit(0))
     at = lambda line: F.get(n, line)
     rules = [
         (s.isNull() | e.isNull(), "missing line coordinate"),
@@ -61,10 +62,16 @@ def spans(symbols: DataFrame, calls: DataFrame, types: DataFrame, relationships:
 
 
 def invalid_spans(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows with a wrong span and the reason. Only line lengths travel with the join, not the sources. They are shuffled,
-    never broadcast: Spark takes an array for a few bytes, whatever the number of lines."""
-    lengths = files.select(F.col("id").alias("file_id"), line_lengths("source").alias("lengths")).hint("merge")
-    return rows.join(lengths, "file_id", "left").withColumn("reason", span_reason()).where("reason is not null").drop("lengths")
+    """Rows with a wrong span and the reason. Only line lengths travel with the join, not the sources, and only to rows
+    that name a character; the others need the number of lines. They are shuffled, never broadcast: Spark takes an array
+    for a few bytes, whatever the number of lines."""
+    own = files.select(F.col("id").alias("file_id"), "source")
+    exact = F.coalesce("start_character", "end_character", "selection_character").isNotNull()
+    lengths = own.select("file_id", line_lengths("source").alias("lengths")).hint("merge")
+    lines = own.select("file_id", line_count("source").alias("lines")).hint("merge")
+    with_points = rows.where(exact).join(lengths, "file_id", "left").withColumn("reason", span_reason()).where("reason is not null").drop("lengths")
+    none = F.lit(None).cast("array<int>")
+    return with_points.unionByName(rows.where(~exact).join(lines, "file_id", "left").withColumn("reason", span_reason(none, F.col("lines"))).where("reason is not null").drop("lines"))
 
 
 def internal_unresolved(edges: DataFrame, target: str, name: str, symbols: DataFrame, files: DataFrame) -> DataFrame:

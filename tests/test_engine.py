@@ -196,3 +196,14 @@ def test_line_lengths_are_never_broadcast(spark):
     got = H.invalid_spans(rows, files)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert [r.id for r in got.orderBy("id").collect()] == [3]
+
+
+def test_line_lengths_go_only_to_rows_with_characters(spark):
+    none = F.lit(None).cast("int")
+    files = spark.range(6).select("id", F.when(F.col("id") < 4, F.repeat(F.lit("ab\n"), 3)).alias("source"))  # the others have no source
+    plain = spark.range(8).select("id", F.col("id").alias("file_id"), (F.col("id") * 2).cast("int").alias("start_line"), none.alias("start_character"), (F.col("id") * 2).cast("int").alias("end_line"), none.alias("end_character"), none.alias("selection_line"), none.alias("selection_character"))
+    got = H.invalid_spans(plain, files)
+    assert "transform" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.id for r in got.orderBy("id").collect()] == [2, 3, 4, 5, 6, 7]
+    with_ends = plain.withColumn("end_character", F.when(F.col("id") == 1, 5).when(F.col("id") == 0, 2))
+    assert [(r.id, r.reason[:13]) for r in H.invalid_spans(with_ends, files).where("id < 3").orderBy("id").collect()] == [(1, "end character"), (2, "line coordina")]
