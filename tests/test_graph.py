@@ -261,3 +261,11 @@ def test_labels_of_many_nodes_are_not_broadcast(spark, monkeypatch):
     ring = spark.range(40).select(F.col("id").alias("src"), F.when(F.col("id") % 4 < 3, F.col("id") + 1).otherwise(F.col("id") - 3).alias("dst"))
     got = {r.node: r.component for r in G.strong_components(ring, driver_edges=0).collect()}
     assert got == {k: k - k % 4 for k in range(40)}
+
+
+def test_short_ways_are_gone_before_labels(spark):
+    rounds = []
+    pairs = [(6 * b + i, 6 * b + (i + 1) % 6) for b in range(0, 8, 2) for i in range(6)] + [(6 * b + i, 6 * b + i + 1) for b in range(1, 8, 2) for i in range(5)]
+    got = dict(G.strong_components(edges(spark, pairs), driver_edges=0, rounds=rounds).collect())
+    assert got == {6 * b + i: 6 * b for b in range(0, 8, 2) for i in range(6)}
+    assert set(rounds) == {0}
