@@ -2,14 +2,15 @@
 
 Layout below the index's path:
   postings/part=<p>/bucket=<b>/  (term, key, positions, len): sorted by term within a file. A term's bucket is a hash of it,
-                                 and its postings lie in `slices` files of that bucket or more, by a hash of the
-                                 document, so that a frequent term is neither one task's work nor one file
+                                 and its postings lie in a file of that bucket for each task that wrote the part, so
+                                 that a frequent term is neither one task's work nor one file
   documents/part=<p>/            (key, len): every document, those without words too
-  dead/part=<p>/                 (key): documents whose postings in earlier parts don't count any more
+  dead/part=<p>/                 (key, len): documents that counted before and whose postings in earlier parts don't any more
   state/<n>.json                 the parts in order, and the number of documents and words that count
 
 A build or a refresh writes one part, which counts from the moment the next state is in place; a merge puts parts
-together as one without their dead rows. What a crash leaves behind is in no state, and clean_up() deletes it. A
+together as one without their dead rows. Postings are written where they are made or read: as rows they take several
+times the bytes of the texts, and their files about as many, so a shuffle would be most of a build. What a crash leaves behind is in no state, and clean_up() deletes it. A
 query reads the buckets of its terms only (part and bucket are partition columns, term is pushed down), and no
 other table: corpus numbers are in the state, a document's length stands in each of its postings.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,12 @@ POSTINGS = "term string, key long, positions array<int>, len int, part int, buck
 DOCUMENTS = -1
 #: Bytes of one Arrow batch of words.
 BATCH_BYTES = 32 << 20
+#: Bytes of files that a writing task reads at most, if they can be cut: as rows some 20 times as many, sorted in memory.
+SPLIT_BYTES = 16 << 20
+#: A merge that would write more files than this shuffles its rows, so that a bucket has fewer and larger ones.
+MOST_FILES = 20_000
+#: Dead documents up to this many are broadcast to a merge, some 100 MB; with more, postings and they are joined by a shuffle.
+BROADCAST_DEAD = 2_000_000
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +72,9 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class FullText:
     """An index over `columns` of documents with unique long ids `key`.
 
-    buckets: how many a part's terms are spread over; a query reads one for each of its terms. slices: files of
-    a bucket. A corpus of 100 TB wants some thousands of buckets, so that one holds some GB."""
+    buckets: how many a part's terms are spread over; a query reads one for each of its terms. slices: pieces of
+    a bucket, by a hash of the document, at least, where a merge gathers many small files. A corpus of 100 TB wants
+    some thousands of buckets, so that one holds some GB."""
 
     def __init__(self, spark: SparkSession, path: str, columns: list[str], key: str = "id", buckets: int = 64, slices: int = 4):
         self.spark, self.path, self.columns, self.key = spark, path.rstrip("/"), list(columns), key
@@ -111,10 +120,21 @@ class FullText:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy("bucket") if table == "postings" else writer).parquet(f"{self.path}/{table}/part={part}")
 
+    @contextmanager
+    def _small_splits(self) -> Iterator[None]:
+        """Files are read in pieces of SPLIT_BYTES at most in here."""
+        key = "spark.sql.files.maxPartitionBytes"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, str(SPLIT_BYTES))
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
+
     def _write_part(self, docs: DataFrame, part: int) -> tuple[int, int]:
         """Write the postings and documents of docs; gives the numbers of documents and words. Texts are cut into words
-        once. A document's words are put together where it is read, so that the one shuffle moves a row for each term
-        of a document, not for each word; tasks and files grow with the bytes, whatever the number of buckets."""
+        once. A document's words are put together where it is read, and written from there: nothing is shuffled, and each task
+        writes a file for each bucket."""
         gap = F.array(F.lit(""))  # so that no phrase reaches from one column into the next
         words = F.concat(*[x for c in self.columns for x in (tokens(F.coalesce(c, F.lit(""))), gap)])
         own = docs.select(F.col(self.key).cast("long").alias("key"), words.alias("words")).where("key is not null")
@@ -122,15 +142,15 @@ class FullText:
         held = own.mapInArrow(_postings, "term string, key long, positions array<int>, len int")
         # a document itself is the row of the empty term, in a bucket of its own
         held = held.select(F.when(F.col("term") == "", DOCUMENTS).otherwise(self._bucket(F.col("term"))).alias("bucket"), "term", "key", "positions", "len")
-        self._put_postings(held, part)
+        with self._small_splits():
+            self._put_postings(held, part)
         mine = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where((F.col("part") == part) & (F.col("bucket") == DOCUMENTS))
         self._put(mine.select("key", "len"), "documents", part)
         row = self.table("documents", [part]).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         return row[0], row[1]
 
     def _put_postings(self, rows: DataFrame, part: int) -> None:
-        spread = rows.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(self.slices))).hint("rebalance", F.col("bucket"), F.col("slice"))
-        self._put(spread.sortWithinPartitions("bucket", "term", "key").select("bucket", "term", "key", "positions", "len"), "postings", part)
+        self._put(rows.sortWithinPartitions("bucket", "term", "key").select("bucket", "term", "key", "positions", "len"), "postings", part)
 
     def build(self, docs: DataFrame) -> None:
         """Index docs as the only part. A null text has no words; a null id is not indexed; ids are unique."""
@@ -147,9 +167,9 @@ class FullText:
         ids = current.select(F.col(self.key).cast("long").alias("key"))
         if gone is not None:
             ids = ids.unionByName(gone.select(F.col(self.key).cast("long").alias("key")))
-        self._put(ids.where("key is not null").distinct(), "dead", part)
-        before = self._live(self.table("documents", state["parts"]), state).join(self.table("dead", [part]).select("key"), "key", "left_semi")
-        lost = before.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        before = self._live(self.table("documents", state["parts"]), state).join(ids, "key", "left_semi")
+        self._put(before.select("key", "len"), "dead", part)
+        lost = self.spark.read.schema("key long, len int").parquet(f"{self.path}/dead/part={part}").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         self._save(state, parts=[*state["parts"], part], documents=state["documents"] + n - lost[0], words=state["words"] + words - lost[1], dead=state["dead"] + 1, next=part + 1)
 
     def merge(self, last: int | None = None) -> None:
@@ -161,7 +181,12 @@ class FullText:
         if len(own) < 2 and not (own and state["dead"] and first == 0):
             return
         self._put(self._live(self.table("documents", own), state).select("key", "len"), "documents", part)
-        self._put_postings(self._live(self.table("postings", own), state), part)
+        few = self.table("dead", parts).count() <= BROADCAST_DEAD
+        rows = self._live(self.table("postings", own), state, few)
+        if sum(self.files.bytes(f"postings/part={p}") for p in own) / SPLIT_BYTES * self.buckets > MOST_FILES:
+            rows = rows.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(self.slices))).hint("rebalance", F.col("bucket"), F.col("slice"))
+        with self._small_splits():
+            self._put_postings(rows, part)
         if first:  # the dead of these parts may lie in earlier ones
             self._put(self.table("dead", own).select("key").distinct(), "dead", part)
         self._save(state, parts=[*parts[:first], part], dead=1 if first else 0, next=part + 1)
@@ -177,14 +202,14 @@ class FullText:
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("part").isin(sorted(have)))
         return rows.where(F.col("bucket") != DOCUMENTS) if name == "postings" else rows
 
-    def _live(self, rows: DataFrame, state: dict) -> DataFrame:
-        """rows (part, key, ...) without those that a later part has declared dead."""
+    def _live(self, rows: DataFrame, state: dict, few: bool = False) -> DataFrame:
+        """rows (part, key, ...) without those that a later part has declared dead; few: the dead may be broadcast."""
         if not state["dead"]:
             return rows
         order = {p: k for k, p in enumerate(state["parts"])}
         place = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), c)
         dead = self.table("dead", state["parts"]).groupBy("key").agg(F.max(place(F.col("part"))).alias("until"))
-        return rows.join(dead, "key", "left").where(F.col("until").isNull() | (F.col("until") <= place(F.col("part")))).drop("until")
+        return rows.join(F.broadcast(dead) if few else dead, "key", "left").where(F.col("until").isNull() | (F.col("until") <= place(F.col("part")))).drop("until")
 
     def matches(self, query: str) -> DataFrame:
         """(key, f, len): the documents that have the query as a phrase, how often, and their length."""

@@ -114,6 +114,9 @@ class Files:
     def delete(self, name: str) -> bool:
         return self.fs.delete(self.path(name), True)
 
+    def bytes(self, name: str) -> int:
+        return self.fs.getContentSummary(self.path(name)).getLength() if self.exists(name) else 0
+
     def names(self, name: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(name))) if self.exists(name) else []
 

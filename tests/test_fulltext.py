@@ -100,3 +100,28 @@ def test_a_document_s_words_are_one_row_a_term_before_the_shuffle(spark, full, m
     rows = full.table("postings", [1]).where("key = 7").orderBy("term").collect()
     assert [(r.term, len(r.positions), r.len) for r in rows] == [("alpha", 2, 503), ("beta", 501, 503)]
     assert rows[0].positions == [0, 503] and full.table("documents", [1]).where("key = 20").first()["len"] == 0
+
+
+def test_parts_are_written_without_a_shuffle_and_merges_gather_many_files(spark, full, monkeypatch):
+    from graphmill.operators import fulltext as T
+
+    plans, put = [], full._put
+    monkeypatch.setattr(full, "_put", lambda df, table, part: (table == "postings" and plans.append(df._jdf.queryExecution().executedPlan().toString()), put(df, table, part)))
+    rng, key = random.Random(7), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    rows = {r[0]: r for r in random_docs(rng, range(40))}
+    full.build(spark.createDataFrame(list(rows.values()), SCHEMA))
+    for ids in (range(5, 15), range(12, 60)):
+        changed = random_docs(rng, ids)
+        full.refresh(spark.createDataFrame(changed, SCHEMA), spark.createDataFrame([(3,), (999,), (3,)], "id long"))
+        rows = {k: r for k, r in rows.items() if k != 3} | {r[0]: r for r in changed}
+    assert sorted(r.key for r in full.table("dead", [2]).collect()) == [3, *range(5, 15)]  # only what counted before
+    full.merge(2)
+    assert spark.conf.get(key) == before
+    assert len(plans) == 4 and not any("Exchange hashpartitioning(bucket" in p or "Exchange hashpartitioning(key#" in p.split("BroadcastHashJoin")[0] or "RebalancePartitions" in p or "SortMergeJoin" in p for p in plans)
+    same_scores(spark, full, list(rows.values()))
+    monkeypatch.setattr(T, "MOST_FILES", 0)
+    monkeypatch.setattr(T, "BROADCAST_DEAD", 0)
+    full.merge()
+    assert "REBALANCE" in plans[-1].upper() and full.state()["documents"] == len(rows)
+    same_scores(spark, full, list(rows.values()))
