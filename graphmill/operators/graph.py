@@ -8,6 +8,7 @@ size is checked first; greedy clustering runs in rounds of joins that can't depe
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,11 @@ HUB_LEAST = 1000
 BROADCAST_EDGES = 200_000
 #: Partitions of such frames.
 FEW_PARTITIONS = 8
+#: Steps from a pivot in either direction after which its component is left to the labels: at most, and where the steps
+#: have met fewer nodes than PIVOT_WIDTH each.
+PIVOT_STEPS = 100
+PIVOT_TRIAL = 15
+PIVOT_WIDTH = 100
 
 
 def spread(df: DataFrame, edges: int) -> DataFrame:
@@ -265,19 +271,56 @@ def _labels(e: DataFrame, turn: int, rounds: list[int] | None) -> DataFrame:
         drop_stored(step)
 
 
+def _pivot_component(e: DataFrame, edges: int) -> tuple[DataFrame | None, DataFrame]:
+    """(node, component) of the strong component of the node with the most edges both in and out, None for a node alone,
+    and those edges (src, dst) of the others that may still lie on a cycle: both ends are reached from the pivot or both
+    are not, and both reach it or both do not.
+
+    Most large graphs have one large component of short ways. A step from the pivot takes the edges of the nodes met last,
+    so all steps together take each edge once in either direction, where a round of labels takes all edges. A component of
+    long or narrow ways is left as it is."""
+    ends = e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    degree = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    pivot = degree.where("o > 0 and i > 0").orderBy(F.desc(F.least("o", "i")), "node").limit(1)
+    side = lambda df, k: df.select("node", F.lit(k).alias("side"))
+    new = stored(pivot.select("node", F.explode(F.array(F.lit(1), F.lit(2))).alias("side")))
+    met, all_ = [new], (n := new.count())
+    while n and len(met) <= PIVOT_STEPS and (len(met) <= PIVOT_TRIAL or all_ >= PIVOT_WIDTH * len(met)):
+        of = lambda k, end: spread(new.where(F.col("side") == k).select(F.col("node").alias(end)), n)
+        ahead = side(e.join(of(1, "src"), "src", "left_semi").select(F.col("dst").alias("node")), 1)
+        back = side(e.join(of(2, "dst"), "dst", "left_semi").select(F.col("src").alias("node")), 2)
+        seen = reduce(DataFrame.unionByName, met)
+        new = stored(gathered(ahead.unionByName(back).distinct().join(spread(seen, edges), ["node", "side"], "left_anti"), edges))
+        n = new.count()
+        all_ += n
+        met.append(new)
+    if n:
+        drop_stored(*met)
+        return None, e
+    sides = stored(reduce(DataFrame.unionByName, met).groupBy("node").agg(F.sum("side").alias("c")))
+    drop_stored(*met)
+    of = lambda end, c: spread(sides.select(F.col("node").alias(end), F.col("c").alias(c)), edges)
+    left = e.join(of("src", "ca"), "src", "left").where("ca is null or ca <> 3").join(of("dst", "cb"), "dst", "left")
+    left = stored(left.where("ca <=> cb").select("src", "dst"))
+    own = sides.where("c = 3").select("node")
+    row = own.agg(F.count("*"), F.min("node")).first()
+    return own.withColumn("component", F.lit(row[1])) if row[0] > 1 else None, left
+
+
 def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES, rounds: list[int] | None = None) -> DataFrame:
     """(node, component) of nodes on cycles: the smallest node of the strongly connected component, for
     components of several nodes and for nodes with an edge to themselves.
 
-    In each turn every node is labelled with the first node that reaches it and the first that it reaches, in an
-    order by a hash; where both are the same node, that is in its component, so that many components are found at
-    once. Of the others only edges within equal labels can lie on a cycle. `driver_edges` edges or fewer go to
-    the driver. rounds, if given, gets an entry for each round of labels."""
+    If many edges are left, the component of one node of many edges is taken first. Then in each turn every node is
+    labelled with the first node that reaches it and the first that it reaches, in an order by a hash; where both are
+    the same node, that is in its component, so that many components are found at once. Of the others only edges within
+    equal labels can lie on a cycle. `driver_edges` edges or fewer go to the driver. rounds, if given, gets an entry for each round of labels."""
     spark = edges.sparkSession
     e = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     n, e, before = e.count(), e.where("src <> dst"), None
     out, turn, all_ = None, 0, n
+    tried = False
     while True:
         # nodes without an incoming or outgoing edge are on no cycle; they go as long as that takes a tenth of the edges each
         # time, which all in all costs no more than ten times the first; longer ways are left to the labels
@@ -296,6 +339,13 @@ def strong_components(edges: DataFrame, driver_edges: int = DRIVER_EDGES, rounds
             part = spark.createDataFrame(rows, "node long, component long")
             out = part if out is None else out.unionByName(part)
             break
+        if n > BROADCAST_EDGES and not tried:
+            out, e = _pivot_component(e, n)
+            n, tried = e.count(), True
+            if e is not before:
+                drop_stored(before)
+                before = e
+                continue
         labels = _labels(e, turn, rounds)
         found = labels.where("f = b").select("node", F.col("f.node").alias("root"))
         groups = found.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("k")).where("k > 1")

@@ -269,3 +269,25 @@ def test_short_ways_are_gone_before_labels(spark):
     got = dict(G.strong_components(edges(spark, pairs), driver_edges=0, rounds=rounds).collect())
     assert got == {6 * b + i: 6 * b for b in range(0, 8, 2) for i in range(6)}
     assert set(rounds) == {0}
+
+
+@pytest.mark.parametrize("seed,steps", [(1, 100), (2, 100), (3, 2)])
+def test_the_large_component_is_taken_from_a_pivot(spark, monkeypatch, seed, steps):
+    monkeypatch.setattr(G, "BROADCAST_EDGES", 20)
+    monkeypatch.setattr(G, "PIVOT_STEPS", steps)
+    r = random.Random(seed)
+    pairs = [(r.randrange(30), r.randrange(30)) for _ in range(90)]  # one large component and what leads to and from it
+    small = [(40, 41), (41, 42), (42, 40), (43, 44), (44, 43), (45, 45), (5, 40), (41, 43), (46, 6), (46, 47), (47, 46)]
+    rounds = []
+    got = dict(G.strong_components(edges(spark, pairs + small), driver_edges=11, rounds=rounds).collect())
+    assert got == plain_scc(48, pairs + small)
+    assert bool(rounds) == (steps == 2)  # the rest has few edges and goes to the driver, unless the ways are too long
+
+
+def test_a_pivot_without_a_component(spark, monkeypatch):
+    monkeypatch.setattr(G, "BROADCAST_EDGES", 0)
+    bridge = [(i, (i + 1) % 5) for i in range(5)] + [(i, 20) for i in range(5)] + [(20, i) for i in range(10, 15)] + [(i, 10 + (i - 9) % 5) for i in range(10, 15)]
+    assert dict(G.strong_components(edges(spark, bridge), driver_edges=0).collect()) == {i: i // 10 * 10 for i in (*range(5), *range(10, 15))}
+    monkeypatch.setattr(G, "PIVOT_TRIAL", 2)
+    ring = [(i, (i + 1) % 12) for i in range(12)]
+    assert dict(G.strong_components(edges(spark, ring), driver_edges=0).collect()) == {i: 0 for i in range(12)}
