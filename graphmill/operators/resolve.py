@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions.columns import bare_type, member_name, segments
+from graphmill.storage import stored
 
 NOT_ACROSS_FILES = ("macro", "constant", "enum_member")
 
@@ -73,45 +74,52 @@ def by_definition(edges: DataFrame, symbols: DataFrame, files: DataFrame, dirty:
 
 def by_name(edges: DataFrame, symbols: DataFrame, normal: Column | None = None, files: DataFrame | None = None) -> DataFrame:
     """Resolve by name: the only such symbol of the edge's file; else the only one of its branch that is no
-    macro, constant or enum member; else the first of several in one file. The normalised name counts where no
-    symbol of the branch has the name itself. Without files, all is one branch."""
+    macro, constant or enum member; else the first of several in one file. The normalised name, an expression of the
+    column name, counts where no symbol of the branch has the name itself, so a pass by names alone before this one
+    would change nothing. Without files, all is one branch."""
+    # edges that are settled pass by
+    columns = edges.columns
+    is_open = F.coalesce(F.col("target").isNull() & (F.col("method") == "unresolved"), F.lit(False))
+    open_, closed = edges.where(is_open).withColumn("_k", F.col("name")), edges.where(~is_open)
     if files is None:
-        edges, symbols = edges.withColumn("_b", F.lit("")), symbols.withColumn("_b", F.lit(""))
+        open_, symbols = open_.withColumn("_b", F.lit("")), symbols.withColumn("_b", F.lit(""))
     else:
         of = branched(files).select(F.col("id").alias("file_id"), F.col("branch").alias("_b"))
-        edges, symbols = edges.join(of, "file_id", "left").select(*edges.columns, "_b"), symbols.join(of, "file_id")
+        open_, symbols = open_.join(of, "file_id", "left"), symbols.join(of, "file_id")
+    across = ~F.col("kind").isin(*NOT_ACROSS_FILES)
     every = symbols.groupBy("_b", "name").agg(
-        F.sum((~F.col("kind").isin(*NOT_ACROSS_FILES)).cast("int")).alias("n"),
-        F.min(F.when(~F.col("kind").isin(*NOT_ACROSS_FILES), F.col("id"))).alias("first"),
-        F.min(F.when(~F.col("kind").isin(*NOT_ACROSS_FILES), F.col("file_id"))).alias("f0"),
-        F.max(F.when(~F.col("kind").isin(*NOT_ACROSS_FILES), F.col("file_id"))).alias("f1"),
+        F.sum(across.cast("int")).alias("n"),
+        F.min(F.when(across, F.col("id"))).alias("first"),
+        F.min(F.when(across, F.col("file_id"))).alias("f0"),
+        F.max(F.when(across, F.col("file_id"))).alias("f1"),
     )
-    own = symbols.groupBy("file_id", "name").agg(F.count("*").alias("k"), F.min("id").alias("own"))
-    # an edge meets both tables on its way and is not joined with itself again; edges that are settled pass by
-    columns = [c for c in edges.columns if c != "_b"]
-    is_open = F.coalesce(F.col("target").isNull() & (F.col("method") == "unresolved"), F.lit(False))
-    open_, closed = edges.where(is_open).withColumn("_k", F.col("name")), edges.where(~is_open)
+    # what an edge takes along: whether the name is there, the symbol if one file has it, and whether that is the only one
+    every = every.select("_b", F.col("name").alias("_k"), F.col("n").isNotNull().alias("_has"), F.when((F.col("n") >= 1) & (F.col("f0") == F.col("f1")), F.col("first")).alias("first"), (F.col("n") == 1).alias("_one"))
+    own = symbols.groupBy("file_id", "name").agg(F.count("*").alias("k"), F.min("id").alias("own")).where("k = 1").select("file_id", F.col("name").alias("_k"), "own")
+    # an edge meets both tables on its way and is not joined with itself again
     if normal is not None:
-        has = symbols.select("_b", F.col("name").alias("_k")).distinct().withColumn("_has", F.lit(True))
-        open_ = open_.withColumn("_n", normal).join(has, ["_b", "_k"], "left").withColumn("_k", F.when(F.col("_has") | (F.col("_n") == ""), F.col("name")).otherwise(F.col("_n")))
-    met = open_.join(every.withColumnRenamed("name", "_k"), ["_b", "_k"], "left").join(own.withColumnRenamed("name", "_k"), ["file_id", "_k"], "left")
-    t = F.when(F.col("n").isNull(), F.lit(None)).when(F.col("k") == 1, F.col("own")).when((F.col("n") >= 1) & (F.col("f0") == F.col("f1")), F.col("first"))
-    m = F.when(F.col("k") == 1, "name_same_file").when(F.col("n") == 1, "name_unique").otherwise("name_single_file")
+        # an edge's name that normalising changes can only be that of a symbol whose name it changes too, and few have such
+        # names: stored, so that their number is known
+        odd = stored(symbols.where(~normal.eqNullSafe(F.col("name"))).select("_b", F.col("name").alias("_k")).distinct()).withColumn("_odd", F.lit(True))
+        open_ = open_.withColumn("_n", normal).join(odd, ["_b", "_k"], "left").withColumn("_k", F.when(F.col("_odd") | (F.col("_n") == ""), F.col("name")).otherwise(F.col("_n"))).drop("_n", "_odd")
+    met = open_.join(every, ["_b", "_k"], "left").join(own, ["file_id", "_k"], "left")
+    t = F.when(F.col("_has"), F.coalesce("own", "first"))
+    m = F.when(F.col("own").isNotNull(), "name_same_file").when(F.col("_one"), "name_unique").otherwise("name_single_file")
     met = met.withColumn("_t", t).withColumns({"target": F.coalesce("_t", "target"), "method": F.when(F.col("_t").isNotNull(), m).otherwise(F.col("method"))})
-    return met.select(*columns).unionByName(closed.select(*columns))
+    return met.select(*columns).unionByName(closed)
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, files: DataFrame, dirty: DataFrame) -> DataFrame:
     e = generic(calls, "callee_id", "callee_name")
     e = by_definition(e, symbols, files, dirty, member_name("name"))
-    e = by_name(by_name(e, symbols, files=files), symbols, member_name("name"), files)
+    e = by_name(e, symbols, member_name("name"), files)
     return specific(e, "callee_id", "callee_name")
 
 
 def resolve_types(types: DataFrame, symbols: DataFrame, files: DataFrame, dirty: DataFrame) -> DataFrame:
     e = generic(types, "type_id", "type_name")
     e = by_definition(e, symbols, files, dirty, bare_type("name"))
-    e = by_name(by_name(e, symbols, files=files), symbols, bare_type("name"), files)
+    e = by_name(e, symbols, bare_type("name"), files)
     return specific(e, "type_id", "type_name")
 
 

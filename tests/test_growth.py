@@ -106,3 +106,21 @@ def test_candidates_of_an_edge_are_dealt_once(spark):
     assert rows(got.select("id", "target", "method")) == [(7, 2, "lsp_definition"), (8, None, "external_definition")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "rank#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_a_name_and_its_normal_form_are_looked_up_in_one_pass(spark, tmp_path):
+    from graphmill.functions.columns import member_name
+
+    names, path = ["a", "b", "x.a", "x.b", "x.c", "c", None, "x.", "", "y. c"], str(tmp_path / "calls")
+    calls = [(10 * f + i, f, 99 if (i + f) % 7 == 0 else None, n, "given" if (i + f) % 7 == 0 else "unresolved", None, None, None) for f in range(1, 6) for i, n in enumerate(names)]
+    spark.createDataFrame(calls, "id long, file_id long, callee_id long, callee_name string, resolution_method string, definition_path string, definition_line int, definition_character int").write.parquet(path)
+    symbols = spark.createDataFrame([(1, 1, "a", "function"), (2, 1, "a", "macro"), (3, 2, "a", "class"), (4, 2, "x.b", "function"), (5, 3, "b", "function"), (6, 3, "b", "function"), (7, 4, "c", "constant"), (8, 4, "x.c", "macro"), (9, 2, "c", None), (10, 5, "", "class")], "id long, file_id long, name string, kind string")
+    symbols = symbols.withColumns({c: F.lit(None).cast("int") for c in ("start_line", "end_line", "start_character", "end_character", "selection_line", "selection_character")})
+    files = spark.createDataFrame([(1, "/1", "m"), (2, "/2", "m"), (3, "/3", "m"), (4, "/4", "n")], "id long, path string, branch string")
+    got = R.resolve_calls(spark.read.parquet(path), symbols, files, files.select("path", "branch").limit(0))
+    e = R.generic(spark.read.parquet(path), "callee_id", "callee_name")
+    want = R.by_name(R.by_name(e, symbols, files=files), symbols, member_name("name"), files)
+    assert rows(got.select("id", "callee_id", "resolution_method")) == rows(want.select("id", "target", "method"))
+    assert {r[0] for r in got.select("resolution_method").distinct().collect()} >= {"name_same_file", "name_unique", "name_single_file", "unresolved", "given"}
+    once = R.by_name(e, symbols, member_name("name"), files)
+    assert optimized(once).count("Join") <= 6  # the edge's file, symbols' files twice, odd names, names, the file's names
